@@ -1,0 +1,105 @@
+"""Reading the input tables, and the adapters that turn them into operator inputs.
+
+Each adapter is one SQL text with ``{table}`` placeholders. Spark runs it with
+the tables bound as DataFrames (``spark.sql(text, documents=df, ...)``); the
+DuckDB oracle runs the very same text with the placeholders replaced by view
+names, so both sides start from identical inputs.
+"""
+
+from __future__ import annotations
+
+import re
+from string import Formatter
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region nation customer supplier part orders lineitem events documents "
+          "embeddings pages benchmark labels conversations").split()
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _placeholders(text: str) -> list[str]:
+    return sorted({f for _, f, _, _ in Formatter().parse(text) if f})
+
+
+def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
+    """Run an adapter/query text on Spark; placeholders not given in ``frames``
+    are read from ``sf_dir``; placeholders that name an adapter are expanded."""
+    bound = {}
+    for name in _placeholders(text):
+        if name in frames:
+            bound[name] = frames[name]
+        elif name in ADAPTERS:
+            bound[name] = run_sql(spark, sf_dir, ADAPTERS[name])
+        else:
+            bound[name] = read_table(spark, sf_dir, name)
+    return spark.sql(text, **bound)
+
+
+def duck_sql(text: str) -> str:
+    """The same text for DuckDB: adapters become CTEs, tables stay views."""
+    ctes: dict[str, str] = {}
+
+    def expand(t: str) -> str:
+        for name in _placeholders(t):
+            if name in ADAPTERS and name not in ctes:
+                sql = expand(ADAPTERS[name])  # dependencies land first
+                ctes[name] = sql
+        return t.format(**{n: (f"a_{n}" if n in ADAPTERS else n) for n in _placeholders(t)})
+
+    body = expand(text)
+    if not ctes:
+        return body
+    with_ = ",\n".join(f"a_{n} AS ({sql})" for n, sql in ctes.items())
+    body = body.lstrip()
+    if re.match(r"(?is)^with\s", body):
+        return "WITH " + with_ + ",\n" + body[4:].lstrip()
+    return "WITH " + with_ + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# Adapters: driver tables -> operator inputs. Plain SQL valid in Spark and DuckDB.
+# ---------------------------------------------------------------------------
+
+# documents -> postings. Twenty raw sources fold into five posting sources
+# (three of them with their own routing rule); company is the language; title
+# is the first 60 characters; the posting id is a content hash, so exact
+# copies give the keep-first dedupe real work. Location comes from the nation
+# and region tables.
+POSTINGS = """
+SELECT d.doc_id AS ingest_seq,
+       CASE CAST(substr(d.source, 4) AS INT) % 5
+            WHEN 0 THEN 'email' WHEN 1 THEN 'linkedin' WHEN 2 THEN 'indeed'
+            WHEN 3 THEN 'greenhouse' ELSE 'lever' END AS source,
+       upper(d.lang) || ' Corp' AS company,
+       substr(d.text, 1, 60) AS title,
+       CASE WHEN d.lang = 'es' THEN 'Remote (' || n.n_name || ')'
+            ELSE n.n_name || ', ' || r.r_name || ', ' || upper(d.lang) END AS location,
+       'doc://' || CAST(d.doc_id AS STRING) AS url,
+       d.text AS description_html,
+       substr(md5(d.text), 1, 12) AS posting_id
+FROM {documents} d
+JOIN {nation} n ON n.n_nationkey = d.doc_id % 25
+JOIN {region} r ON r.r_regionkey = n.n_regionkey
+"""
+
+# Postings scored on earlier nights: the labelled documents. Score 0-10 from
+# the labels and the text length.
+SCORED = """
+SELECT p.posting_id, p.url, p.source, p.company, p.title, p.location,
+       CAST(least(10, l.quality * 5 + (1 - l.toxic) * 3 + CAST(p.ingest_seq % 3 AS INT)) AS INT) AS score,
+       p.ingest_seq
+FROM {postings} p JOIN {labels} l ON l.doc_id = p.ingest_seq
+"""
+
+ADAPTERS: dict[str, str] = {
+    "postings": POSTINGS,
+    "scored": SCORED,
+}
+
+
+def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return run_sql(spark, sf_dir, ADAPTERS[name])
