@@ -20,3 +20,185 @@ def skipped_count(postings: DataFrame, scored: DataFrame, key: str = "url") -> D
     """J1 count: how many postings were skipped as already scored."""
     return (postings.join(scored.select(key).distinct(), key, "left_semi")
             .agg(F.count(F.lit(1)).alias("skipped")))
+
+
+# ---------------------------------------------------------------------------
+# Tracker table: generated columns refreshed every run, user columns carried.
+# ---------------------------------------------------------------------------
+
+# Tracker column order (generated, then the user's own).
+GENERATED = ["score", "overqualified", "salary", "company", "title", "location",
+             "source", "url", "resume", "cover_letter", "first_seen", "last_seen"]
+USER = ["status", "date_submitted", "follow_up", "contact", "notes"]
+FIELDS = GENERATED + USER
+VANISHED_MARK = "[no longer listed"
+TERMINAL_STATUSES = ("interview", "offer", "rejected", "passed", "closed", "screening")
+
+
+def _s(c) -> "F.Column":
+    """A tracker cell: text, never null."""
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def salary_label(low: str = "salary_low", high: str = "salary_high"):
+    """``$160K-$253K`` when the high end is set (and non-zero), else ''."""
+    lo = F.floor(F.col(low) / 1000).cast("long").cast("string")
+    hi = F.floor(F.col(high) / 1000).cast("long").cast("string")
+    return (F.when(F.col(high).isNotNull() & (F.col(high) != 0),
+                   F.concat(F.lit("$"), lo, F.lit("K-$"), hi, F.lit("K")))
+            .otherwise(F.lit("")))
+
+
+def relative_path(col: str, root: str):
+    """A path under ``root`` made relative to it, otherwise its file name;
+    blank stays blank."""
+    p = F.coalesce(F.col(col), F.lit(""))
+    prefix = root.rstrip("/") + "/"
+    return (F.when(p == "", F.lit(""))
+            .when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30))
+            .otherwise(F.element_at(F.split(p, "/"), -1)))
+
+
+def latest_by_url(tracker: DataFrame, order: str = "row_seq") -> DataFrame:
+    """R22 keying: blank urls ignored, last row wins on a repeated url.
+
+    ``max_by`` is a partial/final aggregate, so a hot url cannot pile up in
+    one task.
+    """
+    cols = [c for c in tracker.columns]
+    return (tracker.where(F.col("url").isNotNull() & (F.col("url") != ""))
+            .groupBy("url")
+            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_r"))
+            .select("_r.*"))
+
+
+def refresh(scored: DataFrame, tracker: DataFrame, today: str, project_root: str) -> DataFrame:
+    """One row per scored posting with a url. Generated columns come from
+    the scored table; ``first_seen`` and the user columns are carried from the
+    previous tracker row of the same url; ``last_seen`` is today. Adds
+    ``is_new`` (no previous row)."""
+    prior = latest_by_url(tracker).select(
+        "url", F.col("first_seen").alias("_first_seen"), F.lit(True).alias("_had_prior"),
+        *[F.col(c).alias(f"_u_{c}") for c in USER])
+    s = scored.where(F.col("url").isNotNull() & (F.col("url") != ""))
+    j = s.join(prior, "url", "left")
+    return j.select(
+        _s("score").alias("score"),
+        F.when(F.coalesce(F.col("overqualification_risk"), F.lit(False)), F.lit("yes"))
+        .otherwise(F.lit("")).alias("overqualified"),
+        salary_label().alias("salary"),
+        _s("company").alias("company"),
+        F.regexp_replace(_s("title"), "(?U)^\\s+|\\s+$", "").alias("title"),
+        _s("location").alias("location"),
+        _s("source").alias("source"),
+        F.col("url"),
+        relative_path("tailored_resume_docx", project_root).alias("resume"),
+        relative_path("cover_letter_docx", project_root).alias("cover_letter"),
+        F.coalesce(F.when(F.col("_first_seen") != "", F.col("_first_seen")), F.lit(today)).alias("first_seen"),
+        F.lit(today).alias("last_seen"),
+        *[F.coalesce(F.col(f"_u_{c}"), F.lit("")).alias(c) for c in USER],
+        F.col("_had_prior").isNull().alias("is_new"))
+
+
+def vanished(scored: DataFrame, tracker: DataFrame, today: str) -> DataFrame:
+    """Previous tracker rows whose url is no longer in the scored table;
+    kept whole, with a dated note prepended once (then stripped)."""
+    prior = latest_by_url(tracker)
+    gone = prior.join(scored.select("url").where(F.col("url").isNotNull()), "url", "left_anti")
+    note = _s("notes")
+    marked = F.regexp_replace(F.concat(F.lit(f"{VANISHED_MARK} as of {today}] "), note),
+                              "(?U)^\\s+|\\s+$", "")
+    return gone.select(
+        *[(_s(c) if c != "notes" else F.when(note.startswith(VANISHED_MARK), note).otherwise(marked))
+          .alias(c) for c in FIELDS],
+        F.lit(False).alias("is_new"))
+
+
+def build_tracker(scored: DataFrame, tracker: DataFrame, today: str, project_root: str) -> DataFrame:
+    """J2 + J3 + U4: refreshed rows plus vanished rows (with ``is_new``)."""
+    return refresh(scored, tracker, today, project_root).unionByName(vanished(scored, tracker, today))
+
+
+def score_sort_key():
+    """T1 key: integer score (``int()`` semantics; anything else is 0)."""
+    s = F.regexp_replace(_s("score"), "(?U)^\\s+|\\s+$", "")
+    return F.when(s.rlike("^[+-]?[0-9]+$"), s.cast("long")).otherwise(F.lit(0))
+
+
+def sort_tracker(rows: DataFrame) -> DataFrame:
+    """Score descending, then lower-case company."""
+    return rows.orderBy(score_sort_key().desc(), F.lower(_s("company")))
+
+
+def ready_rows(rows: DataFrame, exclude_vanished: bool = False) -> DataFrame:
+    """Documents drafted and no submit date (report form: not vanished)."""
+    cond = (_s("resume") != "") & (F.trim(_s("date_submitted")) == "")
+    if exclude_vanished:
+        cond = cond & ~_s("notes").startswith(VANISHED_MARK)
+    return rows.where(cond)
+
+
+def ready_sorted(rows: DataFrame) -> DataFrame:
+    """Ready rows by score descending."""
+    return ready_rows(rows).orderBy(score_sort_key().desc())
+
+
+def gone_quiet(rows: DataFrame, run_date: str, days: int = 10) -> DataFrame:
+    """P17 + T3: submitted at least ``days`` ago, status blank or 'applied';
+    with days waiting, longest first."""
+    from lantern.functions.dates import parse_date
+    d = parse_date("date_submitted")
+    status = F.lower(F.trim(_s("status")))
+    waited = F.datediff(F.to_date(F.lit(run_date)), d)
+    return (rows.withColumn("days_waiting", waited)
+            .where(d.isNotNull() & status.isin("", "applied") & (F.col("days_waiting") >= days))
+            .orderBy(F.desc("days_waiting")))
+
+
+def vanished_rows(rows: DataFrame) -> DataFrame:
+    """Flagged as no longer listed and not closed."""
+    return rows.where(_s("notes").startswith(VANISHED_MARK)
+                      & (F.lower(F.trim(_s("status"))) != "closed"))
+
+
+def in_flight(rows: DataFrame) -> DataFrame:
+    """Rows with a submit date, with their status ('no status' if blank)."""
+    return (rows.where(_s("date_submitted") != "")
+            .withColumn("status_label", F.when(_s("status") == "", F.lit("no status"))
+                        .otherwise(_s("status"))))
+
+
+def score_threshold(scored: DataFrame, threshold: int = 6) -> DataFrame:
+    """Score at or above the threshold."""
+    return scored.where(F.col("score") >= threshold)
+
+
+def repair_set(scored: DataFrame, threshold: int = 6) -> DataFrame:
+    """Above threshold but a resume or a letter is missing."""
+    def missing(c):
+        return F.col(c).isNull() | (F.col(c) == "")
+    return scored.where((F.col("score") >= threshold)
+                        & (missing("tailored_resume_docx") | missing("cover_letter_docx")))
+
+
+def tracker_totals(rows: DataFrame) -> DataFrame:
+    """A4: rows, new, with a submit date, applied (parseable date), ready."""
+    from lantern.functions.dates import parse_date
+    ready = (_s("resume") != "") & (F.trim(_s("date_submitted")) == "")
+    agg = [F.count(F.lit(1)).alias("rows"),
+           F.count_if(_s("date_submitted") != "").alias("with_submit_date"),
+           F.count_if(parse_date("date_submitted").isNotNull()).alias("applied"),
+           F.count_if(ready).alias("ready")]
+    if "is_new" in rows.columns:
+        agg.insert(1, F.count_if(F.col("is_new")).alias("new"))
+    return rows.agg(*agg)
+
+
+def upsert_scored(history: DataFrame, new: DataFrame, keys=("posting_id",),
+                  order: str = "batch_seq") -> DataFrame:
+    """K1: merge by ``keys`` (default posting_id alone), new wins, all history
+    kept. Union + ``max_by`` per key: one shuffle, skew-safe."""
+    both = history.unionByName(new, allowMissingColumns=True)
+    return (both.groupBy(*keys)
+            .agg(F.max_by(F.struct(*[F.col(c) for c in both.columns]), F.col(order)).alias("_r"))
+            .select("_r.*"))

@@ -87,17 +87,71 @@ JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """
 
 # Postings scored on earlier nights: the labelled documents. Score 0-10 from
-# the labels and the text length.
+# the labels and the text length; a salary when the label says quality;
+# document paths for the ones above the drafting threshold (resumes under the
+# project root, letters elsewhere).
 SCORED = """
 SELECT p.posting_id, p.url, p.source, p.company, p.title, p.location,
-       CAST(least(10, l.quality * 5 + (1 - l.toxic) * 3 + CAST(p.ingest_seq % 3 AS INT)) AS INT) AS score,
+       CAST(least(10, l.quality * 5 + (1 - l.toxic) * 3 + CAST(d.n_chars % 3 AS INT)) AS INT) AS score,
+       l.toxic = 1 AS overqualification_risk,
+       CASE WHEN l.quality = 1 THEN CAST(60000 + (d.n_chars % 100) * 1000 AS INT) END AS salary_low,
+       CASE WHEN l.quality = 1 THEN CAST(60000 + (d.n_chars % 100) * 1000 + (d.n_chars % 50) * 2000 AS INT) END
+         AS salary_high,
+       CASE WHEN least(10, l.quality * 5 + (1 - l.toxic) * 3 + CAST(d.n_chars % 3 AS INT)) >= 6
+            THEN '/home/user/jobs/output/resumes/' || p.posting_id || '.docx' ELSE '' END AS tailored_resume_docx,
+       CASE WHEN least(10, l.quality * 5 + (1 - l.toxic) * 3 + CAST(d.n_chars % 3 AS INT)) >= 7
+            THEN 'D:/letters/' || p.posting_id || '.docx' END AS cover_letter_docx,
        p.ingest_seq
 FROM {postings} p JOIN {labels} l ON l.doc_id = p.ingest_seq
+JOIN {documents} d ON d.doc_id = p.ingest_seq
+"""
+
+# The tracker CSV as the previous run left it: German and French postings,
+# every cell text. User columns vary with the text length: statuses, submit
+# dates in the four written layouts (and 'NA'), notes with and without the
+# vanished marker. Long German texts appear twice (a later edit of the same
+# url), so "last row wins" has work to do.
+TRACKER_OLD_ROWS = """
+SELECT p.ingest_seq AS row_seq, d.n_chars AS n, d.lang = 'de' AS lang_is_de, p.*
+FROM {postings} p JOIN {documents} d ON d.doc_id = p.ingest_seq
+WHERE d.lang IN ('de', 'fr')
+"""
+TRACKER_OLD = """
+SELECT row_seq,
+       CASE WHEN n % 13 = 0 THEN 'n/a' ELSE CAST(n % 11 AS STRING) END AS score,
+       CASE WHEN n % 4 = 0 THEN 'yes' ELSE '' END AS overqualified,
+       '' AS salary, company, title, location, source,
+       CASE WHEN n % 17 = 0 THEN '' ELSE url END AS url,
+       CASE WHEN n % 3 = 0 THEN 'output/resumes/' || posting_id || '.docx' ELSE '' END AS resume,
+       '' AS cover_letter,
+       CASE WHEN n % 5 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(1 + n % 28 AS STRING), 2, '0') END AS first_seen,
+       '2024-01-20' AS last_seen,
+       CASE n % 6 WHEN 1 THEN 'applied' WHEN 2 THEN 'Interview' WHEN 3 THEN 'rejected'
+                  WHEN 4 THEN 'closed' WHEN 5 THEN ' applied ' ELSE '' END AS status,
+       CASE CAST(floor(n / 7) AS BIGINT) % 6
+            WHEN 0 THEN '2024-01-' || lpad(CAST(1 + n % 28 AS STRING), 2, '0')
+            WHEN 1 THEN '1/' || CAST(1 + n % 28 AS STRING) || '/2024'
+            WHEN 2 THEN '12/' || CAST(1 + n % 31 AS STRING) || '/23'
+            WHEN 3 THEN CAST(13 + n % 15 AS STRING) || '/01/2024'
+            WHEN 4 THEN 'NA' ELSE '' END AS date_submitted,
+       '' AS follow_up,
+       CASE WHEN n % 8 = 0 THEN 'recruiter@' || lower(company) ELSE '' END AS contact,
+       CASE n % 9 WHEN 0 THEN '[no longer listed as of 2024-01-10] was open'
+                  WHEN 1 THEN 'called twice' WHEN 2 THEN '[not interview: auto reply]' ELSE '' END AS notes
+FROM {tracker_old_rows}
+UNION ALL
+SELECT row_seq + 1000000000 AS row_seq, CAST(n % 10 AS STRING) AS score, '' AS overqualified, '' AS salary,
+       company, title, location, source, url, '' AS resume, '' AS cover_letter,
+       '2024-01-02' AS first_seen, '2024-01-21' AS last_seen, 'applied' AS status,
+       '2024-01-03' AS date_submitted, '' AS follow_up, '' AS contact, 'edited later' AS notes
+FROM {tracker_old_rows} WHERE n > 5000 AND lang_is_de
 """
 
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
+    "tracker_old_rows": TRACKER_OLD_ROWS,
+    "tracker_old": TRACKER_OLD,
 }
 
 
