@@ -147,11 +147,51 @@ SELECT row_seq + 1000000000 AS row_seq, CAST(n % 10 AS STRING) AS score, '' AS o
 FROM {tracker_old_rows} WHERE n > 5000 AND lang_is_de
 """
 
+
+# Applications the user sent: one per document, the employer being the first
+# ASCII word of five or more letters in the text, the url an ATS board (by
+# language) or the employer's own site; submit dates from the orders table.
+APPLICATIONS = """
+SELECT d.doc_id AS row_seq,
+       regexp_extract(d.text, '([A-Za-z]{{5,}})', 1) AS company,
+       substr(d.text, 1, 40) AS title,
+       CASE d.lang
+         WHEN 'en' THEN 'https://jobs.lever.co/' || lower(regexp_extract(d.text, '([A-Za-z]{{5,}})', 1))
+                        || '-and-co/' || CAST(d.doc_id AS STRING)
+         WHEN 'fr' THEN 'https://boards.greenhouse.io/' || lower(regexp_extract(d.text, '([A-Za-z]{{5,}})', 1))
+                        || '/jobs/' || CAST(d.doc_id AS STRING)
+         ELSE 'https://careers.' || lower(regexp_extract(d.text, '([A-Za-z]{{4,}})', 1)) || '.example.com/'
+              || CAST(d.doc_id AS STRING) END AS url,
+       CASE WHEN d.n_chars % 10 = 0 THEN '' ELSE CAST(CAST(o.o_orderdate AS DATE) AS STRING) END AS date_submitted,
+       CASE d.n_chars % 5 WHEN 1 THEN 'applied' WHEN 2 THEN 'interview' WHEN 3 THEN 'Applied ' ELSE '' END
+         AS status,
+       CASE d.n_chars % 7 WHEN 0 THEN '[not rejected: checked]' WHEN 1 THEN 'note' ELSE '' END AS notes
+FROM {documents} d JOIN {orders} o ON o.o_orderkey = d.doc_id
+"""
+
+# Mail: one message per conversation turn. The subject opens with a reply
+# phrase chosen by position (acknowledgement, rejection, interview, forward,
+# none) followed by the turn's first words; the sender's domain is the first
+# long word of the text; dates from the orders table.
+MESSAGES = """
+SELECT c.conv_id * 100 + c.turn AS msg_id,
+       CASE (c.conv_id + c.turn) % 5
+         WHEN 0 THEN 'Thank you for applying: ' WHEN 1 THEN 'Update - we regret to inform you: '
+         WHEN 2 THEN 'Could you share your availability? ' WHEN 3 THEN 'Re: ' ELSE '' END
+         || substr(c.text, 1, 50) AS subject,
+       c.text AS body,
+       c.role || '@' || lower(regexp_extract(c.text, '([A-Za-z]{{5,}})', 1)) || '.example.com' AS sender,
+       o.o_orderdate AS date
+FROM {conversations} c JOIN {orders} o ON o.o_orderkey = 5000 + c.conv_id * 8 + c.turn
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
     "tracker_old_rows": TRACKER_OLD_ROWS,
     "tracker_old": TRACKER_OLD,
+    "applications": APPLICATIONS,
+    "messages": MESSAGES,
 }
 
 
