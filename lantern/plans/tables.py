@@ -250,6 +250,26 @@ SELECT substr(CAST(l.l_shipdate AS STRING), 1, 7) AS run_id,
 FROM {lineitem} l
 """
 
+
+# Model responses: assistant turns of the conversations wrapped the ways
+# models wrap JSON (fenced, prose around, a // comment, a trailing comma,
+# broken), two attempts per item; the second attempt of a truncated first
+# answer is never made.
+RESPONSES = """
+SELECT c.conv_id AS item_id, CAST(c.turn AS INT) AS attempt,
+       CASE WHEN (c.conv_id + c.turn) % 6 = 5 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
+       CASE (c.conv_id * 3 + c.turn) % 6
+         WHEN 0 THEN '```json' || chr(10) || '{{"score": ' || CAST(c.turn AS STRING) || ', "n": '
+                     || CAST(length(c.text) AS STRING) || '}}' || chr(10) || '```'
+         WHEN 1 THEN 'Here is the result: {{"score": ' || CAST(c.turn AS STRING) || '}} hope it helps'
+         WHEN 2 THEN '{{"score": ' || CAST(c.turn AS STRING) || ', // the score' || chr(10)
+                     || '"url": "http://x.example/' || CAST(c.conv_id AS STRING) || '"}}'
+         WHEN 3 THEN '{{"score": ' || CAST(c.turn AS STRING) || ', "tags": ["a", "b",],}}'
+         WHEN 4 THEN '{{"score": ' || CAST(c.turn AS STRING) || ', "text": "' || substr(c.role, 1, 4)
+         ELSE 'no json at all: ' || substr(c.role, 1, 20) END AS text
+FROM {conversations} c
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -260,6 +280,7 @@ ADAPTERS: dict[str, str] = {
     "log_lines": LOG_LINES,
     "run_codes": RUN_CODES,
     "usage": USAGE,
+    "responses": RESPONSES,
 }
 
 
