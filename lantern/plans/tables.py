@@ -270,6 +270,14 @@ SELECT c.conv_id AS item_id, CAST(c.turn AS INT) AS attempt,
 FROM {conversations} c
 """
 
+
+# Near-duplicate inputs: every document line is a new claim (built in the
+# query); the benchmark passages' first sentences are recorded accomplishment
+# titles and their sentences recorded bullets.
+RECORDED_ACCOMPLISHMENTS = """
+SELECT item_id AS acc_id, regexp_extract(text, '^[^.!?]*', 0) AS title FROM {benchmark}
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -281,6 +289,7 @@ ADAPTERS: dict[str, str] = {
     "run_codes": RUN_CODES,
     "usage": USAGE,
     "responses": RESPONSES,
+    "recorded_accomplishments": RECORDED_ACCOMPLISHMENTS,
 }
 
 
