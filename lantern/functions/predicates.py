@@ -57,8 +57,10 @@ def blank_to_null(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    """Python ``len(s.split())``: whitespace runs split, empty pieces dropped."""
-    return F.size(F.filter(F.split(F.coalesce(col, F.lit("")), "\\s+"), lambda w: w != ""))
+    """Python ``len(s.split())``: whitespace runs split, empty pieces dropped.
+    Written without a lambda so it stays in generated code."""
+    t = F.regexp_replace(F.coalesce(col, F.lit("")), "^\\s+|\\s+$", "")
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, "\\s+")))
 
 
 def py_strip(col: Column) -> Column:

@@ -27,8 +27,15 @@ def summary_trim(summary, max_words: int = MAX_SUMMARY_WORDS) -> Column:
     words = F.filter(F.split(s, "\\s+"), lambda w: w != "")
     text = F.array_join(words, " ")
     sentences = F.split(text, "(?<=[.!?])\\s+")
-    counts = F.transform(sentences, lambda x: F.size(F.filter(F.split(x, "\\s+"), lambda w: w != "")))
-    cum = F.transform(counts, lambda c, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0), lambda a, b: a + b))
+    # text is single-space separated, so a sentence's words are its spaces + 1
+    # (no regex inside the lambda: that would compile a pattern per element)
+    counts = F.transform(sentences, lambda x: F.when(x == "", F.lit(0))
+                         .otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    # running totals in one fold (a lambda that referenced ``counts`` again
+    # would re-evaluate the whole split per element)
+    zero = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("s"))
+    cum = F.aggregate(counts, zero, lambda acc, c: F.struct(
+        F.array_append(acc["a"], acc["s"] + c).alias("a"), (acc["s"] + c).alias("s")))["a"]
     k = F.greatest(F.lit(1), F.size(F.filter(cum, lambda c: c <= max_words)))
     trimmed = F.array_join(F.slice(sentences, 1, k), " ")
     return F.when(F.size(words) > max_words, trimmed).otherwise(s)
@@ -58,10 +65,12 @@ def word_budget(bullets: DataFrame, other_words: DataFrame, max_words: int = MAX
     (resume_id, words) of summary, skills and education.
     """
     b = bullets.withColumn("_w", word_count(F.col("text")))
-    per = (b.groupBy("resume_id").agg(F.sum("_w").alias("_bw"))
-           .join(other_words, "resume_id", "full")
-           .select("resume_id", (F.coalesce("_bw", F.lit(0)) + F.coalesce("words", F.lit(0))).alias("_total")))
-    b = b.join(per, "resume_id")
+    # other_words has one row per resume: a plain equi-join; the resume total
+    # is a window sum over the same partitioning as the removal order below,
+    # so the whole operator is one shuffle and one sort.
+    b = b.join(other_words.select("resume_id", F.col("words").alias("_ow")), "resume_id", "left")
+    b = b.withColumn("_total", F.sum("_w").over(Window.partitionBy("resume_id"))
+                     + F.coalesce(F.col("_ow"), F.lit(0))).drop("_ow")
     w = Window.partitionBy("resume_id").orderBy(F.desc("role_pos"), F.desc("bullet_idx"))
     cand = F.col("bullet_idx") > 0
     rank = F.sum(F.when(cand, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -72,10 +81,11 @@ def word_budget(bullets: DataFrame, other_words: DataFrame, max_words: int = MAX
     return b.where(~drop).drop("_w", "_total", "_rank", "_before")
 
 
-def role_positions(roles: DataFrame, order_col: str) -> DataFrame:
-    """Role position per resume, newest first (``order_col`` desc)."""
+def role_positions(bullets: DataFrame, order_col: str) -> DataFrame:
+    """Role position per resume on bullet rows, newest role first
+    (``order_col`` desc, then role_key): a dense rank, no self-join."""
     w = Window.partitionBy("resume_id").orderBy(F.desc(order_col), F.asc("role_key"))
-    return roles.withColumn("role_pos", F.row_number().over(w) - 1)
+    return bullets.withColumn("role_pos", F.dense_rank().over(w) - 1)
 
 
 def unique_names(df: DataFrame, base: Column, existing: DataFrame | None = None,

@@ -12,9 +12,7 @@ from lantern.plans.tables import adapter
 
 
 def _bullets(spark, sf):
-    b = adapter(spark, sf, "resume_bullets")
-    roles = S.role_positions(b.select("resume_id", "role_key", "role_date").distinct(), "role_date")
-    return b.join(roles.select("resume_id", "role_key", "role_pos"), ["resume_id", "role_key"])
+    return S.role_positions(adapter(spark, sf, "resume_bullets"), "role_date")
 
 
 def _summary(spark, sf):
