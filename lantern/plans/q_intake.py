@@ -142,9 +142,12 @@ def u2(spark, sf):
             .select("ingest_seq", "source", "company", "title", "location", "url"))
 
 
-@register("J1_seen_anti", oracle=f"""
+ORACLES_J1 = f"""
 SELECT c.ingest_seq, c.source, c.url FROM ({SQL_D2}) c
-WHERE NOT EXISTS (SELECT 1 FROM {{scored}} s WHERE s.url = c.url)""")
+WHERE NOT EXISTS (SELECT 1 FROM {{scored}} s WHERE s.url = c.url)"""
+
+
+@register("J1_seen_anti", oracle=ORACLES_J1)
 def j1(spark, sf):
     from lantern.operators.tracker import unseen
     survivors = dedupe.collect_postings(_postings(spark, sf), KW, LOC, EX, BLOCKED_COMPANIES)
