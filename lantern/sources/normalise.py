@@ -30,3 +30,160 @@ def email_postings(messages: DataFrame, include_senders=None, exclude_senders=No
                  F.substring(F.coalesce("body", F.lit("")), 1, max_chars)).alias("description_html"),
         X.short_hash(F.coalesce(mid, F.concat(subject, sender))).alias("posting_id"),
         F.col("msg_id").alias("ingest_seq"))
+
+
+# ---------------------------------------------------------------------------
+# Board payloads (R1-R4, R9). Each raw row is one landed response: the board
+# name and the response body parsed with a fixed schema (PERMISSIVE, so a bad
+# file lands in ``_corrupt_record`` instead of failing the read).
+# ---------------------------------------------------------------------------
+
+GREENHOUSE_SCHEMA = ("board string, jobs array<struct<id:bigint, title:string, location:struct<name:string>,"
+                     " absolute_url:string, content:string>>, _corrupt_record string")
+LEVER_SCHEMA = ("board string, postings array<struct<id:string, text:string, categories:struct<location:string>,"
+                " hostedUrl:string, descriptionPlain:string, description:string>>, _corrupt_record string")
+WORKDAY_SCHEMA = ("tenant string, host string, site string, jobPostings array<struct<title:string,"
+                  " locationsText:string, externalPath:string, bulletFields:array<string>>>,"
+                  " _corrupt_record string")
+ASHBY_SCHEMA = ("board string, jobs array<struct<id:string, title:string, location:string, jobUrl:string,"
+                " descriptionHtml:string>>, _corrupt_record string")
+REMOTIVE_SCHEMA = ("jobs array<struct<id:bigint, title:string, company_name:string,"
+                   " candidate_required_location:string, url:string, description:string>>,"
+                   " _corrupt_record string")
+
+
+def read_payloads(spark, path: str, schema: str):
+    """Landed JSON responses (one per line) with a fixed schema; malformed
+    files become reject rows rather than failing the job."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def rejects(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("_corrupt_record").isNotNull())
+
+
+def _post(source, company, title, location, url, desc, pid) -> list:
+    return [F.lit(source).alias("source"), company.alias("company"), title.alias("title"),
+            location.alias("location"), url.alias("url"), desc.alias("description_html"),
+            pid.cast("string").alias("posting_id")]
+
+
+def normalise_greenhouse(raw: DataFrame) -> DataFrame:
+    """``jobs[]``; location name defaults to ''; company is the board token."""
+    j = raw.where(F.col("_corrupt_record").isNull()).select("board", F.explode("jobs").alias("j"))
+    return j.select(*_post("greenhouse", F.col("board"), F.col("j.title"),
+                           F.coalesce(F.col("j.location.name"), F.lit("")), F.col("j.absolute_url"),
+                           F.coalesce(F.col("j.content"), F.lit("")), F.col("j.id")))
+
+
+def normalise_lever(raw: DataFrame) -> DataFrame:
+    """R2: top-level list; ``descriptionPlain`` else ``description``."""
+    j = raw.where(F.col("_corrupt_record").isNull()).select("board", F.explode("postings").alias("j"))
+    return j.select(*_post("lever", F.col("board"), F.col("j.text"),
+                           F.coalesce(F.col("j.categories.location"), F.lit("")), F.col("j.hostedUrl"),
+                           F.coalesce(F.col("j.descriptionPlain"), F.col("j.description"), F.lit("")),
+                           F.col("j.id")))
+
+
+def normalise_workday(raw: DataFrame) -> DataFrame:
+    """Pages of ``jobPostings``; id = first bullet field else the path; the
+    url is built from tenant, host, site and path; no description."""
+    j = raw.where(F.col("_corrupt_record").isNull()).select("tenant", "host", "site",
+                                                            F.explode("jobPostings").alias("j"))
+    path = F.coalesce(F.col("j.externalPath"), F.lit(""))
+    first = F.get(F.col("j.bulletFields"), 0)
+    url = F.concat(F.lit("https://"), F.col("tenant"), F.lit("."), F.col("host"),
+                   F.lit(".myworkdayjobs.com/"), F.col("site"), path)
+    return j.select(*_post("workday", F.col("tenant"), F.coalesce(F.col("j.title"), F.lit("")),
+                           F.coalesce(F.col("j.locationsText"), F.lit("")), url, F.lit(""),
+                           F.when((first.isNotNull()) & (first != ""), first).otherwise(path)))
+
+
+def normalise_ashby(raw: DataFrame) -> DataFrame:
+    """``jobs[]`` straight projection."""
+    j = raw.where(F.col("_corrupt_record").isNull()).select("board", F.explode("jobs").alias("j"))
+    return j.select(*_post("ashby", F.col("board"), F.col("j.title"),
+                           F.coalesce(F.col("j.location"), F.lit("")), F.col("j.jobUrl"),
+                           F.coalesce(F.col("j.descriptionHtml"), F.lit("")), F.col("j.id")))
+
+
+def normalise_remotive(raw: DataFrame) -> DataFrame:
+    """Blank location becomes 'Remote'."""
+    j = raw.where(F.col("_corrupt_record").isNull()).select(F.explode("jobs").alias("j"))
+    loc = F.col("j.candidate_required_location")
+    return j.select(*_post("remotive", F.coalesce(F.col("j.company_name"), F.lit("")),
+                           F.col("j.title"), F.when(F.coalesce(loc, F.lit("")) == "", F.lit("Remote")).otherwise(loc),
+                           F.col("j.url"), F.coalesce(F.col("j.description"), F.lit("")), F.col("j.id")))
+
+
+# ---------------------------------------------------------------------------
+# Files a user drops in: CSV postings (R15), url lists (R16), title rules
+# ---------------------------------------------------------------------------
+
+CSV_REQUIRED = ["company", "title", "location", "url", "description"]
+
+
+def read_posting_csv(spark, path: str) -> DataFrame:
+    """Multi-line quoted CSV with a header; the five required columns must
+    be present (error otherwise); blank urls dropped; id = sha1(url)[:12]."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    have = {c.strip().lower() for c in df.columns}
+    missing = [c for c in CSV_REQUIRED if c not in have]
+    if missing:
+        raise ValueError(f"CSV is missing column(s): {', '.join(missing)}")
+    df = df.select(*[F.col(c).alias(c.strip().lower()) for c in df.columns])
+    url = F.trim(F.coalesce("url", F.lit("")))
+    return (df.where(url != "")
+            .select(F.lit("csv").alias("source"), *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in
+                                                     ["company", "title", "location"]],
+                    url.alias("url"), F.coalesce("description", F.lit("")).alias("description_html"),
+                    X.short_hash(url).alias("posting_id")))
+
+
+def read_url_list(spark, path: str, scored: DataFrame | None = None) -> DataFrame:
+    """Text lines; blanks and '#' comments dropped; first occurrence of
+    each url kept in file order; urls already scored removed."""
+    lines = (spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+             .select(F.trim("value").alias("url"), "seq"))
+    lines = lines.where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    first = lines.groupBy("url").agg(F.min("seq").alias("seq"))
+    if scored is not None:
+        first = first.join(scored.select("url"), "url", "left_anti")
+    return first.orderBy("seq")
+
+
+TITLE_MODES_INCLUDE = ("include", "in", "keyword", "")
+TITLE_MODES_EXCLUDE = ("exclude", "ex", "out")
+TITLE_OFF = ("no", "false", "0", "off")
+
+
+def title_rules(rules: DataFrame) -> DataFrame:
+    """Title rule rows -> (term, kind) with kind include/exclude. Terms are
+    stripped (a trailing space is lost, as in the loader); inactive rows are
+    skipped; an unknown mode is reported as kind 'error'."""
+    cols = {c.strip().lower(): c for c in rules.columns}
+    if "term" not in cols or "mode" not in cols:
+        raise ValueError("title rules need the columns term and mode")
+    term = F.trim(F.coalesce(F.col(cols["term"]), F.lit("")))
+    active = F.lower(F.trim(F.coalesce(F.col(cols["active"]), F.lit("yes")))) if "active" in cols else F.lit("yes")
+    mode = F.lower(F.trim(F.coalesce(F.col(cols["mode"]), F.lit(""))))
+    kind = (F.when(mode.isin(*TITLE_MODES_INCLUDE), "include")
+            .when(mode.isin(*TITLE_MODES_EXCLUDE), "exclude").otherwise("error"))
+    return (rules.where(term != "").where(~active.isin(*TITLE_OFF))
+            .select(term.alias("term"), kind.alias("kind")))
+
+
+def title_rule_lists(rules: DataFrame, max_rows: int = 10000) -> tuple[list[str], list[str]]:
+    """The include/exclude lists for the filters. Rules are configuration, so
+    they are collected, behind a size check."""
+    r = title_rules(rules)
+    if r.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} title rules")
+    rows = r.collect()
+    bad = [x.term for x in rows if x.kind == "error"]
+    if bad:
+        raise ValueError(f"unknown mode for term(s): {', '.join(bad)}")
+    inc = [x.term for x in rows if x.kind == "include"]
+    if not inc:
+        raise ValueError("no active include rows, so nothing would ever match")
+    return inc, [x.term for x in rows if x.kind == "exclude"]
