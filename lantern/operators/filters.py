@@ -179,3 +179,13 @@ def posting_passes(df: DataFrame, keywords, locations, excludes) -> DataFrame:
 
 def any_source(values) -> Column:
     return any_of([F.col("source") == v for v in values])
+
+
+def dropped_log(old_log: DataFrame, new_drops: DataFrame, run_date: str, keep_days: int = 60) -> DataFrame:
+    """K3 + U5: the dropped-postings log after tonight: rows dated on or after
+    ``run_date - keep_days`` (text compare on Y-m-d, as stored) plus tonight's
+    drops. Written partitioned by date, so pruning is dropping partitions."""
+    cutoff = F.date_format(F.date_sub(F.to_date(F.lit(run_date)), keep_days), "yyyy-MM-dd")
+    cols = ["date", "source", "reason", "title", "company", "location", "url"]
+    kept = old_log.where(F.col("date").isNotNull() & (F.col("date") != "date") & (F.col("date") >= cutoff))
+    return kept.select(*cols).unionByName(new_drops.select(*cols))

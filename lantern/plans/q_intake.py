@@ -192,3 +192,22 @@ def a2(spark, sf):
 def flagship(spark, sf):
     """The minimum slice: P6 -> D1 -> P5 -> D2 -> J1 -> A2."""
     return a2(spark, sf)
+
+
+# Last nights' log: every dropped row once more, dated back by its text length
+# (some beyond the 60-day window).
+SQL_OLD_LOG = f"""
+SELECT CAST(CAST(DATE '{RUN_DATE}' - CAST(length(title) + ingest_seq % 40 AS INT) AS DATE) AS STRING) AS date,
+       source, reason, title, company, location, url FROM ({SQL_DROPPED})"""
+
+
+@register("K3_dropped_log_sink", oracle=f"""
+SELECT * FROM ({SQL_OLD_LOG}) WHERE date >= CAST(DATE '{RUN_DATE}' - INTERVAL 60 DAY AS DATE)::VARCHAR
+UNION ALL SELECT date, source, reason, title, company, location, url FROM ({SQL_DROPPED})""")
+def k3(spark, sf):
+    new = filters.dropped_rows(_deduped(spark, sf), KW, LOC, EX, RUN_DATE)
+    old = new.select(F.date_format(F.date_sub(F.to_date(F.lit(RUN_DATE)),
+                                              (F.length("title") + F.col("ingest_seq") % 40).cast("int")),
+                                   "yyyy-MM-dd").alias("date"),
+                     "source", "reason", "title", "company", "location", "url")
+    return filters.dropped_log(old, new, RUN_DATE)

@@ -71,7 +71,7 @@ def test_reply_match_and_tie(spark):
          (2, "Beck & Rowe", "Data Scientist", "", "2026-09-01", "", "")],
         "row_seq long, company string, title string, url string, date_submitted string, status string, notes string")
     msgs = spark.createDataFrame(
-        [(10, "Update", "We regret to inform you that Beck and Rowe will not be moving forward",
+        [(10, "Update", "We regret to inform you that Beck & Rowe will not be moving forward",
           "recruiter@acme.com", dt.datetime(2026, 9, 20))],
         "msg_id long, subject string, body string, sender string, date timestamp")
     cand = link.reply_candidates(msgs, apps)
