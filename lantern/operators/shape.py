@@ -101,3 +101,11 @@ def unique_names(df: DataFrame, base: Column, existing: DataFrame | None = None,
     return d.withColumn("name", F.when(F.col("_n") == 1, F.col("_base"))
                         .otherwise(F.concat(F.col("_base"), F.lit("-"), F.col("_n").cast("string")))) \
         .drop("_n", "_taken")
+
+
+def thin_roles(bullets: DataFrame, min_highlights: int = 2) -> DataFrame:
+    """Roles with fewer than ``min_highlights`` highlights (a partial /
+    final count per role, then a filter)."""
+    return (bullets.groupBy("resume_id", "role_key")
+            .agg(F.count(F.lit(1)).alias("highlights"))
+            .where(F.col("highlights") < min_highlights))

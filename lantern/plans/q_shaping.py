@@ -100,3 +100,10 @@ def w10(spark, sf):
     p = adapter(spark, sf, "postings")
     base = F.regexp_replace(F.lower(F.concat("company", F.lit("_"), F.substring("title", 1, 12))), "[^a-z0-9_]", "")
     return S.unique_names(p, base).select("ingest_seq", "name")
+
+
+@register("P22_thin_roles", oracle="""
+SELECT resume_id, role_key, count(*) AS highlights FROM {resume_bullets}
+GROUP BY resume_id, role_key HAVING count(*) < 2""")
+def p22(spark, sf):
+    return S.thin_roles(adapter(spark, sf, "resume_bullets"))
