@@ -67,3 +67,14 @@ def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: leading/trailing whitespace of any kind (Spark's
     ``trim`` removes spaces only)."""
     return F.regexp_replace(col, "(?U)^\\s+|\\s+$", "")
+
+
+def placeholder_to_empty(col: Column) -> Column:
+    """P23 (field form): a value starting with a ``[FILL IN`` marker (any
+    case) is unanswered, so it reads as ''."""
+    return F.when(F.coalesce(col, F.lit("")).rlike("(?i)^\\[FILL IN"), F.lit("")).otherwise(col)
+
+
+def has_placeholder(col: Column) -> Column:
+    """P23 (check form): the text still carries a ``[FILL IN`` marker."""
+    return F.coalesce(col, F.lit("")).contains("[FILL IN")

@@ -188,3 +188,17 @@ def s24(spark, sf):
 @register("M3_resolve_attempts", oracle=None)
 def m3(spark, sf):
     return scoring.resolve_attempts(adapter(spark, sf, "responses"), max_attempts=2)
+
+
+# P23 over page-derived postings: the S4 fallback title is '[FILL IN: title]'
+# when a page has no <title>; pages whose title text is given are kept as is.
+@register("P23_placeholder_rows", oracle=f"""
+SELECT page_id, CASE WHEN regexp_matches(t, '(?i)^\\[FILL IN') THEN '' ELSE t END AS title,
+       contains(t, '[FILL IN') AS unfinished
+FROM (SELECT page_id, CASE WHEN length(html) % 4 = 0 THEN '[fill in: title]' ELSE {sql_page_title()} END AS t
+      FROM {{pages}})""")
+def p23(spark, sf):
+    from lantern.functions.predicates import has_placeholder, placeholder_to_empty
+    p = _pages(spark, sf)
+    t = F.when(F.length("html") % 4 == 0, F.lit("[fill in: title]")).otherwise(X.page_title("html"))
+    return p.select("page_id", placeholder_to_empty(t).alias("title"), has_placeholder(t).alias("unfinished"))
