@@ -109,3 +109,12 @@ def thin_roles(bullets: DataFrame, min_highlights: int = 2) -> DataFrame:
     return (bullets.groupBy("resume_id", "role_key")
             .agg(F.count(F.lit(1)).alias("highlights"))
             .where(F.col("highlights") < min_highlights))
+
+
+def skill_counts(skills: DataFrame, key: str = "inventory") -> DataFrame:
+    """A3: per inventory, skills claimed (have_it exactly 'yes' after strip
+    and lower case) and skills tracked as gaps; FAIL when none is claimed."""
+    yes = F.lower(F.trim(F.coalesce(F.col("have_it"), F.lit("")))) == "yes"
+    a = skills.groupBy(key).agg(F.count_if(yes).alias("claimed"),
+                                (F.count(F.lit(1)) - F.count_if(yes)).alias("gaps"))
+    return a.withColumn("level", F.when(F.col("claimed") > 0, "OK").otherwise("FAIL"))

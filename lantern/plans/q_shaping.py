@@ -107,3 +107,12 @@ SELECT resume_id, role_key, count(*) AS highlights FROM {resume_bullets}
 GROUP BY resume_id, role_key HAVING count(*) < 2""")
 def p22(spark, sf):
     return S.thin_roles(adapter(spark, sf, "resume_bullets"))
+
+
+@register("A3_skill_counts", oracle="""
+SELECT inventory, count_if(lower(trim(coalesce(have_it, ''))) = 'yes') AS claimed,
+       count(*) - count_if(lower(trim(coalesce(have_it, ''))) = 'yes') AS gaps,
+       CASE WHEN count_if(lower(trim(coalesce(have_it, ''))) = 'yes') > 0 THEN 'OK' ELSE 'FAIL' END AS level
+FROM {skills} GROUP BY inventory""")
+def a3(spark, sf):
+    return S.skill_counts(adapter(spark, sf, "skills"))

@@ -296,6 +296,20 @@ SELECT c.c_custkey AS resume_id, substr(coalesce(d.text, c.c_name), 1, 900) AS s
 FROM {customer} c LEFT JOIN {documents} d ON d.doc_id = c.c_custkey
 """
 
+
+# Skills inventories: one per part brand (a user), one row per part; the
+# have_it cell is written several ways, certifications are a category.
+SKILLS = """
+SELECT p.p_brand AS inventory, p.p_partkey AS row_seq,
+       CASE WHEN p.p_type = 'SMALL' THEN 'Certifications' ELSE p.p_type END AS category,
+       p.p_name AS skill,
+       CASE p.p_size % 5 WHEN 0 THEN 'yes' WHEN 1 THEN ' Yes ' WHEN 2 THEN 'y' WHEN 3 THEN 'no' ELSE '' END
+         AS have_it,
+       CASE WHEN p.p_size % 3 = 0 THEN '' ELSE 'Advanced' END AS proficiency,
+       CASE WHEN p.p_size % 7 = 0 THEN 'since ' || CAST(p.p_size AS STRING) ELSE '' END AS notes
+FROM {part} p
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -310,6 +324,7 @@ ADAPTERS: dict[str, str] = {
     "recorded_accomplishments": RECORDED_ACCOMPLISHMENTS,
     "resume_bullets": RESUME_BULLETS,
     "resume_summary": RESUME_SUMMARY,
+    "skills": SKILLS,
 }
 
 
