@@ -310,6 +310,55 @@ SELECT p.p_brand AS inventory, p.p_partkey AS row_seq,
 FROM {part} p
 """
 
+
+# Pay texts: every document, plus one composed pay sentence per part in one of
+# eight shapes postings use (plain, K notation, cents with /yr, hourly, a
+# non-pay range before the pay one, monthly, a benefits figure first, bare
+# hundreds), amounts from the part's size, key and price.
+PAY_TEXTS = """
+SELECT 'd' || CAST(doc_id AS STRING) AS text_id, text FROM {documents}
+UNION ALL
+SELECT 'p' || CAST(p_partkey AS STRING) AS text_id,
+  CASE p_size % 8
+    WHEN 0 THEN 'The base salary range is $' || c_lo || ' - $' || c_hi
+    WHEN 1 THEN 'Base pay $' || CAST(k_lo AS STRING) || 'K-$' || CAST(k_hi AS STRING) || 'K'
+    WHEN 2 THEN 'Salary: $' || c_lo || '.00/yr - $' || c_hi || '.00/yr'
+    WHEN 3 THEN 'Salary: $' || CAST(p_size + 20 AS STRING) || ' - $' || CAST(p_size + 40 AS STRING) || ' per hour'
+    WHEN 4 THEN 'Revenue grew from $' || c_lo || ' to $' || c_hi || ' last year. Pay: $'
+                || CAST(k_lo + 5 AS STRING) || 'k - $' || CAST(k_hi + 5 AS STRING) || 'k'
+    WHEN 5 THEN 'Pay: $' || c_lo || '/mo - $' || c_hi || '/mo'
+    WHEN 6 THEN 'We match up to $2000 for donations. The range is $' || c_lo || ' to $' || c_hi || ' a year'
+    ELSE 'salary of $' || CAST(k_lo AS STRING) || ' to $' || CAST(k_hi AS STRING)
+  END AS text
+FROM (
+  SELECT p_partkey, p_size, k_lo, k_hi,
+         CAST(k_lo AS STRING) || ',' || lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') AS c_lo,
+         CAST(k_hi AS STRING) || ',' || lpad(CAST(CAST(floor(p_retailprice) AS BIGINT) % 1000 AS STRING), 3, '0')
+           AS c_hi
+  FROM (SELECT p_partkey, p_size, p_retailprice, 60 + p_size * 4 AS k_lo,
+               60 + p_size * 4 + CAST(p_partkey % 90 AS INT) AS k_hi FROM {part}))
+"""
+
+
+# Pay objects as a job board returns them: flat yearly, flat hourly, nested
+# schema.org, and four malformed shapes (no max, a string, a list, a null min).
+PAY_OBJECTS = """
+SELECT p_partkey AS pay_id,
+  CASE p_size % 7
+    WHEN 0 THEN '{{"min": ' || lo || ', "max": ' || hi || ', "unitOfWork": "YEAR", "currencyCode": "USD"}}'
+    WHEN 1 THEN '{{"min": ' || CAST(p_size + 20 AS STRING) || ', "max": ' || CAST(p_size + 45 AS STRING)
+                || ', "unitOfWork": "HOUR"}}'
+    WHEN 2 THEN '{{"@type": "MonetaryAmount", "currency": "USD", "value": {{"minValue": ' || lo
+                || ', "maxValue": ' || hi || '.5, "unitText": "YEAR"}}}}'
+    WHEN 3 THEN '{{"min": ' || lo || '}}'
+    WHEN 4 THEN '"' || lo || '"'
+    WHEN 5 THEN '[' || lo || ', ' || hi || ']'
+    ELSE '{{"min": null, "max": ' || hi || '}}'
+  END AS pay
+FROM (SELECT p_partkey, p_size, CAST(100000 + p_partkey * 10 AS STRING) AS lo,
+             CAST(150000 + p_partkey * 10 AS STRING) AS hi FROM {part})
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -325,6 +374,8 @@ ADAPTERS: dict[str, str] = {
     "resume_bullets": RESUME_BULLETS,
     "resume_summary": RESUME_SUMMARY,
     "skills": SKILLS,
+    "pay_texts": PAY_TEXTS,
+    "pay_objects": PAY_OBJECTS,
 }
 
 
