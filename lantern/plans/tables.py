@@ -359,6 +359,86 @@ FROM (SELECT p_partkey, p_size, CAST(100000 + p_partkey * 10 AS STRING) AS lo,
              CAST(150000 + p_partkey * 10 AS STRING) AS hi FROM {part})
 """
 
+
+# Master records: one Markdown record per customer, built from the order book.
+# Header, contact (with a stray line), positioning, one role per order (three
+# heading separators), role fields (one left as a [FILL IN] marker), notes for
+# urgent orders, one accomplishment per line item (evidence sometimes blank or
+# a marker, a wrapped continuation line the format drops), a recorded-bullets
+# block for finished orders, and a trailing section kept verbatim. Roles
+# sort after the two fixed lines of the section (order key + 10).
+# Line items numbered within their order (the generated line numbers repeat,
+# so the rank breaks ties on every column the record lines use).
+RECORD_ITEMS = """
+SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+          l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus) AS INT) AS item
+FROM {lineitem}
+"""
+RECORD_PARTS = """
+SELECT c_custkey AS doc_id, 0 AS k1, CAST(0 AS BIGINT) AS k2, 0 AS k3, 0 AS k4, '# Master record for ' || c_name AS line
+FROM {customer}
+UNION ALL SELECT c_custkey, 0, 1, 0, 0, '' FROM {customer}
+UNION ALL SELECT c_custkey, 0, 2, 0, 0, 'Imported from the order book.   ' FROM {customer}
+UNION ALL SELECT c_custkey, 0, 3, 0, 0, '' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 0, 0, 0, '## Contact' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 1, 0, 0, '- **Name:** ' || c_name FROM {customer}
+UNION ALL SELECT c_custkey, 1, 2, 0, 0, '- **Segment:**  ' || c_mktsegment FROM {customer}
+UNION ALL SELECT c_custkey, 1, 3, 0, 0, 'stray contact text' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 4, 0, 0, '- **Name:** ' || lower(c_name) FROM {customer} WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 2, 0, 0, 0, '## Positioning' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 1, 0, 0, '- before any subsection' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 2, 0, 0, '### Core competencies' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 3, 0, 0, '- ' || c_mktsegment || ' accounts' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 4, 0, 0, '-  **not a label** but a bullet' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 5, 0, 0, '### What sets me apart' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 6, 0, 0, '' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 7, 0, 0, '  Balance of ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) || ' kept.'
+FROM {customer}
+UNION ALL SELECT c_custkey, 3, 0, 0, 0, '## Roles' FROM {customer}
+UNION ALL SELECT c_custkey, 3, 1, 0, 0, 'text before the first role' FROM {customer}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 0,
+  '### Org ' || o_orderpriority
+  || CASE o_orderstatus WHEN 'F' THEN ' — ' WHEN 'O' THEN ' -- ' ELSE ' - ' END || 'Role ' || o_orderstatus
+FROM {orders}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 1, '- **Dates:** ' || CAST(CAST(o_orderdate AS DATE) AS STRING) FROM {orders}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 2, '- **Budget:** ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)
+FROM {orders}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 3, '- **Markets:** [FILL IN: markets]' FROM {orders}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 4, '- **Authority:** team of ' || CAST(o_orderkey % 9 AS STRING) FROM {orders}
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 5, '>  Urgent order, checked by hand.  ' FROM {orders}
+WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 0, '#### Shipment ' || CAST(l.l_linenumber AS STRING)
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 1,
+  '- **Problem:** Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 2,
+  '- **Results:** ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING)
+                                 || ' percent' ELSE 'Delivered on time' END
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 3,
+  CASE l.l_returnflag WHEN 'A' THEN '- **Evidence:** metric' WHEN 'R' THEN '- **Evidence:** [FILL IN]'
+       ELSE '- **Evidence:**' END
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 4, '  which ran over two quarters'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE l.l_linestatus = 'O'
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 1000, 0, '#### Recorded resume bullets' FROM {orders}
+WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 1000, 1, 'From a finished resume, so each one is compressed.' FROM {orders}
+WHERE o_orderstatus = 'F'
+UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, 1000 + l.item, 0,
+  '- Shipped ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units under flag ' || l.l_returnflag
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'
+UNION ALL SELECT c_custkey, 4, 0, 0, 0, '## Peer comments' FROM {customer}
+UNION ALL SELECT c_custkey, 4, 1, 0, 0, '' FROM {customer}
+UNION ALL SELECT c_custkey, 4, 2, 0, 0, '- "' || c_name || ' rebuilt how we measure."' FROM {customer}
+UNION ALL SELECT c_custkey, 4, 3, 0, 0, '' FROM {customer}
+"""
+RECORD_LINES = """
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) - 1 AS line_no, line
+FROM {record_parts}
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -376,6 +456,9 @@ ADAPTERS: dict[str, str] = {
     "skills": SKILLS,
     "pay_texts": PAY_TEXTS,
     "pay_objects": PAY_OBJECTS,
+    "record_items": RECORD_ITEMS,
+    "record_parts": RECORD_PARTS,
+    "record_lines": RECORD_LINES,
 }
 
 
