@@ -439,6 +439,26 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) -
 FROM {record_parts}
 """
 
+
+# Work histories: each customer's canonical employers are the order
+# priorities they have ordered under (index = the priority's number); resume
+# entries are their orders, the company written with a descriptor, in lower
+# case, as an unknown employer, or as a bare parenthesis by order status.
+CANONICAL = """
+SELECT DISTINCT o_custkey AS profile_id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS idx,
+       'Org ' || substr(o_orderpriority, 3) AS company
+FROM {orders}
+"""
+RESUME_ENTRIES = """
+SELECT o_custkey AS profile_id, o_orderkey AS entry_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'Org ' || substr(o_orderpriority, 3) || ' (CPG, ~$1B revenue)'
+       WHEN o_orderstatus = 'O' AND o_totalprice > 150000 THEN '(Holding) ' || o_orderpriority
+       WHEN o_orderstatus = 'O' THEN lower('org ' || substr(o_orderpriority, 3))
+       WHEN o_totalprice > 200000 THEN 'ORG'
+       ELSE 'Unknown Ltd ' || CAST(o_orderkey % 7 AS STRING) END AS company
+FROM {orders}
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -459,6 +479,8 @@ ADAPTERS: dict[str, str] = {
     "record_items": RECORD_ITEMS,
     "record_parts": RECORD_PARTS,
     "record_lines": RECORD_LINES,
+    "canonical": CANONICAL,
+    "resume_entries": RESUME_ENTRIES,
 }
 
 
