@@ -297,18 +297,27 @@ FROM {customer} c LEFT JOIN {documents} d ON d.doc_id = c.c_custkey
 """
 
 
-# Skills inventories: one per part brand (a user), one row per part; the
-# have_it cell is written several ways, certifications are a category.
+# Skills inventories: twenty parts make one person's inventory (so an
+# inventory stays person-sized however large the table); one row per part,
+# the have_it cell written several ways, certifications and industries as
+# categories, skill names with a parenthesis, a plural or a colon.
 SKILLS = """
-SELECT p.p_brand AS inventory, p.p_partkey AS row_seq,
-       CASE WHEN p.p_type = 'SMALL' THEN 'Certifications' ELSE p.p_type END AS category,
-       p.p_name AS skill,
+SELECT CAST(floor(p.p_partkey / 20) AS BIGINT) AS inventory, p.p_partkey AS row_seq,
+       CASE p.p_type WHEN 'SMALL' THEN 'Certifications' WHEN 'PROMO' THEN 'Industry Experience'
+            WHEN 'MEDIUM' THEN '' ELSE p.p_type END AS category,
+       CASE p.p_size % 4 WHEN 0 THEN p.p_name || ' (' || p.p_brand || ')' WHEN 1 THEN p.p_name || 's'
+            WHEN 2 THEN p.p_name || ': ' || lower(p.p_type) ELSE p.p_name END AS skill,
        CASE p.p_size % 5 WHEN 0 THEN 'yes' WHEN 1 THEN ' Yes ' WHEN 2 THEN 'y' WHEN 3 THEN 'no' ELSE '' END
          AS have_it,
        CASE WHEN p.p_size % 3 = 0 THEN '' ELSE 'Advanced' END AS proficiency,
        CASE WHEN p.p_size % 7 = 0 THEN 'since ' || CAST(p.p_size AS STRING) ELSE '' END AS notes
 FROM {part} p
 """
+# Certifications a profile already lists: the large parts of each inventory.
+PROFILE_CERTS = """
+SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS inventory, p_partkey AS seq, p_name AS cert
+FROM {part} WHERE p_size > 40
+"""
 
 
 # Pay texts: every document, plus one composed pay sentence per part in one of
@@ -474,6 +483,7 @@ ADAPTERS: dict[str, str] = {
     "resume_bullets": RESUME_BULLETS,
     "resume_summary": RESUME_SUMMARY,
     "skills": SKILLS,
+    "profile_certs": PROFILE_CERTS,
     "pay_texts": PAY_TEXTS,
     "pay_objects": PAY_OBJECTS,
     "record_items": RECORD_ITEMS,
