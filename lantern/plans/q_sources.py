@@ -80,3 +80,256 @@ UNION ALL SELECT 'remotive', company, title, CASE WHEN starts_with(location, 'Re
 """)
 def u1(spark, sf):
     return landed_sources(spark, sf).select("source", "company", "title", "location", "url", "posting_id")
+
+
+# --- one query per source shape: every posting landed in that shape ----------
+
+OUT = ["source", "company", "title", "location", "url", "description_html", "posting_id"]
+
+
+def _read(spark, df, name, schema):
+    return N.read_payloads(spark, _land(spark, df, name), schema)
+
+
+def _p(spark, sf):
+    return adapter(spark, sf, "postings")
+
+
+def _seq_mod(n):
+    return F.col("ingest_seq") % n
+
+
+@register("R1_greenhouse", oracle="""
+SELECT 'greenhouse' AS source, company, title, coalesce(location, '') AS location, url,
+       description_html, CAST(ingest_seq AS VARCHAR) AS posting_id FROM {postings}""")
+def r1(spark, sf):
+    p = _p(spark, sf)
+    gh = p.select(F.col("company").alias("board"), F.array(F.struct(
+        F.col("ingest_seq").alias("id"), "title", F.struct(F.col("location").alias("name")).alias("location"),
+        F.col("url").alias("absolute_url"), F.col("description_html").alias("content"))).alias("jobs"))
+    return N.normalise_greenhouse(_read(spark, gh, "gh", N.GREENHOUSE_SCHEMA)).select(*OUT)
+
+
+@register("R2_lever", oracle="""
+SELECT 'lever' AS source, company, title, location, url, description_html, posting_id FROM {postings}""")
+def r2(spark, sf):
+    p = _p(spark, sf)
+    lv = p.select(F.col("company").alias("board"), F.array(F.struct(
+        F.col("posting_id").alias("id"), F.col("title").alias("text"),
+        F.struct(F.col("location").alias("location")).alias("categories"), F.col("url").alias("hostedUrl"),
+        F.when(_seq_mod(2) == 0, F.col("description_html")).alias("descriptionPlain"),
+        F.col("description_html").alias("description"))).alias("postings"))
+    return N.normalise_lever(_read(spark, lv, "lever", N.LEVER_SCHEMA)).select(*OUT)
+
+
+@register("R3_workday", oracle="""
+SELECT 'workday' AS source, lower(split_part(company, ' ', 1)) AS company, title, location,
+       'https://' || lower(split_part(company, ' ', 1)) || '.wd5.myworkdayjobs.com/External/job/' || posting_id AS url,
+       '' AS description_html,
+       CASE WHEN ingest_seq % 2 = 0 THEN posting_id ELSE '/job/' || posting_id END AS posting_id
+FROM {postings}""")
+def r3(spark, sf):
+    p = _p(spark, sf)
+    wd = p.select(
+        F.lower(F.split_part("company", F.lit(" "), F.lit(1))).alias("tenant"), F.lit("wd5").alias("host"),
+        F.lit("External").alias("site"),
+        F.array(F.struct("title", F.col("location").alias("locationsText"),
+                         F.concat(F.lit("/job/"), F.col("posting_id")).alias("externalPath"),
+                         F.when(_seq_mod(2) == 0, F.array(F.col("posting_id")))
+                         .otherwise(F.array().cast("array<string>")).alias("bulletFields"))).alias("jobPostings"))
+    return N.normalise_workday(_read(spark, wd, "wd", N.WORKDAY_SCHEMA)).select(*OUT)
+
+
+@register("R4_ashby", oracle="""
+SELECT 'ashby' AS source, company, title, location, url, description_html, posting_id FROM {postings}""")
+def r4(spark, sf):
+    p = _p(spark, sf)
+    ab = p.select(F.col("company").alias("board"), F.array(F.struct(
+        F.col("posting_id").alias("id"), "title", "location", F.col("url").alias("jobUrl"),
+        F.col("description_html").alias("descriptionHtml"))).alias("jobs"))
+    return N.normalise_ashby(_read(spark, ab, "ashby", N.ASHBY_SCHEMA)).select(*OUT)
+
+
+@register("R5_smartrecruiters", oracle=f"""
+SELECT 'smartrecruiters' AS source, lower(company) AS company, title,
+       CASE WHEN starts_with(location, 'Remote') THEN 'Remote' ELSE location END AS location,
+       CASE WHEN ingest_seq % 3 = 0
+            THEN 'https://jobs.smartrecruiters.com/' || lower(company) || '/' || CAST(ingest_seq AS VARCHAR)
+            ELSE url END AS url,
+       company || ' ' || substr(description_html, 1, 200) AS description_html,
+       CAST(ingest_seq AS VARCHAR) AS posting_id
+FROM {{postings}} WHERE {__import__('lantern.plans.q_intake', fromlist=['SQL_P1']).SQL_P1}""")
+def r5(spark, sf):
+    from lantern.plans.settings import KEYWORDS
+    p = _p(spark, sf)
+    remote = F.col("location").startswith("Remote")
+    listing = p.select(F.lower("company").alias("company"), F.array(F.struct(
+        F.col("ingest_seq").cast("string").alias("id"), F.col("title").alias("name"),
+        F.struct(F.when(remote, F.lit("")).otherwise(F.col("location")).alias("fullLocation"),
+                 remote.alias("remote")).alias("location"))).alias("content"))
+    detail = p.select(F.col("ingest_seq").cast("string").alias("id"),
+                      F.when(_seq_mod(3) == 0, F.lit(None)).otherwise(F.col("url")).alias("postingUrl"),
+                      F.struct(F.create_map(
+                          F.lit("companyDescription"), F.struct(F.lit("About").alias("title"),
+                                                                F.col("company").alias("text")),
+                          F.lit("jobDescription"), F.struct(F.lit("Job").alias("title"),
+                                                            F.substring("description_html", 1, 200).alias("text"))
+                      ).alias("sections")).alias("jobAd"))
+    out = N.normalise_smartrecruiters(_read(spark, listing, "srl", N.SMARTRECRUITERS_LIST_SCHEMA),
+                                      _read(spark, detail, "srd", N.SMARTRECRUITERS_DETAIL_SCHEMA), KEYWORDS)
+    return out.select(*OUT)
+
+
+@register("R6_workable", oracle="""
+SELECT 'workable' AS source, company, title,
+       CASE WHEN starts_with(location, 'Remote') THEN
+              CASE WHEN parts <> '' THEN 'Remote (' || parts || ')' ELSE 'Remote' END
+            ELSE parts END AS location,
+       CASE WHEN ingest_seq % 2 = 0 THEN url ELSE url || '?s' END AS url, description_html, posting_id
+FROM (SELECT *, concat_ws(', ', nullif(split_part(location, ', ', 1), ''), nullif(split_part(location, ', ', 2), ''),
+                          nullif(split_part(location, ', ', 3), '')) AS parts FROM {postings})""")
+def r6(spark, sf):
+    p = _p(spark, sf)
+    wk = p.select(F.col("company").alias("account"), F.array(F.struct(
+        "title", F.col("posting_id").alias("shortcode"),
+        F.split_part("location", F.lit(", "), F.lit(1)).alias("city"),
+        F.split_part("location", F.lit(", "), F.lit(2)).alias("state"),
+        F.split_part("location", F.lit(", "), F.lit(3)).alias("country"),
+        F.col("location").startswith("Remote").alias("telecommuting"),
+        F.when(_seq_mod(2) == 0, F.col("url")).alias("url"), F.concat("url", F.lit("?s")).alias("shortlink"),
+        F.col("description_html").alias("description"))).alias("jobs"))
+    return N.normalise_workable(_read(spark, wk, "workable", N.WORKABLE_SCHEMA)).select(*OUT)
+
+
+@register("R7_jooble", oracle="""
+SELECT 'jooble' AS source, company, title, location, url, substr(description_html, 1, 100) AS description_html,
+       CASE WHEN ingest_seq % 4 = 0 THEN url ELSE posting_id END AS posting_id FROM {postings}""")
+def r7(spark, sf):
+    p = _p(spark, sf)
+    jb = p.select(F.array(F.struct(
+        F.when(_seq_mod(4) == 0, F.lit(None)).otherwise(F.col("posting_id")).alias("id"), "title", "company",
+        "location", F.col("url").alias("link"), F.substring("description_html", 1, 100).alias("snippet")))
+        .alias("jobs"))
+    return N.normalise_jooble(_read(spark, jb, "jooble", N.JOOBLE_SCHEMA)).select(*OUT)
+
+
+@register("R8_adzuna", oracle="""
+SELECT 'adzuna' AS source, company, title, location, url, substr(description_html, 1, 100) AS description_html,
+       posting_id FROM {postings}""")
+def r8(spark, sf):
+    p = _p(spark, sf)
+    az = p.select(F.array(F.struct(
+        F.col("posting_id").alias("id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"),
+        F.struct(F.col("location").alias("display_name")).alias("location"), F.col("url").alias("redirect_url"),
+        F.substring("description_html", 1, 100).alias("description"))).alias("results"))
+    return N.normalise_adzuna(_read(spark, az, "adzuna", N.ADZUNA_SCHEMA)).select(*OUT)
+
+
+@register("R9_remotive", oracle="""
+SELECT 'remotive' AS source, company, title,
+       CASE WHEN starts_with(location, 'Remote') THEN 'Remote' ELSE location END AS location, url,
+       description_html, CAST(ingest_seq AS VARCHAR) AS posting_id FROM {postings}""")
+def r9(spark, sf):
+    p = _p(spark, sf)
+    rm = p.select(F.array(F.struct(
+        F.col("ingest_seq").alias("id"), "title", F.col("company").alias("company_name"),
+        F.when(F.col("location").startswith("Remote"), F.lit("")).otherwise(F.col("location"))
+        .alias("candidate_required_location"), "url", F.col("description_html").alias("description"))).alias("jobs"))
+    return N.normalise_remotive(_read(spark, rm, "rm", N.REMOTIVE_SCHEMA)).select(*OUT)
+
+
+@register("R10_jobicy", oracle="""
+SELECT 'jobicy' AS source, company, title,
+       CASE WHEN starts_with(location, 'Remote') THEN 'Remote' ELSE 'Remote (' || location || ')' END AS location,
+       url,
+       CASE WHEN ingest_seq % 2 = 0 THEN substr(description_html, 1, 80) ELSE 'excerpt' END
+       || CASE WHEN ingest_seq % 3 = 0 THEN ''
+               ELSE ' [' || CASE WHEN ingest_seq % 5 = 0 THEN 'USD' ELSE 'EUR' END || ' '
+                    || CAST(50000 + ingest_seq AS VARCHAR) || '-' || CAST(90000 + ingest_seq AS VARCHAR)
+                    || CASE WHEN ingest_seq % 2 = 0 THEN ' year' ELSE ' ' END || ']' END AS description_html,
+       CAST(ingest_seq AS VARCHAR) AS posting_id FROM {postings}""")
+def r10(spark, sf):
+    p = _p(spark, sf)
+    jc = p.select(F.array(F.struct(
+        F.col("ingest_seq").cast("string").alias("id"), F.col("title").alias("jobTitle"),
+        F.col("company").alias("companyName"),
+        F.when(F.col("location").startswith("Remote"), F.lit("")).otherwise(F.col("location")).alias("jobGeo"),
+        "url", F.when(_seq_mod(2) == 0, F.substring("description_html", 1, 80)).otherwise(F.lit(""))
+        .alias("jobDescription"), F.lit("excerpt").alias("jobExcerpt"),
+        F.when(_seq_mod(3) == 0, F.lit(None)).otherwise((F.col("ingest_seq") + 50000).cast("string"))
+        .alias("salaryMin"), (F.col("ingest_seq") + 90000).cast("string").alias("salaryMax"),
+        F.when(_seq_mod(5) == 0, F.lit(None)).otherwise(F.lit("EUR")).alias("salaryCurrency"),
+        F.when(_seq_mod(2) == 0, F.lit("year")).otherwise(F.lit("")).alias("salaryPeriod"))).alias("jobs"))
+    return N.normalise_jobicy(_read(spark, jc, "jobicy", N.JOBICY_SCHEMA)).select(*OUT)
+
+
+@register("R11_careerjet", oracle="""
+SELECT 'careerjet' AS source, company, title, location, url,
+       substr(description_html, 1, 80) || CASE WHEN ingest_seq % 2 = 0 THEN ' [$' || CAST(ingest_seq AS VARCHAR) || ']'
+                                              ELSE '' END AS description_html,
+       substr(sha1(url), 1, 12) AS posting_id FROM {postings}""")
+def r11(spark, sf):
+    p = _p(spark, sf)
+    cj = p.select(F.array(F.struct(
+        "title", "company", F.col("location").alias("locations"), "url",
+        F.substring("description_html", 1, 80).alias("description"),
+        F.when(_seq_mod(2) == 0, F.concat(F.lit("$"), F.col("ingest_seq").cast("string"))).alias("salary")))
+        .alias("jobs"))
+    return N.normalise_careerjet(_read(spark, cj, "careerjet", N.CAREERJET_SCHEMA)).select(*OUT)
+
+
+@register("R12_linkedin", oracle="""
+SELECT 'linkedin' AS source, company, title, location,
+       CASE WHEN ingest_seq % 4 = 0 THEN 'https://www.linkedin.com/jobs/view/' || jid ELSE url END AS url,
+       CASE WHEN ingest_seq % 2 = 0 THEN 'Salary: $100K/yr' || chr(10) || chr(10) ELSE '' END
+         || substr(description_html, 1, 60) AS description_html,
+       jid AS posting_id
+FROM (SELECT *, CASE WHEN ingest_seq % 3 = 0 THEN 'J' || CAST(ingest_seq AS VARCHAR) ELSE posting_id END AS jid
+      FROM {postings})""")
+def r12(spark, sf):
+    p = _p(spark, sf)
+    li = p.select(
+        F.when(_seq_mod(3) == 0, F.lit(None)).otherwise(F.col("posting_id")).alias("id"),
+        F.when(_seq_mod(3) == 0, F.concat(F.lit("J"), F.col("ingest_seq").cast("string"))).alias("jobId"),
+        F.when(_seq_mod(4) == 0, F.lit(None)).otherwise(F.col("url")).alias("url"), "title",
+        F.when(_seq_mod(5) == 0, F.lit(None)).otherwise(F.col("company")).alias("companyName"),
+        F.col("company"), "location", F.substring("description_html", 1, 60).alias("description"),
+        F.when(_seq_mod(2) == 0, F.lit("$100K/yr")).alias("salary"))
+    return N.normalise_linkedin(_read(spark, li, "linkedin", N.LINKEDIN_SCHEMA)).select(*OUT)
+
+
+@register("R13_indeed", oracle="""
+SELECT 'indeed' AS source, company, title,
+       CASE WHEN starts_with(location, 'Remote') THEN 'Remote'
+            ELSE concat_ws(', ', nullif(split_part(location, ', ', 1), ''), nullif(split_part(location, ', ', 3), ''))
+            END AS location,
+       url,
+       CASE WHEN ingest_seq % 2 = 0 THEN 'Salary: $' || format('{{:,}}', 100000 + ingest_seq) || ' - $'
+                 || format('{{:,}}', 150000 + ingest_seq) || ' per year' || chr(10) || chr(10) ELSE '' END
+         || substr(description_html, 1, 70) AS description_html,
+       CASE WHEN ingest_seq % 3 = 0
+            THEN substr(sha1(CASE WHEN ingest_seq % 4 < 2 THEN title ELSE url END), 1, 12)
+            ELSE posting_id END AS posting_id
+FROM {postings}""")
+def r13(spark, sf):
+    p = _p(spark, sf)
+    remote = F.col("location").startswith("Remote")
+    loc = F.struct(F.when(remote, F.lit("Remote")).otherwise(F.split_part("location", F.lit(", "), F.lit(1)))
+                   .alias("city"),
+                   F.when(remote, F.lit("")).otherwise(F.split_part("location", F.lit(", "), F.lit(3)))
+                   .alias("admin1Code"), F.lit("US").alias("countryName"))
+    base = p.select(F.when(_seq_mod(3) == 0, F.lit(None)).otherwise(F.col("posting_id")).alias("key"), "title",
+                    F.struct(F.col("company").alias("name")).alias("employer"), loc.alias("location"),
+                    F.substring("description_html", 1, 70).alias("d"), "url", "ingest_seq")
+    pay = F.when(_seq_mod(2) == 0, F.struct((F.col("ingest_seq") + 100000).alias("min"),
+                                            (F.col("ingest_seq") + 150000).alias("max"),
+                                            F.lit("YEAR").alias("unitOfWork")))
+    as_text = base.where(_seq_mod(4) < 2).select("key", "title", "employer", "location",
+                                                 F.col("d").alias("description"), pay.alias("baseSalary"),
+                                                 F.col("url").alias("jobUrl"))
+    as_obj = base.where(_seq_mod(4) >= 2).select("key", "title", "employer", "location",
+                                                 F.struct(F.col("d").alias("html"), F.lit("plain").alias("text"))
+                                                 .alias("description"), pay.alias("baseSalary"), "url")
+    path = _land(spark, as_text, "indeed")
+    as_obj.select(F.to_json(F.struct(*as_obj.columns)).alias("value")).write.mode("append").text(path)
+    return N.normalise_indeed(N.read_payloads(spark, path, N.INDEED_SCHEMA)).select(*OUT)

@@ -187,3 +187,165 @@ def title_rule_lists(rules: DataFrame, max_rows: int = 10000) -> tuple[list[str]
     if not inc:
         raise ValueError("no active include rows, so nothing would ever match")
     return inc, [x.term for x in rows if x.kind == "exclude"]
+
+
+# --- search aggregators and paid actors (R5-R8, R10-R13) ---------------------
+
+SMARTRECRUITERS_LIST_SCHEMA = ("company string, content array<struct<id:string, name:string,"
+                               " location:struct<fullLocation:string, remote:boolean>>>, _corrupt_record string")
+SMARTRECRUITERS_DETAIL_SCHEMA = ("id string, postingUrl string, jobAd struct<sections:map<string,"
+                                 " struct<title:string, text:string>>>, _corrupt_record string")
+WORKABLE_SCHEMA = ("account string, jobs array<struct<title:string, shortcode:string, city:string, state:string,"
+                   " country:string, telecommuting:boolean, url:string, shortlink:string, description:string>>,"
+                   " _corrupt_record string")
+JOOBLE_SCHEMA = ("jobs array<struct<id:string, title:string, company:string, location:string, link:string,"
+                 " snippet:string>>, _corrupt_record string")
+ADZUNA_SCHEMA = ("results array<struct<id:string, title:string, company:struct<display_name:string>,"
+                 " location:struct<display_name:string>, redirect_url:string, description:string>>,"
+                 " _corrupt_record string")
+JOBICY_SCHEMA = ("jobs array<struct<id:string, jobTitle:string, companyName:string, jobGeo:string, url:string,"
+                 " jobDescription:string, jobExcerpt:string, salaryMin:string, salaryMax:string,"
+                 " salaryCurrency:string, salaryPeriod:string>>, _corrupt_record string")
+CAREERJET_SCHEMA = ("jobs array<struct<title:string, company:string, locations:string, url:string,"
+                    " description:string, salary:string>>, _corrupt_record string")
+LINKEDIN_SCHEMA = ("id string, jobId string, url string, link string, jobUrl string, title string,"
+                   " companyName string, company string, location string, description string,"
+                   " descriptionText string, salary string, _corrupt_record string")
+INDEED_SCHEMA = ("key string, refNum string, title string, employer struct<name:string>,"
+                 " location struct<city:string, admin1Code:string, countryName:string>,"
+                 " description string, baseSalary string, jobUrl string, url string, _corrupt_record string")
+
+
+def _ok(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("_corrupt_record").isNull())
+
+
+def _nz(c) -> F.Column:
+    """Python truthiness for a text cell: null and '' are false."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c != "", c)
+
+
+def normalise_smartrecruiters(listing: DataFrame, detail: DataFrame, keywords) -> DataFrame:
+    """List rows whose title has a term, joined to their detail rows on id
+    (only those are looked up); description = the sections' texts joined by
+    spaces; location = fullLocation, else 'Remote' when flagged, else ''."""
+    from lantern.operators.filters import title_match
+    rows = (_ok(listing).select("company", F.explode("content").alias("p"))
+            .select("company", F.col("p.id").alias("id"), F.col("p.name").alias("title"),
+                    F.col("p.location").alias("loc")))
+    rows = rows.where(title_match(keywords, "title"))
+    d = _ok(detail).select("id", "postingUrl", F.col("jobAd.sections").alias("sections"))
+    j = rows.join(d, "id")
+    # sections are a JSON object: values in key order of the object
+    texts = F.transform(F.map_values("sections"), lambda s: F.coalesce(s["text"], F.lit("")))
+    loc = F.coalesce(_nz(F.col("loc.fullLocation")),
+                     F.when(F.coalesce(F.col("loc.remote"), F.lit(False)), F.lit("Remote")), F.lit(""))
+    url = F.coalesce(F.col("postingUrl"), F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.col("company"),
+                                                   F.lit("/"), F.col("id")))
+    return j.select(*_post("smartrecruiters", F.col("company"), F.coalesce("title", F.lit("")), loc, url,
+                           F.array_join(texts, " "), F.col("id")))
+
+
+def normalise_workable(raw: DataFrame) -> DataFrame:
+    """City, state, country joined with ', ' skipping blanks; telecommuting
+    gives 'Remote (…)' or 'Remote'."""
+    j = _ok(raw).select("account", F.explode("jobs").alias("j"))
+    parts = F.concat_ws(", ", _nz(F.col("j.city")), _nz(F.col("j.state")), _nz(F.col("j.country")))
+    loc = F.when(F.coalesce(F.col("j.telecommuting"), F.lit(False)),
+                 F.when(parts != "", F.concat(F.lit("Remote ("), parts, F.lit(")"))).otherwise(F.lit("Remote"))) \
+        .otherwise(parts)
+    return j.select(*_post("workable", F.col("account"), F.col("j.title"), loc,
+                           F.coalesce(F.col("j.url"), F.col("j.shortlink"), F.lit("")),
+                           F.coalesce(F.col("j.description"), F.lit("")), F.col("j.shortcode")))
+
+
+def normalise_jooble(raw: DataFrame, source: str = "jooble") -> DataFrame:
+    """``jobs[]``; the id is the job id, else its link."""
+    j = _ok(raw).select(F.explode("jobs").alias("j"))
+    return j.select(*_post(source, F.coalesce(F.col("j.company"), F.lit("")), F.coalesce(F.col("j.title"), F.lit("")),
+                           F.coalesce(F.col("j.location"), F.lit("")), F.coalesce(F.col("j.link"), F.lit("")),
+                           F.coalesce(F.col("j.snippet"), F.lit("")),
+                           F.coalesce(F.col("j.id"), F.col("j.link"), F.lit(""))))
+
+
+def normalise_adzuna(raw: DataFrame) -> DataFrame:
+    """``results[]`` with nested company and location display names."""
+    j = _ok(raw).select(F.explode("results").alias("j"))
+    return j.select(*_post("adzuna", F.coalesce(F.col("j.company.display_name"), F.lit("")),
+                           F.coalesce(F.col("j.title"), F.lit("")),
+                           F.coalesce(F.col("j.location.display_name"), F.lit("")),
+                           F.coalesce(F.col("j.redirect_url"), F.lit("")),
+                           F.coalesce(F.col("j.description"), F.lit("")), F.coalesce(F.col("j.id"), F.lit(""))))
+
+
+def normalise_jobicy(raw: DataFrame) -> DataFrame:
+    """A ' [CUR min-max per]' suffix on the description when both ends
+    are set (USD by default); location 'Remote (geo)' or 'Remote'."""
+    j = _ok(raw).select(F.explode("jobs").alias("j"))
+    both = F.coalesce(_nz(F.col("j.salaryMin")), F.lit(None)).isNotNull() & _nz(F.col("j.salaryMax")).isNotNull() \
+        & (F.col("j.salaryMin") != "0") & (F.col("j.salaryMax") != "0")
+    raw_sal = F.concat(F.lit(" ["), F.coalesce(F.col("j.salaryCurrency"), F.lit("USD")), F.lit(" "),
+                       F.col("j.salaryMin"), F.lit("-"), F.col("j.salaryMax"), F.lit(" "),
+                       F.coalesce(F.col("j.salaryPeriod"), F.lit("")), F.lit("]"))
+    salary = F.when(both, F.replace(F.concat(F.regexp_replace(raw_sal, "(?U)\\s+$", ""), F.lit("]")),
+                                    F.lit("]]"), F.lit("]"))).otherwise(F.lit(""))
+    geo = F.regexp_replace(F.coalesce(F.col("j.jobGeo"), F.lit("")), "(?U)^\\s+|\\s+$", "")
+    loc = F.when(geo != "", F.concat(F.lit("Remote ("), geo, F.lit(")"))).otherwise(F.lit("Remote"))
+    desc = F.concat(F.coalesce(_nz(F.col("j.jobDescription")), _nz(F.col("j.jobExcerpt")), F.lit("")), salary)
+    return j.select(*_post("jobicy", F.coalesce(F.col("j.companyName"), F.lit("")),
+                           F.coalesce(F.col("j.jobTitle"), F.lit("")), loc, F.coalesce(F.col("j.url"), F.lit("")),
+                           desc, F.coalesce(F.col("j.id"), F.lit(""))))
+
+
+def normalise_careerjet(raw: DataFrame) -> DataFrame:
+    """A ' [salary]' suffix when given; the id is sha1(url)[:12] (a
+    stable id, where a per-process hash would not be)."""
+    j = _ok(raw).select(F.explode("jobs").alias("j"))
+    sal = F.when(_nz(F.col("j.salary")).isNotNull(), F.concat(F.lit(" ["), F.col("j.salary"), F.lit("]"))) \
+        .otherwise(F.lit(""))
+    url = F.coalesce(F.col("j.url"), F.lit(""))
+    return j.select(*_post("careerjet", F.coalesce(F.col("j.company"), F.lit("")),
+                           F.coalesce(F.col("j.title"), F.lit("")), F.coalesce(F.col("j.locations"), F.lit("")),
+                           url, F.concat(F.coalesce(F.col("j.description"), F.lit("")), sal), X.short_hash(url)))
+
+
+def normalise_linkedin(raw: DataFrame) -> DataFrame:
+    """First non-empty of id/jobId and of url/link/jobUrl (else a view url
+    from the id); a 'Salary:' line before the description when given."""
+    r = _ok(raw)
+    job_id = F.coalesce(_nz(F.col("id")), _nz(F.col("jobId")), F.lit(""))
+    url = F.coalesce(_nz(F.col("url")), _nz(F.col("link")), _nz(F.col("jobUrl")),
+                     F.when(job_id != "", F.concat(F.lit("https://www.linkedin.com/jobs/view/"), job_id)),
+                     F.lit(""))
+    desc = F.coalesce(_nz(F.col("description")), _nz(F.col("descriptionText")), F.lit(""))
+    desc = F.when(_nz(F.col("salary")).isNotNull(),
+                  F.concat(F.lit("Salary: "), F.col("salary"), F.lit("\n\n"), desc)).otherwise(desc)
+    return r.select(*_post("linkedin", F.coalesce(_nz(F.col("companyName")), _nz(F.col("company")), F.lit("")),
+                           F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("location"), F.lit("")), url,
+                           desc, F.when(job_id != "", job_id).otherwise(X.short_hash(url))))
+
+
+def normalise_indeed(raw: DataFrame) -> DataFrame:
+    """R13: 'City, ST' (or the city alone when it says remote, else the
+    country); description given as text or as {html, text}; a pay line from
+    the structured salary (S11) first; jobUrl preferred over url."""
+    from lantern.operators.pay import pay_line, pay_object
+    r = _ok(raw)
+    city = F.regexp_replace(F.coalesce(F.col("location.city"), F.lit("")), "(?U)^\\s+|\\s+$", "")
+    state = F.regexp_replace(F.coalesce(F.col("location.admin1Code"), F.lit("")), "(?U)^\\s+|\\s+$", "")
+    where = F.when(F.lower(city) == "remote", city).otherwise(F.concat_ws(", ", _nz(city), _nz(state)))
+    loc = F.when(where != "", where).otherwise(F.coalesce(F.col("location.countryName"), F.lit("")))
+    v = F.try_parse_json(F.col("description"))
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    desc = F.when(is_obj, F.coalesce(_nz(F.try_variant_get(v, "$.html", "string")),
+                                     _nz(F.try_variant_get(v, "$.text", "string")), F.lit(""))) \
+        .otherwise(F.coalesce(F.col("description"), F.lit("")))
+    pay = pay_object(F.col("baseSalary"))
+    desc = F.when(pay.isNotNull(), F.concat(pay_line(pay), F.lit("\n\n"), desc)).otherwise(desc)
+    key = F.coalesce(_nz(F.col("key")), _nz(F.col("refNum")), F.lit(""))
+    url = F.coalesce(_nz(F.col("jobUrl")), _nz(F.col("url")), F.lit(""))
+    fallback = F.coalesce(_nz(F.col("url")), F.coalesce(F.col("title"), F.lit("")))
+    return r.select(*_post("indeed", F.coalesce(F.col("employer.name"), F.lit("")),
+                           F.coalesce(F.col("title"), F.lit("")), loc, url, desc,
+                           F.when(key != "", key).otherwise(X.short_hash(fallback))))
