@@ -44,7 +44,7 @@ def sql_first(expr: str, terms) -> str:
         f"CASE WHEN contains({expr}, {q(t.lower())}) THEN {q(t.lower())} END" for t in terms) + ")"
 
 
-MODULES = ("q_intake", "q_tracker", "q_text", "q_linkage", "q_logs", "q_similar", "q_lint", "q_pay", "q_watch", "q_profile", "q_shaping",
+MODULES = ("q_intake", "q_tracker", "q_text", "q_linkage", "q_logs", "q_similar", "q_lint", "q_pay", "q_watch", "q_profile", "q_intake_form", "q_shaping",
            "q_records", "q_sources", "q_scoring", "q_streaming")
 
 

@@ -468,6 +468,76 @@ SELECT o_custkey AS profile_id, o_orderkey AS entry_id,
 FROM {orders}
 """
 
+
+# Intake forms: one per customer, filled from the order book: form
+# boilerplate, contact lines, the basics questions, one role block per order
+# (an empty header for pending orders), inline and next-line answers, list
+# answers, the accomplishments question with one block per line item (answers
+# sometimes on the next paragraph, one blank template block), an advert pasted
+# in, then peer comments and a branding statement.
+INTAKE_PARTS = """
+SELECT c_custkey AS doc_id, 0 AS k1, CAST(0 AS BIGINT) AS k2, 0 AS k3, 0 AS k4,
+       'The Acme Team appreciates the time that you spend' AS text FROM {customer}
+UNION ALL SELECT c_custkey, 0, 1, 0, 0, 'Name: ' || c_name FROM {customer}
+UNION ALL SELECT c_custkey, 0, 2, 0, 0, 'LinkedIn web address: example.org/' || lower(c_mktsegment) FROM {customer}
+UNION ALL SELECT c_custkey, 0, 3, 0, 0, 'Prepared for the ' || c_mktsegment || ' search' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 0, 0, 0, 'The Basics' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 1, 0, 0, 'An answer before any question' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 2, 0, 0, 'List your KEY STRENGTHS as you see them' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 3, 0, 0, c_mktsegment || ' account growth' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 4, 0, 0, '2. WHAT are your MOST IMPRESSIVE ACHIEVEMENTS?' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 5, 0, 0, 'Balance kept at ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) FROM {customer}
+UNION ALL SELECT c_custkey, 1, 6, 0, 0, 'What Sets You Apart from others?' FROM {customer}
+UNION ALL SELECT c_custkey, 1, 7, 0, 0, 'Steady hands' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 0, 0, 0, 'Employment History' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 1, 0, 0, 'NOTE: Please complete one block per role' FROM {customer}
+UNION ALL SELECT c_custkey, 2, 2, 0, 0, 'A line before any role' FROM {customer}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 0,
+  CASE WHEN o_orderstatus = 'P' THEN '9. Job Title: From: To:'
+       ELSE '1. Job Title: Role ' || o_orderstatus || ' From: ' || CAST(CAST(o_orderdate AS DATE) AS STRING)
+            || ' To: ' || CASE WHEN o_orderstatus = 'O' THEN 'present' ELSE 'done' END END
+FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 1, 'Organization: Org ' || o_orderpriority FROM {orders}
+WHERE o_orderstatus <> 'P' OR o_totalprice > 150000
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 2, 'Your level of authority - how many people?' FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 3, 'Team of ' || CAST(o_orderkey % 9 AS STRING) FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 4, 'Position you reported to? VP ' || o_orderpriority FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 5, 'Major responsibilities and day-to-day duties: Ops'
+FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 6, 'Budget of ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)
+FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 7,
+  'Describe as many relevant accomplishments as possible in this role:' FROM {orders}
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 8, 'All in resume' FROM {orders} WHERE o_orderpriority = '5-LOW'
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 0, 'Short Title: Shipment ' || CAST(l.l_linenumber AS STRING)
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 1,
+  'Problem or Situation: Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units.'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 2, 'Actions:'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 3, 'Shipped under flag ' || l.l_returnflag || '.'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 4, 'Checked twice.'
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE l.l_linestatus = 'O'
+UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 5,
+  'Quantifiable Results: ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING)
+                                   || ' percent.' ELSE '' END
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 900, 0, 'Short Title:' FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 900, 1, 'Actions:' FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 901, 0, 'About the company: a pasted advert' FROM {orders}
+WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT c_custkey, 3, 0, 0, 0, 'Comments from Peers' FROM {customer}
+UNION ALL SELECT c_custkey, 3, 1, 0, 0, c_name || ' is great to work with' FROM {customer}
+UNION ALL SELECT c_custkey, 4, 0, 0, 0, 'BRANDING STATEMENT' FROM {customer}
+UNION ALL SELECT c_custkey, 4, 1, 0, 0, 'Clear thinking for ' || c_mktsegment FROM {customer}
+"""
+INTAKE_PARAS = """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) - 1 AS INT) AS para_no, text
+FROM {intake_parts}
+"""
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -489,6 +559,8 @@ ADAPTERS: dict[str, str] = {
     "record_items": RECORD_ITEMS,
     "record_parts": RECORD_PARTS,
     "record_lines": RECORD_LINES,
+    "intake_parts": INTAKE_PARTS,
+    "intake_paras": INTAKE_PARAS,
     "canonical": CANONICAL,
     "resume_entries": RESUME_ENTRIES,
 }
