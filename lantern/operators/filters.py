@@ -161,9 +161,10 @@ def exclusion_impact(df: DataFrame, keywords, locations, excludes) -> DataFrame:
 
 
 def sender_filter(df: DataFrame, include=None, exclude=None, sender: str = "sender") -> DataFrame:
-    """P10: drop a message whose sender has any excluded substring; if an
-    include list is given the sender must contain one of them."""
-    s = F.lower(F.coalesce(F.col(sender), F.lit("")))
+    """P10: drop a message whose sender contains any excluded term; with an
+    include list the sender must contain one. Terms are lower-cased, the
+    sender is compared as written."""
+    s = F.coalesce(F.col(sender), F.lit(""))
     rule = F.lit(True)
     if exclude:
         rule = rule & ~contains_any(s, _low(exclude))

@@ -48,3 +48,53 @@ def apply_scorer(postings: DataFrame, scorer, schema: str) -> DataFrame:
         for b in batches:
             yield scorer(b)
     return postings.mapInPandas(run, schema=schema)
+
+
+# The scoring prompt's posting part and the letter's fixed
+# paragraphs (placeholders, overwritten from configuration).
+DESCRIPTION_CHARS = 4000
+
+
+def prompt_table(postings: DataFrame) -> DataFrame:
+    """M1: the posting part of the scoring prompt for each posting (the
+    profile part is the same for every posting, so it is kept once in a
+    broadcast profile table rather than concatenated into shuffled rows)."""
+    from lantern.functions.text import strip_html
+    desc = F.substring(strip_html(F.col("description_html")), 1, DESCRIPTION_CHARS)
+    text = F.concat(F.lit("JOB POSTING:\nTitle: "), F.coalesce("title", F.lit("")), F.lit("\nCompany: "),
+                    F.coalesce("company", F.lit("")), F.lit("\nLocation: "), F.coalesce("location", F.lit("")),
+                    F.lit("\nDescription: "), desc)
+    return postings.select("posting_id", "ingest_seq", F.lit("score").alias("kind"), text.alias("posting_part"))
+
+
+def fixed_fields(letters: DataFrame, positioning: str, lead_in: str, closing: str) -> DataFrame:
+    """M5: the letter's fixed paragraphs overwritten from configuration, and
+    name and contact from the profile (``name``, ``email``, ``phone``
+    columns), on the ``letter`` struct."""
+    return letters.withColumn("letter", F.col("letter")
+                              .withField("positioning", F.lit(positioning))
+                              .withField("lead_in", F.lit(lead_in))
+                              .withField("closing_para", F.lit(closing))
+                              .withField("name", F.coalesce(F.col("name"), F.lit("")))
+                              .withField("contact", F.concat(F.coalesce("email", F.lit("")), F.lit("\n"),
+                                                             F.coalesce("phone", F.lit("")))))
+
+
+def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M6: rows the scorer could not score go to a failures table; one bad
+    row never fails the batch. An authentication error is the one failure
+    that stops the run (checked by the caller on the failures table)."""
+    return scored.where(F.col("error").isNull()), scored.where(F.col("error").isNotNull())
+
+
+def lint_rounds(bullets: DataFrame, profiles: DataFrame, rewrite) -> DataFrame:
+    """M4: lint the drafts (A13); drafts with problems get one corrective
+    round (``rewrite(bullets_df) -> bullets_df`` on just those letters) and
+    are linted again; the result keeps every letter with its round count and
+    any problems left."""
+    from lantern.operators.lint import lint_summary
+    first = lint_summary(bullets, profiles)
+    redo = first.where(~F.col("clean")).select("letter_id")
+    again = lint_summary(rewrite(bullets.join(redo, "letter_id", "left_semi")), profiles)
+    done = first.where(F.col("clean")).select("letter_id", F.lit(1).alias("rounds"), "problems", "clean")
+    return done.unionByName(again.select("letter_id", F.lit(2).alias("rounds"), "problems", "clean"))

@@ -202,3 +202,19 @@ def upsert_scored(history: DataFrame, new: DataFrame, keys=("posting_id",),
     return (both.groupBy(*keys)
             .agg(F.max_by(F.struct(*[F.col(c) for c in both.columns]), F.col(order)).alias("_r"))
             .select("_r.*"))
+
+
+def write_tracker(rows: DataFrame, path: str) -> None:
+    """K2: the tracker as CSV with a header, columns in the fixed order, into
+    a new version directory (readers switch to it once it is complete)."""
+    (rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS])
+     .write.mode("error").option("header", True).option("quoteAll", True).csv(path))
+
+
+def read_tracker(spark, path: str) -> DataFrame:
+    """R22 reader: the tracker CSV back (multi-line cells allowed), every
+    cell text, file order kept in ``row_seq``."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .schema(", ".join(f"`{c}` string" for c in FIELDS)).csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in FIELDS]) \
+        .withColumn("row_seq", F.monotonically_increasing_id())

@@ -174,7 +174,8 @@ def r14(spark, sf):
     parsed, board link picked, body cut to 6000, id from the message."""
     from lantern.sources.normalise import email_postings
     return email_postings(adapter(spark, sf, "messages"), include_senders=["user", "assistant"],
-                          exclude_senders=["system"], candidate_name=NAME)
+                          exclude_senders=["system"], candidate_name=NAME,
+                          applications=adapter(spark, sf, "applications"))
 
 
 @register("S24_json_repair", oracle=None)

@@ -12,13 +12,20 @@ POSTING_COLS = ["source", "company", "title", "location", "url", "description_ht
 
 
 def email_postings(messages: DataFrame, include_senders=None, exclude_senders=None,
-                   candidate_name: str | None = None, max_chars: int = 6000) -> DataFrame:
-    """Messages -> postings. P10 sender lists, then reply subjects (P11,
-    P12) skipped, then S8 subject parse, S9 board link, body cut to
-    ``max_chars``, id = first 12 hex of sha1(message id, else subject+sender)."""
+                   candidate_name: str | None = None, max_chars: int = 6000,
+                   applications: DataFrame | None = None) -> DataFrame:
+    """Messages -> postings. P10 sender lists, empty messages out, reply
+    subjects (P11, P12) skipped, weak reply signals that tie to an application
+    skipped (P24, when ``applications`` is given), then S8 subject parse, S9
+    board link, body cut to ``max_chars``, id = first 12 hex of sha1(message
+    id, else subject+sender)."""
     m = sender_filter(messages, include_senders, exclude_senders)
+    m = m.where((F.coalesce("subject", F.lit("")) != "") | (F.coalesce("body", F.lit("")) != ""))
     reply = X.application_subject("subject") | X.candidate_name_subject("subject", candidate_name)
     m = m.where(~reply)
+    if applications is not None:
+        from lantern.operators.link import reply_like_drops
+        m = m.join(reply_like_drops(m, applications).select("msg_id"), "msg_id", "left_anti")
     company, title = X.alert_subject("subject", "sender")
     mid = F.col("msg_id").cast("string")
     subject = F.coalesce("subject", F.lit(""))
