@@ -211,3 +211,11 @@ def k3(spark, sf):
                                    "yyyy-MM-dd").alias("date"),
                      "source", "reason", "title", "company", "location", "url")
     return filters.dropped_log(old, new, RUN_DATE)
+
+
+@register("U5_log_union", oracle=f"""
+SELECT * FROM ({SQL_OLD_LOG}) WHERE date >= CAST(DATE '{RUN_DATE}' - INTERVAL 60 DAY AS DATE)::VARCHAR
+UNION ALL SELECT date, source, reason, title, company, location, url FROM ({SQL_DROPPED})""")
+def u5(spark, sf):
+    """The pruned old log and tonight's drops, appended (the union K3 writes)."""
+    return k3(spark, sf)

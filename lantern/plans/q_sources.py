@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lantern.plans.registry import register
-from lantern.plans.tables import adapter
+from lantern.plans.tables import adapter, read_table
 from lantern.session import checkpoint_dir
 from lantern.sources import normalise as N
 
@@ -333,3 +333,75 @@ def r13(spark, sf):
     path = _land(spark, as_text, "indeed")
     as_obj.select(F.to_json(F.struct(*as_obj.columns)).alias("value")).write.mode("append").text(path)
     return N.normalise_indeed(N.read_payloads(spark, path, N.INDEED_SCHEMA)).select(*OUT)
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+@register("R15_csv_postings", oracle="""
+SELECT 'linkedin' AS source, regexp_replace(company, '^\\s+|\\s+$', '', 'g') AS company,
+       regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title,
+       regexp_replace(location, '^\\s+|\\s+$', '', 'g') AS location, url, description_html,
+       substr(sha1(url), 1, 12) AS posting_id
+FROM {postings} WHERE NOT (ingest_seq % 10 = 0)""")
+def r15(spark, sf):
+    """Postings exported as a CSV (every tenth with a blank url), read back."""
+    p = _p(spark, sf)
+    out = p.select("company", "title", "location",
+                   F.when(_seq_mod(10) == 0, F.lit("  ")).otherwise(F.col("url")).alias("url"),
+                   F.col("description_html").alias("description"))
+    path = _scratch(spark, "csv")
+    out.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return N.read_posting_csv(spark, path)
+
+
+@register("R16_url_list", oracle="""
+SELECT DISTINCT url FROM {postings} WHERE url NOT IN (SELECT url FROM {scored})""")
+def r16(spark, sf):
+    """Every posting url written to list files in posting order, with comment
+    lines, blank lines and repeats, read back minus the scored ones."""
+    p = _p(spark, sf)
+    items = F.array(
+        F.when(_seq_mod(7) == 0, F.concat(F.lit("# from "), F.col("source"))),
+        F.col("url"),
+        F.when(_seq_mod(5) == 0, F.concat(F.lit("  "), F.col("url"))),
+        F.when(_seq_mod(3) == 0, F.lit("")))
+    lines = p.select("ingest_seq", F.explode(F.array_compact(items)).alias("value"))
+    path = _scratch(spark, "urls")
+    lines.orderBy("ingest_seq").select("value").write.text(path)
+    return N.read_url_list(spark, path, adapter(spark, sf, "scored")).select("url")
+
+
+@register("R17_title_rules", oracle="""
+SELECT trim(p_name) AS term,
+       CASE WHEN lower(trim(mode)) IN ('include', 'in', 'keyword', '') THEN 'include'
+            WHEN lower(trim(mode)) IN ('exclude', 'ex', 'out') THEN 'exclude' ELSE 'error' END AS kind
+FROM (SELECT p_name, p_size,
+             CASE p_size % 6 WHEN 0 THEN 'include' WHEN 1 THEN ' Exclude ' WHEN 2 THEN 'in'
+                             WHEN 3 THEN '' WHEN 4 THEN 'out' ELSE 'maybe' END AS mode FROM {part})
+WHERE trim(p_name) <> '' AND lower(CASE WHEN p_size % 9 = 0 THEN 'off' ELSE 'yes' END) NOT IN ('no', 'false', '0', 'off')""")
+def r17(spark, sf):
+    """Part names written as a title-rules CSV (modes in several spellings,
+    some rows switched off), read back and classified."""
+    from pyspark.sql import functions as G
+    part = read_table(spark, sf, "part")
+    mode = (G.when(G.col("p_size") % 6 == 0, "include").when(G.col("p_size") % 6 == 1, " Exclude ")
+            .when(G.col("p_size") % 6 == 2, "in").when(G.col("p_size") % 6 == 3, "")
+            .when(G.col("p_size") % 6 == 4, "out").otherwise("maybe"))
+    rules = part.select(G.col("p_name").alias("term"), mode.alias("mode"),
+                        G.when(G.col("p_size") % 9 == 0, "off").otherwise("yes").alias("active"),
+                        G.lit("").alias("notes"))
+    path = _scratch(spark, "titles")
+    rules.write.option("header", True).option("quoteAll", True).csv(path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return N.title_rules(back)
+
+
+@register("P10_sender_filter", oracle="""
+SELECT msg_id, sender FROM {messages}
+WHERE NOT contains(coalesce(sender, ''), 'system')
+  AND (contains(coalesce(sender, ''), 'user') OR contains(coalesce(sender, ''), 'assistant'))""")
+def p10(spark, sf):
+    from lantern.operators.filters import sender_filter
+    return sender_filter(adapter(spark, sf, "messages"), ["user", "assistant"], ["system"]).select("msg_id", "sender")

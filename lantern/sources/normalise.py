@@ -130,33 +130,37 @@ def normalise_remotive(raw: DataFrame) -> DataFrame:
 CSV_REQUIRED = ["company", "title", "location", "url", "description"]
 
 
-def read_posting_csv(spark, path: str) -> DataFrame:
-    """Multi-line quoted CSV with a header; the five required columns must
-    be present (error otherwise); blank urls dropped; id = sha1(url)[:12]."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    have = {c.strip().lower() for c in df.columns}
-    missing = [c for c in CSV_REQUIRED if c not in have]
+def read_posting_csv(spark, path: str, source: str = "linkedin") -> DataFrame:
+    """A posting CSV (header, quoted multi-line cells) with the five
+    required columns (named exactly; an error otherwise); rows with a blank
+    url are dropped; text cells stripped, the description kept as is; the id
+    is sha1(url)[:12]. The one-row manual form is the same shape."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("inferSchema", False).csv(path))
+    missing = [c for c in CSV_REQUIRED if c not in df.columns]
     if missing:
-        raise ValueError(f"CSV is missing column(s): {', '.join(missing)}")
-    df = df.select(*[F.col(c).alias(c.strip().lower()) for c in df.columns])
-    url = F.trim(F.coalesce("url", F.lit("")))
-    return (df.where(url != "")
-            .select(F.lit("csv").alias("source"), *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in
-                                                     ["company", "title", "location"]],
-                    url.alias("url"), F.coalesce("description", F.lit("")).alias("description_html"),
-                    X.short_hash(url).alias("posting_id")))
+        raise ValueError(f"CSV is missing required column(s): {', '.join(sorted(missing))}")
+    strip = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "(?U)^\\s+|\\s+$", "")
+    return (df.where(strip("url") != "")
+            .select(F.lit(source).alias("source"), strip("company").alias("company"),
+                    strip("title").alias("title"), strip("location").alias("location"), strip("url").alias("url"),
+                    F.coalesce("description", F.lit("")).alias("description_html"),
+                    X.short_hash(strip("url")).alias("posting_id")))
 
 
 def read_url_list(spark, path: str, scored: DataFrame | None = None) -> DataFrame:
-    """Text lines; blanks and '#' comments dropped; first occurrence of
-    each url kept in file order; urls already scored removed."""
-    lines = (spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-             .select(F.trim("value").alias("url"), "seq"))
-    lines = lines.where((F.col("url") != "") & ~F.col("url").startswith("#"))
-    first = lines.groupBy("url").agg(F.min("seq").alias("seq"))
+    """Url list files -> urls in file order (file name, then line),
+    blanks and '#' comments dropped, the first of repeated urls kept, urls
+    already scored removed. A list file is small, so each is read whole."""
+    raw = spark.read.option("wholetext", True).text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"),
+                       F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
+    url = F.regexp_replace("line", "(?U)^\\s+|\\s+$", "")
+    lines = lines.withColumn("url", url).where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    first = lines.groupBy("url").agg(F.min(F.struct("file", "line_no")).alias("pos"))
     if scored is not None:
-        first = first.join(scored.select("url"), "url", "left_anti")
-    return first.orderBy("seq")
+        first = first.join(scored.select("url").where(F.col("url").isNotNull()), "url", "left_anti")
+    return first.select("url", F.col("pos.file").alias("file"), F.col("pos.line_no").alias("line_no"))
 
 
 TITLE_MODES_INCLUDE = ("include", "in", "keyword", "")
