@@ -118,3 +118,23 @@ def skill_counts(skills: DataFrame, key: str = "inventory") -> DataFrame:
     a = skills.groupBy(key).agg(F.count_if(yes).alias("claimed"),
                                 (F.count(F.lit(1)) - F.count_if(yes)).alias("gaps"))
     return a.withColumn("level", F.when(F.col("claimed") > 0, "OK").otherwise("FAIL"))
+
+
+def keep_prefix(highlights: DataFrame, keep: DataFrame, first_n: int = 4) -> DataFrame:
+    """Per company, the highlights starting with one of its kept
+    prefixes; a company with none kept keeps its first ``first_n``.
+
+    ``highlights``: company, pos, text; ``keep``: company, prefix. The
+    prefix test is an equi-join on (company, the highlight cut at each kept
+    prefix length of that company), so no highlight is paired with every
+    prefix."""
+    lens = keep.select("company", F.length("prefix").alias("_n")).distinct()
+    cut = (highlights.join(lens, "company")
+           .where(F.length("text") >= F.col("_n"))
+           .withColumn("prefix", F.expr("substring(text, 1, _n)")))
+    hit = cut.join(keep.select("company", "prefix").distinct(), ["company", "prefix"], "left_semi") \
+        .select("company", "pos").distinct()
+    kept = highlights.join(hit, ["company", "pos"], "left_semi")
+    has = hit.select("company").distinct()
+    fallback = highlights.join(has, "company", "left_anti").where(F.col("pos") < first_n)
+    return kept.unionByName(fallback)

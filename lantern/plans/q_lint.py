@@ -59,3 +59,34 @@ def j9(spark, sf):
 @register("A13_lint_summary", oracle=None)
 def a13(spark, sf):
     return L.lint_summary(bullets(spark, sf), profiles(spark, sf))
+
+
+# Run setting: the employers of the profile the letters are checked against.
+EMPLOYERS = ["Harbor Foods", "Attion Labs"]
+
+
+def letters(spark, sf):
+    """Each document as a grouped letter: a group per line (header = the
+    line's first 30 characters, bullets = its sentences); documents of one
+    line are legacy prose letters."""
+    d = read_table(spark, sf, "documents")
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    groups = F.transform(lines, lambda ln: F.struct(F.substring(ln, 1, 30).alias("header"),
+                                                    F.split(ln, "[.!?] ").alias("bullets")))
+    one = F.size(lines) <= 1
+    return d.select(F.col("doc_id").alias("letter_id"),
+                    F.when(one, F.array().cast("array<struct<header:string,bullets:array<string>>>"))
+                    .otherwise(groups).alias("groups"),
+                    F.when(one, lines).otherwise(F.array().cast("array<string>")).alias("paragraphs"))
+
+
+@register("S21_specific_pattern", oracle=None)
+def s21(spark, sf):
+    b = bullets(spark, sf)
+    return b.select("letter_id", "pos", F.col("text").rlike(L.specific_pattern(EMPLOYERS)).alias("specific"))
+
+
+@register("S19_style_issues", oracle=None)
+def s19(spark, sf):
+    return L.style_issues(letters(spark, sf), EMPLOYERS).select(
+        "letter_id", F.array_join("issues", " | ").alias("issues"))

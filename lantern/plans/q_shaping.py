@@ -116,3 +116,23 @@ SELECT inventory, count_if(lower(trim(coalesce(have_it, ''))) = 'yes') AS claime
 FROM {skills} GROUP BY inventory""")
 def a3(spark, sf):
     return S.skill_counts(adapter(spark, sf, "skills"))
+
+
+@register("J7_keep_prefix", oracle="""
+WITH h AS (SELECT CAST(role_key AS VARCHAR) AS company, bullet_idx AS pos, text FROM {resume_bullets}),
+k AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS company, 'Delivered ' || p AS prefix
+      FROM {orders}, (SELECT unnest(['small', 'red', 'hot']) AS p) WHERE o_orderstatus = 'F'),
+hit AS (SELECT DISTINCT h.company, h.pos FROM h JOIN k ON k.company = h.company AND starts_with(h.text, k.prefix))
+SELECT h.company, h.pos FROM h JOIN hit ON hit.company = h.company AND hit.pos = h.pos
+UNION ALL
+SELECT h.company, h.pos FROM h WHERE h.company NOT IN (SELECT company FROM hit) AND h.pos < 4""")
+def j7(spark, sf):
+    """Highlights are each order's line-item bullets; finished orders keep
+    those starting with 'Delivered small', 'Delivered red' or 'Delivered hot'."""
+    from lantern.plans.tables import read_table
+    b = adapter(spark, sf, "resume_bullets").select(F.col("role_key").cast("string").alias("company"),
+                                                    F.col("bullet_idx").alias("pos"), "text")
+    o = read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    keep = o.select(F.col("o_orderkey").cast("string").alias("company"),
+                    F.explode(F.array(*[F.lit(f"Delivered {w}") for w in ("small", "red", "hot")])).alias("prefix"))
+    return S.keep_prefix(b, keep).select("company", "pos")
