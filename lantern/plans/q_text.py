@@ -203,3 +203,41 @@ def p23(spark, sf):
     p = _pages(spark, sf)
     t = F.when(F.length("html") % 4 == 0, F.lit("[fill in: title]")).otherwise(X.page_title("html"))
     return p.select("page_id", placeholder_to_empty(t).alias("title"), has_placeholder(t).alias("unfinished"))
+
+
+def _build_eml(batches):
+    """Messages packed as RFC 822 bytes (even ids plain text, odd ids HTML
+    only), as a mail client would land them."""
+    from email import policy
+    from email.message import EmailMessage
+
+    import pandas as pd
+    unfolded = policy.default.clone(max_line_length=1 << 20)
+    for b in batches:
+        out = []
+        for mid, subj, body, sender in zip(b["msg_id"], b["subject"], b["body"], b["sender"]):
+            m = EmailMessage(policy=unfolded)
+            m["From"] = sender
+            m["Subject"] = " ".join((subj or "").split())
+            m["Message-ID"] = f"<{mid}@landed>"
+            if mid % 2 == 0:
+                m.set_content(body or "")
+            else:
+                m.set_content("<p>" + (body or "") + "</p>", subtype="html")
+            out.append((int(mid), m.as_bytes()))
+        yield pd.DataFrame(out, columns=["msg_id", "raw"])
+
+
+@register("S7_message_text", oracle="""
+SELECT '<' || CAST(msg_id AS VARCHAR) || '@landed>' AS msg_id, sender,
+       regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS subject,
+       regexp_replace(regexp_replace(regexp_replace(
+         CASE WHEN msg_id % 2 = 0 THEN body ELSE regexp_replace('<p>' || body || '</p>', '<[^>]+>', ' ', 'g') END,
+         '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body
+FROM {messages}""")
+def s7(spark, sf):
+    from lantern.sources.mail import MESSAGE_SCHEMA, parse_batches
+    m = adapter(spark, sf, "messages").select("msg_id", "subject", "body", "sender")
+    raw = m.mapInPandas(_build_eml, "msg_id long, raw binary")
+    parsed = raw.mapInPandas(lambda it: parse_batches(it, "msg_id", "raw"), MESSAGE_SCHEMA)
+    return parsed.select("msg_id", "sender", "subject", "body")
