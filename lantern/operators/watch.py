@@ -69,10 +69,13 @@ def watchlist_matches(found: DataFrame, watch: DataFrame, key: str = "key") -> D
 
 
 def _grams_upto4(text: Column) -> Column:
-    """All substrings of length 1..4 of ``text`` as struct(n, g), distinct."""
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-        lambda i: F.struct(n.alias("n"), F.substring(text, i, n).alias("g"))))))
+    """All substrings of length 1..4 of ``text`` as struct(n, g), distinct
+    (a capturing look-ahead per length)."""
+    def tag(n):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+    return F.array_distinct(F.flatten(F.array(*[
+        F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), tag(n))
+        for n in range(1, 5)])))
 
 
 def canonical_match(entries: DataFrame, canonical: DataFrame) -> DataFrame:
