@@ -5,7 +5,7 @@ reference: Jaccard > 0.5 against accomplishment titles, and overlap >=
 max(3, 0.6 * |new|) against recorded bullets.
 
 Candidate pairs come from prefix filtering (the AllPairs idea): words are
-ranked by global frequency, rarest first. If J(x, y) >= t then x and y share a
+put in one global order, rarest first. If J(x, y) >= t then x and y share a
 word among the first |x| - ceil(t*|x|) + 1 ranked words of each; if an overlap
 of c words is needed with x, they share a word among the first |x| - c + 1 of
 x. So joining on prefix words finds every qualifying pair while the very
@@ -27,12 +27,13 @@ def word_set(text) -> F.Column:
 
 
 def _ranked(df: DataFrame, id_col: str, words_col: str, freq: DataFrame) -> DataFrame:
-    """Per record: its words sorted rarest first (ties by the word)."""
-    ex = df.select(id_col, F.explode(words_col).alias("w"))
+    """Per record: its words that occur on the recorded side, rarest first
+    (ties by the word), and the size of its whole word set."""
+    ex = df.select(id_col, F.size(words_col).alias("size"), F.explode(words_col).alias("w"))
     j = ex.join(freq, "w")
-    return (j.groupBy(id_col)
+    return (j.groupBy(id_col, "size")
             .agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_r"))
-            .select(id_col, F.transform("_r", lambda s: s["w"]).alias("ranked")))
+            .select(id_col, "size", F.transform("_r", lambda s: s["w"]).alias("ranked")))
 
 
 def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFrame,
@@ -40,18 +41,21 @@ def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFra
     """For each ``new`` row (new_id, text) the first accomplishment
     (acc_id order) whose title word set has Jaccard > ``jaccard``, else the
     first bullet (bullet_id order) sharing >= max(3, 0.6*|new|) words; output
-    (new_id, kind, match_id, matched) for rows that have a match."""
+    (new_id, kind, match_id, matched) for rows that have a match.
+
+    The global word order is: words of the recorded side (accomplishments and
+    bullets) by their frequency there, rarest first; every other word after
+    them. Words that never occur on the recorded side can never be shared, so
+    only recorded-side words need ranking and only they become join keys."""
     n = new.select("new_id", word_set(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     a = accomplishments.select("acc_id", "title", word_set(F.col("title")).alias("ws")).where(F.size("ws") > 0)
     b = bullets.select("bullet_id", "text", word_set(F.col("text")).alias("ws")).where(F.size("ws") > 0)
 
-    freq = (n.select(F.explode("ws").alias("w"))
-            .unionByName(a.select(F.explode("ws").alias("w")))
-            .unionByName(b.select(F.explode("ws").alias("w")))
+    freq = (a.select(F.explode("ws").alias("w")).unionByName(b.select(F.explode("ws").alias("w")))
             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
 
-    nr = _ranked(n, "new_id", "ws", freq).join(n, "new_id")
-    ar = _ranked(a, "acc_id", "ws", freq).join(a, "acc_id")
+    nr = _ranked(n, "new_id", "ws", freq)
+    ar = _ranked(a, "acc_id", "ws", freq)
 
     def prefix_len_j(size):
         return (size - F.ceil(F.lit(jaccard) * size) + 1).cast("int")
@@ -59,8 +63,8 @@ def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFra
     def need_overlap(size):
         return F.greatest(F.lit(3), F.ceil(F.lit(0.6) * size - F.lit(1e-9))).cast("int")
 
-    n_pj = nr.select("new_id", F.explode(F.slice("ranked", 1, prefix_len_j(F.size("ws")))).alias("w"))
-    a_pj = ar.select("acc_id", F.explode(F.slice("ranked", 1, prefix_len_j(F.size("ws")))).alias("w"))
+    n_pj = nr.select("new_id", F.explode(F.slice("ranked", 1, prefix_len_j(F.col("size")))).alias("w"))
+    a_pj = ar.select("acc_id", F.explode(F.slice("ranked", 1, prefix_len_j(F.col("size")))).alias("w"))
     acc_pairs = n_pj.join(a_pj, "w").select("new_id", "acc_id").distinct()
     acc_hits = (acc_pairs.join(n.withColumnRenamed("ws", "nws"), "new_id").join(a, "acc_id")
                 .withColumn("inter", F.size(F.array_intersect("nws", "ws")))
@@ -72,7 +76,7 @@ def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFra
 
     # Bullets: the new side's prefix for the overlap bound; all bullet words.
     n_po = nr.select("new_id", F.explode(F.slice("ranked", 1, F.greatest(
-        F.size("ws") - need_overlap(F.size("ws")) + 1, F.lit(0)))).alias("w"))
+        F.col("size") - need_overlap(F.col("size")) + 1, F.lit(0)))).alias("w"))
     b_all = b.select("bullet_id", F.explode("ws").alias("w"))
     b_pairs = n_po.join(b_all, "w").select("new_id", "bullet_id").distinct()
     b_hits = (b_pairs.join(n.withColumnRenamed("ws", "nws"), "new_id").join(b, "bullet_id")
@@ -81,5 +85,3 @@ def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFra
               .select("new_id", F.lit("bullet").alias("kind"), F.col("m.bullet_id").alias("match_id"),
                       F.concat(F.substring("m.text", 1, 60), F.lit("...")).alias("matched")))
     return acc_hits.unionByName(b_hits.join(acc_hits.select("new_id"), "new_id", "left_anti"))
-
-
