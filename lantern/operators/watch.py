@@ -68,14 +68,17 @@ def watchlist_matches(found: DataFrame, watch: DataFrame, key: str = "key") -> D
             .select("_r.*"))
 
 
-def _grams_upto4(text: Column) -> Column:
-    """All substrings of length 1..4 of ``text`` as struct(n, g), distinct
-    (a capturing look-ahead per length)."""
-    def tag(n):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+def _grams(text: Column, lengths) -> Column:
+    """Distinct substrings of ``text`` of the given lengths (a capturing
+    look-ahead per length); a gram's length tells which key length it serves."""
     return F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), tag(n))
-        for n in range(1, 5)])))
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])))
+
+
+def _key_lengths(df: DataFrame, col: str) -> list[int]:
+    """The distinct key lengths min(4, len) present: at most four numbers."""
+    return sorted(r[0] for r in df.select(F.least(F.length(col), F.lit(4)).alias("n"))
+                  .where(F.col("n") > 0).distinct().collect())
 
 
 def canonical_match(entries: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -89,19 +92,19 @@ def canonical_match(entries: DataFrame, canonical: DataFrame) -> DataFrame:
                                                "(?U)^\\s+|\\s+$", "")))
     c = canonical.select("profile_id", "idx", F.col("company").alias("_canon"),
                          F.lower(F.coalesce("company", F.lit(""))).alias("_c"))
-    # canonical in name: key = the canonical's first min(4, len) characters
-    ck = c.where(F.length("_c") > 0).withColumn("n", F.least(F.length("_c"), F.lit(4))) \
-        .withColumn("g", F.expr("substring(_c, 1, n)"))
-    eg = e.select("profile_id", "entry_id", "_name", F.explode(_grams_upto4(F.col("_name"))).alias("t")) \
-        .select("profile_id", "entry_id", "_name", "t.n", "t.g")
-    p1 = (eg.join(ck, ["profile_id", "n", "g"]).where(F.col("_name").contains(F.col("_c")))
+    # canonical in name: key = the canonical's first min(4, len) characters;
+    # the entry side offers its grams of just those lengths
+    ck = c.where(F.length("_c") > 0).withColumn("g", F.expr("substring(_c, 1, least(length(_c), 4))"))
+    eg = e.select("profile_id", "entry_id", "_name",
+                  F.explode(_grams(F.col("_name"), _key_lengths(c, "_c") or [4])).alias("g"))
+    p1 = (eg.join(ck, ["profile_id", "g"]).where(F.col("_name").contains(F.col("_c")))
           .select("profile_id", "entry_id", "idx"))
     # head in canonical: key = the head's first min(4, len) characters
-    hk = e.where(F.length("_head") > 0).withColumn("n", F.least(F.length("_head"), F.lit(4))) \
-        .withColumn("g", F.expr("substring(_head, 1, n)")).select("profile_id", "entry_id", "_head", "n", "g")
-    cg = c.select("profile_id", "idx", "_c", F.explode(_grams_upto4(F.col("_c"))).alias("t")) \
-        .select("profile_id", "idx", "_c", "t.n", "t.g")
-    p2 = (hk.join(cg, ["profile_id", "n", "g"]).where(F.col("_c").contains(F.col("_head")))
+    hk = (e.where(F.length("_head") > 0).withColumn("g", F.expr("substring(_head, 1, least(length(_head), 4))"))
+          .select("profile_id", "entry_id", "_head", "g"))
+    cg = c.select("profile_id", "idx", "_c",
+                  F.explode(_grams(F.col("_c"), _key_lengths(e, "_head") or [4])).alias("g"))
+    p2 = (hk.join(cg, ["profile_id", "g"]).where(F.col("_c").contains(F.col("_head")))
           .select("profile_id", "entry_id", "idx"))
     # the empty string occurs in everything: an empty canonical name matches
     # every entry, an empty head matches every canonical
