@@ -39,7 +39,12 @@ def s18(spark, sf):
     return t.select("letter_id", F.array_join("tells", " | ").alias("tells"))
 
 
-@register("S20_invented_scope", oracle=None)
+@register("S20_invented_scope", oracle=f"""
+SELECT letter_id, pos, regexp_extract(text, {q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")}, 0) AS phrase,
+       'invented scope "' || regexp_extract(text, {q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")}, 0)
+       || '" in: "' || substr(text, 1, 56) || '..."' AS problem
+FROM {SQL_BULLETS}
+WHERE regexp_matches(coalesce(text, ''), {q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")})""")
 def s20(spark, sf):
     return L.invented_scope(bullets(spark, sf))
 
@@ -80,7 +85,10 @@ def letters(spark, sf):
                     F.when(one, lines).otherwise(F.array().cast("array<string>")).alias("paragraphs"))
 
 
-@register("S21_specific_pattern", oracle=None)
+@register("S21_specific_pattern", oracle=f"""
+SELECT letter_id, pos, regexp_matches(coalesce(text, ''),
+       {q(L.specific_pattern(EMPLOYERS).replace("(?iu)", "(?i)")).replace("{", "{{").replace("}", "}}")}) AS specific
+FROM {SQL_BULLETS}""")
 def s21(spark, sf):
     b = bullets(spark, sf)
     return b.select("letter_id", "pos", F.col("text").rlike(L.specific_pattern(EMPLOYERS)).alias("specific"))

@@ -115,7 +115,14 @@ def p11(spark, sf):
 NAME = "Jordan Avery"
 
 
-@register("P12_candidate_name_subject", oracle=None)
+def _sql_name_rule(name: str) -> str:
+    who = "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in name)
+    return f"(?i)\\binterview\\b.*{who}|{who}.*\\binterview\\b|^\\s*(?:re|fw|fwd)\\s*:.*{who}"
+
+
+@register("P12_candidate_name_subject", oracle=f"""
+SELECT msg_id, regexp_matches(coalesce(subject, ''), {q(_sql_name_rule("Jordan Avery"))}) AS names_candidate
+FROM {{messages}}""")
 def p12(spark, sf):
     return adapter(spark, sf, "messages").select(
         "msg_id", X.candidate_name_subject("subject", NAME).alias("names_candidate"))
