@@ -202,7 +202,31 @@ def _items_cut(spark, sf):
     return cut_lineage(_items(spark, sf))
 
 
-@register("T4_lens_pick", oracle=None)
+def _lens_sql() -> str:
+    rows = []
+    for i, (name, keys, question) in enumerate(R.LENSES):
+        n = " + ".join(f"CAST(floor((length(text) - length(replace(text, {q(k)}, ''))) / {len(k)}) AS BIGINT)"
+                       for k in keys)
+        rows.append(f"SELECT doc_id, role_line, {i} AS i, {q(name)} AS lens, {q(question)} AS question, "
+                    f"{n} AS hits FROM rt")
+    return " UNION ALL ".join(rows)
+
+
+@register("T4_lens_pick", oracle=f"""
+WITH accs AS {SQL_ACCS},
+parts AS (
+  SELECT doc_id, role_line, 0 AS grp, acc_line AS pos,
+         concat_ws(' ', acc_title, problem, actions, results) AS t FROM accs
+  UNION ALL SELECT doc_id, role_line, 1 AS grp, line_no AS pos, text AS t FROM {SQL_ITEMS} WHERE kind = 'bullet'),
+rt AS (
+  SELECT r.doc_id, r.line_no AS role_line,
+         lower(coalesce((SELECT string_agg(p.t, ' ' ORDER BY p.grp, p.pos) FROM parts p
+                         WHERE p.doc_id = r.doc_id AND p.role_line = r.line_no), '')) AS text
+  FROM {SQL_ITEMS} r WHERE r.kind = 'role'),
+scores AS ({_lens_sql()})
+SELECT doc_id, role_line, arg_min(lens, (hits, i)) AS lens, arg_min(question, (hits, i)) AS question,
+       min(hits) AS hits
+FROM scores GROUP BY doc_id, role_line""")
 def t4(spark, sf):
     return R.pick_lens(R.role_text(_items_cut(spark, sf)))
 
