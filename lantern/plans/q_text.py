@@ -175,7 +175,26 @@ def s25(spark, sf):
         "row_seq", X.safe_name(F.concat_ws(" - ", "company", "title")).alias("name"))
 
 
-@register("R14_email_postings", oracle=None)
+def _r14_sql() -> str:
+    from lantern.plans.q_scoring import SQL_P24
+    company, title = sql_alert()
+    link = (f"coalesce(list_filter(regexp_extract_all(coalesce(body, ''), {qf(X.URL_IN_TEXT)}, 0), "
+            f"lambda u: regexp_matches(u, {qf(X.REAL_BOARD)}))[1], 'imap://' || CAST(msg_id AS VARCHAR))")
+    return f"""
+SELECT 'email' AS source, {company} AS company, {title} AS title, '' AS location, {link} AS url,
+       'From: ' || coalesce(sender, '') || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || chr(10)
+       || substr(coalesce(body, ''), 1, 6000) AS description_html,
+       substr(sha1(CAST(msg_id AS VARCHAR)), 1, 12) AS posting_id, msg_id AS ingest_seq
+FROM {{messages}}
+WHERE NOT contains(coalesce(sender, ''), 'system')
+  AND (contains(coalesce(sender, ''), 'user') OR contains(coalesce(sender, ''), 'assistant'))
+  AND (coalesce(subject, '') <> '' OR coalesce(body, '') <> '')
+  AND NOT regexp_matches(coalesce(subject, ''), {qf(_APP_SUBJ)})
+  AND NOT regexp_matches(coalesce(subject, ''), {q(_sql_name_rule(NAME))})
+  AND msg_id NOT IN (SELECT msg_id FROM ({SQL_P24}))"""
+
+
+@register("R14_email_postings", oracle=_r14_sql())
 def r14(spark, sf):
     """Messages -> postings: sender filter, reply subjects skipped, subject
     parsed, board link picked, body cut to 6000, id from the message."""
