@@ -352,7 +352,8 @@ def r15(spark, sf):
                    F.when(_seq_mod(10) == 0, F.lit("  ")).otherwise(F.col("url")).alias("url"),
                    F.col("description_html").alias("description"))
     path = _scratch(spark, "csv")
-    out.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    out.write.option("header", True).option("escape", '"').option("quoteAll", True) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return N.read_posting_csv(spark, path)
 
 
@@ -393,7 +394,8 @@ def r17(spark, sf):
                         G.when(G.col("p_size") % 9 == 0, "off").otherwise("yes").alias("active"),
                         G.lit("").alias("notes"))
     path = _scratch(spark, "titles")
-    rules.write.option("header", True).option("quoteAll", True).csv(path)
+    rules.write.option("header", True).option("quoteAll", True) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     return N.title_rules(back)
 
