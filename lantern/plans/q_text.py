@@ -204,7 +204,24 @@ def r14(spark, sf):
                           applications=adapter(spark, sf, "applications"))
 
 
-@register("S24_json_repair", oracle=None)
+# S24 in SQL: RE2 has no look-behind; "(^|[^:])//…" with the character put
+# back finds the same leftmost comment starts as "(?<!:)//…".
+_T_S24 = _strip("regexp_replace(" + _strip("coalesce(text, '')") + ", '```(?:json)?', '', 'g')")
+SQL_S24 = f"""
+SELECT item_id, attempt, stop_reason, cut,
+       regexp_replace(regexp_replace(cut, '(^|[^:])//[^\\n]*', '\\1', 'g'), ',(\\s*[}}}}\\]])', '\\1', 'g')
+         AS repaired
+FROM (SELECT item_id, attempt, stop_reason,
+             CASE WHEN strpos(t, '{{{{') > 0 AND strpos(reverse(t), '}}}}') > 0
+                       AND length(t) - strpos(reverse(t), '}}}}') + 1 > strpos(t, '{{{{')
+                  THEN substr(t, strpos(t, '{{{{'), length(t) - strpos(reverse(t), '}}}}') + 2 - strpos(t, '{{{{'))
+                  ELSE t END AS cut
+      FROM (SELECT *, {_T_S24} AS t FROM {{responses}}))
+"""
+
+
+@register("S24_json_repair", oracle=f"""
+SELECT item_id, attempt, cut, repaired, json_valid(cut) OR json_valid(repaired) AS parsed FROM ({SQL_S24})""")
 def s24(spark, sf):
     r = adapter(spark, sf, "responses")
     cut, repaired = X.json_candidates(F.regexp_replace("text", "(?U)^\\s+|\\s+$", ""))
@@ -212,7 +229,23 @@ def s24(spark, sf):
                     (F.try_parse_json(cut).isNotNull() | F.try_parse_json(repaired).isNotNull()).alias("parsed"))
 
 
-@register("M3_resolve_attempts", oracle=None)
+# DuckDB's JSON reader takes trailing commas, which strict JSON does not:
+# the oracle rejects them explicitly.
+@register("M3_resolve_attempts", oracle=f"""
+WITH r AS (
+  SELECT item_id, attempt, stop_reason = 'max_tokens' AS truncated,
+         stop_reason <> 'max_tokens' AND ((json_valid(cut) AND NOT regexp_matches(cut, ',\\s*[\\]}}}}]')) OR (json_valid(repaired) AND NOT regexp_matches(repaired, ',\\s*[\\]}}}}]'))) AS parsed,
+         CASE WHEN (json_valid(cut) AND NOT regexp_matches(cut, ',\\s*[\\]}}}}]')) THEN cut ELSE repaired END AS js
+  FROM ({SQL_S24}) WHERE attempt < 2),
+d AS (SELECT item_id, arg_min(attempt, attempt) FILTER (WHERE truncated OR parsed) AS a,
+             arg_min(truncated, attempt) FILTER (WHERE truncated OR parsed) AS tr,
+             arg_min(js, attempt) FILTER (WHERE truncated OR parsed) AS js
+      FROM r GROUP BY item_id)
+SELECT item_id, CASE WHEN a IS NULL OR tr THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN a IS NULL THEN 'did not parse' WHEN tr THEN 'truncated at max_tokens' END AS reason,
+       CASE WHEN a IS NOT NULL AND NOT tr THEN a END AS attempt,
+       CASE WHEN a IS NOT NULL AND NOT tr THEN js END AS json
+FROM d""")
 def m3(spark, sf):
     return scoring.resolve_attempts(adapter(spark, sf, "responses"), max_attempts=2)
 
