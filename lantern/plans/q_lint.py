@@ -94,7 +94,58 @@ def s21(spark, sf):
     return b.select("letter_id", "pos", F.col("text").rlike(L.specific_pattern(EMPLOYERS)).alias("specific"))
 
 
-@register("S19_style_issues", oracle=None)
+def _s19_sql() -> str:
+    spec = q(L.specific_pattern(EMPLOYERS).replace("(?iu)", "(?i)")).replace("{", "{{").replace("}", "}}")
+
+    def wc(x):
+        return f"len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
+
+    def strip(x):
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    group_issues = f"""list_transform(groups, lambda g, i: list_concat(
+        CASE WHEN {strip('coalesce(g.header, {q})')} = '' THEN ['a group is missing its header']
+             WHEN list_contains(list_transform(groups[1:i - 1], lambda h: lower({strip("coalesce(h.header, '')")})),
+                                lower({strip("coalesce(g.header, '')")}))
+               THEN ['duplicate group header: "' || substr({strip("coalesce(g.header, '')")}, 1, 44) || '"']
+             ELSE []::VARCHAR[] END,
+        CASE WHEN len(list_filter(g.bullets, lambda b: regexp_replace(b, '\\s', '', 'g') <> '')) = 0
+             THEN ['group "' || substr({strip("coalesce(g.header, '')")}, 1, 34) || '" has no bullets']
+             ELSE []::VARCHAR[] END,
+        list_transform(list_filter(g.bullets, lambda b: regexp_replace(b, '\\s', '', 'g') <> ''
+                                                        AND {wc('b')} > {L.MAX_BULLET_WORDS}),
+                       lambda b: 'bullet of ' || CAST({wc('b')} AS VARCHAR) || ' words (max {L.MAX_BULLET_WORDS}): "'
+                                 || substr(b, 1, 64) || '..."')))""".replace("{q}", "''")
+    return f"""
+WITH l AS (
+  SELECT doc_id AS letter_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+g AS (
+  SELECT letter_id,
+         CASE WHEN len(lines) <= 1 THEN [] ELSE list_transform(lines, lambda ln: struct_pack(
+              header := substr(ln, 1, 30), bullets := string_split_regex(ln, '[.!?] '))) END AS groups,
+         CASE WHEN len(lines) <= 1 THEN lines ELSE []::VARCHAR[] END AS paragraphs
+  FROM l),
+x AS (
+  SELECT *, flatten(list_transform(groups, lambda g: g.bullets)) AS allb FROM g),
+y AS (
+  SELECT *, list_filter(allb, lambda b: NOT regexp_matches(b, {spec})) AS vague FROM x)
+SELECT letter_id, array_to_string(
+  CASE WHEN len(paragraphs) > 0 AND len(groups) = 0 THEN
+         CASE WHEN {wc("array_to_string(paragraphs, ' ')")} > {L.MAX_LETTER_WORDS}
+              THEN ['too long (' || CAST({wc("array_to_string(paragraphs, ' ')")} AS VARCHAR) || ' words)']
+              ELSE []::VARCHAR[] END
+       ELSE list_concat(
+         CASE WHEN len(groups) < {L.MIN_GROUPS}
+              THEN ['only ' || CAST(len(groups) AS VARCHAR) || ' achievement group(s); want {L.MIN_GROUPS}']
+              ELSE []::VARCHAR[] END,
+         flatten({group_issues}),
+         CASE WHEN len(allb) > 0 AND len(vague) * 2 > len(allb)
+              THEN [CAST(len(vague) AS VARCHAR) || ' of ' || CAST(len(allb) AS VARCHAR)
+                    || ' bullets carry no metric, employer, or named method; e.g. "' || substr(vague[1], 1, 58) || '..."']
+              ELSE []::VARCHAR[] END) END, ' | ') AS issues
+FROM y"""
+
+
+@register("S19_style_issues", oracle=_s19_sql())
 def s19(spark, sf):
     return L.style_issues(letters(spark, sf), EMPLOYERS).select(
         "letter_id", F.array_join("issues", " | ").alias("issues"))
