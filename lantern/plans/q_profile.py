@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lantern.operators import profile as Pr
-from lantern.plans.registry import register
+from lantern.plans.registry import q, register
 from lantern.plans.tables import adapter
 
 # Run setting: the category order of the general resume's skill lines.
@@ -98,12 +98,46 @@ def s30(spark, sf):
     return Pr.short_skills(adapter(spark, sf, "skills"))
 
 
-@register("T7_skill_line_order", oracle=None)
+# S23 in SQL: the fold as list_reduce over a text state "keys<RS>items", each
+# key and item led by a GS character (so an empty key is still a key).
+def _sql_prefix_dedupe(items: str) -> str:
+    keys = "string_split(split_part(acc, chr(30), 1), chr(29))[2:]"
+    k = "regexp_replace(lower(x), 's+$', '')"
+    step = (f"CASE WHEN len(list_filter({keys}, lambda p: starts_with({k}, p) OR starts_with(p, {k}))) > 0 "
+            f"THEN acc ELSE split_part(acc, chr(30), 1) || chr(29) || {k} || chr(30) "
+            f"|| split_part(acc, chr(30), 2) || chr(29) || x END")
+    return (f"string_split(split_part(list_reduce({items}, lambda acc, x: {step}, chr(30)), chr(30), 2), "
+            f"chr(29))[2:]")
+
+
+SQL_SHORT = f"""(
+SELECT inventory, row_seq, {_strip("coalesce(category, '')")} AS category,
+       {_strip(f"split_part(split_part({_strip('skill')}, ' (', 1), ':', 1)")} AS skill
+FROM {{skills}}
+WHERE lower({_strip("coalesce(have_it, '')")}) = 'yes' AND {_strip("coalesce(skill, '')")} <> ''
+  AND NOT starts_with(lower({_strip("coalesce(category, '')")}), 'certification'))"""
+SQL_ITEMS = f"""(SELECT inventory, category, list(skill ORDER BY row_seq) AS items FROM {SQL_SHORT}
+                 GROUP BY inventory, category)"""
+
+
+def _t7_sql() -> str:
+    pos = "CASE " + " ".join(f"WHEN category = {q(c)} THEN {i}" for i, c in enumerate(SKILL_ORDER)) + " END"
+    return f"""
+SELECT inventory, {pos} AS line_pos,
+       category || ': ' || array_to_string({_sql_prefix_dedupe('items')}[1:{Pr.PER_CATEGORY}], ', ') AS line
+FROM {SQL_ITEMS} WHERE {pos} IS NOT NULL
+UNION ALL
+SELECT inventory, {len(SKILL_ORDER)} AS line_pos, '{Pr.INDUSTRY}: ' || array_to_string(items, ', ') AS line
+FROM {SQL_ITEMS} WHERE category = '{Pr.INDUSTRY}'"""
+
+
+@register("T7_skill_line_order", oracle=_t7_sql())
 def t7(spark, sf):
     return Pr.skill_lines(Pr.short_skills(adapter(spark, sf, "skills")), SKILL_ORDER)
 
 
-@register("S23_prefix_dedupe", oracle=None)
+@register("S23_prefix_dedupe", oracle=f"""
+SELECT inventory, category, array_to_string({_sql_prefix_dedupe('items')}, ', ') AS kept FROM {SQL_ITEMS}""")
 def s23(spark, sf):
     short = Pr.short_skills(adapter(spark, sf, "skills"))
     g = short.groupBy("inventory", "category").agg(F.transform(
