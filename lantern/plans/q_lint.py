@@ -33,7 +33,26 @@ def s17(spark, sf):
     return L.letter_body(bullets(spark, sf))
 
 
-@register("S18_ai_tells", oracle=None)
+def _s18_sql() -> str:
+    """The tells in RE2: Unicode word characters spelled out, and the one
+    look-ahead rule (', not X' unless X is 'only') as a test on the captured
+    words."""
+    parts = []
+    for pat, label in L.AI_TELLS:
+        if "(?!" in pat:
+            words = "regexp_extract_all(body, '(?i),\\s+not\\s+([\\p{{L}}\\p{{N}}_]+)', 1)"
+            cond = f"len(list_filter({words}, lambda w: lower(w) <> 'only')) > 0"
+        else:
+            # RE2's \\b is ASCII; the tells are English phrases beside spaces
+            cond = f"regexp_matches(body, {q('(?i)' + pat)})"
+        parts.append(f"CASE WHEN {cond} THEN {q(label)} END")
+    return f"""
+SELECT letter_id, array_to_string(list_filter([{", ".join(parts)}], lambda x: x IS NOT NULL), ' | ') AS tells
+FROM (SELECT letter_id, string_agg(text, ' ' ORDER BY pos) AS body FROM {SQL_BULLETS}
+      WHERE coalesce(text, '') <> '' GROUP BY letter_id)"""
+
+
+@register("S18_ai_tells", oracle=_s18_sql())
 def s18(spark, sf):
     t = L.ai_tells(L.letter_body(bullets(spark, sf)))
     return t.select("letter_id", F.array_join("tells", " | ").alias("tells"))
@@ -61,7 +80,35 @@ def j9(spark, sf):
     return L.ungrounded_numbers(bullets(spark, sf), L.profile_numbers(profiles(spark, sf)))
 
 
-@register("A13_lint_summary", oracle=None)
+_J9_BODY = """
+n AS (SELECT letter_id, profile_id, pos, text, unnest(regexp_extract_all(coalesce(text, ''), '\\d+(?:\\.\\d+)?', 0)) AS num,
+             generate_subscripts(regexp_extract_all(coalesce(text, ''), '\\d+(?:\\.\\d+)?', 0), 1) - 1 AS k FROM b),
+p AS (SELECT DISTINCT 1 AS profile_id, unnest(regexp_extract_all(lower(text), '\\d+(?:\\.\\d+)?', 0)) AS num FROM benchmark),
+nums AS (SELECT letter_id, pos, k + 1 AS k,
+                'number "' || num || '" is not in the profile: "' || substr(text, 1, 56) || '..."' AS problem
+         FROM n WHERE length(num) >= 2
+           AND NOT EXISTS (SELECT 1 FROM p WHERE p.profile_id = n.profile_id AND p.num = n.num))"""
+
+
+def _a13_sql() -> str:
+    scope = q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")
+    return f"""
+WITH b AS {SQL_BULLETS}, {_J9_BODY},
+scope AS (SELECT letter_id, pos, 0 AS k,
+                 'invented scope "' || regexp_extract(text, {scope}, 0) || '" in: "' || substr(text, 1, 56) || '..."'
+                   AS problem
+          FROM b WHERE regexp_matches(coalesce(text, ''), {scope})),
+claims AS (SELECT letter_id, string_agg(problem, '; ' ORDER BY pos, k) AS claims
+           FROM (SELECT * FROM scope UNION ALL SELECT * FROM nums) GROUP BY letter_id),
+t AS ({_s18_sql()}),
+tl AS (SELECT letter_id, array_to_string(list_transform(list_filter(string_split(tells, ' | '), lambda x: x <> ''),
+                                                        lambda x: 'AI tell: ' || x), '; ') AS tl FROM t)
+SELECT tl.letter_id, concat_ws('; ', c.claims, nullif(tl.tl, '')) AS problems,
+       c.claims IS NULL AND tl.tl = '' AS clean
+FROM tl LEFT JOIN claims c ON c.letter_id = tl.letter_id"""
+
+
+@register("A13_lint_summary", oracle=_a13_sql())
 def a13(spark, sf):
     return L.lint_summary(bullets(spark, sf), profiles(spark, sf))
 
