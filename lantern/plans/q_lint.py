@@ -33,7 +33,7 @@ def s17(spark, sf):
     return L.letter_body(bullets(spark, sf))
 
 
-def _s18_sql() -> str:
+def _s18_sql(bullets_sql: str = None) -> str:
     """The tells in RE2: Unicode word characters spelled out, and the one
     look-ahead rule (', not X' unless X is 'only') as a test on the captured
     words."""
@@ -48,7 +48,7 @@ def _s18_sql() -> str:
         parts.append(f"CASE WHEN {cond} THEN {q(label)} END")
     return f"""
 SELECT letter_id, array_to_string(list_filter([{", ".join(parts)}], lambda x: x IS NOT NULL), ' | ') AS tells
-FROM (SELECT letter_id, string_agg(text, ' ' ORDER BY pos) AS body FROM {SQL_BULLETS}
+FROM (SELECT letter_id, string_agg(text, ' ' ORDER BY pos) AS body FROM {bullets_sql or SQL_BULLETS}
       WHERE coalesce(text, '') <> '' GROUP BY letter_id)"""
 
 
@@ -90,17 +90,17 @@ nums AS (SELECT letter_id, pos, k + 1 AS k,
            AND NOT EXISTS (SELECT 1 FROM p WHERE p.profile_id = n.profile_id AND p.num = n.num))"""
 
 
-def _a13_sql() -> str:
+def _a13_sql(bullets_sql: str = None) -> str:
     scope = q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")
     return f"""
-WITH b AS {SQL_BULLETS}, {_J9_BODY},
+WITH b AS {bullets_sql or SQL_BULLETS}, {_J9_BODY},
 scope AS (SELECT letter_id, pos, 0 AS k,
                  'invented scope "' || regexp_extract(text, {scope}, 0) || '" in: "' || substr(text, 1, 56) || '..."'
                    AS problem
           FROM b WHERE regexp_matches(coalesce(text, ''), {scope})),
 claims AS (SELECT letter_id, string_agg(problem, '; ' ORDER BY pos, k) AS claims
            FROM (SELECT * FROM scope UNION ALL SELECT * FROM nums) GROUP BY letter_id),
-t AS ({_s18_sql()}),
+t AS ({_s18_sql(bullets_sql)}),
 tl AS (SELECT letter_id, array_to_string(list_transform(list_filter(string_split(tells, ' | '), lambda x: x <> ''),
                                                         lambda x: 'AI tell: ' || x), '; ') AS tl FROM t)
 SELECT tl.letter_id, concat_ws('; ', c.claims, nullif(tl.tl, '')) AS problems,

@@ -78,17 +78,29 @@ def w8(spark, sf):
     return S.word_budget(capped, other).select("resume_id", "role_pos", "bullet_idx")
 
 
-@register("M7_shape_resume", oracle=None)
+SQL_BUDGET_TEXT = SQL_BUDGET.replace("SELECT resume_id, role_pos, bullet_idx FROM r",
+                                     "SELECT resume_id, role_pos, bullet_idx, text FROM r")
+
+
+@register("M7_shape_resume", oracle=f"""
+SELECT s.resume_id, s.summary, coalesce(k.bullets, '') AS bullets, coalesce(k.n, 0) AS n_bullets
+FROM {SQL_TRIM} s LEFT JOIN (
+  SELECT resume_id, string_agg(text, chr(10) ORDER BY role_pos, bullet_idx, text) AS bullets, count(*) AS n
+  FROM ({SQL_BUDGET_TEXT}) GROUP BY resume_id) k ON k.resume_id = s.resume_id""")
 def m7(spark, sf):
-    """W9 -> W7 -> W8 composed; one row per resume with its shaped bullets in
-    order and the word totals."""
+    """W9 -> W7 -> W8 composed: per resume the trimmed summary and the kept
+    bullets in order (one text, newline-separated) with their count."""
     capped = S.cap_bullets(_bullets(spark, sf))
     summ = _summary(spark, sf)
     other = summ.select("resume_id", word_count(F.col("summary")).alias("words"))
     kept = S.word_budget(capped, other)
     per = kept.groupBy("resume_id").agg(
-        F.array_sort(F.collect_list(F.struct("role_pos", "bullet_idx", "text"))).alias("bullets"))
-    return summ.join(per, "resume_id", "left")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role_pos", "bullet_idx", "text"))),
+                                 lambda x: x["text"]), "\n").alias("bullets"),
+        F.count(F.lit(1)).alias("n"))
+    return summ.join(per, "resume_id", "left").select(
+        "resume_id", "summary", F.coalesce("bullets", F.lit("")).alias("bullets"),
+        F.coalesce("n", F.lit(0)).alias("n_bullets"))
 
 
 @register("W10_unique_name", oracle="""

@@ -280,16 +280,17 @@ SELECT item_id AS acc_id, regexp_extract(text, '^[^.!?]*', 0) AS title FROM {ben
 
 
 # Resumes: a customer is a resume, each order a role (newest first), each line
-# item a bullet whose text names the part, its type, brand and quantity; the
+# item a bullet (numbered by its rank in the order, since the generated line
+# numbers repeat) whose text names the part, its type, brand and quantity; the
 # summary is the customer's matching document text (first 900 characters).
 RESUME_BULLETS = """
 SELECT o.o_custkey AS resume_id, o.o_orderkey AS role_key, o.o_orderdate AS role_date,
-       CAST(l.l_linenumber - 1 AS INT) AS bullet_idx,
+       CAST(l.item - 1 AS INT) AS bullet_idx,
        'Delivered ' || p.p_name || ' programmes for ' || p.p_type || ' clients of ' || p.p_brand
          || ' across ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' sites, cutting cost by '
          || CAST(CAST(l.l_discount * 100 AS INT) AS STRING) || ' percent while the team grew and shipped '
          || CAST(CAST(floor(l.l_extendedprice) AS BIGINT) AS STRING) || ' units on time' AS text
-FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey
+FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey
 """
 RESUME_SUMMARY = """
 SELECT c.c_custkey AS resume_id, substr(coalesce(d.text, c.c_name), 1, 900) AS summary
