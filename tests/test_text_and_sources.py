@@ -109,3 +109,20 @@ def test_title_rules_and_csv(spark):
                 'Beta,X,Y,,z\n')
     got = rows(N.read_posting_csv(spark, p), "company", "title", "description_html")
     assert got == [("Acme", "Data, Sci", "line1\nline2")]
+
+
+def test_safe_name(spark):
+    df = spark.createDataFrame([("Measurement &amp; Insights: <Lead>/Data?  Team",)], "v string")
+    assert rows(df.select(X.safe_name("v")))[0][0] == "Measurement & Insights LeadData Team"
+
+
+def test_brief_sections_in_order(spark):
+    import __spark_entry__ as E
+    from lantern.operators.brief import brief_text
+    from tests.conftest import SF001
+    text = rows(brief_text(E.queries()["K7_brief"](spark, SF001)))[0][0]
+    heads = [ln for ln in text.split("\n") if ln.startswith("#")]
+    assert heads[0].startswith("# Morning brief — ")
+    order = [h.split(" (")[0] for h in heads[1:]]
+    assert order.index("## Last run") < order.index("## Ready to apply") < order.index("## Gone quiet") \
+        < order.index("## Totals")
