@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table_path
+from . import bpe, token_records
+from .common import fresh_dir, table_path
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_common_lines
 from .sharding import assign_shards
@@ -16,10 +17,32 @@ LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 SHARD_BYTES = 1 << 20
 
 
+END_ID = 1
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabularies are; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, table))
 
 
+def op1_token_records(spark, sf_dir):
+    """Documents as token records, written, indexed and read back."""
+    path = fresh_dir(spark, "token-records")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    token_records.write_records(docs, f"{path}/data", tokenizer_path("word_bpe_49k.json"), END_ID)
+    token_records.write_index(spark, f"{path}/data", f"{path}/index")
+    first = spark.read.parquet(f"{path}/index/files")
+    records = token_records.read_records(spark, f"{path}/data").join(first, "file_no")
+    return records.select(F.col("id").alias("doc_id"), (F.col("first") + F.col("file_start")).alias("start"), "n_tokens",
+                          F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_sharding(spark, sf_dir):
     """Shards of at most 1 MiB of text by extendible hashing of doc_id."""
     out = assign_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"), limit_bytes=SHARD_BYTES)
@@ -53,6 +76,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
+def op6_bpe(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = bpe.build_lexicon(docs, tokenizer_path("byte_bpe_50k.json"))
+    out = bpe.decode(bpe.encode(docs, lexicon), lexicon)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_line_dedup(spark, sf_dir):
     out = drop_common_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
@@ -71,8 +102,10 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": op1_token_records,
     "op2_sharding": op2_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
