@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, digest128
+from .common import WS, ascii_lower, digest128, landed
 
 
 def line_keys(text: Column) -> Column:
@@ -53,8 +53,10 @@ def drop_common_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     h1, h2 = digest128(F.col("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select(
         "__k1", "__k2", "pos", h1.alias("h1"), h2.alias("h2"))
+    # landed, so that the join reads two plain exchanges and a hot line can be split
+    common = landed(frequent_keys(df, text_col, min_docs, min_chars), "frequent-lines")
     # collect_set: identical rows share their key, and the set never outgrows one document
-    dropped = (lines.join(frequent_keys(df, text_col, min_docs, min_chars), ["h1", "h2"], "left_semi")
+    dropped = (lines.join(common, ["h1", "h2"], "left_semi")
                .groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__drop")))
 
     # the join stands between the split and its uses, so no line array is built per element

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_records
+from . import bpe, language_id, token_records
 from .common import fresh_dir, table_path
+from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_common_lines
+from .near_dup import near_duplicates
 from .sharding import assign_shards
 
 LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,6 +67,19 @@ SELECT doc_id, shard, depth, n_bytes, shard_bytes, shard_rows FROM fit WHERE r =
 """
 
 
+def op3_language_id(spark, sf_dir):
+    """Learned from text and lang of the rows that are not held out; predicted for all."""
+    docs, out = _read(spark, sf_dir, "documents"), language_id.held_out()
+    sample = language_id.training_sample(docs.where(~out))
+    return language_id.identify(docs.select("doc_id", "text", out.alias("held_out")), sample).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item with edits in 5 % of its characters at most."""
+    return find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     out = exact_dedup(spark, table_path(sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -84,6 +100,12 @@ def op6_bpe(spark, sf_dir):
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_near_dup(spark, sf_dir):
+    """Documents linked at 85 % of their 3-word shingles or more."""
+    out = near_duplicates(_read(spark, sf_dir, "documents"), size=3, threshold=Fraction(85, 100))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op10_line_dedup(spark, sf_dir):
     out = drop_common_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
@@ -104,8 +126,11 @@ FROM m GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op8_near_dup": op8_near_dup,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
