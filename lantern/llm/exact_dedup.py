@@ -53,7 +53,9 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, id_col: str =
     conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300"}
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+            # a store's local files go when its task has committed to the shared folder
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -79,29 +81,26 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, i
         state = spark.createDataFrame([], "digest string, keep struct<id:bigint,file:string,row:bigint>, n bigint")
     else:
         state = update_state(spark, path, checkpoint, id_col, text_col, digest, bytes_per_batch)
+    state = landed(state, "exact-digests")
     docs = _located(spark.read.parquet(path), id_col, text_col, digest)
-    seen = docs.join(state, "digest")
-    # the texts of rows that stay, for groups of two or more; both sides use one shuffle of docs
-    keeper = seen.where((F.col("n") > 1) & F.col("who").eqNullSafe(F.col("keep"))).select(
-        "digest", F.col("norm").alias("keep_norm"))
-    checked = landed(
-        seen.join(keeper, "digest", "left").select(
-            "digest", "who", "keep", "n",
-            ((F.col("n") == 1) | (F.col("norm") == F.col("keep_norm"))).alias("same")), "exact-checked")
-    other = checked.where(~F.col("same"))
-    if not other.isEmpty():
-        checked = _regroup(checked, docs)
-    return checked.select(
+    seen = landed(docs.select("digest", "who").join(state, "digest"), "exact-seen")
+    # whole texts travel only for digests that two rows or more share
+    hits = landed(docs.join(state.where("n > 1").select("digest", "keep"), "digest"), "exact-hits")
+    keeper = hits.where(F.col("who").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("keep_norm"))
+    strays = landed(hits.join(keeper, "digest").where("norm <> keep_norm").select("digest", "who", "norm"), "exact-strays")
+    if not strays.isEmpty():
+        seen = _regroup(seen, strays)
+    return seen.select(
         F.col("who.id").alias("id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("who").eqNullSafe(F.col("keep")).alias("kept"), "digest",
         F.col("who.file").alias("file"), F.col("who.row").alias("row"))
 
 
-def _regroup(checked: DataFrame, docs: DataFrame) -> DataFrame:
+def _regroup(seen: DataFrame, strays: DataFrame) -> DataFrame:
     """Rows that share a digest but not the bytes of the row that stays: by whole text."""
-    strays = checked.where(~F.col("same")).groupBy("digest").agg(F.count("*").alias("gone"))
-    good = checked.where("same").join(strays, "digest", "left").withColumn(
-        "n", F.col("n") - F.coalesce(F.col("gone"), F.lit(0))).select("digest", "who", "keep", "n")
-    rows = docs.join(checked.where(~F.col("same")).select("digest", "who"), ["digest", "who"])
-    groups = rows.groupBy("digest", "norm").agg(F.max("who").alias("keep"), F.count("*").alias("n"))
-    return good.unionByName(rows.join(groups, ["digest", "norm"]).select("digest", "who", "keep", "n"))
+    gone = strays.groupBy("digest").agg(F.count("*").alias("gone"))
+    groups = landed(strays.groupBy("digest", "norm").agg(F.max("who").alias("keep"), F.count("*").alias("n")), "exact-regrouped")
+    moved = landed(strays.join(groups, ["digest", "norm"]).select("digest", "who", "keep", "n"), "exact-moved")
+    good = seen.join(moved.select("digest", "who"), ["digest", "who"], "left_anti").join(gone, "digest", "left")
+    good = good.select("digest", "who", "keep", (F.col("n") - F.coalesce(F.col("gone"), F.lit(0))).alias("n"))
+    return good.unionByName(moved)
