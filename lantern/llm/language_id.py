@@ -203,3 +203,11 @@ def identify(df: DataFrame, sample: dict[str, str], text_col: str = "text") -> D
                          StructField("score", DoubleType()), StructField("phrase_chars", DoubleType())])
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(lettered)
     return df.select(*rest, has_letter).mapInArrow(run, schema)
+
+
+def drop_unidentified(df: DataFrame, sample: dict[str, str], text_col: str = "text", min_phrase: float = 1.5) -> DataFrame:
+    """``df`` without the rows that are in no learned language: ``und``, or parsed into
+    phrases of under ``min_phrase`` characters on average, as other scripts are (each
+    foreign letter is a phrase of its own; text of a learned language has 4 and more)."""
+    out = identify(df, sample, text_col)
+    return out.where((F.col("lang_pred") != UND) & (F.col("phrase_chars") >= min_phrase)).select(*df.columns)

@@ -206,3 +206,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.when(F.col("id").isNotNull(), component)
     return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+    """``df`` with one document, the smallest id, of each component. Rows that repeat an
+    id stay or go together; rows without an id stay."""
+    kept = near_duplicates(df, id_col, **params).where("kept AND id IS NOT NULL").select(F.col("id").alias("__kept")).distinct()
+    stays = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    return stays.unionByName(df.where(F.col(id_col).isNull()))

@@ -8,8 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, token_records
-from .common import fresh_dir, table_path
+from . import bpe, chat_format, language_id, page_text, token_records
+from .common import fresh_dir, landed, table_path
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .line_dedup import drop_common_lines
@@ -100,12 +100,26 @@ def op6_bpe(spark, sf_dir):
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_page_text(spark, sf_dir):
+    return page_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_near_dup(spark, sf_dir):
     """Documents linked at 85 % of their 3-word shingles or more."""
     out = near_duplicates(_read(spark, sf_dir, "documents"), size=3, threshold=Fraction(85, 100))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+#: A conversation whose texts are control strings.
+MARKED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat_format(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(MARKED, turns.schema))
+    return chat_format.digests(landed(chat_format.format_turns(turns), "chat-turns"))
+
+
 def op10_line_dedup(spark, sf_dir):
     out = drop_common_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
@@ -130,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_page_text": op7_page_text,
     "op8_near_dup": op8_near_dup,
+    "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
