@@ -112,17 +112,20 @@ class CrossParser:
         self.code = np.array([of.get(ch.lower(), 0) if (ch := chr(i)).isalpha() else 1 for i in range(0x110000)],
                              np.uint8 if sigma < 256 else np.uint16)
         # A transition holds target * sigma. Where none exists the phrase ends: the entry
-        # is the state after the character alone, plus a bit that marks the end.
+        # is the state after the character alone, plus a bit that marks the end. One more
+        # state follows a character that the language does not have; nothing goes on from it.
         parts, base, self.roots = [], 0, []
         for t in texts:
             step = suffix_automaton([of[ch] for ch in t], sigma)
-            root = np.where(step[0] < 0, 0, step[0])
-            full = np.where(step < 0, -1, (base + step) * sigma)
-            parts.append(np.where(full < 0, (base + root) * sigma, full) + np.where(full < 0, 1 << 30, 0))
+            alone = np.where(step[0] < 0, len(step), step[0])
+            step = np.vstack([alone, step[1:], np.full(sigma, -1, np.int32)])
+            parts.append(np.where(step < 0, (base + alone) * sigma + (1 << 30), (base + step) * sigma))
             self.roots.append(base * sigma)
             base += len(step)
         self.sigma = sigma
-        self.table = np.concatenate(parts).astype(np.int64).ravel().astype(np.int32)
+        if base * sigma >= 1 << 30:
+            raise ValueError("the samples are too long for one table; lower chars_per_lang")
+        self.table = np.concatenate(parts).astype(np.int32).ravel() if parts else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language (texts x languages), and the lengths
