@@ -129,6 +129,11 @@ def board_link(body, message_id) -> Column:
     return F.coalesce(F.get(real, 0), F.concat(F.lit("imap://"), _c(message_id).cast("string")))
 
 
+def content_hash(x) -> Column:
+    """The whole sha1, for keys."""
+    return F.sha1(F.coalesce(_c(x), F.lit("")).cast("binary"))
+
+
 def short_hash(x) -> Column:
     """First 12 hex characters of sha1."""
     return F.substring(F.sha1(F.coalesce(_c(x), F.lit("")).cast("binary")), 1, 12)

@@ -52,15 +52,15 @@ def apply_scorer(postings: DataFrame, scorer, schema: str) -> DataFrame:
 
 # The scoring prompt's posting part and the letter's fixed
 # paragraphs (placeholders, overwritten from configuration).
-DESCRIPTION_CHARS = 4000
 
-
-def prompt_table(postings: DataFrame) -> DataFrame:
+def prompt_table(postings: DataFrame, max_chars: int | None = None) -> DataFrame:
     """M1: the posting part of the scoring prompt for each posting (the
     profile part is the same for every posting, so it is kept once in a
-    broadcast profile table rather than concatenated into shuffled rows)."""
+    broadcast profile table rather than concatenated into shuffled rows).
+    The whole description, or its first ``max_chars`` characters."""
     from lantern.functions.text import strip_html
-    desc = F.substring(strip_html(F.col("description_html")), 1, DESCRIPTION_CHARS)
+    desc = strip_html(F.col("description_html"))
+    desc = desc if max_chars is None else F.substring(desc, 1, max_chars)
     text = F.concat(F.lit("JOB POSTING:\nTitle: "), F.coalesce("title", F.lit("")), F.lit("\nCompany: "),
                     F.coalesce("company", F.lit("")), F.lit("\nLocation: "), F.coalesce("location", F.lit("")),
                     F.lit("\nDescription: "), desc)

@@ -17,7 +17,6 @@ BULLETS_BY_POSITION = [6, 6, 3, 3, 5, 3]
 BULLETS_TAIL = 2
 MAX_RESUME_WORDS = 900
 MAX_SUMMARY_WORDS = 80
-MAX_DROPS = 40
 
 
 def summary_trim(summary, max_words: int = MAX_SUMMARY_WORDS) -> Column:
@@ -55,9 +54,9 @@ def cap_bullets(bullets: DataFrame) -> DataFrame:
 
 
 def word_budget(bullets: DataFrame, other_words: DataFrame, max_words: int = MAX_RESUME_WORDS,
-                max_drops: int = MAX_DROPS) -> DataFrame:
+                max_drops: int | None = None) -> DataFrame:
     """Drop bullets from the oldest role's end (never a role's first
-    bullet) while the resume is over ``max_words``, at most ``max_drops``.
+    bullet) while the resume is over ``max_words`` (at most ``max_drops`` bullets, if given).
 
     The loop is a removal order (role desc, bullet desc, bullet > 0): the r-th
     candidate goes iff r <= max_drops and the total minus the words of the
@@ -77,7 +76,9 @@ def word_budget(bullets: DataFrame, other_words: DataFrame, max_words: int = MAX
     before = F.coalesce(F.sum(F.when(cand, F.col("_w")).otherwise(0))
                         .over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     b = b.withColumn("_rank", rank).withColumn("_before", before)
-    drop = cand & (F.col("_rank") <= max_drops) & ((F.col("_total") - F.col("_before")) > max_words)
+    drop = cand & ((F.col("_total") - F.col("_before")) > max_words)
+    if max_drops is not None:
+        drop = drop & (F.col("_rank") <= max_drops)
     return b.where(~drop).drop("_w", "_total", "_rank", "_before")
 
 

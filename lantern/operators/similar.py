@@ -15,10 +15,11 @@ test then runs on the candidate pairs only.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.session import cut_lineage
+
 WORD = "[a-z]{4,}"
 
 
@@ -38,6 +39,16 @@ def _ranked(df: DataFrame, id_col: str, words_col: str, freq: DataFrame) -> Data
 
 def near_duplicates(new: DataFrame, accomplishments: DataFrame, bullets: DataFrame,
                     jaccard: float = 0.5) -> DataFrame:
+    """J8 (see ``_match``), with one row matched for each distinct word set: the
+    answer depends on the set alone, and lines repeat a lot."""
+    keyed = new.select("new_id", F.array_join(F.array_sort(word_set(F.col("text"))), " ").alias("_set")).where("_set <> ''")
+    sets = cut_lineage(keyed.select(F.col("_set").alias("new_id"), F.col("_set").alias("text")).distinct())
+    found = _match(sets, accomplishments, bullets, jaccard).withColumnRenamed("new_id", "_set")
+    return keyed.join(found, "_set").select("new_id", "kind", "match_id", "matched")
+
+
+def _match(new: DataFrame, accomplishments: DataFrame, bullets: DataFrame,
+                    jaccard: float = 0.5) -> DataFrame:
     """For each ``new`` row (new_id, text) the first accomplishment
     (acc_id order) whose title word set has Jaccard > ``jaccard``, else the
     first bullet (bullet_id order) sharing >= max(3, 0.6*|new|) words; output

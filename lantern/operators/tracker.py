@@ -195,12 +195,13 @@ def tracker_totals(rows: DataFrame) -> DataFrame:
 
 
 def upsert_scored(history: DataFrame, new: DataFrame, keys=("posting_id",),
-                  order: str = "batch_seq") -> DataFrame:
+                  order=("batch_seq",)) -> DataFrame:
     """K1: merge by ``keys`` (default posting_id alone), new wins, all history
-    kept. Union + ``max_by`` per key: one shuffle, skew-safe."""
+    kept (the largest ``order`` columns of a key). Union + ``max_by`` per
+    key: one shuffle, skew-safe."""
     both = history.unionByName(new, allowMissingColumns=True)
     return (both.groupBy(*keys)
-            .agg(F.max_by(F.struct(*[F.col(c) for c in both.columns]), F.col(order)).alias("_r"))
+            .agg(F.max_by(F.struct(*[F.col(c) for c in both.columns]), F.struct(*order)).alias("_r"))
             .select("_r.*"))
 
 

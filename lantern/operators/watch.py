@@ -1,11 +1,9 @@
 """Company watchlist matching (J5) and canonical employer order.
 
 Both are theta joins ("a is a prefix of b", "a occurs in b") turned into
-equi-joins. J5: a watched short name is a prefix of the found name (join the
-found name's prefix of each watched length) or the found name is a prefix of
-the short name (join on the found name against every prefix of the short
-names; the watch list is configuration, so its prefixes are few and
-broadcast behind a size check). J6: a canonical employer occurring in a
+equi-joins. J5: the prefixes of the found name are joined with the watched short
+names, and the prefixes of the short names with the found name; one path for a
+watch list of any length. J6: a canonical employer occurring in a
 generated company name (or the reverse) shares its first (up to) 4 characters
 with one of the name's grams of that length, per profile.
 """
@@ -17,8 +15,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_WATCH = 100000
-
 
 def watch_short(name: str) -> str:
     """The compact key of a watched company: a few suffix words removed."""
@@ -39,27 +35,14 @@ def watchlist_matches(found: DataFrame, watch: DataFrame, key: str = "key") -> D
     (``seq``). ``found`` needs key, seq, company; ``watch`` is watch_table."""
     f = (found.withColumn("_found", F.regexp_replace(F.lower(F.coalesce("company", F.lit(""))), "[^a-z0-9]", ""))
          .where(F.col("_found") != ""))
-    n_watch = watch.count()
-    small = n_watch <= MAX_BROADCAST_WATCH
-    w = watch.withColumn("_len", F.length("short"))
-    wb = F.broadcast(w) if small else w
-    # (a) short is a prefix of found: cut found at each watched length (the
-    # distinct lengths of a size-checked watch list: a handful of numbers)
-    lengths = [r[0] for r in w.select("_len").distinct().collect()] if small else None
-    if lengths is not None:
-        cut = f.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])))
-    else:
-        cut = f.join(w.select("_len").distinct(), F.length("_found") >= F.col("_len"))
-    a = (cut.where(F.length("_found") >= F.col("_len"))
-         .withColumn("_p", F.expr("substring(_found, 1, _len)"))
-         .join(wb.select("watch_idx", "watched", F.col("short").alias("_p"), "_len"), ["_p", "_len"])
-         .drop("_p", "_len"))
-    # (b) found is a prefix of short: every prefix of every short name
-    pref = (w.select("watch_idx", "watched", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("short"), F.lit(1))),
-        lambda i: F.substring("short", 1, i))).alias("_found"))
-        .where(F.length("_found") > 0))
-    b = f.join(F.broadcast(pref) if small else pref, "_found")
+    # (a) short is a prefix of found: found's prefixes, one row each, on equality
+    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.col(c).substr(F.lit(1), i))
+    a = (f.withColumn("_p", F.explode(prefixes("_found")))
+         .join(watch.select("watch_idx", "watched", F.col("short").alias("_p")), "_p").drop("_p"))
+    # (b) found is a proper prefix of short: the watched names' prefixes, the same way
+    pref = (watch.select("watch_idx", "watched", "short", F.explode(prefixes("short")).alias("_found"))
+            .where((F.col("_found") != "") & (F.col("_found") != F.col("short"))).drop("short"))
+    b = f.join(pref, "_found")
     both = a.unionByName(b.select(*a.columns))
     cols = [c for c in found.columns]
     return (both.groupBy(key)

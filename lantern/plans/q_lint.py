@@ -123,7 +123,7 @@ def letters(spark, sf):
     line are legacy prose letters."""
     d = read_table(spark, sf, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    groups = F.transform(lines, lambda ln: F.struct(F.substring(ln, 1, 30).alias("header"),
+    groups = F.transform(lines, lambda ln: F.struct(ln.alias("header"),
                                                     F.split(ln, "[.!?] ").alias("bullets")))
     one = F.size(lines) <= 1
     return d.select(F.col("doc_id").alias("letter_id"),
@@ -168,7 +168,7 @@ WITH l AS (
 g AS (
   SELECT letter_id,
          CASE WHEN len(lines) <= 1 THEN [] ELSE list_transform(lines, lambda ln: struct_pack(
-              header := substr(ln, 1, 30), bullets := string_split_regex(ln, '[.!?] '))) END AS groups,
+              header := ln, bullets := string_split_regex(ln, '[.!?] '))) END AS groups,
          CASE WHEN len(lines) <= 1 THEN lines ELSE []::VARCHAR[] END AS paragraphs
   FROM l),
 x AS (

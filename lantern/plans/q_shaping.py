@@ -57,7 +57,7 @@ r AS (SELECT b.*, t.total,
             ORDER BY role_pos DESC, bullet_idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef
       FROM b JOIN tot t ON t.resume_id = b.resume_id)
 SELECT resume_id, role_pos, bullet_idx FROM r
-WHERE NOT (bullet_idx > 0 AND rnk <= 40 AND total - bef > 900)
+WHERE NOT (bullet_idx > 0 AND total - bef > 900)
 """
 
 
@@ -106,11 +106,11 @@ def m7(spark, sf):
 @register("W10_unique_name", oracle="""
 SELECT ingest_seq, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS name FROM (
   SELECT ingest_seq, base, row_number() OVER (PARTITION BY base ORDER BY ingest_seq) AS n FROM (
-    SELECT ingest_seq, regexp_replace(lower(company || '_' || substr(title, 1, 12)), '[^a-z0-9_]', '', 'g') AS base
+    SELECT ingest_seq, regexp_replace(lower(company || '_' || title), '[^a-z0-9_]', '', 'g') AS base
     FROM {postings}))""")
 def w10(spark, sf):
     p = adapter(spark, sf, "postings")
-    base = F.regexp_replace(F.lower(F.concat("company", F.lit("_"), F.substring("title", 1, 12))), "[^a-z0-9_]", "")
+    base = F.regexp_replace(F.lower(F.concat("company", F.lit("_"), "title")), "[^a-z0-9_]", "")
     return S.unique_names(p, base).select("ingest_seq", "name")
 
 

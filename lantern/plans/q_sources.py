@@ -156,7 +156,7 @@ SELECT 'smartrecruiters' AS source, lower(company) AS company, title,
        CASE WHEN ingest_seq % 3 = 0
             THEN 'https://jobs.smartrecruiters.com/' || lower(company) || '/' || CAST(ingest_seq AS VARCHAR)
             ELSE url END AS url,
-       company || ' ' || substr(description_html, 1, 200) AS description_html,
+       company || ' ' || description_html AS description_html,
        CAST(ingest_seq AS VARCHAR) AS posting_id
 FROM {{postings}} WHERE {__import__('lantern.plans.q_intake', fromlist=['SQL_P1']).SQL_P1}""")
 def r5(spark, sf):
@@ -173,7 +173,7 @@ def r5(spark, sf):
                           F.lit("companyDescription"), F.struct(F.lit("About").alias("title"),
                                                                 F.col("company").alias("text")),
                           F.lit("jobDescription"), F.struct(F.lit("Job").alias("title"),
-                                                            F.substring("description_html", 1, 200).alias("text"))
+                                                            F.col("description_html").alias("text"))
                       ).alias("sections")).alias("jobAd"))
     out = N.normalise_smartrecruiters(_read(spark, listing, "srl", N.SMARTRECRUITERS_LIST_SCHEMA),
                                       _read(spark, detail, "srd", N.SMARTRECRUITERS_DETAIL_SCHEMA), KEYWORDS)
@@ -202,26 +202,26 @@ def r6(spark, sf):
 
 
 @register("R7_jooble", oracle="""
-SELECT 'jooble' AS source, company, title, location, url, substr(description_html, 1, 100) AS description_html,
+SELECT 'jooble' AS source, company, title, location, url, description_html AS description_html,
        CASE WHEN ingest_seq % 4 = 0 THEN url ELSE posting_id END AS posting_id FROM {postings}""")
 def r7(spark, sf):
     p = _p(spark, sf)
     jb = p.select(F.array(F.struct(
         F.when(_seq_mod(4) == 0, F.lit(None)).otherwise(F.col("posting_id")).alias("id"), "title", "company",
-        "location", F.col("url").alias("link"), F.substring("description_html", 1, 100).alias("snippet")))
+        "location", F.col("url").alias("link"), F.col("description_html").alias("snippet")))
         .alias("jobs"))
     return N.normalise_jooble(_read(spark, jb, "jooble", N.JOOBLE_SCHEMA)).select(*OUT)
 
 
 @register("R8_adzuna", oracle="""
-SELECT 'adzuna' AS source, company, title, location, url, substr(description_html, 1, 100) AS description_html,
+SELECT 'adzuna' AS source, company, title, location, url, description_html AS description_html,
        posting_id FROM {postings}""")
 def r8(spark, sf):
     p = _p(spark, sf)
     az = p.select(F.array(F.struct(
         F.col("posting_id").alias("id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.col("location").alias("display_name")).alias("location"), F.col("url").alias("redirect_url"),
-        F.substring("description_html", 1, 100).alias("description"))).alias("results"))
+        F.col("description_html").alias("description"))).alias("results"))
     return N.normalise_adzuna(_read(spark, az, "adzuna", N.ADZUNA_SCHEMA)).select(*OUT)
 
 
@@ -242,7 +242,7 @@ def r9(spark, sf):
 SELECT 'jobicy' AS source, company, title,
        CASE WHEN starts_with(location, 'Remote') THEN 'Remote' ELSE 'Remote (' || location || ')' END AS location,
        url,
-       CASE WHEN ingest_seq % 2 = 0 THEN substr(description_html, 1, 80) ELSE 'excerpt' END
+       CASE WHEN ingest_seq % 2 = 0 THEN description_html ELSE 'excerpt' END
        || CASE WHEN ingest_seq % 3 = 0 THEN ''
                ELSE ' [' || CASE WHEN ingest_seq % 5 = 0 THEN 'USD' ELSE 'EUR' END || ' '
                     || CAST(50000 + ingest_seq AS VARCHAR) || '-' || CAST(90000 + ingest_seq AS VARCHAR)
@@ -254,7 +254,7 @@ def r10(spark, sf):
         F.col("ingest_seq").cast("string").alias("id"), F.col("title").alias("jobTitle"),
         F.col("company").alias("companyName"),
         F.when(F.col("location").startswith("Remote"), F.lit("")).otherwise(F.col("location")).alias("jobGeo"),
-        "url", F.when(_seq_mod(2) == 0, F.substring("description_html", 1, 80)).otherwise(F.lit(""))
+        "url", F.when(_seq_mod(2) == 0, F.col("description_html")).otherwise(F.lit(""))
         .alias("jobDescription"), F.lit("excerpt").alias("jobExcerpt"),
         F.when(_seq_mod(3) == 0, F.lit(None)).otherwise((F.col("ingest_seq") + 50000).cast("string"))
         .alias("salaryMin"), (F.col("ingest_seq") + 90000).cast("string").alias("salaryMax"),
@@ -265,14 +265,14 @@ def r10(spark, sf):
 
 @register("R11_careerjet", oracle="""
 SELECT 'careerjet' AS source, company, title, location, url,
-       substr(description_html, 1, 80) || CASE WHEN ingest_seq % 2 = 0 THEN ' [$' || CAST(ingest_seq AS VARCHAR) || ']'
+       description_html || CASE WHEN ingest_seq % 2 = 0 THEN ' [$' || CAST(ingest_seq AS VARCHAR) || ']'
                                               ELSE '' END AS description_html,
-       substr(sha1(url), 1, 12) AS posting_id FROM {postings}""")
+       sha1(url) AS posting_id FROM {postings}""")
 def r11(spark, sf):
     p = _p(spark, sf)
     cj = p.select(F.array(F.struct(
         "title", "company", F.col("location").alias("locations"), "url",
-        F.substring("description_html", 1, 80).alias("description"),
+        F.col("description_html").alias("description"),
         F.when(_seq_mod(2) == 0, F.concat(F.lit("$"), F.col("ingest_seq").cast("string"))).alias("salary")))
         .alias("jobs"))
     return N.normalise_careerjet(_read(spark, cj, "careerjet", N.CAREERJET_SCHEMA)).select(*OUT)
@@ -282,7 +282,7 @@ def r11(spark, sf):
 SELECT 'linkedin' AS source, company, title, location,
        CASE WHEN ingest_seq % 4 = 0 THEN 'https://www.linkedin.com/jobs/view/' || jid ELSE url END AS url,
        CASE WHEN ingest_seq % 2 = 0 THEN 'Salary: $100K/yr' || chr(10) || chr(10) ELSE '' END
-         || substr(description_html, 1, 60) AS description_html,
+         || description_html AS description_html,
        jid AS posting_id
 FROM (SELECT *, CASE WHEN ingest_seq % 3 = 0 THEN 'J' || CAST(ingest_seq AS VARCHAR) ELSE posting_id END AS jid
       FROM {postings})""")
@@ -293,7 +293,7 @@ def r12(spark, sf):
         F.when(_seq_mod(3) == 0, F.concat(F.lit("J"), F.col("ingest_seq").cast("string"))).alias("jobId"),
         F.when(_seq_mod(4) == 0, F.lit(None)).otherwise(F.col("url")).alias("url"), "title",
         F.when(_seq_mod(5) == 0, F.lit(None)).otherwise(F.col("company")).alias("companyName"),
-        F.col("company"), "location", F.substring("description_html", 1, 60).alias("description"),
+        F.col("company"), "location", F.col("description_html").alias("description"),
         F.when(_seq_mod(2) == 0, F.lit("$100K/yr")).alias("salary"))
     return N.normalise_linkedin(_read(spark, li, "linkedin", N.LINKEDIN_SCHEMA)).select(*OUT)
 
@@ -306,9 +306,9 @@ SELECT 'indeed' AS source, company, title,
        url,
        CASE WHEN ingest_seq % 2 = 0 THEN 'Salary: $' || format('{{:,}}', 100000 + ingest_seq) || ' - $'
                  || format('{{:,}}', 150000 + ingest_seq) || ' per year' || chr(10) || chr(10) ELSE '' END
-         || substr(description_html, 1, 70) AS description_html,
+         || description_html AS description_html,
        CASE WHEN ingest_seq % 3 = 0
-            THEN substr(sha1(CASE WHEN ingest_seq % 4 < 2 THEN title ELSE url END), 1, 12)
+            THEN sha1(CASE WHEN ingest_seq % 4 < 2 THEN title ELSE url END)
             ELSE posting_id END AS posting_id
 FROM {postings}""")
 def r13(spark, sf):
@@ -320,7 +320,7 @@ def r13(spark, sf):
                    .alias("admin1Code"), F.lit("US").alias("countryName"))
     base = p.select(F.when(_seq_mod(3) == 0, F.lit(None)).otherwise(F.col("posting_id")).alias("key"), "title",
                     F.struct(F.col("company").alias("name")).alias("employer"), loc.alias("location"),
-                    F.substring("description_html", 1, 70).alias("d"), "url", "ingest_seq")
+                    F.col("description_html").alias("d"), "url", "ingest_seq")
     pay = F.when(_seq_mod(2) == 0, F.struct((F.col("ingest_seq") + 100000).alias("min"),
                                             (F.col("ingest_seq") + 150000).alias("max"),
                                             F.lit("YEAR").alias("unitOfWork")))
@@ -343,7 +343,7 @@ def _scratch(spark, name):
 SELECT 'linkedin' AS source, regexp_replace(company, '^\\s+|\\s+$', '', 'g') AS company,
        regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title,
        regexp_replace(location, '^\\s+|\\s+$', '', 'g') AS location, url, description_html,
-       substr(sha1(url), 1, 12) AS posting_id
+       sha1(url) AS posting_id
 FROM {postings} WHERE NOT (ingest_seq % 10 = 0)""")
 def r15(spark, sf):
     """Postings exported as a CSV (every tenth with a blank url), read back."""

@@ -183,8 +183,8 @@ def _r14_sql() -> str:
     return f"""
 SELECT 'email' AS source, {company} AS company, {title} AS title, '' AS location, {link} AS url,
        'From: ' || coalesce(sender, '') || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || chr(10)
-       || substr(coalesce(body, ''), 1, 6000) AS description_html,
-       substr(sha1(CAST(msg_id AS VARCHAR)), 1, 12) AS posting_id, msg_id AS ingest_seq
+       || coalesce(body, '') AS description_html,
+       sha1(CAST(msg_id AS VARCHAR)) AS posting_id, msg_id AS ingest_seq
 FROM {{messages}}
 WHERE NOT contains(coalesce(sender, ''), 'system')
   AND (contains(coalesce(sender, ''), 'user') OR contains(coalesce(sender, ''), 'assistant'))
@@ -197,7 +197,7 @@ WHERE NOT contains(coalesce(sender, ''), 'system')
 @register("R14_email_postings", oracle=_r14_sql())
 def r14(spark, sf):
     """Messages -> postings: sender filter, reply subjects skipped, subject
-    parsed, board link picked, body cut to 6000, id from the message."""
+    parsed, board link picked, the whole body, id from the message."""
     from lantern.sources.normalise import email_postings
     return email_postings(adapter(spark, sf, "messages"), include_senders=["user", "assistant"],
                           exclude_senders=["system"], candidate_name=NAME,

@@ -228,13 +228,13 @@ def p15(spark, sf):
 # every posting with a title term. Merge by posting_id alone, new wins.
 @register("K1_scored_sink", oracle="""
 SELECT posting_id, url, batch_seq FROM (
-  SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY batch_seq DESC) AS rn FROM (
-    SELECT posting_id, url, ingest_seq AS batch_seq FROM {scored}
+  SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY night DESC, batch_seq DESC) AS rn FROM (
+    SELECT posting_id, url, ingest_seq AS batch_seq, 0 AS night FROM {scored}
     UNION ALL
-    SELECT posting_id, url, 1000000000 + ingest_seq AS batch_seq FROM {postings}
+    SELECT posting_id, url, ingest_seq AS batch_seq, 1 AS night FROM {postings}
     WHERE contains(lower(coalesce(title, '')), 'tion'))) WHERE rn = 1""")
 def k1(spark, sf):
-    old = adapter(spark, sf, "scored").select("posting_id", "url", F.col("ingest_seq").alias("batch_seq"))
+    old = adapter(spark, sf, "scored").select("posting_id", "url", F.col("ingest_seq").alias("batch_seq"), F.lit(0).alias("night"))
     new = (adapter(spark, sf, "postings").where(F.lower(F.coalesce("title", F.lit(""))).contains("tion"))
-           .select("posting_id", "url", (F.lit(1000000000) + F.col("ingest_seq")).alias("batch_seq")))
-    return T.upsert_scored(old, new)
+           .select("posting_id", "url", F.col("ingest_seq").alias("batch_seq"), F.lit(1).alias("night")))
+    return T.upsert_scored(old, new, order=("night", "batch_seq")).select("posting_id", "url", "batch_seq")

@@ -66,7 +66,7 @@ def duck_sql(text: str) -> str:
 
 # documents -> postings. Twenty raw sources fold into five posting sources
 # (three of them with their own routing rule); company is the language; title
-# is the first 60 characters; the posting id is a content hash, so exact
+# is the first line; the posting id is a content hash, so exact
 # copies give the keep-first dedupe real work. Location comes from the nation
 # and region tables.
 POSTINGS = """
@@ -75,12 +75,12 @@ SELECT d.doc_id AS ingest_seq,
             WHEN 0 THEN 'email' WHEN 1 THEN 'linkedin' WHEN 2 THEN 'indeed'
             WHEN 3 THEN 'greenhouse' ELSE 'lever' END AS source,
        upper(d.lang) || ' Corp' AS company,
-       substr(d.text, 1, 60) AS title,
+       split_part(d.text, chr(10), 1) AS title,
        CASE WHEN d.lang = 'es' THEN 'Remote (' || n.n_name || ')'
             ELSE n.n_name || ', ' || r.r_name || ', ' || upper(d.lang) END AS location,
        'doc://' || CAST(d.doc_id AS STRING) AS url,
        d.text AS description_html,
-       substr(md5(d.text), 1, 12) AS posting_id
+       md5(d.text) AS posting_id
 FROM {documents} d
 JOIN {nation} n ON n.n_nationkey = d.doc_id % 25
 JOIN {region} r ON r.r_regionkey = n.n_regionkey
@@ -106,18 +106,18 @@ FROM {postings} p JOIN {labels} l ON l.doc_id = p.ingest_seq
 JOIN {documents} d ON d.doc_id = p.ingest_seq
 """
 
-# The tracker CSV as the previous run left it: German and French postings,
-# every cell text. User columns vary with the text length: statuses, submit
+# The tracker CSV as the previous run left it, a source followed since then
+# missing; every cell text. User columns vary with the text length: statuses, submit
 # dates in the four written layouts (and 'NA'), notes with and without the
-# vanished marker. Long German texts appear twice (a later edit of the same
+# vanished marker. Long texts appear twice (a later edit of the same
 # url), so "last row wins" has work to do.
 TRACKER_OLD_ROWS = """
-SELECT p.ingest_seq AS row_seq, d.n_chars AS n, d.lang = 'de' AS lang_is_de, p.*
+SELECT p.ingest_seq AS row_seq, d.n_chars AS n, p.*
 FROM {postings} p JOIN {documents} d ON d.doc_id = p.ingest_seq
-WHERE d.lang IN ('de', 'fr')
+WHERE p.source <> 'lever'
 """
 TRACKER_OLD = """
-SELECT row_seq,
+SELECT 2 * row_seq AS row_seq,
        CASE WHEN n % 13 = 0 THEN 'n/a' ELSE CAST(n % 11 AS STRING) END AS score,
        CASE WHEN n % 4 = 0 THEN 'yes' ELSE '' END AS overqualified,
        '' AS salary, company, title, location, source,
@@ -140,11 +140,11 @@ SELECT row_seq,
                   WHEN 1 THEN 'called twice' WHEN 2 THEN '[not interview: auto reply]' ELSE '' END AS notes
 FROM {tracker_old_rows}
 UNION ALL
-SELECT row_seq + 1000000000 AS row_seq, CAST(n % 10 AS STRING) AS score, '' AS overqualified, '' AS salary,
+SELECT 2 * row_seq + 1 AS row_seq, CAST(n % 10 AS STRING) AS score, '' AS overqualified, '' AS salary,
        company, title, location, source, url, '' AS resume, '' AS cover_letter,
        '2024-01-02' AS first_seen, '2024-01-21' AS last_seen, 'applied' AS status,
        '2024-01-03' AS date_submitted, '' AS follow_up, '' AS contact, 'edited later' AS notes
-FROM {tracker_old_rows} WHERE n > 5000 AND lang_is_de
+FROM {tracker_old_rows} WHERE n > 5000
 """
 
 
@@ -154,7 +154,7 @@ FROM {tracker_old_rows} WHERE n > 5000 AND lang_is_de
 APPLICATIONS = """
 SELECT d.doc_id AS row_seq,
        regexp_extract(d.text, '([A-Za-z]{{5,}})', 1) AS company,
-       substr(d.text, 1, 40) AS title,
+       split_part(d.text, chr(10), 1) AS title,
        CASE d.lang
          WHEN 'en' THEN 'https://jobs.lever.co/' || lower(regexp_extract(d.text, '([A-Za-z]{{5,}})', 1))
                         || '-and-co/' || CAST(d.doc_id AS STRING)
@@ -166,7 +166,7 @@ SELECT d.doc_id AS row_seq,
        CASE d.n_chars % 5 WHEN 1 THEN 'applied' WHEN 2 THEN 'interview' WHEN 3 THEN 'Applied ' ELSE '' END
          AS status,
        CASE d.n_chars % 7 WHEN 0 THEN '[not rejected: checked]' WHEN 1 THEN 'note' ELSE '' END AS notes
-FROM {documents} d JOIN {orders} o ON o.o_orderkey = d.doc_id
+FROM {documents} d LEFT JOIN {orders} o ON o.o_orderkey = d.doc_id
 """
 
 # Mail: one message per conversation turn. The subject opens with a reply
@@ -178,11 +178,11 @@ SELECT c.conv_id * 100 + c.turn AS msg_id,
        CASE (c.conv_id + c.turn) % 5
          WHEN 0 THEN 'Thank you for applying: ' WHEN 1 THEN 'Update - we regret to inform you: '
          WHEN 2 THEN 'Could you share your availability? ' WHEN 3 THEN 'Re: ' ELSE '' END
-         || substr(c.text, 1, 50) AS subject,
+         || split_part(c.text, chr(10), 1) AS subject,
        c.text AS body,
        c.role || '@' || lower(regexp_extract(c.text, '([A-Za-z]{{5,}})', 1)) || '.example.com' AS sender,
        o.o_orderdate AS date
-FROM {conversations} c JOIN {orders} o ON o.o_orderkey = 5000 + c.conv_id * 8 + c.turn
+FROM {conversations} c LEFT JOIN {orders} o ON o.o_orderkey = 5000 + c.conv_id * 8 + c.turn
 """
 
 
@@ -253,10 +253,11 @@ FROM {lineitem} l
 
 # Model responses: assistant turns of the conversations wrapped the ways
 # models wrap JSON (fenced, prose around, a // comment, a trailing comma,
-# broken), two attempts per item; the second attempt of a truncated first
+# broken); each pair of turns is an item with two attempts; the second attempt of a truncated first
 # answer is never made.
 RESPONSES = """
-SELECT c.conv_id AS item_id, CAST(c.turn AS INT) AS attempt,
+SELECT CAST(c.conv_id AS STRING) || '/' || CAST(CAST(floor(c.turn / 2) AS BIGINT) AS STRING) AS item_id,
+       CAST(c.turn % 2 AS INT) AS attempt,
        CASE WHEN (c.conv_id + c.turn) % 6 = 5 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
        CASE (c.conv_id * 3 + c.turn) % 6
          WHEN 0 THEN '```json' || chr(10) || '{{"score": ' || CAST(c.turn AS STRING) || ', "n": '
@@ -282,7 +283,7 @@ SELECT item_id AS acc_id, regexp_extract(text, '^[^.!?]*', 0) AS title FROM {ben
 # Resumes: a customer is a resume, each order a role (newest first), each line
 # item a bullet (numbered by its rank in the order, since the generated line
 # numbers repeat) whose text names the part, its type, brand and quantity; the
-# summary is the customer's matching document text (first 900 characters).
+# summary is the customer's matching document text.
 RESUME_BULLETS = """
 SELECT o.o_custkey AS resume_id, o.o_orderkey AS role_key, o.o_orderdate AS role_date,
        CAST(l.item - 1 AS INT) AS bullet_idx,
@@ -293,7 +294,7 @@ SELECT o.o_custkey AS resume_id, o.o_orderkey AS role_key, o.o_orderdate AS role
 FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey
 """
 RESUME_SUMMARY = """
-SELECT c.c_custkey AS resume_id, substr(coalesce(d.text, c.c_name), 1, 900) AS summary
+SELECT c.c_custkey AS resume_id, coalesce(d.text, c.c_name) AS summary
 FROM {customer} c LEFT JOIN {documents} d ON d.doc_id = c.c_custkey
 """
 

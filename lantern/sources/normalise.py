@@ -12,7 +12,7 @@ POSTING_COLS = ["source", "company", "title", "location", "url", "description_ht
 
 
 def email_postings(messages: DataFrame, include_senders=None, exclude_senders=None,
-                   candidate_name: str | None = None, max_chars: int = 6000,
+                   candidate_name: str | None = None, max_chars: int | None = None,
                    applications: DataFrame | None = None) -> DataFrame:
     """Messages -> postings. P10 sender lists, empty messages out, reply
     subjects (P11, P12) skipped, weak reply signals that tie to an application
@@ -30,12 +30,14 @@ def email_postings(messages: DataFrame, include_senders=None, exclude_senders=No
     mid = F.col("msg_id").cast("string")
     subject = F.coalesce("subject", F.lit(""))
     sender = F.coalesce("sender", F.lit(""))
+    body = F.coalesce("body", F.lit(""))
+    body = body if max_chars is None else F.substring(body, 1, max_chars)
     return m.select(
         F.lit("email").alias("source"), company.alias("company"), title.alias("title"),
         F.lit("").alias("location"), X.board_link("body", F.col("msg_id")).alias("url"),
         F.concat(F.lit("From: "), sender, F.lit("\nSubject: "), subject, F.lit("\n\n"),
-                 F.substring(F.coalesce("body", F.lit("")), 1, max_chars)).alias("description_html"),
-        X.short_hash(F.coalesce(mid, F.concat(subject, sender))).alias("posting_id"),
+                 body).alias("description_html"),
+        X.content_hash(F.coalesce(mid, F.concat(subject, sender))).alias("posting_id"),
         F.col("msg_id").alias("ingest_seq"))
 
 
@@ -134,7 +136,7 @@ def read_posting_csv(spark, path: str, source: str = "linkedin") -> DataFrame:
     """A posting CSV (header, quoted multi-line cells) with the five
     required columns (named exactly; an error otherwise); rows with a blank
     url are dropped; text cells stripped, the description kept as is; the id
-    is sha1(url)[:12]. The one-row manual form is the same shape."""
+    is sha1(url). The one-row manual form is the same shape."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .option("inferSchema", False).csv(path))
     missing = [c for c in CSV_REQUIRED if c not in df.columns]
@@ -145,7 +147,7 @@ def read_posting_csv(spark, path: str, source: str = "linkedin") -> DataFrame:
             .select(F.lit(source).alias("source"), strip("company").alias("company"),
                     strip("title").alias("title"), strip("location").alias("location"), strip("url").alias("url"),
                     F.coalesce("description", F.lit("")).alias("description_html"),
-                    X.short_hash(strip("url")).alias("posting_id")))
+                    X.content_hash(strip("url")).alias("posting_id")))
 
 
 def read_url_list(spark, path: str, scored: DataFrame | None = None) -> DataFrame:
@@ -184,12 +186,10 @@ def title_rules(rules: DataFrame) -> DataFrame:
             .select(term.alias("term"), kind.alias("kind")))
 
 
-def title_rule_lists(rules: DataFrame, max_rows: int = 10000) -> tuple[list[str], list[str]]:
-    """The include/exclude lists for the filters. Rules are configuration, so
-    they are collected, behind a size check."""
+def title_rule_lists(rules: DataFrame) -> tuple[list[str], list[str]]:
+    """The include/exclude lists for the filters, which take terms as literals: one
+    user's configuration, not data. Match a table of rules with ``rule_matches``."""
     r = title_rules(rules)
-    if r.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} title rules")
     rows = r.collect()
     bad = [x.term for x in rows if x.kind == "error"]
     if bad:
@@ -310,7 +310,7 @@ def normalise_jobicy(raw: DataFrame) -> DataFrame:
 
 
 def normalise_careerjet(raw: DataFrame) -> DataFrame:
-    """A ' [salary]' suffix when given; the id is sha1(url)[:12] (a
+    """A ' [salary]' suffix when given; the id is sha1(url) (a
     stable id, where a per-process hash would not be)."""
     j = _ok(raw).select(F.explode("jobs").alias("j"))
     sal = F.when(_nz(F.col("j.salary")).isNotNull(), F.concat(F.lit(" ["), F.col("j.salary"), F.lit("]"))) \
@@ -318,7 +318,7 @@ def normalise_careerjet(raw: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("j.url"), F.lit(""))
     return j.select(*_post("careerjet", F.coalesce(F.col("j.company"), F.lit("")),
                            F.coalesce(F.col("j.title"), F.lit("")), F.coalesce(F.col("j.locations"), F.lit("")),
-                           url, F.concat(F.coalesce(F.col("j.description"), F.lit("")), sal), X.short_hash(url)))
+                           url, F.concat(F.coalesce(F.col("j.description"), F.lit("")), sal), X.content_hash(url)))
 
 
 def normalise_linkedin(raw: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def normalise_linkedin(raw: DataFrame) -> DataFrame:
                   F.concat(F.lit("Salary: "), F.col("salary"), F.lit("\n\n"), desc)).otherwise(desc)
     return r.select(*_post("linkedin", F.coalesce(_nz(F.col("companyName")), _nz(F.col("company")), F.lit("")),
                            F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("location"), F.lit("")), url,
-                           desc, F.when(job_id != "", job_id).otherwise(X.short_hash(url))))
+                           desc, F.when(job_id != "", job_id).otherwise(X.content_hash(url))))
 
 
 def normalise_indeed(raw: DataFrame) -> DataFrame:
@@ -359,4 +359,20 @@ def normalise_indeed(raw: DataFrame) -> DataFrame:
     fallback = F.coalesce(_nz(F.col("url")), F.coalesce(F.col("title"), F.lit("")))
     return r.select(*_post("indeed", F.coalesce(F.col("employer.name"), F.lit("")),
                            F.coalesce(F.col("title"), F.lit("")), loc, url, desc,
-                           F.when(key != "", key).otherwise(X.short_hash(fallback))))
+                           F.when(key != "", key).otherwise(X.content_hash(fallback))))
+
+
+def rule_matches(titles: DataFrame, rules: DataFrame, key: str = "ingest_seq") -> DataFrame:
+    """Titles against rules of any number: per ``key`` whether an include term occurs
+    and no exclude term does. The title's substrings of the lengths that terms
+    have are joined with the terms, so no title meets every rule."""
+    r = title_rules(rules).select(F.lower("term").alias("term"), "kind").distinct()
+    lengths = r.select(F.length("term").alias("n")).distinct().agg(F.collect_set("n")).scalar()
+    t = titles.select(key, F.lower(F.coalesce("title", F.lit(""))).alias("_t"))
+    cut = t.select(key, F.explode(lengths).alias("_n"), "_t").where(F.length("_t") >= F.col("_n"))
+    cut = cut.select(key, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1), lambda i: F.col("_t").substr(i, F.col("_n"))))).alias("term"))
+    hits = cut.join(r, "term").groupBy(key).agg(
+        F.bool_or(F.col("kind") == "include").alias("inc"), F.bool_or(F.col("kind") == "exclude").alias("exc"))
+    return titles.select(key).join(hits, key, "left").select(
+        key, (F.coalesce("inc", F.lit(False)) & ~F.coalesce("exc", F.lit(False))).alias("kept"))
