@@ -39,17 +39,62 @@ def next_round(items: DataFrame, resolved: DataFrame, key: str = "item_id") -> D
     return items.join(resolved.where(F.col("status") == "ok").select(key), key, "left_anti")
 
 
-def apply_scorer(postings: DataFrame, scorer, schema: str) -> DataFrame:
-    """M2: run an injected ``fn(pandas.DataFrame) -> pandas.DataFrame`` over
-    the rows with ``mapInPandas``. Filters belong before this call: Catalyst
-    cannot push them through the Python stage. The function must not raise
-    per row (M6): it returns an ``error`` column instead."""
+class KeyRefused(Exception):
+    """Raised by a scorer whose service refuses its key: no later call can do better."""
+
+
+def apply_scorer(postings: DataFrame, scorer, schema: str, key: str = "posting_id") -> DataFrame:
+    """M2 and M6: run an injected ``fn(pandas.DataFrame) -> pandas.DataFrame`` over the
+    rows with ``mapInPandas``. Filters belong before this call: Catalyst cannot push them
+    through the Python stage. ``schema`` needs ``key`` and ``error string``.
+
+    A batch whose call raises is tried row by row; a row that raises again is returned
+    with its ``error``, and the others with their scores. After ``KeyRefused`` a task
+    calls the scorer no more: its remaining rows come back with ``error`` 'refused: ...',
+    so ``refused`` tells the caller to stop the run, and what was scored is kept."""
+    import pandas as pd
+    from pyspark.sql.types import _parse_datatype_string
+
     def run(batches):
+        refused = None
+
+        def failed(rows, why):
+            out = pd.DataFrame({name: [None] * len(rows) for name in names})
+            out[key], out["error"] = rows[key].to_numpy(), why
+            return out
+
         for b in batches:
-            yield scorer(b)
+            if refused is None:
+                try:
+                    yield scorer(b)
+                    continue
+                except KeyRefused as exc:
+                    refused = f"refused: {exc}"
+                except Exception:
+                    for i in range(len(b)):
+                        row = b.iloc[i:i + 1]
+                        if refused is None:
+                            try:
+                                yield scorer(row)
+                                continue
+                            except KeyRefused as exc:
+                                refused = f"refused: {exc}"
+                            except Exception as exc:
+                                yield failed(row, f"{type(exc).__name__}: {exc}")
+                                continue
+                        yield failed(row, refused)
+                    continue
+            yield failed(b, refused)
+
+    names = _parse_datatype_string(schema).names
     return postings.mapInPandas(run, schema=schema)
 
 
+def refused(scored: DataFrame) -> DataFrame:
+    """Rows not scored because the service refused the key."""
+    return scored.where(F.col("error").startswith("refused: "))
+
+
 # The scoring prompt's posting part and the letter's fixed
 # paragraphs (placeholders, overwritten from configuration).
 
@@ -82,8 +127,8 @@ def fixed_fields(letters: DataFrame, positioning: str, lead_in: str, closing: st
 
 def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: rows the scorer could not score go to a failures table; one bad
-    row never fails the batch. An authentication error is the one failure
-    that stops the run (checked by the caller on the failures table)."""
+    row never fails the batch. A refused key is the one failure that stops the
+    run (see ``refused``)."""
     return scored.where(F.col("error").isNull()), scored.where(F.col("error").isNotNull())
 
 

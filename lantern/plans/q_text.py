@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lantern.functions import text as X
@@ -265,38 +267,42 @@ def p23(spark, sf):
 
 
 def _build_eml(batches):
-    """Messages packed as RFC 822 bytes (even ids plain text, odd ids HTML
-    only), as a mail client would land them."""
+    """Messages as RFC 822 bytes: plain or HTML by turn, the date in a western zone."""
+    from datetime import timedelta, timezone
     from email import policy
     from email.message import EmailMessage
 
     import pandas as pd
-    unfolded = policy.default.clone(max_line_length=1 << 20)
+    west, unfolded = timezone(timedelta(hours=-5)), policy.default.clone(max_line_length=1 << 20)
     for b in batches:
         out = []
-        for mid, subj, body, sender in zip(b["msg_id"], b["subject"], b["body"], b["sender"]):
+        for mid, turn, subj, body, sender, date in zip(b["msg_id"], b["turn"], b["subject"], b["body"], b["sender"], b["date"]):
             m = EmailMessage(policy=unfolded)
-            m["From"] = sender
-            m["Subject"] = " ".join((subj or "").split())
+            m["From"], m["Subject"] = sender or "", " ".join((subj or "").split())
             m["Message-ID"] = f"<{mid}@landed>"
-            if mid % 2 == 0:
+            if not pd.isna(date):
+                m["Date"] = pd.Timestamp(date).tz_localize("UTC").astimezone(west).to_pydatetime()
+            if turn % 2 == 0:
                 m.set_content(body or "")
             else:
                 m.set_content("<p>" + (body or "") + "</p>", subtype="html")
-            out.append((int(mid), m.as_bytes()))
-        yield pd.DataFrame(out, columns=["msg_id", "raw"])
+            out.append((str(mid), m.as_string()))
+        yield pd.DataFrame(out, columns=["folder", "value"])
 
 
 @register("S7_message_text", oracle="""
 SELECT '<' || CAST(msg_id AS VARCHAR) || '@landed>' AS msg_id, sender,
        regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS subject,
        regexp_replace(regexp_replace(regexp_replace(
-         CASE WHEN msg_id % 2 = 0 THEN body ELSE regexp_replace('<p>' || body || '</p>', '<[^>]+>', ' ', 'g') END,
-         '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body
+         CASE WHEN turn % 2 = 0 THEN body ELSE regexp_replace('<p>' || body || '</p>', '<[^>]+>', ' ', 'g') END,
+         '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body,
+       CAST(date AS TIMESTAMP) AS date
 FROM {messages}""")
 def s7(spark, sf):
-    from lantern.sources.mail import MESSAGE_SCHEMA, parse_batches
-    m = adapter(spark, sf, "messages").select("msg_id", "subject", "body", "sender")
-    raw = m.mapInPandas(_build_eml, "msg_id long, raw binary")
-    parsed = raw.mapInPandas(lambda it: parse_batches(it, "msg_id", "raw"), MESSAGE_SCHEMA)
-    return parsed.select("msg_id", "sender", "subject", "body")
+    """Each message lands as a file of its own and is read back by the mail reader."""
+    from lantern.session import checkpoint_dir
+    from lantern.sources.mail import read_mail
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mail-{uuid.uuid4().hex}"
+    m = adapter(spark, sf, "messages").select("msg_id", "turn", "subject", "body", "sender", F.col("date").cast("timestamp"))
+    m.mapInPandas(_build_eml, "folder string, value string").write.partitionBy("folder").text(path)
+    return read_mail(spark, path, "part-*").select("msg_id", "sender", "subject", "body", "date")

@@ -174,7 +174,7 @@ FROM {documents} d LEFT JOIN {orders} o ON o.o_orderkey = d.doc_id
 # none) followed by the turn's first words; the sender's domain is the first
 # long word of the text; dates from the orders table.
 MESSAGES = """
-SELECT c.conv_id * 100 + c.turn AS msg_id,
+SELECT c.conv_id * 4294967296 + c.turn AS msg_id, c.turn,
        CASE (c.conv_id + c.turn) % 5
          WHEN 0 THEN 'Thank you for applying: ' WHEN 1 THEN 'Update - we regret to inform you: '
          WHEN 2 THEN 'Could you share your availability? ' WHEN 3 THEN 'Re: ' ELSE '' END

@@ -1,23 +1,34 @@
 """Incremental intake and late mail as Structured Streaming jobs.
 
 Both run the batch operators inside ``foreachBatch`` on each micro-batch, so
-streaming and batch share one implementation. Sinks are keyed upserts into a
-table under the session's shared checkpoint folder, so a replayed micro-batch
-(after a lost executor or a restart) rewrites the same rows.
+streaming and batch share one implementation. The caller names the work folder
+(on shared storage): the stream's checkpoint and the table live there, so the
+next run goes on where the last one ended. Each micro-batch writes its rows to
+its own ``epoch=N`` folder, replacing it: a replayed batch writes the same rows
+again, and no run rewrites what earlier batches stored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lantern.session import checkpoint_dir
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _stored(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The rows of earlier epochs, or None where no epoch has been written. A table
+    that is there and cannot be read is an error."""
+    if not _exists(spark, table):
+        return None
+    rows = spark.read.parquet(table)
+    return rows if before is None else rows.where(rows["epoch"] < before)
 
 
-def _work_dir(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def _write_epoch(batch: DataFrame, table: str, epoch: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
 
 def _file_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
@@ -29,80 +40,54 @@ def _file_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(source_path)
 
 
-def _upsert_into(path: str, batch: DataFrame, keys: list[str], order: str, epoch: int) -> None:
-    """Merge ``batch`` into the parquet table at ``path`` by ``keys`` (new wins),
-    writing a new version directory per epoch; ``_current`` names the latest."""
-    spark = batch.sparkSession
-    from lantern.operators.tracker import upsert_scored
-    try:
-        cur = spark.read.text(f"{path}/_current").first()[0]
-        old = spark.read.parquet(cur)
-    except Exception:
-        old = None
-    merged = batch if old is None else upsert_scored(old, batch, tuple(keys), order)
-    out = f"{path}/v{epoch:08d}"
-    merged.write.mode("overwrite").parquet(out)
-    spark.createDataFrame([(out,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
-
-
 def incremental_intake(spark: SparkSession, source_path: str, schema, to_postings,
-                       keywords, locations, excludes, blocked, scored: DataFrame) -> DataFrame:
-    """New landed files -> normalise -> filter -> keep-first -> unseen ->
-    upsert. ``to_postings(df)`` turns a raw micro-batch into postings.
-    Runs with ``availableNow`` and returns the stored table."""
+                       keywords, locations, excludes, blocked, scored: DataFrame, work_dir: str) -> DataFrame:
+    """New landed files -> normalise -> filter -> keep-first -> unseen -> store.
+    ``to_postings(df)`` turns a raw micro-batch into postings. Runs with
+    ``availableNow`` on what has landed since the last run with the same
+    ``work_dir`` and returns the stored table."""
     from lantern.operators.dedupe import collect_postings
     from lantern.operators.tracker import unseen
 
-    work = _work_dir(spark, "intake")
-    table = f"{work}/table"
+    table, keys = f"{work_dir}/table", ["source", "company", "posting_id"]
     # normalising is row-wise (plus stream-static joins), so it is part of the
     # streaming plan; the keep-first and anti joins run per micro-batch
     stream = to_postings(_file_stream(spark, source_path, schema))
 
     def per_batch(postings: DataFrame, epoch: int) -> None:
-        spark = postings.sparkSession
-        kept = collect_postings(postings, keywords, locations, excludes, blocked)
-        new = unseen(kept, scored)
-        try:
-            cur = spark.read.text(f"{table}/_current").first()[0]
-            stored = spark.read.parquet(cur)
-            # keep-first across batches: a key already stored arrived earlier
-            new = new.join(stored.select("source", "company", "posting_id"),
-                           ["source", "company", "posting_id"], "left_anti")
-        except Exception:
-            pass
-        _upsert_into(table, new.withColumn("batch_seq", F.lit(epoch).cast("long")),
-                     ["source", "company", "posting_id"], "batch_seq", epoch)
+        new = unseen(collect_postings(postings, keywords, locations, excludes, blocked), scored)
+        stored = _stored(postings.sparkSession, table, before=epoch)
+        if stored is not None:  # keep-first across batches: a stored key arrived earlier
+            new = new.join(stored.select(*keys), keys, "left_anti")
+        _write_epoch(new, table, epoch)
 
     q = (stream.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", f"{work}/checkpoint")
+         .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    cur = spark.read.text(f"{table}/_current").first()[0]
-    return spark.read.parquet(cur).drop("batch_seq")
+    out = _stored(spark, table)
+    if out is None:  # nothing has ever landed
+        return unseen(collect_postings(to_postings(spark.createDataFrame([], schema)), keywords, locations, excludes,
+                                       blocked), scored)
+    return out.drop("epoch")
 
 
 def late_mail(spark: SparkSession, source_path: str, schema, to_messages,
-              applications: DataFrame, lookback: str = "14 days") -> DataFrame:
+              applications: DataFrame, work_dir: str, lookback: str = "14 days") -> DataFrame:
     """Mail as a stream with a 14-day watermark; repeated message ids in
     the watermark are dropped; each micro-batch is matched against the static
-    applications table (J4) and appended."""
+    applications table (J4) and stored under its epoch."""
     from lantern.operators.link import reply_candidates
 
-    work = _work_dir(spark, "mail")
-    out = f"{work}/matches"
-    raw = _file_stream(spark, source_path, schema)
-    msgs = (to_messages(raw).withColumn("date", F.col("date").cast("timestamp"))
+    table = f"{work_dir}/matches"
+    msgs = (to_messages(_file_stream(spark, source_path, schema))
             .withWatermark("date", lookback).dropDuplicatesWithinWatermark(["msg_id"]))
 
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        reply_candidates(batch, applications).write.mode("append").parquet(out)
-
-    q = (msgs.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", f"{work}/checkpoint")
+    q = (msgs.writeStream.foreachBatch(lambda batch, epoch: _write_epoch(reply_candidates(batch, applications), table, epoch))
+         .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:
-        return spark.createDataFrame([], "msg_id long, row_seq long, score int, in_body boolean, in_sender boolean")
+    out = _stored(spark, table)
+    if out is None:
+        return reply_candidates(to_messages(spark.createDataFrame([], schema)), applications)
+    return out.drop("epoch")
