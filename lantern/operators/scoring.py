@@ -132,14 +132,14 @@ def split_failures(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.where(F.col("error").isNull()), scored.where(F.col("error").isNotNull())
 
 
-def lint_rounds(bullets: DataFrame, profiles: DataFrame, rewrite) -> DataFrame:
-    """M4: lint the drafts (A13); drafts with problems get one corrective
-    round (``rewrite(bullets_df) -> bullets_df`` on just those letters) and
-    are linted again; the result keeps every letter with its round count and
-    any problems left."""
+def lint_rounds(bullets: DataFrame, profiles: DataFrame, letters: DataFrame, rewrite, extra_tells=None) -> DataFrame:
+    """M4: lint the drafts (A13); drafts with problems get one corrective round and are
+    linted again. ``rewrite(redo)`` takes those letters (``letter_id``, ``problems``) and
+    returns their new (bullets, letters). The result keeps every letter with its round
+    count and any problems left."""
     from lantern.operators.lint import lint_summary
-    first = lint_summary(bullets, profiles)
-    redo = first.where(~F.col("clean")).select("letter_id")
-    again = lint_summary(rewrite(bullets.join(redo, "letter_id", "left_semi")), profiles)
+    first = lint_summary(bullets, profiles, letters, extra_tells)
+    bullets, letters = rewrite(first.where(~F.col("clean")).select("letter_id", "problems"))
+    again = lint_summary(bullets, profiles, letters, extra_tells)
     done = first.where(F.col("clean")).select("letter_id", F.lit(1).alias("rounds"), "problems", "clean")
     return done.unionByName(again.select("letter_id", F.lit(2).alias("rounds"), "problems", "clean"))

@@ -3,6 +3,8 @@ the benchmark passages form the single profile whose numbers are grounded."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lantern.operators import lint as L
@@ -10,8 +12,8 @@ from lantern.plans.registry import q, register
 from lantern.plans.tables import read_table
 
 
-def bullets(spark, sf):
-    d = read_table(spark, sf, "documents")
+def bullets(spark, sf, docs=None):
+    d = read_table(spark, sf, "documents") if docs is None else docs
     return d.select(F.col("doc_id").alias("letter_id"), F.lit(1).alias("profile_id"),
                     F.posexplode(F.split("text", "[.!?]\\s+")).alias("pos", "text"))
 
@@ -21,9 +23,13 @@ def profiles(spark, sf):
     return b.select(F.lit(1).alias("profile_id"), "text")
 
 
-SQL_BULLETS = """(SELECT doc_id AS letter_id, 1 AS profile_id, pos - 1 AS pos, text FROM (
+def sql_bullets(docs: str = "documents") -> str:
+    return f"""(SELECT doc_id AS letter_id, 1 AS profile_id, pos - 1 AS pos, text FROM (
   SELECT doc_id, unnest(string_split_regex(text, '[.!?]\\s+')) AS text,
-         generate_subscripts(string_split_regex(text, '[.!?]\\s+'), 1) AS pos FROM documents))"""
+         generate_subscripts(string_split_regex(text, '[.!?]\\s+'), 1) AS pos FROM {docs}))"""
+
+
+SQL_BULLETS = sql_bullets()
 
 
 @register("S17_letter_body", oracle=f"""
@@ -90,38 +96,15 @@ nums AS (SELECT letter_id, pos, k + 1 AS k,
            AND NOT EXISTS (SELECT 1 FROM p WHERE p.profile_id = n.profile_id AND p.num = n.num))"""
 
 
-def _a13_sql(bullets_sql: str = None) -> str:
-    scope = q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")
-    return f"""
-WITH b AS {bullets_sql or SQL_BULLETS}, {_J9_BODY},
-scope AS (SELECT letter_id, pos, 0 AS k,
-                 'invented scope "' || regexp_extract(text, {scope}, 0) || '" in: "' || substr(text, 1, 56) || '..."'
-                   AS problem
-          FROM b WHERE regexp_matches(coalesce(text, ''), {scope})),
-claims AS (SELECT letter_id, string_agg(problem, '; ' ORDER BY pos, k) AS claims
-           FROM (SELECT * FROM scope UNION ALL SELECT * FROM nums) GROUP BY letter_id),
-t AS ({_s18_sql(bullets_sql)}),
-tl AS (SELECT letter_id, array_to_string(list_transform(list_filter(string_split(tells, ' | '), lambda x: x <> ''),
-                                                        lambda x: 'AI tell: ' || x), '; ') AS tl FROM t)
-SELECT tl.letter_id, concat_ws('; ', c.claims, nullif(tl.tl, '')) AS problems,
-       c.claims IS NULL AND tl.tl = '' AS clean
-FROM tl LEFT JOIN claims c ON c.letter_id = tl.letter_id"""
-
-
-@register("A13_lint_summary", oracle=_a13_sql())
-def a13(spark, sf):
-    return L.lint_summary(bullets(spark, sf), profiles(spark, sf))
-
-
 # Run setting: the employers of the profile the letters are checked against.
 EMPLOYERS = ["Harbor Foods", "Attion Labs"]
 
 
-def letters(spark, sf):
+def letters(spark, sf, docs=None):
     """Each document as a grouped letter: a group per line (header = the
-    line's first 30 characters, bullets = its sentences); documents of one
+    line, bullets = its sentences); documents of one
     line are legacy prose letters."""
-    d = read_table(spark, sf, "documents")
+    d = read_table(spark, sf, "documents") if docs is None else docs
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     groups = F.transform(lines, lambda ln: F.struct(ln.alias("header"),
                                                     F.split(ln, "[.!?] ").alias("bullets")))
@@ -129,20 +112,30 @@ def letters(spark, sf):
     return d.select(F.col("doc_id").alias("letter_id"),
                     F.when(one, F.array().cast("array<struct<header:string,bullets:array<string>>>"))
                     .otherwise(groups).alias("groups"),
-                    F.when(one, lines).otherwise(F.array().cast("array<string>")).alias("paragraphs"))
+                    F.when(one, lines).otherwise(F.array().cast("array<string>")).alias("paragraphs"),
+                    _employers().alias("employers"))
+
+
+#: The rule in one pattern for DuckDB: figures, methods, employers and their first words.
+_SPECIFIC = L.CONCRETE.replace("(?iu)", "(?i)") + "".join(
+    "|" + re.escape(n) for e in EMPLOYERS for n in [e, *(w for w in e.split()[:1] if len(w) > 3)])
+
+
+def _employers():
+    return F.array(*[F.lit(e) for e in EMPLOYERS])
 
 
 @register("S21_specific_pattern", oracle=f"""
 SELECT letter_id, pos, regexp_matches(coalesce(text, ''),
-       {q(L.specific_pattern(EMPLOYERS).replace("(?iu)", "(?i)")).replace("{", "{{").replace("}", "}}")}) AS specific
+       {q(_SPECIFIC).replace("{", "{{").replace("}", "}}")}) AS specific
 FROM {SQL_BULLETS}""")
 def s21(spark, sf):
     b = bullets(spark, sf)
-    return b.select("letter_id", "pos", F.col("text").rlike(L.specific_pattern(EMPLOYERS)).alias("specific"))
+    return b.select("letter_id", "pos", L.is_specific(F.col("text"), L.employer_names(_employers())).alias("specific"))
 
 
-def _s19_sql() -> str:
-    spec = q(L.specific_pattern(EMPLOYERS).replace("(?iu)", "(?i)")).replace("{", "{{").replace("}", "}}")
+def _s19_sql(docs: str = "documents", sep: str = " | ") -> str:
+    spec = q(_SPECIFIC).replace("{", "{{").replace("}", "}}")
 
     def wc(x):
         return f"len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
@@ -164,7 +157,7 @@ def _s19_sql() -> str:
                                  || substr(b, 1, 64) || '..."')))""".replace("{q}", "''")
     return f"""
 WITH l AS (
-  SELECT doc_id AS letter_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+  SELECT doc_id AS letter_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM {docs}),
 g AS (
   SELECT letter_id,
          CASE WHEN len(lines) <= 1 THEN [] ELSE list_transform(lines, lambda ln: struct_pack(
@@ -188,11 +181,35 @@ SELECT letter_id, array_to_string(
          CASE WHEN len(allb) > 0 AND len(vague) * 2 > len(allb)
               THEN [CAST(len(vague) AS VARCHAR) || ' of ' || CAST(len(allb) AS VARCHAR)
                     || ' bullets carry no metric, employer, or named method; e.g. "' || substr(vague[1], 1, 58) || '..."']
-              ELSE []::VARCHAR[] END) END, ' | ') AS issues
+              ELSE []::VARCHAR[] END) END, '{sep}') AS issues
 FROM y"""
 
 
 @register("S19_style_issues", oracle=_s19_sql())
 def s19(spark, sf):
-    return L.style_issues(letters(spark, sf), EMPLOYERS).select(
+    return L.style_issues(letters(spark, sf)).select(
         "letter_id", F.array_join("issues", " | ").alias("issues"))
+
+
+def _a13_sql(docs: str = "documents") -> str:
+    scope = q(L.INVENTED_SCOPE.replace("(?iU)", "(?i)")).replace("{", "{{").replace("}", "}}")
+    return f"""
+WITH b AS {sql_bullets(docs)}, {_J9_BODY},
+scope AS (SELECT letter_id, pos, 0 AS k,
+                 'invented scope "' || regexp_extract(text, {scope}, 0) || '" in: "' || substr(text, 1, 56) || '..."'
+                   AS problem
+          FROM b WHERE regexp_matches(coalesce(text, ''), {scope})),
+claims AS (SELECT letter_id, string_agg(problem, '; ' ORDER BY pos, k) AS claims
+           FROM (SELECT * FROM scope UNION ALL SELECT * FROM nums) GROUP BY letter_id),
+t AS ({_s18_sql(sql_bullets(docs))}),
+tl AS (SELECT letter_id, array_to_string(list_transform(list_filter(string_split(tells, ' | '), lambda x: x <> ''),
+                                                        lambda x: 'AI tell: ' || x), '; ') AS tl FROM t),
+st AS ({_s19_sql(docs, '; ')})
+SELECT st.letter_id, concat_ws('; ', c.claims, nullif(tl.tl, ''), nullif(st.issues, '')) AS problems,
+       c.claims IS NULL AND coalesce(tl.tl, '') = '' AND st.issues = '' AS clean
+FROM st LEFT JOIN tl ON tl.letter_id = st.letter_id LEFT JOIN claims c ON c.letter_id = st.letter_id"""
+
+
+@register("A13_lint_summary", oracle=_a13_sql())
+def a13(spark, sf):
+    return L.lint_summary(bullets(spark, sf), profiles(spark, sf), letters(spark, sf))
