@@ -1,9 +1,9 @@
 """Keep-first de-duplication (D1, D2) and the posting intake plan built on it.
 
-Keep-first is ``min_by(struct(row), ingest_seq)`` per key rather than a
-``row_number`` window: the aggregate is split partial/final, so a key holding
-a third of all rows is reduced to one row per map task before the shuffle,
-while a window would sort that whole key in one task.
+Keep-first is ``min(ingest_seq)`` per key rather than a ``row_number`` window: the
+aggregate is split partial/final, so a key holding a third of all rows is reduced
+to one narrow row per map task before the shuffle, while a window would sort that
+whole key in one task.
 """
 
 from __future__ import annotations
@@ -16,16 +16,12 @@ from lantern.operators.filters import BILLED_SOURCES, company_block, routed_rule
 
 
 def keep_first(df: DataFrame, keys: list, order: str = "ingest_seq") -> DataFrame:
-    """First row (smallest ``order``) of each key; ``keys`` are names or Columns.
-
-    Expression keys are evaluated but not returned; the output has exactly the
-    input columns.
-    """
-    key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    named = [c.alias(f"_k{i}") for i, c in enumerate(key_cols)]
-    agg = (df.groupBy(*named)
-           .agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(order)).alias("_r")))
-    return agg.select("_r.*")
+    """First row (smallest ``order``, which is unique) of each key; ``keys`` are names
+    or Columns. Only keys and ``order`` are aggregated; the rows that stay are found by
+    a semi join, so a plan that needs few columns reads and moves no others."""
+    named = [(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    first = df.groupBy(*named).agg(F.min(order).alias("_first")).select("_first")
+    return df.join(first, F.col(order) == F.col("_first"), "left_semi")
 
 
 def role_key_company() -> Column:

@@ -46,10 +46,11 @@ def _blank_to_empty(c: Column) -> Column:
 
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
     """Record files -> (doc_id, line_no, line). A record file is one
-    person's document (small), so each is read whole and split by lines."""
-    raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("doc_id"),
-                      F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    person's document (small), so each is read whole and split by lines; in
+    folders ``doc_id=...`` the id is the folder's, else it is the file's path."""
+    raw = spark.read.text(path, wholetext=True)
+    doc = F.col("doc_id") if "doc_id" in raw.columns else F.col("_metadata.file_path")
+    return raw.select(doc.alias("doc_id"), F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("line_no", "line"))
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:

@@ -89,19 +89,32 @@ def role_positions(bullets: DataFrame, order_col: str) -> DataFrame:
     return bullets.withColumn("role_pos", F.dense_rank().over(w) - 1)
 
 
+def document_base(company, title, day: str) -> Column:
+    """The file name of a drafted document: company, title (S25 names) and day."""
+    from lantern.functions.text import safe_name
+    return F.concat(safe_name(company), F.lit("_"), safe_name(title), F.lit(f"_{day}"))
+
+
 def unique_names(df: DataFrame, base: Column, existing: DataFrame | None = None,
-                 order: str = "ingest_seq") -> DataFrame:
+                 order: str = "ingest_seq", slice_rows: int = 100_000) -> DataFrame:
     """Names from a base; a base seen before gets -2, -3, ... in order,
-    offset by how many names with that base are already stored."""
-    d = df.withColumn("_base", base)
-    w = Window.partitionBy("_base").orderBy(order)
-    d = d.withColumn("_n", F.row_number().over(w))
+    offset by how many names with that base are already stored.
+
+    A base's rows are numbered in slices of the integer ``order`` column, each on
+    its own; the rows in the base's slices before it are added from one small row
+    per base and slice, so a base of any size spreads over tasks."""
+    d = df.withColumn("_base", base).withColumn("_slice", F.floor(F.col(order) / slice_rows))
+    sizes = d.groupBy("_base", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_base").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_base", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_base", "_slice").orderBy(order))
+    d = d.withColumn("_rank", within).join(offsets, ["_base", "_slice"]).withColumn("_n", F.col("_rank") + F.col("_offset"))
     if existing is not None:
         taken = existing.groupBy(F.col("base").alias("_base")).agg(F.count(F.lit(1)).alias("_taken"))
         d = d.join(taken, "_base", "left").withColumn("_n", F.col("_n") + F.coalesce("_taken", F.lit(0)))
     return d.withColumn("name", F.when(F.col("_n") == 1, F.col("_base"))
                         .otherwise(F.concat(F.col("_base"), F.lit("-"), F.col("_n").cast("string")))) \
-        .drop("_n", "_taken")
+        .drop("_n", "_taken", "_slice", "_offset", "_rank", "_base")
 
 
 def thin_roles(bullets: DataFrame, min_highlights: int = 2) -> DataFrame:

@@ -207,17 +207,19 @@ def upsert_scored(history: DataFrame, new: DataFrame, keys=("posting_id",),
 
 def write_tracker(rows: DataFrame, path: str) -> None:
     """K2: the tracker as CSV with a header, columns in the fixed order, into
-    a new version directory (readers switch to it once it is complete)."""
-    (rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS])
-     .write.mode("error").option("header", True).option("quoteAll", True)
+    a new version directory (readers switch to it once it is complete). The
+    last column, ``row_seq``, is the rows' order: theirs if they have one, else
+    that of the sorted rows; several files are not read back in file order."""
+    seq = F.col("row_seq") if "row_seq" in rows.columns else F.monotonically_increasing_id()
+    (rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS], seq.alias("row_seq"))
+     .write.mode("error").option("header", True).option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_tracker(spark, path: str) -> DataFrame:
     """R22 reader: the tracker CSV back (multi-line cells allowed), every
-    cell text, file order kept in ``row_seq``."""
+    cell text, with the order stored in ``row_seq``."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .schema(", ".join(f"`{c}` string" for c in FIELDS)).csv(path))
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in FIELDS]) \
-        .withColumn("row_seq", F.monotonically_increasing_id())
+          .schema(", ".join(f"`{c}` string" for c in FIELDS) + ", row_seq long").csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in FIELDS], "row_seq")

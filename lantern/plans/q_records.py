@@ -3,10 +3,13 @@ S28, J10, T4, K5)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lantern.operators import records as R
 from lantern.plans.registry import q, register
+from lantern.session import checkpoint_dir
 from lantern.plans.tables import adapter
 
 
@@ -104,12 +107,13 @@ def _items(spark, sf):
 
 @register("R21_markdown_lines", oracle="SELECT doc_id, line_no, line FROM {record_lines}")
 def r21(spark, sf):
-    """Record texts (one per document) split back into numbered lines."""
-    lines = adapter(spark, sf, "record_lines")
-    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
-        .withColumn("line_no", F.col("line_no").cast("long"))
+    """Each record lands as a text file and comes back as numbered lines."""
+    texts = adapter(spark, sf, "record_lines").groupBy("doc_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("value"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    texts.write.partitionBy("doc_id").text(path)
+    return R.read_record_lines(spark, path).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @register("W6_record_parse", oracle=f"SELECT * FROM {SQL_ITEMS}")

@@ -103,15 +103,21 @@ def m7(spark, sf):
         F.coalesce("n", F.lit(0)).alias("n_bullets"))
 
 
-@register("W10_unique_name", oracle="""
+def _sql_safe(x: str) -> str:
+    """S25 without entity decoding: the tables' titles and companies hold none."""
+    kept = f"regexp_replace(coalesce({x}, ''), '[<>:\"/\\\\|?*]', '', 'g')"
+    flat = f"regexp_replace(regexp_replace({kept}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+    return f"regexp_replace(substr({flat}, 1, 80), '^ | $', '', 'g')"
+
+
+@register("W10_unique_name", oracle=f"""
 SELECT ingest_seq, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS name FROM (
   SELECT ingest_seq, base, row_number() OVER (PARTITION BY base ORDER BY ingest_seq) AS n FROM (
-    SELECT ingest_seq, regexp_replace(lower(company || '_' || title), '[^a-z0-9_]', '', 'g') AS base
-    FROM {postings}))""")
+    SELECT ingest_seq, {_sql_safe('company')} || '_' || {_sql_safe('title')} || '_2024-01-24' AS base
+    FROM {{postings}}))""")
 def w10(spark, sf):
-    p = adapter(spark, sf, "postings")
-    base = F.regexp_replace(F.lower(F.concat("company", F.lit("_"), "title")), "[^a-z0-9_]", "")
-    return S.unique_names(p, base).select("ingest_seq", "name")
+    p = adapter(spark, sf, "postings").select("ingest_seq", "company", "title")
+    return S.unique_names(p, S.document_base("company", "title", "2024-01-24"), slice_rows=500).select("ingest_seq", "name")
 
 
 @register("P22_thin_roles", oracle="""

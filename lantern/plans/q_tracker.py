@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lantern.functions.dates import parse_date
 from lantern.operators import tracker as T
 from lantern.plans.registry import register
 from lantern.plans.settings import RUN_DATE
+from lantern.session import checkpoint_dir
 from lantern.plans.tables import adapter
 
 ROOT = "/home/user/jobs"
@@ -108,7 +111,10 @@ def _tracker(spark, sf):
 
 @register("R22_tracker_scan", oracle=f"SELECT url, row_seq, status, notes FROM {PRIOR}")
 def r22(spark, sf):
-    return T.latest_by_url(adapter(spark, sf, "tracker_old")).select("url", "row_seq", "status", "notes")
+    """The old tracker lands as CSV and is read back before it is keyed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tracker-{uuid.uuid4().hex}"
+    T.write_tracker(adapter(spark, sf, "tracker_old"), path)
+    return T.latest_by_url(T.read_tracker(spark, path)).select("url", "row_seq", "status", "notes")
 
 
 @register("J2_tracker_refresh", oracle=SQL_REFRESH)

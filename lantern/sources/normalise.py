@@ -154,7 +154,7 @@ def read_url_list(spark, path: str, scored: DataFrame | None = None) -> DataFram
     """Url list files -> urls in file order (file name, then line),
     blanks and '#' comments dropped, the first of repeated urls kept, urls
     already scored removed. A list file is small, so each is read whole."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.col("_metadata.file_path").alias("file"),
                        F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
     url = F.regexp_replace("line", "(?U)^\\s+|\\s+$", "")
