@@ -116,7 +116,9 @@ def _passes(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataF
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes, "node")
+    # texts are dealt out by id at any size: a plan that broadcasts the nodes while they are
+    # few would say nothing about the shuffle that a larger table needs
+    texts = docs.join(nodes.hint("merge"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
