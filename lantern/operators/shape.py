@@ -89,6 +89,33 @@ def role_positions(bullets: DataFrame, order_col: str) -> DataFrame:
     return bullets.withColumn("role_pos", F.dense_rank().over(w) - 1)
 
 
+def shape_resumes(bullets: DataFrame, ranks: DataFrame, summaries: DataFrame, skills: DataFrame,
+                  education: DataFrame) -> DataFrame:
+    """M7: T6 order, S22 skills, then the trim (W9, W7, W8). Roles are taken by ``ranks``
+    (``resume_id``, ``role_key``, ``rank``: the employer's place in the profile) and
+    within a rank as written, newest first; the budget counts the words of summary,
+    bullets, ``skills`` (``resume_id``, ``skills`` lines) and ``education``
+    (``resume_id``, ``text``). Output: ``resume_id``, ``summary``, ``skills``,
+    ``bullets`` (one text, a line each) and ``n_bullets``."""
+    placed = bullets.join(ranks, ["resume_id", "role_key"], "left")
+    w = Window.partitionBy("resume_id").orderBy(F.asc_nulls_last("rank"), F.desc("role_date"), F.asc("role_key"))
+    capped = cap_bullets(placed.withColumn("role_pos", F.dense_rank().over(w) - 1))
+    schooled = education.groupBy("resume_id").agg(F.sum(word_count(F.col("text"))).alias("_ew"))
+    rest = (summaries.select("resume_id", summary_trim(F.col("summary")).alias("summary"))
+            .join(skills, "resume_id", "left").join(schooled, "resume_id", "left"))
+    lines = F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " | ")
+    spoken = F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")
+    words = word_count(F.col("summary")) + word_count(spoken) + F.coalesce("_ew", F.lit(0))
+    kept = word_budget(capped, rest.select("resume_id", words.alias("words")))
+    per = kept.groupBy("resume_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role_pos", "bullet_idx", "text"))),
+                                 lambda x: x["text"]), "\n").alias("bullets"),
+        F.count(F.lit(1)).alias("n"))
+    return rest.join(per, "resume_id", "left").select(
+        "resume_id", "summary", lines.alias("skills"), F.coalesce("bullets", F.lit("")).alias("bullets"),
+        F.coalesce("n", F.lit(0)).alias("n_bullets"))
+
+
 def document_base(company, title, day: str) -> Column:
     """The file name of a drafted document: company, title (S25 names) and day."""
     from lantern.functions.text import safe_name

@@ -145,16 +145,64 @@ def s23(spark, sf):
     return g.select("inventory", "category", F.array_join(Pr.prefix_dedupe(F.col("items")), ", ").alias("kept"))
 
 
-@register("S22_normalise_skills", oracle=None)
-def s22(spark, sf):
-    """Each inventory as a resume's skills block: one 'Category: a, b (x)'
-    line per category (or the bare names when the category is blank)."""
-    s = adapter(spark, sf, "skills")
-    per_cat = s.groupBy("inventory", "category").agg(
+_CAT = q("^([^:]{3,40}):\\s*(.+)$").replace("{", "{{").replace("}", "}}")
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+# The fold over terms as a recursion: one step per term of an inventory, with the terms
+# seen so far and those kept in each category.
+SQL_S22 = f"""
+WITH RECURSIVE lines AS (
+  SELECT inventory, min(row_seq) AS seq,
+         CASE WHEN category = '' THEN '' ELSE category || ': ' END || string_agg(skill, ', ' ORDER BY row_seq, skill) AS l
+  FROM {{skills}} GROUP BY inventory, category),
+s AS (SELECT inventory, list_transform(list(l ORDER BY seq, l), lambda x:
+        {_strip_sql("regexp_replace(x, '\\s*\\(([^)]*)\\)', ', \\1', 'g')")}) AS s FROM lines GROUP BY inventory),
+c AS (SELECT *, len(s) >= 3 AND len(list_filter(s, lambda x: NOT regexp_matches(x, {_CAT}))) = 0 AS categorised FROM s),
+cats AS (SELECT inventory, unnest(s[1:{Pr.MAX_SKILL_CATEGORIES}]) AS line, generate_subscripts(s[1:{Pr.MAX_SKILL_CATEGORIES}], 1) AS cat
+         FROM c WHERE categorised),
+split AS (SELECT inventory, cat, {_strip_sql(f"regexp_extract(line, {_CAT}, 1)")} AS label,
+                 list_filter(list_transform(string_split(regexp_extract(line, {_CAT}, 2), ','),
+                   lambda t: regexp_replace(t, '^[ .;]+|[ .;]+$', '', 'g')), lambda t: t <> '') AS ts FROM cats),
+terms AS (SELECT *, row_number() OVER (PARTITION BY inventory ORDER BY cat, k) AS i
+          FROM (SELECT inventory, cat, unnest(ts) AS term, generate_subscripts(ts, 1) AS k FROM split)),
+st AS (
+  SELECT inventory, 0::BIGINT AS i, []::VARCHAR[] AS seen, []::STRUCT(cat BIGINT, term VARCHAR)[] AS kept
+  FROM c WHERE categorised
+  UNION ALL
+  SELECT st.inventory, t.i,
+         CASE WHEN list_contains(seen, lower(t.term)) OR len(list_filter(kept, lambda x: x.cat = t.cat)) >= {Pr.MAX_TERMS_PER_CATEGORY}
+              THEN seen ELSE list_append(seen, lower(t.term)) END,
+         CASE WHEN list_contains(seen, lower(t.term)) OR len(list_filter(kept, lambda x: x.cat = t.cat)) >= {Pr.MAX_TERMS_PER_CATEGORY}
+              THEN kept ELSE list_append(kept, struct_pack(cat := t.cat::BIGINT, term := t.term)) END
+  FROM st JOIN terms t ON t.inventory = st.inventory AND t.i = st.i + 1),
+fin AS (SELECT inventory, arg_max(kept, i) AS kept FROM st GROUP BY inventory),
+outl AS (SELECT f.inventory, p.cat, p.label || ': ' || array_to_string(list_transform(
+           list_filter(f.kept, lambda x: x.cat = p.cat), lambda x: x.term), ', ') AS line
+         FROM fin f JOIN split p ON p.inventory = f.inventory
+         WHERE len(list_filter(f.kept, lambda x: x.cat = p.cat)) > 0),
+done AS (SELECT inventory, list(line ORDER BY cat) AS out FROM outl GROUP BY inventory)
+SELECT c.inventory, CASE WHEN categorised THEN coalesce(done.out, []::VARCHAR[]) ELSE list_filter(s, lambda x, i:
+         x <> '' AND NOT list_contains(list_transform(s[1:i - 1], lambda y: lower(y)), lower(x))) END AS skills
+FROM c LEFT JOIN done ON done.inventory = c.inventory"""
+
+
+def skill_lines(spark, sf):
+    """Each inventory as a resume's skills block: one 'Category: a, b (x)' line per
+    category (or the bare names when the category is blank), normalised."""
+    per_cat = adapter(spark, sf, "skills").groupBy("inventory", "category").agg(
         F.min("row_seq").alias("seq"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", "skill"))),
                                  lambda x: x["skill"]), ", ").alias("terms"))
     line = F.when(F.col("category") == "", F.col("terms")).otherwise(F.concat("category", F.lit(": "), "terms"))
     blocks = per_cat.groupBy("inventory").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"]).alias("skills"))
-    return blocks.select("inventory", F.array_join(Pr.normalize_skills(F.col("skills")), " | ").alias("skills"))
+    return blocks.select("inventory", Pr.normalize_skills(F.col("skills")).alias("skills"))
+
+
+@register("S22_normalise_skills", oracle=f"SELECT inventory, array_to_string(skills, ' | ') AS skills FROM ({SQL_S22})")
+def s22(spark, sf):
+    return skill_lines(spark, sf).select("inventory", F.array_join("skills", " | ").alias("skills"))

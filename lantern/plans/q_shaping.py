@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lantern.functions.predicates import word_count
 from lantern.operators import shape as S
+from lantern.plans.q_profile import SQL_S22, skill_lines
+from lantern.plans.q_text import sql_safe
+from lantern.plans.q_watch import SQL_T6, experience_ranks
 from lantern.plans.registry import register
 from lantern.plans.tables import adapter
 
@@ -78,42 +81,41 @@ def w8(spark, sf):
     return S.word_budget(capped, other).select("resume_id", "role_pos", "bullet_idx")
 
 
-SQL_BUDGET_TEXT = SQL_BUDGET.replace("SELECT resume_id, role_pos, bullet_idx FROM r",
-                                     "SELECT resume_id, role_pos, bullet_idx, text FROM r")
+# M7 over the same resumes: employers ranked by the profile (T6), skills and certificates
+# (as education) of the inventory with the resume's number, if there is one.
+SQL_M7 = f"""
+WITH ranks AS (SELECT profile_id AS resume_id, entry_id AS role_key, rank FROM ({SQL_T6})),
+sk AS (SELECT inventory AS resume_id, skills FROM ({SQL_S22})),
+ed AS (SELECT inventory AS resume_id, sum({_wc('cert')}) AS ew FROM {{profile_certs}} GROUP BY inventory),
+rest AS (SELECT s.resume_id, s.summary, coalesce(array_to_string(sk.skills, ' | '), '') AS skills,
+                {_wc('s.summary')} + {_wc("array_to_string(sk.skills, ' ')")} + coalesce(ed.ew, 0) AS words
+         FROM {SQL_TRIM} s LEFT JOIN sk ON sk.resume_id = s.resume_id LEFT JOIN ed ON ed.resume_id = s.resume_id),
+placed AS (SELECT b.*, dense_rank() OVER (PARTITION BY b.resume_id ORDER BY r.rank ASC NULLS LAST, role_date DESC, b.role_key) - 1 AS role_pos
+           FROM {{resume_bullets}} b LEFT JOIN ranks r ON r.resume_id = b.resume_id AND r.role_key = b.role_key),
+b AS (SELECT *, {_wc('text')} AS w FROM placed WHERE bullet_idx < {_CAP}),
+r AS (SELECT b.*, sum(w) OVER (PARTITION BY b.resume_id) + coalesce(rest.words, 0) AS total,
+        coalesce(sum(CASE WHEN bullet_idx > 0 THEN w ELSE 0 END) OVER (PARTITION BY b.resume_id
+            ORDER BY role_pos DESC, bullet_idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef
+      FROM b LEFT JOIN rest ON rest.resume_id = b.resume_id),
+k AS (SELECT resume_id, string_agg(text, chr(10) ORDER BY role_pos, bullet_idx, text) AS bullets, count(*) AS n
+      FROM r WHERE NOT (bullet_idx > 0 AND total - bef > {S.MAX_RESUME_WORDS}) GROUP BY resume_id)
+SELECT rest.resume_id, rest.summary, rest.skills, coalesce(k.bullets, '') AS bullets, coalesce(k.n, 0) AS n_bullets
+FROM rest LEFT JOIN k ON k.resume_id = rest.resume_id"""
 
 
-@register("M7_shape_resume", oracle=f"""
-SELECT s.resume_id, s.summary, coalesce(k.bullets, '') AS bullets, coalesce(k.n, 0) AS n_bullets
-FROM {SQL_TRIM} s LEFT JOIN (
-  SELECT resume_id, string_agg(text, chr(10) ORDER BY role_pos, bullet_idx, text) AS bullets, count(*) AS n
-  FROM ({SQL_BUDGET_TEXT}) GROUP BY resume_id) k ON k.resume_id = s.resume_id""")
+@register("M7_shape_resume", oracle=SQL_M7)
 def m7(spark, sf):
-    """W9 -> W7 -> W8 composed: per resume the trimmed summary and the kept
-    bullets in order (one text, newline-separated) with their count."""
-    capped = S.cap_bullets(_bullets(spark, sf))
-    summ = _summary(spark, sf)
-    other = summ.select("resume_id", word_count(F.col("summary")).alias("words"))
-    kept = S.word_budget(capped, other)
-    per = kept.groupBy("resume_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role_pos", "bullet_idx", "text"))),
-                                 lambda x: x["text"]), "\n").alias("bullets"),
-        F.count(F.lit(1)).alias("n"))
-    return summ.join(per, "resume_id", "left").select(
-        "resume_id", "summary", F.coalesce("bullets", F.lit("")).alias("bullets"),
-        F.coalesce("n", F.lit(0)).alias("n_bullets"))
-
-
-def _sql_safe(x: str) -> str:
-    """S25 without entity decoding: the tables' titles and companies hold none."""
-    kept = f"regexp_replace(coalesce({x}, ''), '[<>:\"/\\\\|?*]', '', 'g')"
-    flat = f"regexp_replace(regexp_replace({kept}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
-    return f"regexp_replace(substr({flat}, 1, 80), '^ | $', '', 'g')"
+    ranks = experience_ranks(spark, sf).select(
+        F.col("profile_id").alias("resume_id"), F.col("entry_id").alias("role_key"), "rank")
+    skills = skill_lines(spark, sf).withColumnRenamed("inventory", "resume_id")
+    certs = adapter(spark, sf, "profile_certs").select(F.col("inventory").alias("resume_id"), F.col("cert").alias("text"))
+    return S.shape_resumes(adapter(spark, sf, "resume_bullets"), ranks, adapter(spark, sf, "resume_summary"), skills, certs)
 
 
 @register("W10_unique_name", oracle=f"""
 SELECT ingest_seq, CASE WHEN n = 1 THEN base ELSE base || '-' || CAST(n AS VARCHAR) END AS name FROM (
   SELECT ingest_seq, base, row_number() OVER (PARTITION BY base ORDER BY ingest_seq) AS n FROM (
-    SELECT ingest_seq, {_sql_safe('company')} || '_' || {_sql_safe('title')} || '_2024-01-24' AS base
+    SELECT ingest_seq, {sql_safe('company')} || '_' || {sql_safe('title')} || '_2024-01-24' AS base
     FROM {{postings}}))""")
 def w10(spark, sf):
     p = adapter(spark, sf, "postings").select("ingest_seq", "company", "title")

@@ -171,7 +171,15 @@ def s26(spark, sf):
     return adapter(spark, sf, "messages").select("msg_id", X.short_hash("subject").alias("h"))
 
 
-@register("S25_safe_name", oracle=None)
+def sql_safe(x: str) -> str:
+    """S25 without entity decoding: the tables' titles and companies hold none."""
+    kept = f"regexp_replace(coalesce({x}, ''), '[<>:\"/\\\\|?*]', '', 'g')"
+    flat = f"regexp_replace(regexp_replace({kept}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+    return f"regexp_replace(substr({flat}, 1, 80), '^ | $', '', 'g')"
+
+
+@register("S25_safe_name", oracle=f"""
+SELECT row_seq, {sql_safe("concat_ws(' - ', company, title)")} AS name FROM {{applications}}""")
 def s25(spark, sf):
     return adapter(spark, sf, "applications").select(
         "row_seq", X.safe_name(F.concat_ws(" - ", "company", "title")).alias("name"))

@@ -52,14 +52,21 @@ def j6(spark, sf):
         .select("profile_id", "entry_id", "company", "canon_idx", "canon_company")
 
 
-@register("T6_experience_order", oracle=f"""
+SQL_T6 = f"""
 SELECT j.profile_id, j.entry_id, coalesce(j.canon_company, j.company) AS company,
        coalesce(j.canon_idx, n.n, 0) AS rank
 FROM ({SQL_J6}) j LEFT JOIN (SELECT profile_id, count(*) AS n FROM {{canonical}} GROUP BY profile_id) n
-  ON n.profile_id = j.profile_id""")
-def t6(spark, sf):
+  ON n.profile_id = j.profile_id"""
+
+
+def experience_ranks(spark, sf):
     canon = adapter(spark, sf, "canonical")
     m = Wt.canonical_match(adapter(spark, sf, "resume_entries"), canon)
     n = canon.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
     return Wt.experience_order(m, n).select("profile_id", "entry_id", "company",
                                             F.col("rank").cast("long").alias("rank"))
+
+
+@register("T6_experience_order", oracle=SQL_T6)
+def t6(spark, sf):
+    return experience_ranks(spark, sf)
