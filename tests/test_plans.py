@@ -2,11 +2,10 @@
 products; Python runs only in the operators that need it; the scorer runs
 after the filters and the anti join."""
 
-import __spark_entry__ as E
-
+from lantern.plans import registry
 from tests.conftest import SF001
 
-PYTHON_OK = {"S25_safe_name", "S7_message_text", "R20_docx_paragraphs", "M2_apply_scorer", "M6_isolate_failures"}
+PYTHON_OK = {"S25_safe_name", "W10_unique_name", "S7_message_text", "R20_docx_paragraphs", "M2_apply_scorer", "M6_isolate_failures"}
 STREAMING = {"X1_incremental_intake", "X2_late_mail"}
 
 
@@ -15,16 +14,30 @@ def _plan(df):
 
 
 def test_no_nested_loops_and_python_only_where_needed(spark):
-    for name, fn in E.queries().items():
+    for name, fn in registry.load_all()[0].items():
         if name in STREAMING:
             continue
         p = _plan(fn(spark, SF001))
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
         if name not in PYTHON_OK:
-            assert not any(k in p for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas")), name
+            assert not any(k in p for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow")), name
 
 
 def test_scorer_runs_after_filters(spark):
-    p = _plan(E.queries()["M2_apply_scorer"](spark, SF001))
+    p = _plan(registry.load_all()[0]["M2_apply_scorer"](spark, SF001))
     below = p[p.index("MapInPandas"):]
     assert "Filter" in below and ("Join" in below), "filters and the anti join must feed the scorer"
+
+
+def test_large_watch_lists_take_the_same_plan(spark):
+    """J5 has one path: equi-joins, however long the list."""
+    from lantern.operators.watch import watch_table, watchlist_matches
+    found = spark.createDataFrame([(1, 1, "Kestrel Tiles Ltd"), (2, 2, "Kes"), (3, 3, "")], "key int, seq int, company string")
+    plans = []
+    for n in (2, 3000):
+        out = watchlist_matches(found, watch_table(spark, ["Kestrel Tiles"] + [f"Name {i}" for i in range(n)]))
+        assert sorted(r.key for r in out.collect()) == [1, 2]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+        plans.append(sum(plan.count(k) for k in ("Join",)))
+    assert plans[0] == plans[1]
