@@ -79,11 +79,34 @@ def p13(spark, sf):
     return t.where(X.min_text("t")).select("page_id", F.length("t").alias("n_chars"))
 
 
-@register("S3_jsonld_posting", oracle=None)
+def _pages_ld(spark, sf):
+    """The pages, those with a document of their number carrying it as an ``ld+json``
+    JobPosting (the generated pages hold none)."""
+    d = read_table(spark, sf, "documents")
+    node = F.to_json(F.struct(
+        F.lit("JobPosting").alias("@type"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.struct(F.concat(F.upper("lang"), F.lit(" Corp")).alias("name")).alias("hiringOrganization"),
+        F.struct(F.struct(F.col("source").alias("addressLocality"), F.upper("lang").alias("addressRegion"))
+                 .alias("address")).alias("jobLocation"),
+        F.when(F.col("lang") == "es", "TELECOMMUTE").alias("jobLocationType"), F.col("text").alias("description")))
+    script = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
+    return _pages(spark, sf).join(d.select(F.col("doc_id").alias("page_id"), script.alias("ld")), "page_id", "left").select(
+        "page_id", "url", F.concat(F.coalesce("ld", F.lit("")), "html").alias("html"))
+
+
+@register("S3_jsonld_posting", oracle=f"""
+WITH x AS (
+  SELECT p.page_id, p.html, p.url, d.doc_id IS NOT NULL AS has, split_part(d.text, chr(10), 1) AS t, upper(d.lang) || ' Corp' AS org,
+         CASE WHEN d.lang = 'es' THEN 'Remote (' || d.source || ', ES)' ELSE d.source || ', ' || upper(d.lang) END AS loc,
+         length({sql_page_text("coalesce(d.text, '')")}) >= 200 AS use_ld
+  FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id)
+SELECT page_id, CASE WHEN has AND use_ld THEN regexp_replace(t, '^\\s+|\\s+$', '', 'g') ELSE {sql_page_title()} END AS title,
+       CASE WHEN has THEN org ELSE {sql_host()} END AS company, CASE WHEN has THEN loc ELSE '' END AS location,
+       CASE WHEN has AND use_ld THEN 'JSON-LD' ELSE 'page text' END AS _source FROM x""")
 def s3(spark, sf):
     """Pages -> JSON-LD posting when present, else the S4 page-text fallback
     (pages whose JSON-LD description is under 200 characters fall back too)."""
-    p = _pages(spark, sf).withColumn("ld", X.jsonld_posting("html"))
+    p = _pages_ld(spark, sf).withColumn("ld", X.jsonld_posting("html"))
     use_ld = F.col("ld").isNotNull() & (F.length("ld.description") >= 200)
     return p.select(
         "page_id",
