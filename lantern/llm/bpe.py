@@ -23,20 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .chunks import Chunked, pieces, text_bytes
-from .common import fresh_dir, landed
+from .common import fresh_dir, held, landed, map_arrow
 from .lexicon import Lexicon, build, read_vocabulary
 
 #: Words of more bytes are not worth an entry; they are merged.
 MAX_WORD_BYTES = 32
-_OPEN: dict[str, Lexicon] = {}
 
 
 def lexicon_in_task(name: str) -> Lexicon:
     """The executor's copy of a lexicon file, mapped once per Python worker."""
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = Lexicon(SparkFiles.get(name))
-    return _OPEN[name]
+    return held(("lexicon", name), lambda: Lexicon(SparkFiles.get(name)))
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,7 +60,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     import pyarrow.compute  # noqa: F401
 
-    return df.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(df.select(text_col), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, max_words: int) -> list[bytes]:
@@ -112,7 +108,7 @@ def encode(df: DataFrame, lexicon: str, text_col: str = "text", ids_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon_in_task(lexicon)
         for batch in batches:
-            for piece in pieces(batch, text_col):
+            for piece in pieces(batch, text_col, 2 << 20):
                 ch = Chunked(piece.column(len(rest)), lex.specials)
                 ids, at = ch.gather(*lex.encode_words(ch.words))
                 out = pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [
@@ -120,7 +116,7 @@ def encode(df: DataFrame, lexicon: str, text_col: str = "text", ids_col: str = "
                 yield pa.RecordBatch.from_arrays([*piece.columns[:len(rest)], out.cast(pa.binary())], [*rest, ids_col])
 
     schema = _with(df.select(*rest).schema, StructField(ids_col, BinaryType()))
-    return df.select(*rest, text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(*rest, text_col), run, schema)
 
 
 def decode(df: DataFrame, lexicon: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -131,7 +127,7 @@ def decode(df: DataFrame, lexicon: str, ids_col: str = "ids", out_col: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon_in_task(lexicon)
         for batch in batches:
-            for piece in pieces(batch, ids_col):
+            for piece in pieces(batch, ids_col, 2 << 20):
                 data, offsets = text_bytes(piece.column(at_ids))
                 raw, ends = lex.decode(np.frombuffer(data.tobytes(), "<u4"))
                 cut = np.append(0, ends)[offsets // 4]
@@ -139,4 +135,4 @@ def decode(df: DataFrame, lexicon: str, ids_col: str = "ids", out_col: str = "de
                 texts = [buf[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*rest, out_col])
 
-    return df.select(*rest).mapInArrow(run, _with(df.select(*rest).schema, StructField(out_col, StringType())))
+    return map_arrow(df.select(*rest), run, _with(df.select(*rest).schema, StructField(out_col, StringType())))

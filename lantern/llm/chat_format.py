@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from .common import map_arrow
+
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE=", "[/ROLE]")
 CONTROL = [*(m for pair in MARKS.values() for m in pair), *OTHER]
@@ -123,7 +125,7 @@ def format_turns(df: DataFrame, role_col: str = "role", text_col: str = "text")
 
     schema = StructType([*df.select(*rest).schema, StructField("segment", StringType()),
                          *[StructField(c, IntegerType()) for c in out[1:]]])
-    return df.select(*rest).mapInArrow(run, schema)
+    return map_arrow(df.select(*rest), run, schema)
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -169,4 +171,4 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     schema = StructType([StructField(conv_col, kind), StructField("n_turns", LongType()), StructField("turns_sha256", StringType()),
                          StructField("loss_chars", LongType()), StructField("loss_sha256", StringType()),
                          StructField("formatted_chars", LongType())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

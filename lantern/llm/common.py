@@ -30,6 +30,26 @@ def digest128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols, *flags), F.xxhash64(F.lit(7919), *flags, *cols)]
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of 8 MiB at most, or a row: with long texts the default
+    of 10,000 rows is tens of megabytes in the JVM, in the worker and in its copies. The
+    setting stays with the session, since the plan is made when the frame is used."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(run, schema)
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker builds once and keeps between tasks: one thing at a time, so
+    that a worker that serves several operators does not gather their models."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

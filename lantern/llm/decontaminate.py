@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, map_arrow
+
 ERROR_RATE = 0.05
 
 
@@ -128,15 +130,9 @@ class Matcher:
         return out
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def matcher_in_task(key: str, shared, error_rate: float) -> Matcher:
     """A block's matcher, built once per Python worker."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value, error_rate)
-    return _MATCHERS[key]
+    return held(("items", key), lambda: Matcher(shared.value, error_rate))
 
 
 def _shared(spark, items: DataFrame, id_col: str, text_col: str, error_rate: float, block_chars: int):
@@ -182,7 +178,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
                     [ids, *(pa.array([h[k] for h in hits], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32())))],
                     ["doc_id", "item_id", "distance", "end_char"])
 
-        found.append(narrow.mapInArrow(run, f"doc_id {kind}, item_id long, distance int, end_char int"))
+        found.append(map_arrow(narrow, run, f"doc_id {kind}, item_id long, distance int, end_char int"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -198,5 +194,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normalise(t.as_py() or "")) for t in batch.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_arrow(out, run, docs.schema)
     return out

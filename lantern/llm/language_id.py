@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .chunks import pieces
+from .common import held, map_arrow
 
 UND = "und"
 WINDOW = 256
 OUT = ("lang_pred", "score", "phrase_chars")
-_MODELS: dict[tuple, "CrossParser"] = {}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -43,7 +43,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                    chars_per_lang: int = 24_000, chars_per_row: int = 400) -> dict[str, str]:
+                    chars_per_lang: int = 12_000, chars_per_row: int = 400) -> dict[str, str]:
     """At most ``chars_per_lang`` characters of each language from labelled rows, at most
     ``chars_per_row`` of one, taken in the order of a hash of the id. Rows are ranked by
     that hash per map task first (a bounded heap per language), so the driver gets
@@ -175,10 +175,7 @@ class CrossParser:
 
 def parser_in_task(sample: tuple) -> CrossParser:
     """Automata are rebuilt from the small sample once per Python worker."""
-    if sample not in _MODELS:
-        _MODELS.clear()
-        _MODELS[sample] = CrossParser(dict(sample))
-    return _MODELS[sample]
+    return held(("languages", sample), lambda: CrossParser(dict(sample)))
 
 
 def identify(df: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -205,7 +202,7 @@ def identify(df: DataFrame, sample: dict[str, str], text_col: str = "text") -> D
     schema = StructType([*df.select(*rest).schema, StructField("lang_pred", StringType()),
                          StructField("score", DoubleType()), StructField("phrase_chars", DoubleType())])
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(lettered)
-    return df.select(*rest, has_letter).mapInArrow(run, schema)
+    return map_arrow(df.select(*rest, has_letter), run, schema)
 
 
 def drop_unidentified(df: DataFrame, sample: dict[str, str], text_col: str = "text", min_phrase: float = 1.5) -> DataFrame:

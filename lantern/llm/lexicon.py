@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import mmap
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -51,6 +51,11 @@ def read_vocabulary(path: str) -> dict[str, np.ndarray]:
             "byte_ids": np.array([by_byte[b] for b in range(256)], np.int64), "special_ids": np.array(sorted(added), np.int64)}
 
 
+def special_tokens(arrays: dict[str, np.ndarray]) -> dict[bytes, list[int]]:
+    ends, data = np.asarray(arrays["token_ends"]), np.asarray(arrays["token_bytes"])
+    return {data[ends[i - 1] if i else 0:ends[i]].tobytes(): [i] for i in np.asarray(arrays["special_ids"]).tolist()}
+
+
 class Merger:
     """Byte-pair merges of single pre-tokens, lowest rank first."""
 
@@ -59,10 +64,8 @@ class Merger:
         self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(merges)}
         self.made = [c for _, _, c in merges]
         self.byte_ids = np.asarray(arrays["byte_ids"]).tolist()
-        ends = np.asarray(arrays["token_ends"])
-        data = np.asarray(arrays["token_bytes"]).tobytes()
-        self.specials = {data[ends[i - 1]:ends[i]] if i else data[:ends[0]]: [i] for i in np.asarray(arrays["special_ids"]).tolist()}
-        self.pretoken = lru_cache(1 << 17)(self._merge)
+        self.specials = special_tokens(arrays)
+        self.pretoken = lru_cache(1 << 16)(self._merge)
 
     def word(self, chunk: bytes) -> list[int]:
         """Ids of a chunk."""
@@ -194,10 +197,15 @@ class Lexicon:
         self.id_starts = a["id_ends"] - self.id_lens
         self.token_bytes, self.token_lens = a["token_bytes"], np.diff(a["token_ends"], prepend=0)
         self.token_starts = a["token_ends"] - self.token_lens
-        self.merger = Merger(a)
-        self.specials = tuple(self.merger.specials)
+        self.arrays = a
+        self.specials = tuple(special_tokens(a))
         self.seen: dict[bytes, np.ndarray] = {}
 
+    @cached_property
+    def merger(self) -> Merger:
+        """Built where words are encoded; decoding does without."""
+        return Merger(self.arrays)
+
     def ranks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The rank of each word, or -1: all words walk the automaton side by side."""
         n = len(offsets) - 1
@@ -229,7 +237,7 @@ class Lexicon:
         starts = np.where(rank < 0, 0, self.id_starts[rank] if len(self.id_starts) else 0)
         if not len(rest):
             return starts, lens, self.ids
-        if len(self.seen) > 200_000:  # only a cache of words merged before
+        if len(self.seen) > 100_000:  # only a cache of words merged before
             self.seen.clear()
         seen, merge, got = self.seen, self.merger.word, []
         for w in words.take(rest).to_pylist():

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pieces
-from .common import landed
+from .common import landed, map_arrow
 from .components import components
 from .shingles import (apart, band_keys, differing_bits, minhashes, odd_sketches, parities, shingle_sets)
 
@@ -69,7 +69,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, threshold:
         from .shingles import mix
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 << 20):
                 flat, at = shingle_sets(piece.column(1), size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -87,8 +87,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, threshold:
                     cols += [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s1", "s2", "bands", "sketch", "parity"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary, parity binary")
+    rows_in = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(
+        rows_in, run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary, parity binary")
 
 
 def _passes(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -110,7 +111,7 @@ def _passes(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataF
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = both.where((F.least("n_a", "n_b") * threshold.denominator >= F.greatest("n_a", "n_b") * threshold.numerator))
-    return sized.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(sized, run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
@@ -122,12 +123,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 << 20):
                 flat, at = shingle_sets(piece.column(1), size)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), sets], ["node", "items"])
 
-    sets = landed(texts.select("node", "text").mapInArrow(run, "node long, items array<long>"), "shingle-sets")
+    sets = landed(map_arrow(texts.select("node", "text"), run, "node long, items array<long>"), "shingle-sets")
     both = pairs
     for c in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}")), c)

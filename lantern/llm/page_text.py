@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import map_arrow
+
 # Element names of HTML, and words that pages use to name their parts.
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select option textarea button audio video map datalist".split())
 RAW = frozenset("script style textarea title".split())
@@ -242,4 +244,4 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
                     [*rest, "text", "n_chars"])
 
     schema = StructType([*df.select(*rest).schema, StructField("text", StringType()), StructField("n_chars", LongType())])
-    return df.select(*rest, html_col).mapInArrow(run, schema)
+    return map_arrow(df.select(*rest, html_col), run, schema)
