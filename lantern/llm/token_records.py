@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import Chunked, pieces
+from .common import held, map_arrow
 
 HEAD, TAIL = 12, 5
 #: Fixed value: added to a rotated checksum so that a checksum of data that holds
 #: checksums stays useful.
 MASK = 0xA282EAD8
-_TOKENIZERS: dict[str, tuple] = {}
 
 
 def masked(data: bytes) -> int:
@@ -87,8 +87,33 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        # ids that end a word: one for each word of letters, so many such words go through one call
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.final[i] = token.endswith("</w>")
         self.seen: dict[bytes, bytes] = {}
 
+    def _encode_new(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Distinct chunks with their ids as bytes. Words of ASCII letters are encoded 256 at
+        a time, joined by spaces (which the vocabulary drops), and told apart by the ids that
+        end a word; where that does not come out even, and for all other chunks, singly."""
+        letters = [w for w in words if w.strip().isalpha()]
+        single = [w for w in words if not w.strip().isalpha()]
+        groups = [letters[at:at + 256] for at in range(0, len(letters), 256)]
+        joined = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, coded in zip(groups, joined):
+            ids = np.array(coded.ids, np.uint32)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(group) or (len(ids) and ends[-1] != len(ids)):
+                single += group
+                continue
+            data, ends = ids.tobytes(), (ends * 4).tolist()
+            yield from ((w, data[a:b]) for w, a, b in zip(group, [0, *ends], ends))
+        for at in range(0, len(single), 4096):
+            some = single[at:at + 4096]
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            yield from ((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, coded))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and each one's n + 1 offsets."""
         ch = Chunked(column, self.specials)
@@ -97,19 +122,15 @@ class WordTokenizer:
         if len(seen) + len(new) > 500_000:  # only a cache
             seen.clear()
             new = words
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            seen.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(some, coded))
+        for at in range(0, len(new), 65_536):
+            seen.update(self._encode_new(new[at:at + 65_536]))
         got = [seen[w] for w in words]
         lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
         return ch.gather(np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(got), np.uint32))
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -128,7 +149,7 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id
                        for i, a, b in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    docs.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
+    map_arrow(docs, run, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -162,8 +183,8 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    out = _files(spark, path).mapInArrow(
-        run, "file_no long, file string, offset long, length long, file_start long, id long, n_tokens long, ids binary")
+    out = map_arrow(
+        _files(spark, path), run, "file_no long, file string, offset long, length long, file_start long, id long, n_tokens long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
