@@ -8,10 +8,11 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, page_text, token_records
+from . import bpe, chat_format, collocations, language_id, page_text, token_records
 from .common import fresh_dir, landed, table_path
 from .decontaminate import find_items
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .line_dedup import drop_common_lines
 from .near_dup import near_duplicates
 from .sharding import assign_shards
@@ -137,6 +138,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+
+def op11_hard_negatives(spark, sf_dir):
+    """Negatives scored between 80 % of a positive and the positive, for every 100th vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same,
+             list_sum(list_transform(list_zip(a.q, r.q), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v r ON a.id % 100 = 0 AND r.id <> a.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+def op13_collocations(spark, sf_dir):
+    """Each language's 2,000 best phrases of 2 to 4 words."""
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER_SQL.format(x="coalesce(text, '')")} AS t, row_number() OVER () AS doc FROM documents),
+p AS (SELECT lang, doc, unnest(x) AS piece, generate_subscripts(x, 1) AS no
+      FROM (SELECT lang, doc, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS x FROM d)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+total AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+inner_of AS (SELECT lang, a AS longer, unnest(list_concat([array_to_string(ws[1:k - 1], ' ')], [array_to_string(ws[2:k], ' ')])) AS phrase
+             FROM f WHERE k >= 3),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inner_of o ON o.lang = f.lang AND o.phrase = f.phrase AND 100 * o.longer >= 80 * f.a),
+cuts AS (SELECT f.lang, f.phrase, f.a, c.i, l.a AS l, r.a AS r, (2000000::HUGEINT * f.a) // (l.a + r.a) AS score
+         FROM f JOIN (SELECT unnest([1, 2, 3]) AS i) c ON c.i < f.k
+         JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.ws[1:c.i], ' ')
+         JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.ws[c.i + 1:f.k], ' ')
+         WHERE f.k >= 2 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = f.lang AND gone.phrase = f.phrase)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_sharding": op2_sharding,
@@ -148,5 +202,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL,
+                           "op11_hard_negatives": OP11_SQL, "op13_collocations": OP13_SQL}
