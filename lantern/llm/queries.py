@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .line_dedup import drop_common_lines
 from .near_dup import near_duplicates
+from .nearest import nearest
 from .sharding import assign_shards
 
 LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -164,6 +165,11 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY rank <= 5
 """
 
+def op12_nearest(spark, sf_dir):
+    """The 10 nearest found for every 100th vector."""
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op13_collocations(spark, sf_dir):
     """Each language's 2,000 best phrases of 2 to 4 words."""
     return collocations.mine(_read(spark, sf_dir, "documents"))
@@ -203,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest": op12_nearest,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_line_dedup": OP10_SQL,
