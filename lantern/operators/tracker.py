@@ -72,51 +72,63 @@ def latest_by_url(tracker: DataFrame, order: str = "row_seq") -> DataFrame:
             .select("_r.*"))
 
 
+def _prior(tracker: DataFrame) -> DataFrame:
+    """The previous row of each url: ``_p_<field>`` for every field, and ``_had_prior``."""
+    return latest_by_url(tracker).select(F.col("url").alias("_p_url"), F.lit(True).alias("_had_prior"),
+                                         *[F.col(c).alias(f"_p_{c}") for c in FIELDS if c != "url"])
+
+
+def _refreshed(today: str, project_root: str) -> dict:
+    """Cells of a scored posting's row, its previous row (if any) beside it."""
+    return {
+        "score": _s("score"),
+        "overqualified": F.when(F.coalesce(F.col("overqualification_risk"), F.lit(False)), F.lit("yes")).otherwise(F.lit("")),
+        "salary": salary_label(), "company": _s("company"),
+        "title": F.regexp_replace(_s("title"), "(?U)^\\s+|\\s+$", ""),
+        "location": _s("location"), "source": _s("source"), "url": F.col("url"),
+        "resume": relative_path("tailored_resume_docx", project_root),
+        "cover_letter": relative_path("cover_letter_docx", project_root),
+        "first_seen": F.coalesce(F.when(F.col("_p_first_seen") != "", F.col("_p_first_seen")), F.lit(today)),
+        "last_seen": F.lit(today), **{c: _s(f"_p_{c}") for c in USER}}
+
+
+def _gone(today: str) -> dict:
+    """Cells of a previous row whose url is no longer scored: kept whole, with a dated
+    note prepended once (then stripped)."""
+    note = _s("_p_notes")
+    marked = F.regexp_replace(F.concat(F.lit(f"{VANISHED_MARK} as of {today}] "), note), "(?U)^\\s+|\\s+$", "")
+    return {**{c: _s(f"_p_{c}") for c in FIELDS}, "notes": F.when(note.startswith(VANISHED_MARK), note).otherwise(marked)}
+
+
+def _with_url(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("url").isNotNull() & (F.col("url") != ""))
+
+
 def refresh(scored: DataFrame, tracker: DataFrame, today: str, project_root: str) -> DataFrame:
     """One row per scored posting with a url. Generated columns come from
     the scored table; ``first_seen`` and the user columns are carried from the
     previous tracker row of the same url; ``last_seen`` is today. Adds
     ``is_new`` (no previous row)."""
-    prior = latest_by_url(tracker).select(
-        "url", F.col("first_seen").alias("_first_seen"), F.lit(True).alias("_had_prior"),
-        *[F.col(c).alias(f"_u_{c}") for c in USER])
-    s = scored.where(F.col("url").isNotNull() & (F.col("url") != ""))
-    j = s.join(prior, "url", "left")
-    return j.select(
-        _s("score").alias("score"),
-        F.when(F.coalesce(F.col("overqualification_risk"), F.lit(False)), F.lit("yes"))
-        .otherwise(F.lit("")).alias("overqualified"),
-        salary_label().alias("salary"),
-        _s("company").alias("company"),
-        F.regexp_replace(_s("title"), "(?U)^\\s+|\\s+$", "").alias("title"),
-        _s("location").alias("location"),
-        _s("source").alias("source"),
-        F.col("url"),
-        relative_path("tailored_resume_docx", project_root).alias("resume"),
-        relative_path("cover_letter_docx", project_root).alias("cover_letter"),
-        F.coalesce(F.when(F.col("_first_seen") != "", F.col("_first_seen")), F.lit(today)).alias("first_seen"),
-        F.lit(today).alias("last_seen"),
-        *[F.coalesce(F.col(f"_u_{c}"), F.lit("")).alias(c) for c in USER],
-        F.col("_had_prior").isNull().alias("is_new"))
+    j = _with_url(scored).join(_prior(tracker), F.col("url") == F.col("_p_url"), "left")
+    return j.select(*[v.alias(c) for c, v in _refreshed(today, project_root).items()], F.col("_had_prior").isNull().alias("is_new"))
 
 
 def vanished(scored: DataFrame, tracker: DataFrame, today: str) -> DataFrame:
     """Previous tracker rows whose url is no longer in the scored table;
     kept whole, with a dated note prepended once (then stripped)."""
-    prior = latest_by_url(tracker)
-    gone = prior.join(scored.select("url").where(F.col("url").isNotNull()), "url", "left_anti")
-    note = _s("notes")
-    marked = F.regexp_replace(F.concat(F.lit(f"{VANISHED_MARK} as of {today}] "), note),
-                              "(?U)^\\s+|\\s+$", "")
-    return gone.select(
-        *[(_s(c) if c != "notes" else F.when(note.startswith(VANISHED_MARK), note).otherwise(marked))
-          .alias(c) for c in FIELDS],
-        F.lit(False).alias("is_new"))
+    gone = _prior(tracker).join(_with_url(scored).select("url"), F.col("url") == F.col("_p_url"), "left_anti")
+    return gone.select(*[v.alias(c) for c, v in _gone(today).items()], F.lit(False).alias("is_new"))
 
 
 def build_tracker(scored: DataFrame, tracker: DataFrame, today: str, project_root: str) -> DataFrame:
-    """J2 + J3 + U4: refreshed rows plus vanished rows (with ``is_new``)."""
-    return refresh(scored, tracker, today, project_root).unionByName(vanished(scored, tracker, today))
+    """U4, J2 and J3 in one full outer join on the url: a row with a scored posting is
+    refreshed (new if it has no previous row), one without has vanished. Either table is
+    read, keyed and shuffled once."""
+    j = _with_url(scored).join(_prior(tracker), F.col("url") == F.col("_p_url"), "full_outer")
+    now, gone = _refreshed(today, project_root), _gone(today)
+    scored_now = F.col("url").isNotNull()
+    return j.select(*[F.when(scored_now, now[c]).otherwise(gone[c]).alias(c) for c in FIELDS],
+                    (scored_now & F.col("_had_prior").isNull()).alias("is_new"))
 
 
 def score_sort_key():
