@@ -178,22 +178,30 @@ def accomplishments_table(items: DataFrame) -> DataFrame:
 
 def role_coverage(items: DataFrame) -> DataFrame:
     """A5: per role, accomplishments (non-empty), quantified ones (evidence
-    metric/derived, or a digit in the results), recorded bullets, total."""
-    acc = accomplishments_table(items)
-    non_empty = ((acc["acc_title"] != "") | (acc["problem"] != "") | (acc["actions"] != "")
-                 | (acc["results"] != ""))
-    quant = acc["evidence"].isin("metric", "derived") | acc["results"].rlike("(?U)\\d")
-    a = acc.groupBy("doc_id", "role_line").agg(F.count_if(non_empty).alias("accomplishments"),
-                                               F.count_if(non_empty & quant).alias("quantified"))
-    b = (items.where(F.col("kind") == "bullet").groupBy("doc_id", "role_line")
-         .agg(F.count(F.lit(1)).alias("bullets")))
-    r = roles_table(items)
-    out = (r.join(a, ["doc_id", "role_line"], "left").join(b, ["doc_id", "role_line"], "left")
-           .select("doc_id", "role_line", "employer", "title",
-                   F.coalesce("accomplishments", F.lit(0)).cast("long").alias("accomplishments"),
-                   F.coalesce("quantified", F.lit(0)).cast("long").alias("quantified"),
-                   F.coalesce("bullets", F.lit(0)).cast("long").alias("bullets")))
-    return out.withColumn("total", F.col("accomplishments") + F.col("bullets"))
+    metric/derived, or a digit in the results), recorded bullets, total.
+
+    One pass over the items: first per accomplishment (last value of each field), then
+    per role. Items lie by document, so neither step moves a row."""
+    kind = F.col("kind")
+    role = F.when(kind == "role", F.col("line_no")).otherwise(F.col("role_line"))
+    acc = F.when(kind == "accomplishment", F.col("line_no")).when(kind == "acc_field", F.col("acc_line"))
+    named = lambda lb: (kind == "acc_field") & (F.col("label") == lb)
+    per_acc = (items.where(kind.isin("role", "accomplishment", "acc_field", "bullet"))
+               .groupBy("doc_id", role.alias("role_line"), acc.alias("acc"))
+               .agg(F.max(F.when(kind == "role", F.struct("employer", "title"))).alias("head"),
+                    F.max(F.when(kind == "accomplishment", F.coalesce("text", F.lit("")))).alias("acc_title"),
+                    F.count_if(kind == "bullet").alias("bullets"),
+                    *[F.coalesce(F.max_by(F.when(named(lb), F.col("text")), F.when(named(lb), F.col("line_no"))), F.lit(""))
+                      .alias(lb.lower()) for lb in ACC_FIELDS]))
+    non_empty = F.col("acc_title").isNotNull() & (
+        (F.col("acc_title") != "") | (F.col("problem") != "") | (F.col("actions") != "") | (F.col("results") != ""))
+    quant = F.col("evidence").isin("metric", "derived") | F.col("results").rlike("(?U)\\d")
+    out = (per_acc.groupBy("doc_id", "role_line")
+           .agg(F.max("head").alias("head"), F.count_if(non_empty).alias("accomplishments"),
+                F.count_if(non_empty & quant).alias("quantified"), F.sum("bullets").cast("long").alias("bullets"))
+           .where(F.col("head").isNotNull()))
+    return out.select("doc_id", "role_line", "head.employer", "head.title", "accomplishments", "quantified", "bullets",
+                      (F.col("accomplishments") + F.col("bullets")).alias("total"))
 
 
 def record_coverage(coverage: DataFrame) -> DataFrame:

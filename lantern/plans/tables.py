@@ -33,7 +33,7 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) ->
         if name in frames:
             bound[name] = frames[name]
         elif name in ADAPTERS:
-            bound[name] = run_sql(spark, sf_dir, ADAPTERS[name])
+            bound[name] = run_sql(spark, sf_dir, SPARK_FORMS.get(name, ADAPTERS[name]))
         else:
             bound[name] = read_table(spark, sf_dir, name)
     return spark.sql(text, **bound)
@@ -385,66 +385,80 @@ SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
           l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus) AS INT) AS item
 FROM {lineitem}
 """
-RECORD_PARTS = """
-SELECT c_custkey AS doc_id, 0 AS k1, CAST(0 AS BIGINT) AS k2, 0 AS k3, 0 AS k4, '# Master record for ' || c_name AS line
-FROM {customer}
-UNION ALL SELECT c_custkey, 0, 1, 0, 0, '' FROM {customer}
-UNION ALL SELECT c_custkey, 0, 2, 0, 0, 'Imported from the order book.   ' FROM {customer}
-UNION ALL SELECT c_custkey, 0, 3, 0, 0, '' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 0, 0, 0, '## Contact' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 1, 0, 0, '- **Name:** ' || c_name FROM {customer}
-UNION ALL SELECT c_custkey, 1, 2, 0, 0, '- **Segment:**  ' || c_mktsegment FROM {customer}
-UNION ALL SELECT c_custkey, 1, 3, 0, 0, 'stray contact text' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 4, 0, 0, '- **Name:** ' || lower(c_name) FROM {customer} WHERE c_acctbal < 0
-UNION ALL SELECT c_custkey, 2, 0, 0, 0, '## Positioning' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 1, 0, 0, '- before any subsection' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 2, 0, 0, '### Core competencies' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 3, 0, 0, '- ' || c_mktsegment || ' accounts' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 4, 0, 0, '-  **not a label** but a bullet' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 5, 0, 0, '### What sets me apart' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 6, 0, 0, '' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 7, 0, 0, '  Balance of ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) || ' kept.'
-FROM {customer}
-UNION ALL SELECT c_custkey, 3, 0, 0, 0, '## Roles' FROM {customer}
-UNION ALL SELECT c_custkey, 3, 1, 0, 0, 'text before the first role' FROM {customer}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 0,
-  '### Org ' || o_orderpriority
-  || CASE o_orderstatus WHEN 'F' THEN ' — ' WHEN 'O' THEN ' -- ' ELSE ' - ' END || 'Role ' || o_orderstatus
-FROM {orders}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 1, '- **Dates:** ' || CAST(CAST(o_orderdate AS DATE) AS STRING) FROM {orders}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 2, '- **Budget:** ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)
-FROM {orders}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 3, '- **Markets:** [FILL IN: markets]' FROM {orders}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 4, '- **Authority:** team of ' || CAST(o_orderkey % 9 AS STRING) FROM {orders}
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 0, 5, '>  Urgent order, checked by hand.  ' FROM {orders}
-WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 0, '#### Shipment ' || CAST(l.l_linenumber AS STRING)
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 1,
-  '- **Problem:** Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 2,
-  '- **Results:** ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING)
-                                 || ' percent' ELSE 'Delivered on time' END
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 3,
-  CASE l.l_returnflag WHEN 'A' THEN '- **Evidence:** metric' WHEN 'R' THEN '- **Evidence:** [FILL IN]'
-       ELSE '- **Evidence:**' END
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, l.item, 4, '  which ran over two quarters'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE l.l_linestatus = 'O'
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 1000, 0, '#### Recorded resume bullets' FROM {orders}
-WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_custkey, 3, o_orderkey + 10, 1000, 1, 'From a finished resume, so each one is compressed.' FROM {orders}
-WHERE o_orderstatus = 'F'
-UNION ALL SELECT o.o_custkey, 3, o.o_orderkey + 10, 1000 + l.item, 0,
-  '- Shipped ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units under flag ' || l.l_returnflag
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'
-UNION ALL SELECT c_custkey, 4, 0, 0, 0, '## Peer comments' FROM {customer}
-UNION ALL SELECT c_custkey, 4, 1, 0, 0, '' FROM {customer}
-UNION ALL SELECT c_custkey, 4, 2, 0, 0, '- "' || c_name || ' rebuilt how we measure."' FROM {customer}
-UNION ALL SELECT c_custkey, 4, 3, 0, 0, '' FROM {customer}
-"""
+def rows_by_union(parts: list, column: str) -> str:
+    """Rows of several tables in the order of their keys, one SELECT per row kind: the form
+    DuckDB runs. ``parts``: (source, document id, rows); a row: (four keys, its expression,
+    and the condition under which it is there)."""
+    return "\nUNION ALL ".join(
+        f"SELECT {doc} AS doc_id, {', '.join(f'CAST({k} AS BIGINT) AS k{i}' for i, k in enumerate(keys.split(', '), 1))}, {line} AS {column} FROM {source}"
+        + "".join(f" WHERE {c}" for c in when) for source, doc, rows in parts for keys, line, *when in rows)
+
+
+def rows_by_fan_out(parts: list, column: str) -> str:
+    """The same rows for Spark: each source is read once and every row of it fans out to its
+    row kinds through ``inline``, so the plan has a scan per source, not per kind."""
+    out = []
+    for source, doc, rows in parts:
+        kinds = []
+        for keys, line, *when in rows:
+            named = ", ".join(f"'k{i}', CAST({k} AS BIGINT)" for i, k in enumerate(keys.split(", "), 1))
+            kind = f"named_struct({named}, '{column}', {line})"
+            kinds.append(f"CASE WHEN {when[0]} THEN {kind} END" if when else kind)
+        out.append(f"SELECT {doc} AS doc_id, inline(array_compact(array({', '.join(kinds)}))) FROM {source}")
+    return "\nUNION ALL ".join(out)
+
+
+RECORD_ROWS = [
+    ("{customer}", "c_custkey", [
+        ("0, 0, 0, 0", "'# Master record for ' || c_name"),
+        ("0, 1, 0, 0", "''"),
+        ("0, 2, 0, 0", "'Imported from the order book.   '"),
+        ("0, 3, 0, 0", "''"),
+        ("1, 0, 0, 0", "'## Contact'"),
+        ("1, 1, 0, 0", "'- **Name:** ' || c_name"),
+        ("1, 2, 0, 0", "'- **Segment:**  ' || c_mktsegment"),
+        ("1, 3, 0, 0", "'stray contact text'"),
+        ("1, 4, 0, 0", "'- **Name:** ' || lower(c_name)", "c_acctbal < 0"),
+        ("2, 0, 0, 0", "'## Positioning'"),
+        ("2, 1, 0, 0", "'- before any subsection'"),
+        ("2, 2, 0, 0", "'### Core competencies'"),
+        ("2, 3, 0, 0", "'- ' || c_mktsegment || ' accounts'"),
+        ("2, 4, 0, 0", "'-  **not a label** but a bullet'"),
+        ("2, 5, 0, 0", "'### What sets me apart'"),
+        ("2, 6, 0, 0", "''"),
+        ("2, 7, 0, 0", "'  Balance of ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) || ' kept.'"),
+        ("3, 0, 0, 0", "'## Roles'"),
+        ("3, 1, 0, 0", "'text before the first role'"),
+        ("4, 0, 0, 0", "'## Peer comments'"),
+        ("4, 1, 0, 0", "''"),
+        ("4, 2, 0, 0", "'- \"' || c_name || ' rebuilt how we measure.\"'"),
+        ("4, 3, 0, 0", "''"),
+    ]),
+    ("{orders}", "o_custkey", [
+        ("3, o_orderkey + 10, 0, 0",
+         "'### Org ' || o_orderpriority || CASE o_orderstatus WHEN 'F' THEN ' — ' WHEN 'O' THEN ' -- ' ELSE ' - ' END || 'Role ' || o_orderstatus"),
+        ("3, o_orderkey + 10, 0, 1", "'- **Dates:** ' || CAST(CAST(o_orderdate AS DATE) AS STRING)"),
+        ("3, o_orderkey + 10, 0, 2", "'- **Budget:** ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)"),
+        ("3, o_orderkey + 10, 0, 3", "'- **Markets:** [FILL IN: markets]'"),
+        ("3, o_orderkey + 10, 0, 4", "'- **Authority:** team of ' || CAST(o_orderkey % 9 AS STRING)"),
+        ("3, o_orderkey + 10, 0, 5", "'>  Urgent order, checked by hand.  '", "o_orderpriority = '1-URGENT'"),
+        ("3, o_orderkey + 10, 1000, 0", "'#### Recorded resume bullets'", "o_orderstatus = 'F'"),
+        ("3, o_orderkey + 10, 1000, 1", "'From a finished resume, so each one is compressed.'", "o_orderstatus = 'F'"),
+    ]),
+    ("{orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey", "o.o_custkey", [
+        ("3, o.o_orderkey + 10, l.item, 0", "'#### Shipment ' || CAST(l.l_linenumber AS STRING)"),
+        ("3, o.o_orderkey + 10, l.item, 1", "'- **Problem:** Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units'"),
+        ("3, o.o_orderkey + 10, l.item, 2",
+         "'- **Results:** ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING) || ' percent' ELSE 'Delivered on time' END"),
+        ("3, o.o_orderkey + 10, l.item, 3",
+         "CASE l.l_returnflag WHEN 'A' THEN '- **Evidence:** metric' WHEN 'R' THEN '- **Evidence:** [FILL IN]' ELSE '- **Evidence:**' END"),
+        ("3, o.o_orderkey + 10, l.item, 4", "'  which ran over two quarters'", "l.l_linestatus = 'O'"),
+        ("3, o.o_orderkey + 10, 1000 + l.item, 0",
+         "'- Shipped ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units under flag ' || l.l_returnflag",
+         "o.o_orderstatus = 'F'"),
+    ]),
+]
+RECORD_PARTS = rows_by_union(RECORD_ROWS, "line")
 RECORD_LINES = """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) - 1 AS line_no, line
 FROM {record_parts}
@@ -477,69 +491,65 @@ FROM {orders}
 # answers, the accomplishments question with one block per line item (answers
 # sometimes on the next paragraph, one blank template block), an advert pasted
 # in, then peer comments and a branding statement.
-INTAKE_PARTS = """
-SELECT c_custkey AS doc_id, 0 AS k1, CAST(0 AS BIGINT) AS k2, 0 AS k3, 0 AS k4,
-       'The Acme Team appreciates the time that you spend' AS text FROM {customer}
-UNION ALL SELECT c_custkey, 0, 1, 0, 0, 'Name: ' || c_name FROM {customer}
-UNION ALL SELECT c_custkey, 0, 2, 0, 0, 'LinkedIn web address: example.org/' || lower(c_mktsegment) FROM {customer}
-UNION ALL SELECT c_custkey, 0, 3, 0, 0, 'Prepared for the ' || c_mktsegment || ' search' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 0, 0, 0, 'The Basics' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 1, 0, 0, 'An answer before any question' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 2, 0, 0, 'List your KEY STRENGTHS as you see them' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 3, 0, 0, c_mktsegment || ' account growth' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 4, 0, 0, '2. WHAT are your MOST IMPRESSIVE ACHIEVEMENTS?' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 5, 0, 0, 'Balance kept at ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) FROM {customer}
-UNION ALL SELECT c_custkey, 1, 6, 0, 0, 'What Sets You Apart from others?' FROM {customer}
-UNION ALL SELECT c_custkey, 1, 7, 0, 0, 'Steady hands' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 0, 0, 0, 'Employment History' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 1, 0, 0, 'NOTE: Please complete one block per role' FROM {customer}
-UNION ALL SELECT c_custkey, 2, 2, 0, 0, 'A line before any role' FROM {customer}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 0,
-  CASE WHEN o_orderstatus = 'P' THEN '9. Job Title: From: To:'
-       ELSE '1. Job Title: Role ' || o_orderstatus || ' From: ' || CAST(CAST(o_orderdate AS DATE) AS STRING)
-            || ' To: ' || CASE WHEN o_orderstatus = 'O' THEN 'present' ELSE 'done' END END
-FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 1, 'Organization: Org ' || o_orderpriority FROM {orders}
-WHERE o_orderstatus <> 'P' OR o_totalprice > 150000
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 2, 'Your level of authority - how many people?' FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 3, 'Team of ' || CAST(o_orderkey % 9 AS STRING) FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 4, 'Position you reported to? VP ' || o_orderpriority FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 5, 'Major responsibilities and day-to-day duties: Ops'
-FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 6, 'Budget of ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)
-FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 7,
-  'Describe as many relevant accomplishments as possible in this role:' FROM {orders}
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 0, 8, 'All in resume' FROM {orders} WHERE o_orderpriority = '5-LOW'
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 0, 'Short Title: Shipment ' || CAST(l.l_linenumber AS STRING)
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 1,
-  'Problem or Situation: Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units.'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 2, 'Actions:'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 3, 'Shipped under flag ' || l.l_returnflag || '.'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 4, 'Checked twice.'
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey WHERE l.l_linestatus = 'O'
-UNION ALL SELECT o.o_custkey, 2, o.o_orderkey + 10, l.item, 5,
-  'Quantifiable Results: ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING)
-                                   || ' percent.' ELSE '' END
-FROM {orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 900, 0, 'Short Title:' FROM {orders} WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 900, 1, 'Actions:' FROM {orders} WHERE o_orderstatus = 'F'
-UNION ALL SELECT o_custkey, 2, o_orderkey + 10, 901, 0, 'About the company: a pasted advert' FROM {orders}
-WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT c_custkey, 3, 0, 0, 0, 'Comments from Peers' FROM {customer}
-UNION ALL SELECT c_custkey, 3, 1, 0, 0, c_name || ' is great to work with' FROM {customer}
-UNION ALL SELECT c_custkey, 4, 0, 0, 0, 'BRANDING STATEMENT' FROM {customer}
-UNION ALL SELECT c_custkey, 4, 1, 0, 0, 'Clear thinking for ' || c_mktsegment FROM {customer}
-"""
+INTAKE_ROWS = [
+    ("{customer}", "c_custkey", [
+        ("0, 0, 0, 0", "'The Acme Team appreciates the time that you spend'"),
+        ("0, 1, 0, 0", "'Name: ' || c_name"),
+        ("0, 2, 0, 0", "'LinkedIn web address: example.org/' || lower(c_mktsegment)"),
+        ("0, 3, 0, 0", "'Prepared for the ' || c_mktsegment || ' search'"),
+        ("1, 0, 0, 0", "'The Basics'"),
+        ("1, 1, 0, 0", "'An answer before any question'"),
+        ("1, 2, 0, 0", "'List your KEY STRENGTHS as you see them'"),
+        ("1, 3, 0, 0", "c_mktsegment || ' account growth'"),
+        ("1, 4, 0, 0", "'2. WHAT are your MOST IMPRESSIVE ACHIEVEMENTS?'"),
+        ("1, 5, 0, 0", "'Balance kept at ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING)"),
+        ("1, 6, 0, 0", "'What Sets You Apart from others?'"),
+        ("1, 7, 0, 0", "'Steady hands'"),
+        ("2, 0, 0, 0", "'Employment History'"),
+        ("2, 1, 0, 0", "'NOTE: Please complete one block per role'"),
+        ("2, 2, 0, 0", "'A line before any role'"),
+        ("3, 0, 0, 0", "'Comments from Peers'"),
+        ("3, 1, 0, 0", "c_name || ' is great to work with'"),
+        ("4, 0, 0, 0", "'BRANDING STATEMENT'"),
+        ("4, 1, 0, 0", "'Clear thinking for ' || c_mktsegment"),
+    ]),
+    ("{orders}", "o_custkey", [
+        ("2, o_orderkey + 10, 0, 0",
+         "CASE WHEN o_orderstatus = 'P' THEN '9. Job Title: From: To:' ELSE '1. Job Title: Role ' || o_orderstatus || ' From: ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ' To: ' || CASE WHEN o_orderstatus = 'O' THEN 'present' ELSE 'done' END END"),
+        ("2, o_orderkey + 10, 0, 1", "'Organization: Org ' || o_orderpriority", "o_orderstatus <> 'P' OR o_totalprice > 150000"),
+        ("2, o_orderkey + 10, 0, 2", "'Your level of authority - how many people?'"),
+        ("2, o_orderkey + 10, 0, 3", "'Team of ' || CAST(o_orderkey % 9 AS STRING)"),
+        ("2, o_orderkey + 10, 0, 4", "'Position you reported to? VP ' || o_orderpriority"),
+        ("2, o_orderkey + 10, 0, 5", "'Major responsibilities and day-to-day duties: Ops'"),
+        ("2, o_orderkey + 10, 0, 6", "'Budget of ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)"),
+        ("2, o_orderkey + 10, 0, 7", "'Describe as many relevant accomplishments as possible in this role:'"),
+        ("2, o_orderkey + 10, 0, 8", "'All in resume'", "o_orderpriority = '5-LOW'"),
+        ("2, o_orderkey + 10, 900, 0", "'Short Title:'", "o_orderstatus = 'F'"),
+        ("2, o_orderkey + 10, 900, 1", "'Actions:'", "o_orderstatus = 'F'"),
+        ("2, o_orderkey + 10, 901, 0", "'About the company: a pasted advert'", "o_orderpriority = '1-URGENT'"),
+    ]),
+    ("{orders} o JOIN {record_items} l ON l.l_orderkey = o.o_orderkey", "o.o_custkey", [
+        ("2, o.o_orderkey + 10, l.item, 0", "'Short Title: Shipment ' || CAST(l.l_linenumber AS STRING)"),
+        ("2, o.o_orderkey + 10, l.item, 1", "'Problem or Situation: Needed ' || CAST(CAST(l.l_quantity AS INT) AS STRING) || ' units.'"),
+        ("2, o.o_orderkey + 10, l.item, 2", "'Actions:'"),
+        ("2, o.o_orderkey + 10, l.item, 3", "'Shipped under flag ' || l.l_returnflag || '.'"),
+        ("2, o.o_orderkey + 10, l.item, 4", "'Checked twice.'", "l.l_linestatus = 'O'"),
+        ("2, o.o_orderkey + 10, l.item, 5",
+         "'Quantifiable Results: ' || CASE WHEN l.l_discount > 0.05 THEN 'Saved ' || CAST(CAST(floor(l.l_discount * 100) AS INT) AS STRING) || ' percent.' ELSE '' END"),
+    ]),
+]
+INTAKE_PARTS = rows_by_union(INTAKE_ROWS, "text")
 INTAKE_PARAS = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) - 1 AS INT) AS para_no, text
 FROM {intake_parts}
 """
 
+# The texts that Spark runs in another form than DuckDB.
+SPARK_FORMS: dict[str, str] = {
+    "record_parts": rows_by_fan_out(RECORD_ROWS, "line"),
+    "intake_parts": rows_by_fan_out(INTAKE_ROWS, "text"),
+}
+
 ADAPTERS: dict[str, str] = {
     "postings": POSTINGS,
     "scored": SCORED,
@@ -569,4 +579,4 @@ ADAPTERS: dict[str, str] = {
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run_sql(spark, sf_dir, ADAPTERS[name])
+    return run_sql(spark, sf_dir, SPARK_FORMS.get(name, ADAPTERS[name]))
