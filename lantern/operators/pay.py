@@ -5,7 +5,7 @@ S10 needs every match of the range pattern together with the text around it
 positions, so each match is wrapped in two marker characters with one
 ``regexp_replace``; splitting on the opening marker turns the text into
 "before the first match" plus one "match<end marker>text up to the next match"
-piece per match, from which the context windows are re-assembled. Everything
+piece per match; the context windows come from the ends of the pieces next to it. Everything
 stays in the JVM; the per-match decisions are array higher-order functions.
 """
 
@@ -24,6 +24,8 @@ ANNUAL_TRAILING = r"/\s?yr|per year|per annum|annually|a year|usd"
 PAY_CONTEXT = r"salar|compensat|\bpay\b|annual|total target|earn"
 SALARY_FLOOR = 160000
 OPEN, CLOSE = "\u0001", "\u0002"
+# Characters looked at before and after a match, and of the shortest match ("$10-20").
+LEADING, TRAILING, LEAST = 60, 30, 6
 
 
 def _num(g: Column) -> Column:
@@ -32,23 +34,25 @@ def _num(g: Column) -> Column:
 
 def salary_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """All plausible annual ranges of each row's ``text``, in text order, as
-    ``_cands: array<struct<in_context, low, high>>`` (helper of S10)."""
+    ``_cands: array<struct<in_context, low, high>>`` (helper of S10).
+
+    A match is at least ``LEAST`` characters, so the 60 before it lie in the 10 pieces
+    before it and the 30 after it in its own and the 5 pieces after: each match reads a
+    fixed number of neighbours' ends, and a text costs in proportion to its length."""
     t = F.coalesce(F.col(text), F.lit(""))
     # the markers must not occur in the text itself
     clean = F.regexp_replace(t, f"[{OPEN}{CLOSE}]", "")
-    marked = F.regexp_replace(clean, "(?U)" + SALARY_RANGE, f"{OPEN}$0{CLOSE}")
-    d = df.withColumn("_clean", clean).withColumn("_segs", F.split(marked, OPEN))
     pat = "(?U)" + SALARY_RANGE
+    segs = F.split(F.regexp_replace(clean, pat, f"{OPEN}$0{CLOSE}"), OPEN)
+    plain = lambda x: F.replace(x, F.lit(CLOSE), F.lit(""))
 
-    def one(seg, i):
+    def one(ends, seg, i):
+        """``seg`` is piece i + 1; its match, and what stands next to it."""
         m = F.substring_index(seg, CLOSE, 1)
-        # text before the match: every earlier piece with its marker removed
-        before = F.replace(F.array_join(F.slice(F.col("_segs"), 1, i + 1), ""), F.lit(CLOSE), F.lit(""))
-        after = F.replace(F.concat(F.substring_index(seg, CLOSE, -1),
-                                   F.array_join(F.slice(F.col("_segs"), i + 3, 1 << 20), "")),
-                          F.lit(CLOSE), F.lit(""))
-        leading = F.right(before, F.lit(60))
-        trailing = F.left(after, F.lit(30))
+        first = F.greatest(i + 2 - LEADING // LEAST, F.lit(1))
+        leading = F.right(F.array_join(F.slice(ends["tails"], first, i + 2 - first), ""), F.lit(LEADING))
+        trailing = F.left(F.concat(F.left(F.substring_index(seg, CLOSE, -1), F.lit(TRAILING)),
+                                   F.array_join(F.slice(ends["heads"], i + 3, F.lit(TRAILING // LEAST)), "")), F.lit(TRAILING))
         unit = F.lower(F.regexp_extract(m, pat, 3))
         g1, g4 = F.regexp_extract(m, pat, 1), F.regexp_extract(m, pat, 4)
         k1, k5 = F.regexp_extract(m, pat, 2), F.regexp_extract(m, pat, 5)
@@ -67,8 +71,13 @@ def salary_candidates(df: DataFrame, text: str = "text") -> DataFrame:
                   | leading.rlike("(?iU)" + PAY_CONTEXT) | trailing.rlike("(?iU)" + ANNUAL_TRAILING))
         return F.when(keep, F.struct(in_ctx.alias("in_context"), low.alias("low"), high.alias("high")))
 
-    cands = F.array_compact(F.transform(F.slice(F.col("_segs"), 2, 1 << 20), one))
-    return d.withColumn("_cands", cands).drop("_clean", "_segs")
+    # bound one after the other by lambdas, so that the pieces are made once for a text
+    ends = F.transform(F.array(segs), lambda s: F.struct(
+        s.alias("segs"), F.transform(s, lambda x: F.right(plain(x), F.lit(LEADING))).alias("tails"),
+        F.transform(s, lambda x: F.left(plain(x), F.lit(TRAILING))).alias("heads")))
+    cands = F.transform(ends, lambda e: F.array_compact(F.transform(
+        F.slice(e["segs"], F.lit(2), F.size(e["segs"])), lambda seg, i: one(e, seg, i))))[0]
+    return df.withColumn("_cands", cands)
 
 
 def salary_range(df: DataFrame, text: str = "text") -> DataFrame:

@@ -32,23 +32,27 @@ def watchlist_matches(found: DataFrame, watch: DataFrame, key: str = "key") -> D
     """Found postings whose compact company and a watched short name are
     prefixes of one another (either way), deduplicated by ``key`` keeping the
     first watched company (list order) and then the first posting order
-    (``seq``). ``found`` needs key, seq, company; ``watch`` is watch_table."""
-    f = (found.withColumn("_found", F.regexp_replace(F.lower(F.coalesce("company", F.lit(""))), "[^a-z0-9]", ""))
+    (``seq``, unique). ``found`` needs key, seq, company; ``watch`` is watch_table.
+
+    Only key, seq and the compact name are fanned out, to the prefixes of lengths that
+    the watch list has; the postings' other columns join the winners."""
+    f = (found.select(F.col(key).alias("_key"), F.col("seq").alias("_seq"),
+                      F.regexp_replace(F.lower(F.coalesce("company", F.lit(""))), "[^a-z0-9]", "").alias("_found"))
          .where(F.col("_found") != ""))
-    # (a) short is a prefix of found: found's prefixes, one row each, on equality
-    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.col(c).substr(F.lit(1), i))
-    a = (f.withColumn("_p", F.explode(prefixes("_found")))
+    # (a) short is a prefix of found: found's prefixes of the watched lengths, on equality
+    lengths = watch.agg(F.collect_set(F.length("short")).alias("n")).scalar()
+    f = f.withColumn("_lengths", lengths)
+    probes = F.transform(F.filter("_lengths", lambda n: n <= F.length("_found")), lambda n: F.substr("_found", F.lit(1), n))
+    a = (f.select("_key", "_seq", F.explode(probes).alias("_p"))
          .join(watch.select("watch_idx", "watched", F.col("short").alias("_p")), "_p").drop("_p"))
     # (b) found is a proper prefix of short: the watched names' prefixes, the same way
-    pref = (watch.select("watch_idx", "watched", "short", F.explode(prefixes("short")).alias("_found"))
-            .where((F.col("_found") != "") & (F.col("_found") != F.col("short"))).drop("short"))
-    b = f.join(pref, "_found")
-    both = a.unionByName(b.select(*a.columns))
-    cols = [c for c in found.columns]
-    return (both.groupBy(key)
-            .agg(F.min_by(F.struct(*[F.col(c) for c in cols], "watched"),
-                          F.struct("watch_idx", "seq")).alias("_r"))
-            .select("_r.*"))
+    pref = (watch.select("watch_idx", "watched", "short", F.explode(F.sequence(F.lit(0), F.length("short") - 1)).alias("_n"))
+            .where("short <> ''").select("watch_idx", "watched", F.substr("short", F.lit(1), F.col("_n")).alias("_found")))
+    b = f.join(pref.where("_found <> ''"), "_found").select(*a.columns)
+    best = (a.unionByName(b).groupBy("_key")
+            .agg(F.min(F.struct("watch_idx", "_seq", "watched")).alias("_r")).select("_key", "_r._seq", "_r.watched"))
+    return (found.join(best, F.col(key).eqNullSafe(F.col("_key")) & (F.col("seq") == F.col("_seq")))
+            .drop("_key", "_seq"))
 
 
 def _grams(text: Column, lengths) -> Column:

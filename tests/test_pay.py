@@ -48,3 +48,13 @@ def test_pay_objects(spark, js, expected):
     df = spark.createDataFrame([(js,)], "j string")
     r = rows(df.select(pay_object("j").alias("p")))[0][0]
     assert (None if r is None else (r.low, r.high, r.unit)) == expected
+
+
+def test_long_texts_cost_in_proportion_and_nothing_is_cut(spark):
+    """10,000 small amounts, then the one range that counts; context reaches over pieces."""
+    small = "$10-20 " * 10_000
+    df = spark.createDataFrame([(0, small + "salary $90,000 - $110,000"), (1, "pay " + "$10-20" * 9 + "$90k-$95k"),
+                                (2, "pay " + "$10-20" * 10 + "$90k-$95k" + "." * 40 + "$70k-$80k per year"), (3, "$90k-$95k" + "$10-20" * 4 + " a year")],
+                               "i int, text string")
+    got = {r[0]: (r[1], r[2]) for r in rows(salary_range(df), "i", "salary_low", "salary_high")}
+    assert got == {0: (90000, 110000), 1: (90000, 95000), 2: (70000, 80000), 3: (90000, 95000)}

@@ -98,3 +98,33 @@ def test_usage_cost(spark):
     assert got["r1"] == (1, 2.0 + 0.4 + 1.0, 3.6, False)
     assert got["r2"] == (1, 5.0 + 6.25, 0.0, True)
     assert got["r3"] == (1, 10.0, 0.0, False)
+
+
+def test_files_cut_in_several_splits(spark):
+    """Line numbers run over the splits of a file, whatever their size."""
+    d = tempfile.mkdtemp(prefix="lantern-splits-")
+    want = {}
+    for name, n in (("a.log", 400), ("b.log", 1), ("c.log", 57)):
+        lines = [f"{name} line {i} " + "x" * (i % 37) for i in range(n)]
+        lines[n // 2] = ""
+        with open(os.path.join(d, name), "w", newline="") as f:
+            f.write(("\r\n" if name == "c.log" else "\n").join(lines) + ("" if name == "a.log" else "\n"))
+        want.update({(name, i): x for i, x in enumerate(lines)})
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = R.read_run_logs(spark, d)
+        got = {(r.file, r.line_no): r.line for r in df.collect()}
+        assert df.rdd.getNumPartitions() >= 1 and len(spark.read.text(d).rdd.glom().map(len).collect()) > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
+def test_run_ranks_over_days(spark):
+    runs = [("b", datetime(2026, 1, 2, 6)), ("a", datetime(2026, 1, 2, 6)), ("c", datetime(2026, 1, 1, 6)), ("d", datetime(2026, 1, 2, 5))]
+    df = spark.createDataFrame([(f, t, i) for f, t in runs for i in range(3)], "file string, mtime timestamp, line_no int")
+    assert {r.file: r.run_rank for r in R.run_ranks(df).collect()} == {"b": 1, "a": 2, "d": 3, "c": 4}
