@@ -1,7 +1,8 @@
 """Incremental intake and late mail as Structured Streaming jobs.
 
 Both run the batch operators inside ``foreachBatch`` on each micro-batch, so
-streaming and batch share one implementation. The caller names the work folder
+streaming and batch share one implementation; what must be known of earlier
+batches (keys that have come) is keyed state of the stream. The caller names the work folder
 (on shared storage): the stream's checkpoint and the table live there, so the
 next run goes on where the last one ended. Each micro-batch writes its rows to
 its own ``epoch=N`` folder, replacing it: a replayed batch writes the same rows
@@ -11,6 +12,8 @@ again, and no run rewrites what earlier batches stored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,36 +43,96 @@ def _file_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(source_path)
 
 
+#: State beyond memory: keyed state lives in RocksDB, and an executor drops what it does not use.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _run_available(stream: DataFrame, per_batch, checkpoint: str, mode: str = "append") -> None:
+    """All that has landed, in micro-batches; the caller's settings are put back."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _STATE}
+    try:
+        for k, v in _STATE.items():
+            conf.set(k, v)
+        query = (stream.writeStream.outputMode(mode).foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def keep_first_stream(spark: SparkSession, table: str, schema, keys: list, per_batch, checkpoint: str, where=None) -> None:
+    """Keep-first over an epoch table as a stream: ``per_batch(rows, epoch)`` gets the whole
+    rows of ``table`` whose key has never come before, the first of each key in order of
+    arrival (micro-batch, then epoch, then ``ingest_seq``).
+
+    The state holds, for every key ever seen, when it came and which row it was: three
+    numbers, in a streaming aggregate, so that nulls are keys like others and a key with a
+    third of all rows is cut to one row per task before it is shuffled. What was stored
+    before is not read; the rows themselves come from the epochs of this micro-batch."""
+    stream = spark.readStream.schema(schema).parquet(table)
+    if where is not None:
+        stream = stream.where(where)
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    timed = stream.withColumn("_at", F.current_timestamp())  # one time for all of a micro-batch, the same if it is replayed
+    seen = timed.groupBy(*named).agg(F.min(F.struct("_at", "epoch", "ingest_seq")).alias("first"), F.max("_at").alias("last"))
+
+    def firsts(batch: DataFrame, epoch: int) -> None:
+        new = batch.where(F.col("first._at") == F.col("last")).select("first.epoch", "first.ingest_seq")
+        # the epochs of new keys: those that landed since the last micro-batch
+        span = new.agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).first()
+        session = batch.sparkSession
+        rows = session.read.schema(schema).parquet(table)
+        if span.a is None:
+            rows = rows.limit(0)
+        else:
+            rows = rows.where(F.col("epoch").between(span.a, span.b)).join(new, ["epoch", "ingest_seq"], "left_semi")
+        per_batch(rows.drop("epoch"), epoch)
+
+    _run_available(seen, firsts, checkpoint, "update")
+
+
 def incremental_intake(spark: SparkSession, source_path: str, schema, to_postings,
                        keywords, locations, excludes, blocked, scored: DataFrame, work_dir: str) -> DataFrame:
     """New landed files -> normalise -> filter -> keep-first -> unseen -> store.
     ``to_postings(df)`` turns a raw micro-batch into postings. Runs with
     ``availableNow`` on what has landed since the last run with the same
-    ``work_dir`` and returns the stored table."""
-    from lantern.operators.dedupe import collect_postings
+    ``work_dir`` and returns the stored table.
+
+    The steps of ``collect_postings`` as a chain of streams: postings land by epoch; the
+    first of each (source, company, posting_id), nulls included, goes on to the routing
+    rules; of the billed sources' survivors the first of each role does. Both keep-first
+    steps hold keyed state, so any number of runs store what one run over all files would,
+    and no run reads what earlier ones stored."""
+    from lantern.operators.dedupe import BILLED_SOURCES, collect_postings, role_key_company, role_key_title
+    from lantern.operators.filters import company_block, routed_rule
     from lantern.operators.tracker import unseen
 
-    table, keys = f"{work_dir}/table", ["source", "company", "posting_id"]
-    # normalising is row-wise (plus stream-static joins), so it is part of the
-    # streaming plan; the keep-first and anti joins run per micro-batch
+    landed, billed, table = f"{work_dir}/landed", f"{work_dir}/billed", f"{work_dir}/table"
     stream = to_postings(_file_stream(spark, source_path, schema))
-
-    def per_batch(postings: DataFrame, epoch: int) -> None:
-        new = unseen(collect_postings(postings, keywords, locations, excludes, blocked), scored)
-        stored = _stored(postings.sparkSession, table, before=epoch)
-        if stored is not None:  # keep-first across batches: a stored key arrived earlier
-            new = new.join(stored.select(*keys), keys, "left_anti")
-        _write_epoch(new, table, epoch)
-
-    q = (stream.writeStream.foreachBatch(per_batch)
-         .option("checkpointLocation", f"{work_dir}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with_epoch = StructType([*stream.schema.fields, StructField("epoch", IntegerType())])
+    is_billed = F.coalesce(F.col("source").isin(list(BILLED_SOURCES)), F.lit(False))
+
+    _run_available(company_block(stream, blocked), lambda rows, epoch: _write_epoch(rows, landed, epoch), f"{work_dir}/checkpoint/landed")
+
+    def route(rows: DataFrame, epoch: int) -> None:
+        kept = rows.where(routed_rule(keywords, locations, excludes))
+        _write_epoch(unseen(kept.where(~is_billed), scored), f"{table}/step=plain", epoch)
+        _write_epoch(kept.where(is_billed), billed, epoch)
+
+    if _exists(spark, landed):
+        keep_first_stream(spark, landed, with_epoch, [F.col(c) for c in ("source", "company", "posting_id")], route,
+                          f"{work_dir}/checkpoint/keys")
+    if _exists(spark, billed):
+        keep_first_stream(spark, billed, with_epoch, [F.col("source"), role_key_company(), role_key_title()],
+                          lambda rows, epoch: _write_epoch(unseen(rows, scored), f"{table}/step=billed", epoch),
+                          f"{work_dir}/checkpoint/roles")
     out = _stored(spark, table)
     if out is None:  # nothing has ever landed
         return unseen(collect_postings(to_postings(spark.createDataFrame([], schema)), keywords, locations, excludes,
                                        blocked), scored)
-    return out.drop("epoch")
+    return out.select(*stream.columns)
 
 
 def late_mail(spark: SparkSession, source_path: str, schema, to_messages,

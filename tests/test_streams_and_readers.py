@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from lantern.operators import link, runlogs, scoring, tracker
+from lantern.operators.dedupe import collect_postings
 from lantern.operators.records import read_record_lines
 from lantern.sources.mail import parse_message, read_mail
 from lantern.streaming import intake
@@ -16,6 +17,9 @@ POSTING = ("ingest_seq long, source string, company string, title string, locati
            "description_html string, posting_id string")
 
 
+POSTING_COLUMNS = [x.split()[0] for x in POSTING.split(", ")]
+
+
 def _run(spark, tmp_path, work):
     scored = spark.createDataFrame([("u9",)], "url string")
     return intake.incremental_intake(
@@ -37,6 +41,28 @@ def test_two_runs_equal_one_run_over_both(spark, tmp_path):
     assert sorted(rows(_run(spark, tmp_path, "night"), "ingest_seq")) == two  # nothing new
 
 
+def test_null_and_role_keys_over_runs_equal_one_run(spark, tmp_path):
+    """Keys with nulls, a key whose first row the rules drop, and roles of a billed source."""
+    def land(*data):
+        spark.createDataFrame([(i, s, c, t, "Leeds", f"u{i}", "", p) for i, s, c, t, p in data], POSTING) \
+            .coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+
+    nights = [
+        [(1, "lever", None, "Kiln", "a"), (2, "lever", None, "Kiln", "a"), (3, "lever", "K", "Kiln", None), (4, "lever", "D", "Other", "d")],
+        [(5, "lever", None, "Kiln", "a"), (6, "lever", "K", "Kiln", None), (7, "lever", "D", "Kiln", "d"), (8, "linkedin", "K", "Kiln Hand", "x")],
+        [(9, "linkedin", " k ", "KILN hand", "y"), (10, "linkedin", None, "Kiln Hand", "z"), (11, None, "K", "Kiln", "q")],
+    ]
+    for night in nights:
+        land(*night)
+        got = sorted(rows(_run(spark, tmp_path, "night"), "ingest_seq"))
+    assert got == sorted(rows(_run(spark, tmp_path, "once"), "ingest_seq"))
+    batch = collect_postings(spark.read.parquet(f"{tmp_path}/landed"), ["kiln"], [], [], [])
+    assert got == sorted(rows(batch, "ingest_seq"))
+    assert (1,) in got and (3,) in got and not {(2,), (5,), (6,), (7,)} & set(got)
+    again = _run(spark, tmp_path, "night")
+    assert again.columns == POSTING_COLUMNS and sorted(rows(again, "ingest_seq")) == got
+
+
 def test_replayed_epoch_adds_no_row(spark, tmp_path):
     table = f"{tmp_path}/table"
     batch = spark.createDataFrame([(1,), (2,)], "id int")
