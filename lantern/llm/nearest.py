@@ -7,11 +7,12 @@ in every table, in its one bucket. A query looks into buckets in two rounds:
 1. a pilot looks into the nearest few axes of two tables and ranks what it meets exactly,
    which bounds the distance of the query's ``k``-th neighbour from above;
 2. for a neighbour at that distance, the chance of each bucket of each table is estimated
-   by sampling directions around the query (fixed seed); buckets are taken from the
-   likeliest down until the chance that such a neighbour has been met in at least one table
-   reaches ``target``. Closer neighbours are likelier still, so ``target`` is a floor of the
-   expected recall at every table size; clustered vectors need a bucket or two a table,
-   vectors without any structure a good part of them.
+   by sampling directions around the query (fixed seed); buckets are taken from the nearest
+   axis outwards, over all tables, until the chance that such a neighbour has been met in at
+   least one table reaches ``target``. Closer neighbours are likelier still, so ``target`` is
+   a floor of the expected recall at every table size; clustered vectors need a bucket or
+   two a table, vectors without any structure a good part of them. A query whose pilot met
+   fewer than ``k`` others plans for the opposite point, which takes in nearly every bucket.
 
 Candidates are reranked by the exact Euclidean distance of the original vectors, summed in
 order of dimension in double precision.
@@ -38,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import landed, map_arrow
 from .vectors import dimensions, matrix, slices, vector_rows
 
-TABLES, PILOT_TABLES, PILOT_PROBES, TARGET = 8, 2, 4, 0.97
+TABLES, PILOT_TABLES, PILOT_PROBES, TARGET = 8, 2, 4, 0.95
 CELL_ROWS, CELL_QUERIES, SAMPLES, SEED = 8192, 1024, 1024, 20_231
 
 
@@ -77,13 +79,16 @@ def axes(turned: np.ndarray) -> np.ndarray:
 
 
 def chances(turned: np.ndarray, noise: np.ndarray, cosine: float) -> np.ndarray:
-    """How often each signed axis is nearest among vectors at ``cosine`` to the turned one,
-    plus a little by closeness, so that axes never met come in order of distance too."""
+    """How often each signed axis is nearest among vectors at ``cosine`` to the turned one."""
     off = noise - np.outer(noise @ turned, turned)
-    off /= np.linalg.norm(off, axis=1, keepdims=True)
-    met = axes(cosine * turned + (1 - cosine * cosine) ** 0.5 * off)
-    both = np.stack((turned, -turned), 1).ravel()
-    return (np.bincount(met, minlength=len(both)) + (both + 1) / 4) / (len(noise) + len(both) / 4)
+    off /= np.linalg.norm(off, axis=1, keepdims=True) + 1e-300
+    met = axes(cosine * turned + max(0.0, 1 - cosine * cosine) ** 0.5 * off)
+    return np.bincount(met, minlength=2 * len(turned)) / len(noise)
+
+
+def signed(turned: np.ndarray) -> np.ndarray:
+    """The closeness of each signed axis, in the order of their numbers."""
+    return np.stack((turned, -turned), 1).ravel()
 
 
 def unit_rows(vecs: np.ndarray) -> np.ndarray:
@@ -102,15 +107,16 @@ def vector_classes(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[Da
     return landed(classes.select(F.col("ids")[0].alias("class"), "vec", "ids"), "nearest-classes"), rows
 
 
-def buckets(classes: DataFrame, dims: int) -> DataFrame:
-    """The index: a row per class and table, with the bucket and the vector's bytes."""
+def buckets(classes: DataFrame, dims: int, kind: str = "<f8") -> DataFrame:
+    """The index: a row per class and table, with the bucket and the vector's bytes (``kind``:
+    four to a component where the vectors came as floats, which loses nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = Turns(dims)
         for batch in batches:
             for part in slices(batch, 1024):
                 vecs = matrix(part.column(1), dims)
-                unit, data = unit_rows(vecs), pa.array([v.tobytes() for v in vecs], pa.binary())
+                unit, data = unit_rows(vecs), pa.array([v.tobytes() for v in vecs.astype(kind)], pa.binary())
                 for t in range(TABLES):
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(pa.scalar(t, pa.int32()), len(vecs)), pa.array(axes(turns(unit, t)).astype(np.int32)), part.column(0), data],
@@ -119,7 +125,7 @@ def buckets(classes: DataFrame, dims: int) -> DataFrame:
     return landed(map_arrow(classes.select("class", "vec"), run, "table int, bucket int, class long, data binary"), "nearest-index")
 
 
-def probes(queries: DataFrame, dims: int, pilot: bool, target: float = TARGET) -> DataFrame:
+def probes(queries: DataFrame, dims: int, pilot: bool, target: float = TARGET, kind: str = "<f8") -> DataFrame:
     """Buckets to look into: ``table``, ``bucket``, ``query``, ``data``. ``queries``: ``class``,
     ``vec`` and ``far``, the square of the distance to plan for (null: as far as it gets)."""
 
@@ -133,30 +139,30 @@ def probes(queries: DataFrame, dims: int, pilot: bool, target: float = TARGET) -
                 far = part.column(2).to_pylist()
                 for n, own in enumerate(part.column(0).to_pylist()):
                     if pilot:
-                        both = [np.stack((x[n], -x[n]), 1).ravel() for x in turned]
-                        picked = [(t, b) for t, x in enumerate(both) for b in np.argsort(-x, kind="stable")[:PILOT_PROBES].tolist()]
+                        picked = [(t, b) for t, x in enumerate(turned) for b in np.argsort(-signed(x[n]), kind="stable")[:PILOT_PROBES].tolist()]
                     else:
                         length = float(vecs[n] @ vecs[n])
-                        cosine = 0.0 if far[n] is None else min(max(1 - far[n] / (2 * length), 0.0), 1.0)
-                        picked = _likeliest([chances(x[n], turns.noise, cosine) for x in turned], target)
+                        cosine = -1.0 if far[n] is None else min(max(1 - far[n] / (2 * length), -1.0), 1.0)
+                        picked = _outwards([signed(x[n]) for x in turned], [chances(x[n], turns.noise, cosine) for x in turned], target)
                     t, b = (np.array(x, np.int32) for x in zip(*picked))
-                    data = pa.repeat(pa.scalar(vecs[n].tobytes(), pa.binary()), len(t))
+                    data = pa.repeat(pa.scalar(vecs[n].astype(kind).tobytes(), pa.binary()), len(t))
                     yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(b), pa.repeat(own, len(t)), data], ["table", "bucket", "query", "data"])
 
     return map_arrow(queries.select("class", "vec", "far"), run, "table int, bucket int, query long, data binary")
 
 
-def _likeliest(per_table: list[np.ndarray], target: float) -> list[tuple[int, int]]:
-    """Buckets of all tables, likeliest first, until a neighbour has been met in some table
-    with chance ``target``."""
-    flat, width = np.concatenate(per_table), len(per_table[0])
-    missed, out = np.ones(len(per_table)), []
-    for at in np.argsort(-flat, kind="stable").tolist():
+def _outwards(near: list[np.ndarray], chance: list[np.ndarray], target: float) -> list[tuple[int, int]]:
+    """Buckets of all tables, nearest axis first, until a neighbour has been met in some
+    table with chance ``target``."""
+    flat, width = np.concatenate(chance), len(chance[0])
+    missed, out = [1.0] * len(chance), []
+    for at in np.argsort(-np.concatenate(near), kind="stable").tolist():
         t, b = divmod(at, width)
         out.append((t, b))
-        missed[t] -= flat[at]
-        if 1 - np.prod(np.maximum(missed, 0.0)) >= target:
-            break
+        if flat[at]:
+            missed[t] = max(0.0, missed[t] - flat[at])
+            if 1 - np.prod(missed) >= target:
+                break
     return out
 
 
@@ -190,7 +196,7 @@ def _cells(index: DataFrame, looks: DataFrame) -> DataFrame:
     return both.repartition(*cell).sortWithinPartitions(*cell, "is_row").select(*cell, "is_row", "id", "data")
 
 
-def _nearest_of_cells(cells: DataFrame, dims: int, k: int) -> DataFrame:
+def _nearest_of_cells(cells: DataFrame, dims: int, k: int, kind: str) -> DataFrame:
     """The first ``k`` classes of each query in each cell: ``query``, ``class``, ``apart``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,7 @@ def _nearest_of_cells(cells: DataFrame, dims: int, k: int) -> DataFrame:
             key = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)], 1)
             is_row = batch.column(4).to_numpy(zero_copy_only=False)
             ids = np.asarray(batch.column(5), np.int64)
-            data = np.frombuffer(b"".join(batch.column(6).to_pylist()), float).reshape(-1, dims)
+            data = np.frombuffer(b"".join(batch.column(6).to_pylist()), kind).reshape(-1, dims).astype(float)
             edge = np.flatnonzero((np.diff(key, axis=0) != 0).any(1) | (is_row[1:] != is_row[:-1])) + 1
             for a, b in zip([0, *edge], [*edge, len(ids)]):
                 cell = tuple(key[a])
@@ -228,12 +234,12 @@ def _first(asked, vecs, ids, rows, k) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[r]), pa.array(apart[q, r])], ["query", "class", "apart"])
 
 
-def _search(index: DataFrame, queries: DataFrame, dims: int, k: int, pilot: bool, target: float) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, dims: int, k: int, pilot: bool, target: float = TARGET, kind: str = "<f8") -> DataFrame:
     """The first ``k`` classes met by each query, its own among them."""
-    looks = landed(probes(queries, dims, pilot, target), "nearest-probes")
+    looks = landed(probes(queries, dims, pilot, target, kind), "nearest-probes")
     if pilot:
         index = index.where(F.col("table") < PILOT_TABLES)
-    met = _nearest_of_cells(_cells(index, looks), dims, k).distinct()
+    met = _nearest_of_cells(_cells(index, looks), dims, k, kind).distinct()
     w = Window.partitionBy("query").orderBy("apart", "class")
     return met.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
@@ -244,15 +250,16 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``, the Euclidean distance."""
     classes, rows = vector_classes(df, id_col, vec_col, k)
     dims = dimensions(classes)
-    index = buckets(classes, dims)
+    kind = "<f4" if isinstance(df.schema[vec_col].dataType.elementType, FloatType) else "<f8"
+    index = buckets(classes, dims, kind)
     asked = landed(rows.where(is_query).join(classes.select("vec", "class"), "vec").select("id", "class"), "nearest-queries")
     queries = classes.join(asked.select("class").distinct(), "class").select("class", "vec", F.size("ids").alias("copies"))
-    first = _search(index, queries.withColumn("far", F.lit(None).cast("double")), dims, k + 1, True, target)
+    first = _search(index, queries.withColumn("far", F.lit(None).cast("double")), dims, k + 1, True, target, kind)
     sized = first.join(classes.select("class", F.size("ids").alias("n")), "class")
     w = Window.partitionBy("query").orderBy("apart", "class")
     far = sized.withColumn("__sum", F.sum("n").over(w)).where(F.col("__sum") >= k + 1).groupBy("query").agg(F.min("apart").alias("far"))
     planned = landed(queries.join(far.withColumnRenamed("query", "class"), "class", "left"), "nearest-planned")
-    found = _search(index, planned, dims, k + 1, False, target)
+    found = _search(index, planned, dims, k + 1, False, target, kind)
     members = found.join(classes.select("class", "ids"), "class").select("query", "apart", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("query").orderBy("apart", "vec_id")
     members = members.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k + 1)
