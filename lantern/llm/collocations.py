@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .chunks import pieces
 from .common import UPPER, landed, map_arrow
 
-SLICE, STRETCH, OVERLAP, PIECE_BYTES = 1 << 21, 1 << 20, 3, 4 << 20
+SLICE, STRETCH, OVERLAP, PIECE_BYTES, HELD = 1 << 21, 1 << 18, 3, 2 << 20, 2 << 20
 #: A-Z to a-z; the characters that end a piece to a line feed; a tab to a space.
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", UPPER.lower().encode() + b"\n" * 10 + b" ")
 OCCURRENCES = "own long, pos binary, id binary"
@@ -58,7 +58,7 @@ def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.concatenate(([0], np.cumsum(stop - start)))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[word])])
-    return words, np.arange(len(start)) + np.cumsum(end)[start] if len(start) else np.zeros(0, np.int64)
+    return words, np.arange(len(start)) + np.cumsum(end, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int64)
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -196,7 +196,7 @@ def pair_counts(relation: DataFrame) -> DataFrame:
             at, keys = adjacent(pos, ids)
             held.append(keys[at < own])
             size += len(held[-1])
-            if size > 4 << 20:
+            if size > HELD:
                 yield _counts(held)
                 held, size = [], 0
         if size:
