@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from plain import SF
@@ -10,6 +11,10 @@ from lantern.llm.queries import op7_page_text
 
 PROSE = "It was the best of the days and the worst of the days, and all of the people that were in the town had been to the fair."
 
+POLISH = ("Wczesnym rankiem gospodarz otworzy\u0142 okno i spojrza\u0142 na pola, kt\xf3re ci\u0105gn\u0119\u0142y si\u0119 a\u017c po rzek\u0119; "
+          "nad wod\u0105 unosi\u0142a si\u0119 mg\u0142a, a z oddali dobiega\u0142o szczekanie psa.")
+CHINESE = "\u6e05\u6668\u4ed6\u6253\u5f00\u7a97\u6237\uff0c\u770b\u89c1\u7530\u91ce\u4e00\u76f4\u5ef6\u4f38\u5230\u6cb3\u8fb9\uff0c\u6c34\u9762\u4e0a\u98d8\u7740\u8584\u96fe\uff0c\u8fdc\u5904\u4f20\u6765\u72d7\u53eb\u58f0\uff0c\u6751\u5b50\u8fd8\u5728\u6c89\u7761\uff0c\u53ea\u6709\u9762\u5305\u5e08\u7684\u70df\u56f1\u5192\u7740\u767d\u70df\u3002" * 2
+
 
 def test_whole_table_against_its_articles(spark):
     got = {r.page_id: r for r in op7_page_text(spark, "/root/testdata/sf0.01").collect()}
@@ -35,6 +40,18 @@ def test_whole_table_against_its_articles(spark):
     ("<article><p title=\"a>b\">x</p><p>cut off <a href=\"y", "x\n\ncut off"),
     ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table>", "one\n\ntwo\n\na\n\nb"),
     ("<article><p>a < b and 3 <4 > 2</p></article>", "a < b and 3 <4 > 2"),
+    (f"<div class='site-content right-sidebar'><article><p>{PROSE}</p></article></div><div class=sidebar><p>{PROSE}</p></div>", PROSE),
+    (f"<div class='no-sidebar'><article><p>{PROSE}</p></article></div>", PROSE),
+    (f"<main class='has-comments'><p>{PROSE}</p><div class=comments><p>{PROSE}</p></div></main>", PROSE),
+    (f"<div class=widget><p>{PROSE}</p><p>Two.</p></div>", f"{PROSE}\n\nTwo."),
+    (f"<form id=f><header><p>Top</p></header><div><p>{PROSE}</p></div></form>", PROSE),
+    (f"<div class=comments><article><p>{PROSE}</p></article></div><article><p>Main</p></article>", "Main"),
+    ("<article><p>\xa9 signs open this paragraph of an article.</p><p>\xa9</p></article>", "\xa9 signs open this paragraph of an article.\n\n\xa9"),
+    (f"<p>{PROSE}</p><p>\xa9 2020 Example</p>", PROSE),
+    (f"<nav><a href=a>Menu</a></nav><h1>Tytu\u0142</h1><p>{POLISH}</p><p>Kr\xf3tko.</p><p>{POLISH}</p><ul><li><a href=x>Wi\u0119cej</a></li></ul><footer>{POLISH}</footer>",
+     f"Tytu\u0142\n\n{POLISH}\n\nKr\xf3tko.\n\n{POLISH}"),
+    (f"<ul><li><a href=a>\u9996\u9875</a></li></ul><h1>\u6807\u9898</h1><p>{CHINESE}</p><p>\u77ed\u53e5\u3002</p><p>{CHINESE}</p><footer>{CHINESE}</footer>",
+     f"\u6807\u9898\n\n{CHINESE}\n\n\u77ed\u53e5\u3002\n\n{CHINESE}"),
     ("plain words", "plain words"), ("", ""), (None, ""), ("<style>x", ""), ("<p hidden>no</p>", ""),
 ])
 def test_pages(page, want):
@@ -65,3 +82,28 @@ def test_awkward_rows(spark):
     long = ("the word of " * 40_000).strip()
     assert got == sorted([(1, "", 0), (None, "", 0), (3, "a", 1), (3, "a", 1), (4, long, len(long))], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_pages_without_markup_still_give_their_article(spark):
+    """Without article elements, classes and roles the two passes alone decide."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    wanted = found = extra = 0
+    for p in pages:
+        article = re.search(r"<article>(.*?)(</article>|\Z)", p.html, re.S).group(1)
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?p>|</?h1>", article)]
+        want = [x for x in parts if x]
+        got = main_text(re.sub(r'\s(?:class|role|id)="[^"]*"', "", re.sub(r"</?article[^>]*>", "", p.html))).split("\n\n")
+        wanted += len(want)
+        found += sum(x in got for x in want)
+        extra += sum(x not in want for x in got)
+    assert found >= 0.95 * wanted and extra <= 0.1 * wanted
+
+
+@pytest.mark.parametrize("soup", [
+    "<span>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<p>" * 100_000, "<td>" + "<span>" * 100_000 + "</b>" * 100_000,
+    "<span>" * 100_000 + "<div></div>" * 100_000, "<div class=ad>" * 100_000 + "x" + "</div>" * 50_000,
+    "<div class=ad>" * 50_000 + "<article>a</article>" * 50_000])
+def test_nesting_costs_linear_time(soup):
+    start = time.process_time()
+    main_text(soup + "word")
+    assert time.process_time() - start < 5
