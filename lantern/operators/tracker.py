@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -142,9 +142,30 @@ def sort_tracker(rows: DataFrame) -> DataFrame:
     return rows.orderBy(score_sort_key().desc(), F.lower(_s("company")))
 
 
+def is_ready() -> Column:
+    """P16 as a condition: documents drafted and no submit date."""
+    return (_s("resume") != "") & (F.trim(_s("date_submitted")) == "")
+
+
+def days_waiting(run_date: str) -> Column:
+    from lantern.functions.dates import parse_date
+    return F.datediff(F.to_date(F.lit(run_date)), parse_date("date_submitted"))
+
+
+def is_quiet(run_date: str, days: int = 10) -> Column:
+    """P17 as a condition: submitted at least ``days`` ago, status blank or 'applied'."""
+    return (F.coalesce(days_waiting(run_date) >= days, F.lit(False))
+            & F.lower(F.trim(_s("status"))).isin("", "applied"))
+
+
+def is_vanished() -> Column:
+    """P18 as a condition: flagged as no longer listed and not closed."""
+    return _s("notes").startswith(VANISHED_MARK) & (F.lower(F.trim(_s("status"))) != "closed")
+
+
 def ready_rows(rows: DataFrame, exclude_vanished: bool = False) -> DataFrame:
     """Documents drafted and no submit date (report form: not vanished)."""
-    cond = (_s("resume") != "") & (F.trim(_s("date_submitted")) == "")
+    cond = is_ready()
     if exclude_vanished:
         cond = cond & ~_s("notes").startswith(VANISHED_MARK)
     return rows.where(cond)
@@ -158,19 +179,13 @@ def ready_sorted(rows: DataFrame) -> DataFrame:
 def gone_quiet(rows: DataFrame, run_date: str, days: int = 10) -> DataFrame:
     """P17 + T3: submitted at least ``days`` ago, status blank or 'applied';
     with days waiting, longest first."""
-    from lantern.functions.dates import parse_date
-    d = parse_date("date_submitted")
-    status = F.lower(F.trim(_s("status")))
-    waited = F.datediff(F.to_date(F.lit(run_date)), d)
-    return (rows.withColumn("days_waiting", waited)
-            .where(d.isNotNull() & status.isin("", "applied") & (F.col("days_waiting") >= days))
+    return (rows.withColumn("days_waiting", days_waiting(run_date)).where(is_quiet(run_date, days))
             .orderBy(F.desc("days_waiting")))
 
 
 def vanished_rows(rows: DataFrame) -> DataFrame:
     """Flagged as no longer listed and not closed."""
-    return rows.where(_s("notes").startswith(VANISHED_MARK)
-                      & (F.lower(F.trim(_s("status"))) != "closed"))
+    return rows.where(is_vanished())
 
 
 def in_flight(rows: DataFrame) -> DataFrame:
