@@ -19,7 +19,8 @@ the counts that scores need are all in ``L``.
 The semi-join hands ``L`` to the tasks in slices of ``SLICE`` rows, a fixed number that
 bounds driver and worker; each slice is one pass over the occurrences, in which its hits
 join those of the slices before. Stretches of more than ``STRETCH`` positions are cut with an
-overlap of ``OVERLAP`` words, so one endless text is no large row. A word, pair, language or
+overlap of ``OVERLAP`` words, so one endless text is no large row, and rows stay under the
+size that the JVM's collector treats as huge. A word, pair, language or
 text that holds a third of everything is counted down inside its tasks before any shuffle.
 
 Defined results: null text counts as empty and gives nothing; a null language is ``und``;
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .chunks import pieces
 from .common import UPPER, landed, map_arrow
 
-SLICE, STRETCH, OVERLAP, PIECE_BYTES, HELD = 1 << 21, 1 << 18, 3, 2 << 20, 2 << 20
+SLICE, STRETCH, OVERLAP, PIECE_BYTES, HELD = 1 << 21, 1 << 15, 3, 2 << 20, 2 << 20
 #: A-Z to a-z; the characters that end a piece to a line feed; a tab to a space.
 _TABLE = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", UPPER.lower().encode() + b"\n" * 10 + b" ")
 OCCURRENCES = "own long, pos binary, id binary"
@@ -58,7 +59,7 @@ def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.concatenate(([0], np.cumsum(stop - start)))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat[word])])
-    return words, np.arange(len(start)) + np.cumsum(end, dtype=np.int32)[start] if len(start) else np.zeros(0, np.int64)
+    return words, np.arange(len(start), dtype=np.int32) + np.cumsum(end, dtype=np.int32)[start]
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -130,10 +131,10 @@ def first_occurrences(texts: DataFrame, level: DataFrame) -> DataFrame:
         def rows_of(batch):
             if first:
                 for lang, text in _by_lang(batch):
-                    yield lang, text, np.zeros(0, np.int64), np.zeros(0, np.int32)
+                    yield lang, text, np.zeros(0, np.int32), np.zeros(0, np.int32)
             else:
                 for row in batch.to_pylist():
-                    yield row["lang"], row["text"], np.frombuffer(row["pos"], np.int64), np.frombuffer(row["id"], np.int32)
+                    yield row["lang"], row["text"], np.frombuffer(row["pos"], np.int32), np.frombuffer(row["id"], np.int32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,7 +165,7 @@ def _stretches(pos: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes(pos: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
-    return [pa.array([pos.astype(np.int64).tobytes()]), pa.array([ids.astype(np.int32).tobytes()])]
+    return [pa.array([pos.astype(np.int32).tobytes()]), pa.array([ids.astype(np.int32).tobytes()])]
 
 
 def _row(own: int, pos: np.ndarray, ids: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
@@ -173,7 +174,7 @@ def _row(own: int, pos: np.ndarray, ids: np.ndarray, *more: pa.Array) -> pa.Reco
 
 
 def _relation(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    kinds = None, np.int64, np.int32, np.int64, np.int32
+    kinds = None, np.int32, np.int32, np.int32, np.int32
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(batch.column(c)[i].as_py() if c == 0 else np.frombuffer(batch.column(c)[i].as_buffer(), kinds[c])
