@@ -56,11 +56,21 @@ def blank_to_null(col: Column) -> Column:
     return F.when(F.trim(col) == "", F.lit(None)).otherwise(col)
 
 
+#: White space as Python's ``str.split()`` takes it.
+SPACES = "(?U)[\\s\\x1c-\\x1f]+"
+
+
+def one_spaced(col: Column) -> Column:
+    """Python ``" ".join(s.split())``; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), SPACES, " "))
+
+
 def word_count(col: Column) -> Column:
-    """Python ``len(s.split())``: whitespace runs split, empty pieces dropped.
-    Written without a lambda so it stays in generated code."""
-    t = F.regexp_replace(F.coalesce(col, F.lit("")), "^\\s+|\\s+$", "")
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, "\\s+")))
+    """Python ``len(s.split())``: the spaces of the text with single spaces, and one for a
+    text that is not empty. No branch and no lambda, so the text is made once, in
+    generated code."""
+    t = one_spaced(col)
+    return F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + (t != "").cast("int")
 
 
 def py_strip(col: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.functions.predicates import word_count
+from lantern.functions.predicates import one_spaced, word_count
 
 # Fixed values (tuning defaults): bullets kept per role by position, newest
 # first; roles beyond the list keep BULLETS_TAIL; word budgets.
@@ -21,23 +21,21 @@ MAX_SUMMARY_WORDS = 80
 
 def summary_trim(summary, max_words: int = MAX_SUMMARY_WORDS) -> Column:
     """Over ``max_words`` words -> whole sentences while the running word
-    total stays within the limit (always the first); whitespace normalised."""
+    total stays within the limit (always the first); whitespace normalised.
+
+    The sentences that fit end within the first ``max_words`` words, so only that head is
+    searched for the last sentence end; where it has none, the first sentence is longer."""
     s = F.coalesce(summary if isinstance(summary, Column) else F.col(summary), F.lit(""))
-    words = F.filter(F.split(s, "\\s+"), lambda w: w != "")
-    text = F.array_join(words, " ")
-    sentences = F.split(text, "(?<=[.!?])\\s+")
-    # text is single-space separated, so a sentence's words are its spaces + 1
-    # (no regex inside the lambda: that would compile a pattern per element)
-    counts = F.transform(sentences, lambda x: F.when(x == "", F.lit(0))
-                         .otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
-    # running totals in one fold (a lambda that referenced ``counts`` again
-    # would re-evaluate the whole split per element)
-    zero = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("s"))
-    cum = F.aggregate(counts, zero, lambda acc, c: F.struct(
-        F.array_append(acc["a"], acc["s"] + c).alias("a"), (acc["s"] + c).alias("s")))["a"]
-    k = F.greatest(F.lit(1), F.size(F.filter(cum, lambda c: c <= max_words)))
-    trimmed = F.array_join(F.slice(sentences, 1, k), " ")
-    return F.when(F.size(words) > max_words, trimmed).otherwise(s)
+
+    def cut(t):
+        head = F.substring_index(t["text"], " ", max_words)
+        fits = F.regexp_extract(F.concat(head, F.lit(" ")), "(?s)^(.*[.!?]) ", 1)
+        first = F.regexp_extract(F.concat(t["text"], F.lit(" ")), "(?s)^(.*?[.!?]) ", 1)
+        return (F.when(head == t["text"], t["own"]).when(fits != "", fits)
+                .when(first != "", first).otherwise(t["text"]))
+
+    # bound by a lambda, so that the text is normalised once
+    return F.transform(F.array(F.struct(s.alias("own"), one_spaced(s).alias("text"))), cut)[0]
 
 
 def bullet_cap(position: Column) -> Column:
