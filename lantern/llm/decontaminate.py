@@ -108,7 +108,7 @@ class Matcher:
                 start = last - size + 1 - at  # where the item would begin without edits
                 lo, hi = max(0, start - errors), min(len(text), start + len(item) + errors)
                 got = spans.setdefault(key, [])
-                if got and lo <= got[-1][0] + 2 * errors and hi >= got[-1][0]:  # the same occurrence
+                if got and lo <= got[-1][1] and hi >= got[-1][0]:  # they overlap: one stretch
                     got[-1][0], got[-1][1] = min(got[-1][0], lo), max(got[-1][1], hi)
                 else:
                     got.append([lo, hi])
@@ -116,7 +116,7 @@ class Matcher:
         for key, windows in spans.items():
             item_id, item, errors, pattern = self.items[key]
             best = None
-            for lo, hi in windows:
+            for lo, hi in _merged(windows):
                 if best is not None and best[0] == 0:
                     break
                 exact = text.find(item, lo, hi)
@@ -130,6 +130,18 @@ class Matcher:
         return out
 
 
+def _merged(windows: list[list[int]]) -> list[list[int]]:
+    """Stretches that do not overlap, in order: every character is read once per item,
+    however often a repeated passage hits."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def matcher_in_task(key: str, shared, error_rate: float) -> Matcher:
     """A block's matcher, built once per Python worker."""
     return held(("items", key), lambda: Matcher(shared.value, error_rate))

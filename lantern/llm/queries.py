@@ -60,7 +60,7 @@ WITH d AS (
          lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits
   FROM documents),
 p AS (SELECT d.*, k.depth, left(bits, k.depth) AS shard
-       FROM d, (SELECT unnest(range(0, 33))::INTEGER AS depth) k),
+       FROM d, (SELECT unnest(range(0, 61))::INTEGER AS depth) k),
 total AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL),
 fit AS (SELECT p.doc_id, p.n_bytes, p.depth, p.shard, shard_bytes, shard_rows,
                row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS r

@@ -75,7 +75,8 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", text_col: str = "text"
         largest = over.agg(F.max("bytes")).head()[0]  # one number
         if largest is None or high == MAX_BITS:
             break
-        rest = rest.withColumn("prefix", bits(high)).join(over.select("prefix"), "prefix", "left_semi").select(*cols)
+        rest = rest.withColumn("__prefix", bits(high)).join(
+            over.select(F.col("prefix").alias("__prefix")), "__prefix", "left_semi").select(*cols)
         step = min(first_bits, 1 + math.ceil(math.log2(max(2.0, largest / limit_bytes))))
         low, high = high + 1, min(MAX_BITS, high + step)
         if low <= KEY_BITS < high:
@@ -83,8 +84,8 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", text_col: str = "text"
 
     out = df.select(*cols)
     for i, (depth, table) in enumerate(tables):
-        out = out.withColumn("prefix", bits(depth)).join(
-            table.select("prefix", F.struct("shard", "shard_bytes", "shard_rows").alias(f"__d{i}")), "prefix", "left")
+        out = out.withColumn("__prefix", bits(depth)).join(table.select(
+            F.col("prefix").alias("__prefix"), F.struct("shard", "shard_bytes", "shard_rows").alias(f"__d{i}")), "__prefix", "left")
     found = [F.when(F.col(f"__d{i}.shard").isNotNull(), F.col(f"__d{i}")) for i in range(len(tables))]
     out = out.withColumn("__d", F.coalesce(*found))
     done = out.where(F.col("__d").isNotNull()).select(

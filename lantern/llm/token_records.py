@@ -138,7 +138,9 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     """Tokenize and write the documents below ``path``, some ``file_bytes`` of text a file."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    docs = docs.repartitionByRange(max(1, -(-total // file_bytes)), "id").sortWithinPartitions("id", "text")
+    # rows of one id, or without one, spread over files by their texts' hash
+    docs = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(max(1, -(-total // file_bytes)), "id", "hash")
+    docs = docs.sortWithinPartitions("id", "hash", "text").drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
