@@ -68,3 +68,19 @@ def collect_postings(postings: DataFrame, keywords, locations, excludes,
     p = dedupe_posting_key(p)
     p = p.where(routed_rule(keywords, locations, excludes))
     return dedupe_role(p)
+
+
+def narrow_survivors(postings: DataFrame, keywords, locations, excludes, blocked_companies=None, columns=("url",)) -> DataFrame:
+    """``source``, ``ingest_seq`` and ``columns`` of the rows that ``collect_postings``
+    keeps, for reports that need no whole posting: both keep-first steps carry the narrow
+    columns of the first row through the aggregate, so the postings are read once and no
+    row is looked up again. Rows of sources that are not billed are roles of their own."""
+    p = company_block(postings, blocked_companies)
+    first = p.groupBy("source", "company", F.col("posting_id").alias("_id")).agg(
+        F.min(F.struct("ingest_seq", "title", "location", *columns)).alias("_r"))
+    p = first.select("source", "company", "_r.*").where(routed_rule(keywords, locations, excludes))
+    billed = F.coalesce(F.col("source").isin(list(BILLED_SOURCES)), F.lit(False))
+    role = [F.when(billed, role_key_company()).alias("_c"), F.when(billed, role_key_title()).alias("_t"),
+            F.when(~billed, F.col("ingest_seq")).alias("_own")]
+    once = p.groupBy("source", *role).agg(F.min(F.struct("ingest_seq", *columns)).alias("_r"))
+    return once.select("source", "_r.*")

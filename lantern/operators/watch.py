@@ -55,17 +55,18 @@ def watchlist_matches(found: DataFrame, watch: DataFrame, key: str = "key") -> D
             .drop("_key", "_seq"))
 
 
-def _grams(text: Column, lengths) -> Column:
-    """Distinct substrings of ``text`` of the given lengths (a capturing
-    look-ahead per length); a gram's length tells which key length it serves."""
+def _grams(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``text`` of the given lengths, 1 to 4 (a capturing look-ahead
+    for each length that is there); a gram's length tells which key length it serves."""
+    none = F.array().cast("array<string>")
     return F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])))
+        F.when(F.array_contains(lengths, n), F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(none)
+        for n in range(1, 5)])))
 
 
-def _key_lengths(df: DataFrame, col: str) -> list[int]:
-    """The distinct key lengths min(4, len) present: at most four numbers."""
-    return sorted(r[0] for r in df.select(F.least(F.length(col), F.lit(4)).alias("n"))
-                  .where(F.col("n") > 0).distinct().collect())
+def _key_lengths(df: DataFrame, col: str) -> Column:
+    """The distinct key lengths min(4, len) present, as a scalar subquery: no job of its own."""
+    return df.select(F.least(F.length(col), F.lit(4)).alias("n")).where(F.col("n") > 0).agg(F.collect_set("n")).scalar()
 
 
 def canonical_match(entries: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -83,14 +84,14 @@ def canonical_match(entries: DataFrame, canonical: DataFrame) -> DataFrame:
     # the entry side offers its grams of just those lengths
     ck = c.where(F.length("_c") > 0).withColumn("g", F.expr("substring(_c, 1, least(length(_c), 4))"))
     eg = e.select("profile_id", "entry_id", "_name",
-                  F.explode(_grams(F.col("_name"), _key_lengths(c, "_c") or [4])).alias("g"))
+                  F.explode(_grams(F.col("_name"), _key_lengths(c, "_c"))).alias("g"))
     p1 = (eg.join(ck, ["profile_id", "g"]).where(F.col("_name").contains(F.col("_c")))
           .select("profile_id", "entry_id", "idx"))
     # head in canonical: key = the head's first min(4, len) characters
     hk = (e.where(F.length("_head") > 0).withColumn("g", F.expr("substring(_head, 1, least(length(_head), 4))"))
           .select("profile_id", "entry_id", "_head", "g"))
     cg = c.select("profile_id", "idx", "_c",
-                  F.explode(_grams(F.col("_c"), _key_lengths(e, "_head") or [4])).alias("g"))
+                  F.explode(_grams(F.col("_c"), _key_lengths(e, "_head"))).alias("g"))
     p2 = (hk.join(cg, ["profile_id", "g"]).where(F.col("_c").contains(F.col("_head")))
           .select("profile_id", "entry_id", "idx"))
     # the empty string occurs in everything: an empty canonical name matches

@@ -185,7 +185,7 @@ SELECT c.source, count(*) AS postings, count_if(s.url IS NULL) AS never_scored
 FROM ({SQL_D2}) c LEFT JOIN (SELECT DISTINCT url FROM {{scored}}) s ON s.url = c.url
 GROUP BY c.source""")
 def a2(spark, sf):
-    survivors = dedupe.collect_postings(_postings(spark, sf), KW, LOC, EX, BLOCKED_COMPANIES)
+    survivors = dedupe.narrow_survivors(_postings(spark, sf), KW, LOC, EX, BLOCKED_COMPANIES)
     return reports.source_counts(survivors, adapter(spark, sf, "scored"))
 
 

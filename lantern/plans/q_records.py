@@ -235,6 +235,62 @@ def t4(spark, sf):
     return R.pick_lens(R.role_text(_items_cut(spark, sf)))
 
 
-@register("K5_record_render", oracle=None)
+def _k5_sql() -> str:
+    """The record's lines with their sort keys, fixed lines once (UNION), joined in order."""
+    fixed = lambda rows, src: [(k, f"{q(t)}", src) for k, t in rows]
+    head = [("2, -10, 0, 0", ""), ("2, -9, 0, 0", "## Positioning")]
+    parts = fixed([("4, -10, 0, 0", ""), ("4, -9, 0, 0", "## Roles")], "i")
+    parts += fixed([*head, ("2, -5, 0, 0", ""), ("2, -4, 0, 0", "### Core competencies"), ("2, -3, 0, 0", "")], "i WHERE kind = 'competency'")
+    parts += fixed([*head, ("3, -5, 0, 0", ""), ("3, -4, 0, 0", "### What sets me apart"), ("3, -3, 0, 0", "")], "i WHERE kind = 'sets_apart'")
+    parts += fixed([("1, -3, 0, 0", ""), ("1, -2, 0, 0", "## Contact"), ("1, -1, 0, 0", "")], "i WHERE kind = 'contact'")
+    parts += fixed([("4, line_no, 0, 0", ""), ("4, line_no, 0, 2", "")], "i WHERE kind = 'role'")
+    parts += fixed([("4, role_line, 2, -1", "")], "i WHERE kind = 'note'")
+    parts += fixed([(f"4, role_line, 900000000, {j}", t) for j, t in enumerate(
+        ["", f"#### {R.BULLETS_HEADING}", "", *R.BULLETS_PREAMBLE, ""])], "i WHERE kind = 'bullet'")
+    parts += fixed([("4, role_line, 300000000 + acc_line, 0", ""), ("4, role_line, 300000000 + acc_line, 2", "")], "accs")
+    parts += fixed([("5, -1, 0, 0", "")], "i JOIN ends USING (doc_id) WHERE t_first IS NOT NULL")
+    parts += [
+        ("0, line_no, 0, 0", "text", "i JOIN ends USING (doc_id) WHERE kind = 'header' AND line_no <= h_last"),
+        ("2, line_no, 0, 0", "'- ' || text", "i WHERE kind = 'competency'"), ("3, line_no, 0, 0", "text", "i WHERE kind = 'sets_apart'"),
+        ("4, line_no, 0, 1", "'### ' || employer || ' — ' || title", "i WHERE kind = 'role'"),
+        ("4, role_line, 2, line_no", "'> ' || text", "i WHERE kind = 'note'"),
+        ("4, role_line, 900000000, 100 + line_no", "'- ' || text", "i WHERE kind = 'bullet'"),
+        ("5, line_no, 0, 0", "text", "i JOIN ends USING (doc_id) WHERE kind = 'trailing' AND line_no >= t_first"),
+        ("1, pos, 0, 0", "'- **' || label || ':** ' || v",
+         "(SELECT doc_id, label, min(line_no) AS pos, arg_max(text, line_no) AS v FROM i WHERE kind = 'contact' GROUP BY doc_id, label)"),
+        ("4, role_line, 1, coalesce(list_position(" + "[" + ", ".join(q(x) for x in R.ROLE_FIELDS) + "], label) - 1, 100) * 1000000 + pos",
+         "'- **' || label || ':** ' || v",
+         "(SELECT doc_id, role_line, label, min(line_no) AS pos, arg_max(text, line_no) AS v FROM i WHERE kind = 'role_field' GROUP BY doc_id, role_line, label) WHERE v <> ''"),
+        ("4, role_line, 300000000 + acc_line, 1", "'#### ' || CASE WHEN acc_title <> '' THEN acc_title ELSE '[FILL IN: short title]' END", "accs")]
+    for j, f in enumerate(R.ACC_FIELDS):
+        v = f.lower()
+        parts.append((f"4, role_line, 300000000 + acc_line, {10 + j}", f"'- **{f}:** ' || CASE WHEN {v} <> '' THEN {v} ELSE '[FILL IN]' END",
+                      "accs" + (f" WHERE {v} <> ''" if f == "Evidence" else "")))
+    lines = " UNION ".join(
+        "SELECT doc_id, " + ", ".join(f"CAST({k} AS BIGINT) AS k{n}" for n, k in enumerate(_split(keys), 1)) + f", {out} AS out FROM {src}"
+        for keys, out, src in parts)
+    return f"""
+WITH i AS (SELECT * FROM {SQL_ITEMS}), accs AS {SQL_ACCS},
+ends AS (SELECT doc_id, max(CASE WHEN kind = 'header' AND trim(regexp_replace(text, '\\s', '', 'g')) <> '' THEN line_no END) AS h_last,
+                min(CASE WHEN kind = 'trailing' AND trim(regexp_replace(text, '\\s', '', 'g')) <> '' THEN line_no END) AS t_first
+         FROM i GROUP BY doc_id),
+l AS ({lines})
+SELECT doc_id, regexp_replace(string_agg(out, chr(10) ORDER BY k1, k2, k3, k4, out), '(\\n\\s*)+$', '') || chr(10) AS markdown
+FROM l GROUP BY doc_id"""
+
+
+def _split(keys: str) -> list[str]:
+    """The four keys of a line; a call inside a key keeps its commas."""
+    out, depth = [""], 0
+    for ch in keys:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [x.strip() for x in out]
+
+
+@register("K5_record_render", oracle=_k5_sql())
 def k5(spark, sf):
     return R.render_record(_items_cut(spark, sf))

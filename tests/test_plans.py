@@ -41,3 +41,32 @@ def test_large_watch_lists_take_the_same_plan(spark):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
         plans.append(sum(plan.count(k) for k in ("Join",)))
     assert plans[0] == plans[1]
+
+
+#: The most scans and shuffles of a query's first plan.
+BOUNDS = {
+    "J4_reply_match": (12, 10), "J8_near_duplicate": (11, 8), "U4_tracker_union": (13, 3), "A4_tracker_totals": (13, 4),
+    "T1_tracker_sort": (13, 4), "P16_ready_rows": (13, 3), "A5_role_coverage": (4, 2), "A6_record_coverage": (4, 2),
+    "S28_coverage_note": (4, 2), "W6_record_parse": (4, 2), "P21_boilerplate_drop": (8, 6), "A2_source_counts": (8, 6),
+    "A10_run_verdict": (3, 4), "R19_run_logs": (2, 2), "K7_brief": (50, 40),
+}
+
+
+def test_tables_are_read_and_shuffled_no_more_than_planned(spark):
+    found = {}
+    for name in BOUNDS:
+        plan = _plan(registry.load_all()[0][name](spark, SF001))
+        shuffles = sum(plan.count(f"Exchange {k}") for k in ("hashpartitioning", "rangepartitioning", "SinglePartition", "RoundRobin"))
+        found[name] = plan.count("FileScan"), shuffles
+    assert {n: f for n, f in found.items() if f[0] > BOUNDS[n][0] or f[1] > BOUNDS[n][1]} == {}
+
+
+def test_wide_columns_stay_out_of_fan_outs(spark):
+    """J5 explodes keys and names, not postings; J4's pairs carry no message."""
+    from lantern.operators.watch import watch_table, watchlist_matches
+    found = spark.createDataFrame([(1, 1, "Kestrel", "long text")], "key int, seq int, company string, description string")
+    out = watchlist_matches(found, watch_table(spark, ["Kestrel Tiles"]))
+    assert out.columns == ["key", "seq", "company", "description", "watched"] and out.count() == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    explode = plan[plan.index("Generate explode"):].split("\n")
+    assert explode and not any("description" in line for line in explode[:2])
