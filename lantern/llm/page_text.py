@@ -239,19 +239,20 @@ def weight(text: str) -> int:
 
 
 def stop_words(text: str) -> tuple[int, int]:
-    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
-    return sum(w in STOP_WORDS for w in words), len(words)
+    words = text.lower().split()
+    return sum(w in STOP_WORDS or w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
 
 
-def classify(text: str, tag: str, kind: str | None, links: float, covered: bool = True) -> str:
-    """Pass 1: one block on its own. ``covered``: the stop words are of the page's language."""
+def classify(text: str, tag: str, kind: str | None, links: float, covered: bool = True, stops: tuple[int, int] | None = None) -> str:
+    """Pass 1: one block on its own. ``covered``: the stop words are of the page's language;
+    ``stops``: the block's stop words and words, where they have been counted."""
     if kind == BAD or links > 0.8:
         return BAD
     score = 2 if kind == GOOD else 0
     if links > LINKS:
         score -= 3 if kind is None or tag in ("li", "div", "td") else 1
     elif tag not in HEADINGS and weight(text) >= SHORT:
-        found, words = stop_words(text)
+        found, words = stops or stop_words(text)
         long, share = weight(text) >= LONG, found / words
         if share >= STOPS or share >= SOME_STOPS and long:
             score += 2
@@ -262,10 +263,12 @@ def classify(text: str, tag: str, kind: str | None, links: float, covered: bool
     return GOOD if score > 0 else BAD if score < 0 else OPEN
 
 
-def covered_by_list(found: list[tuple]) -> bool:
-    """Whether the stop words occur in the page's longer blocks at all."""
-    counts = [stop_words(b[0]) for b in found if b[3] <= LINKS and weight(b[0]) >= SHORT]
-    return sum(c for c, _ in counts) >= COVERED * sum(n for _, n in counts)
+def stop_counts(found: list[tuple]) -> tuple[list[tuple[int, int] | None], bool]:
+    """Stop words and words of the longer blocks with few links, and whether the list covers
+    the page: its words occur in those blocks at all."""
+    counts = [stop_words(b[0]) if b[3] <= LINKS and weight(b[0]) >= SHORT else None for b in found]
+    known = [c for c in counts if c]
+    return counts, sum(c for c, _ in known) >= COVERED * sum(n for _, n in known)
 
 
 def doubts(page: Page, labels: list[str]) -> list[bool]:
@@ -315,8 +318,8 @@ def settle(labels: list[str], tags: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     read = Page(page or "")
     found = read.blocks
-    covered = covered_by_list(found)
-    labels = [classify(*b[:4], covered) for b in found]
+    stops, covered = stop_counts(found)
+    labels = [classify(*b[:4], covered, n) for b, n in zip(found, stops)]
     lost = doubts(read, labels)
     for i, up in enumerate(read.around):
         lost[i] = lost[i] or up >= 0 and lost[up]
