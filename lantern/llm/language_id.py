@@ -61,12 +61,11 @@ def training_sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang
     return {lang: "\n".join(texts)[:chars_per_lang] for lang, texts in sample.items()}
 
 
-def suffix_automaton(codes: list[int], sigma: int) -> np.ndarray:
-    """Dense transitions (state x code, -1: none) of the suffix automaton of a sequence;
-    the root is state 0. States are added one symbol at a time; a state whose suffixes
-    would differ is split."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Arcs (symbol to state) of each state of a sequence's suffix automaton; the root is
+    state 0. States are added one symbol at a time; a state whose suffixes would differ is
+    split."""
     size = 2 * max(1, len(codes))
-    step = np.full((size, sigma), -1, np.int32)
     link, length = [-1] * size, [0] * size
     arcs: list[dict[int, int]] = [{}]
     last = 0
@@ -93,14 +92,42 @@ def suffix_automaton(codes: list[int], sigma: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    for state, out in enumerate(arcs):
-        for c, to in out.items():
-            step[state, c] = to
-    return step[:len(arcs)]
+    return arcs
+
+
+def interleave(arcs: list[dict[int, int]], sigma: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The arcs of all states in one array: the arc of state s by symbol c lies at
+    ``start[s] + c``, if ``owner`` is s there. Rows are shifted until they fit between each
+    other, the fullest first, so the array is about as long as there are arcs, whatever the
+    size of the alphabet."""
+    total = sum(map(len, arcs))
+    owner, to = np.full(total * 2 + 2 * sigma, -1, np.int32), np.zeros(total * 2 + 2 * sigma, np.int32)
+    start, free = np.zeros(len(arcs), np.int32), bytearray(b"\1") * len(owner)
+    lowest = 0
+    for s in sorted((s for s in range(len(arcs)) if arcs[s]), key=lambda s: -len(arcs[s])):
+        symbols = sorted(arcs[s])
+        at = max(lowest, symbols[0])
+        while True:
+            at = free.find(1, at)
+            if at < 0 or at - symbols[0] + sigma > len(free):  # full: make it longer
+                more = len(free)
+                at = more + symbols[0] if at < 0 else at
+                free += bytearray(b"\1") * (more + sigma)
+                owner, to = (np.concatenate((x, np.full(more + sigma, -1, np.int32))) for x in (owner, to))
+            shift = at - symbols[0]
+            if all(free[shift + c] for c in symbols):
+                break
+            at += 1
+        start[s] = shift
+        for c, target in arcs[s].items():
+            free[shift + c], owner[shift + c], to[shift + c] = 0, s, target
+        while lowest < len(free) and not free[lowest]:
+            lowest += 1
+    return start, owner, to
 
 
 class CrossParser:
-    """The automata of all languages in one transition table, built from their samples."""
+    """The automata of all languages, built from their samples, in one array of arcs."""
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
@@ -109,23 +136,21 @@ class CrossParser:
         alphabet = sorted({ch for t in texts for ch in t} - {" "})
         sigma = len(alphabet) + 2  # code 0: any other letter; code 1: whatever is no letter
         of = {" ": 1} | {ch: i + 2 for i, ch in enumerate(alphabet)}
-        self.code = np.array([of.get(ch.lower(), 0) if (ch := chr(i)).isalpha() else 1 for i in range(0x110000)],
-                             np.uint8 if sigma < 256 else np.uint16)
-        # A transition holds target * sigma. Where none exists the phrase ends: the entry
-        # is the state after the character alone, plus a bit that marks the end. One more
-        # state follows a character that the language does not have; nothing goes on from it.
-        parts, base, self.roots = [], 0, []
-        for t in texts:
-            step = suffix_automaton([of[ch] for ch in t], sigma)
-            alone = np.where(step[0] < 0, len(step), step[0])
-            step = np.vstack([alone, step[1:], np.full(sigma, -1, np.int32)])
-            parts.append(np.where(step < 0, (base + alone) * sigma + (1 << 30), (base + step) * sigma))
-            self.roots.append(base * sigma)
-            base += len(step)
-        self.sigma = sigma
-        if base * sigma >= 1 << 30:
-            raise ValueError("the samples are too long for one table; lower chars_per_lang")
-        self.table = np.concatenate(parts).astype(np.int32).ravel() if parts else np.zeros(0, np.int32)
+        self.code = np.array([of.get(ch.lower(), 0) if (ch := chr(i)).isalpha() else 1 for i in range(0x110000)], np.int32)
+        # Where a state has no arc the phrase ends, and the next begins with the character:
+        # ``alone`` is the state after it by itself. One more state of each language follows
+        # a character that the language does not have; nothing goes on from it.
+        arcs: list[dict[int, int]] = []
+        self.roots, self.alone = [], np.zeros((len(texts), sigma), np.int32)
+        for n, t in enumerate(texts):
+            own, base = suffix_automaton([of[ch] for ch in t]), len(arcs)
+            arcs += [{c: base + to for c, to in out.items()} for out in own] + [{}]
+            self.roots.append(base)
+            self.alone[n] = base + len(own)
+            for c, to in own[0].items():
+                self.alone[n, c] = base + to
+            arcs[base] = dict(enumerate(self.alone[n].tolist()))  # nothing ends at the root
+        self.start, self.owner, self.to = interleave(arcs, sigma)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language (texts x languages), and the lengths
@@ -147,14 +172,15 @@ class CrossParser:
         states = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), 1)
         ends = np.ones((len(self.langs), len(doc)), np.int32)  # the phrase that the window's end cuts
         active = np.searchsorted(-size, -np.arange(1, WINDOW + 1), side="right")
-        far, mask = np.int32(1 << 30), np.int32((1 << 30) - 1)
         for t in range(WINDOW):
             n = active[t]
             if not n:
                 break
-            got = self.table[states[:, :n] + codes[start[:n] + t]]
-            ends[:, :n] += got >= far
-            states[:, :n] = got & mask
+            here, now = codes[start[:n] + t], states[:, :n]
+            at = self.start[now] + here
+            ended = self.owner[at] != now
+            ends[:, :n] += ended
+            states[:, :n] = np.where(ended, self.alone[:, here], self.to[at])
         out = np.stack([np.bincount(doc, weights=e, minlength=len(texts)) for e in ends], 1) if len(self.langs) else np.zeros((len(texts), 0))
         return out, lens
 
