@@ -103,10 +103,11 @@ def interleave(arcs: list[dict[int, int]], sigma: int) -> tuple[np.ndarray, np.n
     total = sum(map(len, arcs))
     owner, to = np.full(total * 2 + 2 * sigma, -1, np.int32), np.zeros(total * 2 + 2 * sigma, np.int32)
     start, free = np.zeros(len(arcs), np.int32), bytearray(b"\1") * len(owner)
-    lowest = 0
+    hint = lowest = 0
     for s in sorted((s for s in range(len(arcs)) if arcs[s]), key=lambda s: -len(arcs[s])):
         symbols = sorted(arcs[s])
-        at = max(lowest, symbols[0])
+        # rows of several arcs go on where the last one went; single arcs fill what they left
+        at = max(hint if len(symbols) > 1 else lowest, symbols[0])
         while True:
             at = free.find(1, at)
             if at < 0 or at - symbols[0] + sigma > len(free):  # full: make it longer
@@ -121,8 +122,10 @@ def interleave(arcs: list[dict[int, int]], sigma: int) -> tuple[np.ndarray, np.n
         start[s] = shift
         for c, target in arcs[s].items():
             free[shift + c], owner[shift + c], to[shift + c] = 0, s, target
-        while lowest < len(free) and not free[lowest]:
-            lowest += 1
+        if len(symbols) > 1:
+            hint = max(hint, at - 256)
+        else:
+            lowest = at
     return start, owner, to
 
 
