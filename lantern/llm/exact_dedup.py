@@ -12,7 +12,11 @@ whole text.
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z; of equal texts the largest id stays (a null id is the smallest), and
 of rows that repeat that id the one latest by locator; ``keep_id`` is that row's id;
-an empty table gives no rows; extra columns are not read.
+an empty table gives no rows; extra columns are not read. State knows rows by file and
+place: with a checkpoint that is kept, files may be added but not rewritten or removed (a
+compaction needs a new checkpoint); where a file that the state names is gone, a
+``ValueError`` says so before anything is dropped. The path is a folder or file; brackets,
+braces and stars in it are read as a pattern, as Spark's readers do.
 """
 
 from __future__ import annotations
@@ -76,6 +80,7 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, i
                 bytes_per_batch: str | None = None) -> DataFrame:
     """One row per row of the table at ``path``: ``id``, ``keep_id``, ``group_size``,
     ``kept``, ``digest``, and the locator ``file`` and ``row``."""
+    kept_state = checkpoint is not None
     checkpoint = checkpoint or fresh_dir(spark, "exact-state")
     if spark.read.parquet(path).isEmpty():  # a stream over no file commits no batch, so there is no state
         state = spark.createDataFrame([], "digest string, keep struct<id:bigint,file:string,row:bigint>, n bigint")
@@ -83,8 +88,13 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, i
         state = update_state(spark, path, checkpoint, id_col, text_col, digest, bytes_per_batch)
     state = landed(state, "exact-digests")
     docs = _located(spark.read.parquet(path), id_col, text_col, digest)
+    if kept_state:
+        here = docs.select(F.col("who.file").alias("file")).distinct()
+        if not state.select(F.col("keep.file").alias("file")).distinct().join(here, "file", "left_anti").isEmpty():
+            raise ValueError(f"files that the state in {checkpoint} was built from are gone from {path}: start a new checkpoint")
     seen = landed(docs.select("digest", "who").join(state, "digest"), "exact-seen")
-    # whole texts travel only for digests that two rows or more share
+    # the texts of digests that two rows or more share; where those digests are too many to
+    # broadcast, the join deals out every text by its digest first
     hits = landed(docs.join(state.where("n > 1").select("digest", "keep"), "digest"), "exact-hits")
     keeper = hits.where(F.col("who").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("keep_norm"))
     strays = landed(hits.join(keeper, "digest").where("norm <> keep_norm").select("digest", "who", "norm"), "exact-strays")

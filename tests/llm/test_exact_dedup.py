@@ -57,3 +57,18 @@ def test_restart_reads_only_new_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none.parquet")
     assert exact_dedup(spark, f"{tmp_path}/none.parquet").count() == 0
+
+
+def test_rewritten_files_are_refused(spark, tmp_path):
+    """A compaction under a kept checkpoint would count rows twice and keep rows that are gone."""
+    import pytest
+    df = spark.createDataFrame([(i, f"text {i % 20}") for i in range(40)], "doc_id long, text string")
+    path, state = f"{tmp_path}/table", f"{tmp_path}/state"
+    df.repartition(4).write.parquet(path)
+    assert exact_dedup(spark, path, checkpoint=state).where("kept").count() == 20
+    spark.createDataFrame([(99, "text 1")], df.schema).write.mode("append").parquet(path)  # added files are fine
+    assert exact_dedup(spark, path, checkpoint=state).where("kept").count() == 20
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="new checkpoint"):
+        exact_dedup(spark, path, checkpoint=state)
+    assert exact_dedup(spark, path).where("kept").count() == 20
