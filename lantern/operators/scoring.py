@@ -239,7 +239,10 @@ def lint_rounds(bullets: DataFrame, profiles: DataFrame, letters: DataFrame, rew
     returns their new (bullets, letters). The result keeps every letter with its round
     count and any problems left."""
     from lantern.operators.lint import lint_summary
-    first = lint_summary(bullets, profiles, letters, extra_tells)
+    from lantern.session import cut_lineage
+    # written once: the redone letters are chosen and rewritten from it (a model call stands
+    # between the rounds), and the second round lints those alone
+    first = cut_lineage(lint_summary(bullets, profiles, letters, extra_tells))
     bullets, letters = rewrite(first.where(~F.col("clean")).select("letter_id", "problems"))
     again = lint_summary(bullets, profiles, letters, extra_tells)
     done = first.where(F.col("clean")).select("letter_id", F.lit(1).alias("rounds"), "problems", "clean")

@@ -15,13 +15,14 @@ WRITE_FACTOR, READ_FACTOR, SAVED_FACTOR = 1.25, 0.10, 0.90
 _DEC = "decimal(38,6)"
 
 
-def rate_table(spark: SparkSession) -> DataFrame:
-    rows = [(m, float(i), float(o)) for m, (i, o) in RATES.items()]
+def rate_table(spark: SparkSession, rates: dict = RATES) -> DataFrame:
+    rows = [(m, float(i), float(o)) for m, (i, o) in rates.items()]
     return spark.createDataFrame(rows, "model string, in_rate double, out_rate double")
 
 
-def usage_cost(usage: DataFrame) -> DataFrame:
-    """Per run, calls and token sums (missing counts are 0), the cost at
+def usage_cost(usage: DataFrame, rates: dict = RATES, default_rate: tuple[float, float] = DEFAULT_RATE) -> DataFrame:
+    """A11 (``rates``: $ per million tokens in and out by model, a configuration of a few
+    rows; other models at ``default_rate``): per run, calls and token sums (missing counts are 0), the cost at
     each call's model rate (cache writes x1.25, reads x0.10), the saving on
     cached reads (x0.90), and a warning when the cache was written but never
     read. Token sums are taken per (run, model) first, so the rate join sees
@@ -30,10 +31,10 @@ def usage_cost(usage: DataFrame) -> DataFrame:
     per_model = usage.groupBy("run_id", "model").agg(
         F.count(F.lit(1)).alias("calls"),
         *[F.sum(F.coalesce(F.col(t), F.lit(0))).cast("long").alias(t) for t in toks])
-    rates = rate_table(usage.sparkSession)
-    j = per_model.join(F.broadcast(rates), "model", "left")
-    in_rate = F.coalesce(F.col("in_rate"), F.lit(DEFAULT_RATE[0])).cast("decimal(10,4)")
-    out_rate = F.coalesce(F.col("out_rate"), F.lit(DEFAULT_RATE[1])).cast("decimal(10,4)")
+    table = rate_table(usage.sparkSession, rates)
+    j = per_model.join(F.broadcast(table), "model", "left")
+    in_rate = F.coalesce(F.col("in_rate"), F.lit(default_rate[0])).cast("decimal(10,4)")
+    out_rate = F.coalesce(F.col("out_rate"), F.lit(default_rate[1])).cast("decimal(10,4)")
     d = lambda c: F.col(c).cast("decimal(20,0)")
     cost = (d("fresh") * in_rate + d("written") * in_rate * F.lit(WRITE_FACTOR).cast("decimal(4,2)")
             + d("read") * in_rate * F.lit(READ_FACTOR).cast("decimal(4,2)") + d("out") * out_rate)

@@ -128,3 +128,9 @@ def test_run_ranks_over_days(spark):
     runs = [("b", datetime(2026, 1, 2, 6)), ("a", datetime(2026, 1, 2, 6)), ("c", datetime(2026, 1, 1, 6)), ("d", datetime(2026, 1, 2, 5))]
     df = spark.createDataFrame([(f, t, i) for f, t in runs for i in range(3)], "file string, mtime timestamp, line_no int")
     assert {r.file: r.run_rank for r in R.run_ranks(df).collect()} == {"b": 1, "a": 2, "d": 3, "c": 4}
+
+
+def test_cost_by_the_callers_rates(spark):
+    df = spark.createDataFrame([("r", "m1", 1_000_000, 0, 0, 0), ("r", "m2", 0, 0, 0, 1_000_000)],
+                               "run_id string, model string, fresh long, written long, read long, out long")
+    assert usage_cost(df, {"m1": (7.0, 1.0)}, (1.0, 30.0)).first().cost == 37.0
