@@ -8,7 +8,8 @@ merged exactly, so the result never depends on which words are in it.
 Defined results: null text counts as empty; an empty text has no ids and decodes to the
 empty string; the string of a special token in a text is that token, as the library has
 it; ids decode to the bytes of their tokens, read as UTF-8 with errors replaced; an
-empty table gives no rows; other columns pass through.
+empty table gives no rows; other columns pass through, and input columns named ``ids`` or
+``decoded`` are replaced.
 """
 
 from __future__ import annotations

@@ -129,6 +129,10 @@ class WordTokenizer:
         return ch.gather(np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(got), np.uint32))
 
 
+#: Text in a batch: beside a full cache of words, every copy of a batch counts.
+BATCH_BYTES = 2 << 20
+
+
 def _tokenizer(path: str) -> WordTokenizer:
     return held(("tokenizer", path), lambda: WordTokenizer(path))
 
@@ -145,13 +149,13 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", BATCH_BYTES):
                 ids, at = tokenizer.encode(piece.column(1))
                 out = [frame(pack(i, np.append(ids[a:b], np.uint32(end_id))))[:-1]
                        for i, a, b in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    map_arrow(docs, run, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
+    map_arrow(docs, run, "record binary", BATCH_BYTES).select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
