@@ -29,6 +29,8 @@ from .lexicon import Lexicon, build, read_vocabulary
 
 #: Words of more bytes are not worth an entry; they are merged.
 MAX_WORD_BYTES = 32
+#: Text or ids in a batch; the JVM and the worker hold several copies.
+BATCH_BYTES = 4 << 20
 
 
 def lexicon_in_task(name: str) -> Lexicon:
@@ -117,7 +119,7 @@ def encode(df: DataFrame, lexicon: str, text_col: str = "text", ids_col: str = "
                 yield pa.RecordBatch.from_arrays([*piece.columns[:len(rest)], out.cast(pa.binary())], [*rest, ids_col])
 
     schema = _with(df.select(*rest).schema, StructField(ids_col, BinaryType()))
-    return map_arrow(df.select(*rest, text_col), run, schema)
+    return map_arrow(df.select(*rest, text_col), run, schema, BATCH_BYTES)
 
 
 def decode(df: DataFrame, lexicon: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -136,4 +138,4 @@ def decode(df: DataFrame, lexicon: str, ids_col: str = "ids", out_col: str = "de
                 texts = [buf[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*rest, out_col])
 
-    return map_arrow(df.select(*rest), run, _with(df.select(*rest).schema, StructField(out_col, StringType())))
+    return map_arrow(df.select(*rest), run, _with(df.select(*rest).schema, StructField(out_col, StringType())), BATCH_BYTES)
