@@ -42,6 +42,8 @@ from .components import components
 from .shingles import (apart, band_keys, differing_bits, minhashes, odd_sketches, parities, shingle_sets)
 
 BANDS, SPREAD = 32, 5.0
+#: Text in a batch, and half of it in a piece: the JVM and the worker hold several copies.
+BATCH_BYTES = 2 << 20
 
 
 def plan(threshold: float) -> tuple[int, int, float]:
@@ -69,7 +71,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, threshold:
         from .shingles import mix
 
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", BATCH_BYTES // 2):
                 flat, at = shingle_sets(piece.column(1), size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -89,7 +91,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, threshold:
 
     rows_in = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return map_arrow(
-        rows_in, run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary, parity binary")
+        rows_in, run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary, parity binary", BATCH_BYTES)
 
 
 def _passes(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -111,7 +113,7 @@ def _passes(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataF
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = both.where((F.least("n_a", "n_b") * threshold.denominator >= F.greatest("n_a", "n_b") * threshold.numerator))
-    return map_arrow(sized, run, "a long, b long").distinct()
+    return map_arrow(sized, run, "a long, b long", BATCH_BYTES).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
@@ -123,12 +125,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: Fraction
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", BATCH_BYTES // 2):
                 flat, at = shingle_sets(piece.column(1), size)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), sets], ["node", "items"])
 
-    sets = landed(map_arrow(texts.select("node", "text"), run, "node long, items array<long>"), "shingle-sets")
+    sets = landed(map_arrow(texts.select("node", "text"), run, "node long, items array<long>", BATCH_BYTES), "shingle-sets")
     both = pairs
     for c in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}")), c)
