@@ -30,7 +30,7 @@ def digest128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols, *flags), F.xxhash64(F.lit(7919), *flags, *cols)]
 
 
-def map_arrow(df: DataFrame, run, schema, batch_bytes: int = 8 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema, batch_bytes: int = 2 << 20) -> DataFrame:
     """``mapInArrow`` with batches of ``batch_bytes`` at most, or a row: with long texts the
     default of 10,000 rows is tens of megabytes in the JVM, in the worker and in its copies.
     The setting stays with the session, since the plan is made when the frame is used."""

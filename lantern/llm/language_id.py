@@ -143,17 +143,22 @@ class CrossParser:
         # Where a state has no arc the phrase ends, and the next begins with the character:
         # ``alone`` is the state after it by itself. One more state of each language follows
         # a character that the language does not have; nothing goes on from it.
-        arcs: list[dict[int, int]] = []
+        # Languages are laid out one after the other, so one automaton at a time is in Python.
         self.roots, self.alone = [], np.zeros((len(texts), sigma), np.int32)
+        parts, states, places = [], 0, 0
         for n, t in enumerate(texts):
-            own, base = suffix_automaton([of[ch] for ch in t]), len(arcs)
-            arcs += [{c: base + to for c, to in out.items()} for out in own] + [{}]
-            self.roots.append(base)
-            self.alone[n] = base + len(own)
-            for c, to in own[0].items():
-                self.alone[n, c] = base + to
-            arcs[base] = dict(enumerate(self.alone[n].tolist()))  # nothing ends at the root
-        self.start, self.owner, self.to = interleave(arcs, sigma)
+            arcs = suffix_automaton([of[ch] for ch in t])
+            alone = np.full(sigma, len(arcs), np.int32)
+            for c, to in arcs[0].items():
+                alone[c] = to
+            arcs[0] = dict(enumerate(alone.tolist()))  # nothing ends at the root
+            start, owner, to = interleave([*arcs, {}], sigma)
+            parts.append((start + places, np.where(owner < 0, -1, owner + states).astype(np.int32), to + states))
+            self.alone[n] = alone + states
+            self.roots.append(states)
+            states, places = states + len(start), places + len(owner)
+        self.start, self.owner, self.to = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (zip(*parts) if parts else ((), (), ())))
+        self.start = self.start.astype(np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language (texts x languages), and the lengths
