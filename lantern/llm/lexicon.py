@@ -65,7 +65,7 @@ class Merger:
         self.made = [c for _, _, c in merges]
         self.byte_ids = np.asarray(arrays["byte_ids"]).tolist()
         self.specials = special_tokens(arrays)
-        self.pretoken = lru_cache(1 << 16)(self._merge)
+        self.pretoken = lru_cache(1 << 15)(self._merge)
 
     def word(self, chunk: bytes) -> list[int]:
         """Ids of a chunk."""
@@ -237,7 +237,7 @@ class Lexicon:
         starts = np.where(rank < 0, 0, self.id_starts[rank] if len(self.id_starts) else 0)
         if not len(rest):
             return starts, lens, self.ids
-        if len(self.seen) > 100_000:  # only a cache of words merged before
+        if len(self.seen) > 50_000:  # only a cache of words merged before
             self.seen.clear()
         seen, merge, got = self.seen, self.merger.word, []
         for w in words.take(rest).to_pylist():
