@@ -70,3 +70,52 @@ def test_wide_columns_stay_out_of_fan_outs(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     explode = plan[plan.index("Generate explode"):].split("\n")
     assert explode and not any("description" in line for line in explode[:2])
+
+
+def test_profiles_and_resumes_are_never_broadcast(spark):
+    """Entries and canonical employers both grow with the profiles, so neither may
+    pass through the driver, however small the estimate."""
+    for name in ("J6_canonical_employer", "T6_experience_order"):
+        assert "BroadcastExchange" not in _plan(registry.load_all()[0][name](spark, SF001)), name
+
+
+def test_a_filter_on_the_kind_does_not_repeat_its_patterns(spark):
+    """A line's kind is found once, below the filter that keeps some kinds; T4 takes
+    its text in one pass over the lines and P21 reads the form once."""
+    from lantern.operators import records as R
+    qs = registry.load_all()[0]
+    items = _plan(qs["W6_record_parse"](spark, SF001))
+    assert items.count(R.PLAIN_BULLET) <= 4
+    plan = _plan(qs["T4_lens_pick"](spark, SF001))
+    assert plan.count("FileScan") <= 4 and "ExistingRDD" not in plan
+    assert _plan(qs["P21_boilerplate_drop"](spark, SF001)).count("FileScan") <= 4
+
+
+def test_odd_employers_keep_their_rows(spark):
+    """Entries with the same id share a match, two spellings of one index give two rows,
+    an empty name matches, and rows without a key match nothing."""
+    from lantern.operators.watch import canonical_match
+    e = spark.createDataFrame([(1, 1, "Acme Corp (x)"), (1, 1, "Nobody"), (1, 2, "other"), (1, 3, None), (2, 4, "any"),
+                               (1, None, "Acme Corp"), (None, 5, "Acme Corp")], "profile_id long, entry_id long, company string")
+    c = spark.createDataFrame([(1, 1, "Acme"), (1, 1, "ACME Corp"), (1, 2, "Beta"), (2, 7, "")], "profile_id long, idx int, company string")
+    got = sorted(((r.profile_id, r.entry_id, r.company, r.canon_idx, r.canon_company) for r in canonical_match(e, c).collect()), key=str)
+    want = [(1, 1, x, 1, n) for x in ("Acme Corp (x)", "Nobody") for n in ("Acme", "ACME Corp")]
+    want += [(1, 3, None, 1, n) for n in ("Acme", "ACME Corp")]  # no name: its empty head is in every canonical
+    want += [(1, 2, "other", None, None), (2, 4, "any", 7, ""), (1, None, "Acme Corp", None, None), (None, 5, "Acme Corp", None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_highlights_are_moved_once(spark):
+    """One pass over the highlights; rows that share a place share its hit."""
+    from lantern.operators.shape import keep_prefix
+    assert _plan(registry.load_all()[0]["J7_keep_prefix"](spark, SF001)).count("FileScan") <= 4
+    h = spark.createDataFrame([("a", 0, "Led x"), ("a", 1, "Cut y"), ("a", 1, "Led z"), ("a", None, "Led w"), ("b", 3, "Ran"),
+                               ("b", 4, "Ran"), ("c", 2, None), (None, 0, "Led")], "company string, pos int, text string")
+    k = spark.createDataFrame([("a", "Led"), ("a", None), ("b", "Nope"), (None, "Led")], "company string, prefix string")
+    got = sorted((tuple(r) for r in keep_prefix(h, k).collect()), key=str)
+    assert got == sorted([("a", 0, "Led x"), ("a", 1, "Cut y"), ("a", 1, "Led z"), ("b", 3, "Ran"), ("c", 2, None), (None, 0, "Led")], key=str)
+
+
+def test_vague_bullets_are_searched_once(spark):
+    """The pattern of a concrete bullet stands once in the plan."""
+    assert _plan(registry.load_all()[0]["S19_style_issues"](spark, SF001)).count("geo-holdout") == 1
