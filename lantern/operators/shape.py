@@ -65,7 +65,7 @@ def word_budget(bullets: DataFrame, other_words: DataFrame, max_words: int = MAX
     # other_words has one row per resume: a plain equi-join; the resume total
     # is a window sum over the same partitioning as the removal order below,
     # so the whole operator is one shuffle and one sort.
-    b = b.join(other_words.select("resume_id", F.col("words").alias("_ow")), "resume_id", "left")
+    b = b.join(other_words.select("resume_id", F.col("words").alias("_ow")).hint("merge"), "resume_id", "left")
     b = b.withColumn("_total", F.sum("_w").over(Window.partitionBy("resume_id"))
                      + F.coalesce(F.col("_ow"), F.lit(0))).drop("_ow")
     w = Window.partitionBy("resume_id").orderBy(F.desc("role_pos"), F.desc("bullet_idx"))
@@ -95,12 +95,13 @@ def shape_resumes(bullets: DataFrame, ranks: DataFrame, summaries: DataFrame, sk
     bullets, ``skills`` (``resume_id``, ``skills`` lines) and ``education``
     (``resume_id``, ``text``). Output: ``resume_id``, ``summary``, ``skills``,
     ``bullets`` (one text, a line each) and ``n_bullets``."""
-    placed = bullets.join(ranks, ["resume_id", "role_key"], "left")
+    # every table here grows with the resumes: none is broadcast
+    placed = bullets.join(ranks.hint("merge"), ["resume_id", "role_key"], "left")
     w = Window.partitionBy("resume_id").orderBy(F.asc_nulls_last("rank"), F.desc("role_date"), F.asc("role_key"))
     capped = cap_bullets(placed.withColumn("role_pos", F.dense_rank().over(w) - 1))
     schooled = education.groupBy("resume_id").agg(F.sum(word_count(F.col("text"))).alias("_ew"))
     rest = (summaries.select("resume_id", summary_trim(F.col("summary")).alias("summary"))
-            .join(skills, "resume_id", "left").join(schooled, "resume_id", "left"))
+            .join(skills.hint("merge"), "resume_id", "left").join(schooled.hint("merge"), "resume_id", "left"))
     lines = F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " | ")
     spoken = F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")
     words = word_count(F.col("summary")) + word_count(spoken) + F.coalesce("_ew", F.lit(0))
@@ -109,7 +110,7 @@ def shape_resumes(bullets: DataFrame, ranks: DataFrame, summaries: DataFrame, sk
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role_pos", "bullet_idx", "text"))),
                                  lambda x: x["text"]), "\n").alias("bullets"),
         F.count(F.lit(1)).alias("n"))
-    return rest.join(per, "resume_id", "left").select(
+    return rest.join(per.hint("merge"), "resume_id", "left").select(
         "resume_id", "summary", lines.alias("skills"), F.coalesce("bullets", F.lit("")).alias("bullets"),
         F.coalesce("n", F.lit(0)).alias("n_bullets"))
 
@@ -163,17 +164,14 @@ def keep_prefix(highlights: DataFrame, keep: DataFrame, first_n: int = 4) -> Dat
     """Per company, the highlights starting with one of its kept
     prefixes; a company with none kept keeps its first ``first_n``.
 
-    ``highlights``: company, pos, text; ``keep``: company, prefix. The
-    prefix test is an equi-join on (company, the highlight cut at each kept
-    prefix length of that company), so no highlight is paired with every
-    prefix."""
-    lens = keep.select("company", F.length("prefix").alias("_n")).distinct()
-    cut = (highlights.join(lens, "company")
-           .where(F.length("text") >= F.col("_n"))
-           .withColumn("prefix", F.expr("substring(text, 1, _n)")))
-    hit = cut.join(keep.select("company", "prefix").distinct(), ["company", "prefix"], "left_semi") \
-        .select("company", "pos").distinct()
-    kept = highlights.join(hit, ["company", "pos"], "left_semi")
-    has = hit.select("company").distinct()
-    fallback = highlights.join(has, "company", "left_anti").where(F.col("pos") < first_n)
-    return kept.unionByName(fallback)
+    ``highlights``: company, pos, text; ``keep``: company, prefix. A company's
+    prefixes travel as one list to its highlights by one merge join, and what else
+    the rule asks (the highlight kept, any of the company's kept) is read off windows
+    over the same rows, so each highlight is moved once."""
+    lists = keep.groupBy("company").agg(F.collect_set("prefix").alias("_keep"))
+    own = F.coalesce(F.exists("_keep", lambda p: F.col("text").startswith(p)), F.lit(False))
+    j = highlights.join(lists.hint("merge"), "company", "left").withColumn("_own", own).drop("_keep")
+    j = j.select(*highlights.columns, F.max("_own").over(Window.partitionBy("company")).alias("_any"),
+                 F.max("_own").over(Window.partitionBy("company", "pos")).alias("_hit"))
+    kept = F.when(F.col("_any"), F.col("_hit") & F.col("pos").isNotNull()).otherwise(F.col("pos") < first_n)
+    return j.where(kept).drop("_any", "_hit")
