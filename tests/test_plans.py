@@ -119,3 +119,12 @@ def test_highlights_are_moved_once(spark):
 def test_vague_bullets_are_searched_once(spark):
     """The pattern of a concrete bullet stands once in the plan."""
     assert _plan(registry.load_all()[0]["S19_style_issues"](spark, SF001)).count("geo-holdout") == 1
+
+
+def test_dropped_boilerplate_is_the_rest(spark):
+    """What is dropped is told in the same pass; rows of no document are told too."""
+    from lantern.operators.intake import drop_boilerplate
+    p = spark.createDataFrame([(1, 0, "NOTE: Please complete one block per role"), (1, 1, "kept"), (1, 2, None), (None, 3, "kept")],
+                              "doc_id long, para_no int, text string")
+    assert sorted(r.para_no for r in drop_boilerplate(p, dropped=True).collect()) == [0, 2, 3]
+    assert sorted(r.para_no for r in drop_boilerplate(p).collect()) == [1, 3]
