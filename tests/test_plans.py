@@ -128,3 +128,35 @@ def test_dropped_boilerplate_is_the_rest(spark):
                               "doc_id long, para_no int, text string")
     assert sorted(r.para_no for r in drop_boilerplate(p, dropped=True).collect()) == [0, 2, 3]
     assert sorted(r.para_no for r in drop_boilerplate(p).collect()) == [1, 3]
+
+
+def test_reply_pairs_are_scored_where_they_are_made(spark):
+    """Messages and applications are dealt out by cell, the pairs never; W4 ships a row per
+    message and score."""
+    plan = _plan(registry.load_all()[0]["J4_reply_match"](spark, SF001))
+    above, below = plan.split("ShuffledHashJoin", 1)
+    assert "Exchange" not in above and below.count("REPARTITION_BY_NUM") == 2
+    best = _plan(registry.load_all()[0]["W4_best_and_runner_up"](spark, SF001)).split("ShuffledHashJoin", 1)[0]
+    assert "Window" not in best and best.count("Exchange") == 2 and "partial_count" in best
+
+
+def test_odd_mail_and_applications_keep_their_pairs(spark):
+    """Texts of one message and rows of one application count as one, a pair named by
+    several keys comes once, a message without id gives nothing; W4: a row without number
+    comes first."""
+    from datetime import datetime as dt
+
+    from lantern.operators.link import best_and_runner_up, reply_candidates
+    day = dt(2026, 1, 20)
+    m = spark.createDataFrame([(1, "hr@kestrel.com", "", "kestrel tiles glazing role", day), (1, "hr@other.com", "", "nothing else", day),
+                               (2, "hr@x.com", "", "kestrel and co", dt(2025, 1, 1)), (None, "hr@kestrel.com", "", "kestrel", day)],
+                              "msg_id long, sender string, subject string, body string, date timestamp")
+    a = spark.createDataFrame([(7, "Kestrel", "Glazing Role", "https://jobs.lever.co/kestrel-tiles/1", "2026-01-01"),
+                               (7, "Kestrel", "Glazing Role", "", "2026-01-01"), (None, "Kestrel", "", "", "2026-01-01"),
+                               (8, "Kestrel", "x", "", "not a date")],
+                              "row_seq long, company string, title string, url string, date_submitted string")
+    found = reply_candidates(m, a)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, 7, 10, True, True), (1, 7, 7, True, True), (1, None, 7, True, True), (1, None, 7, True, True)], key=str)
+    none_first = spark.createDataFrame([(1, 4, 7), (1, None, 7), (1, 2, 5), (2, 3, 4)], "msg_id long, row_seq long, score int")
+    assert sorted(map(tuple, best_and_runner_up(none_first).collect())) == [(1, None, 7, 7), (2, 3, 4, 0)]
