@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lantern.functions.predicates import py_strip
+from lantern.functions.predicates import bound, py_strip
 
 # The HTML entities decoded in page text, in decoding order.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
@@ -182,35 +182,28 @@ def jsonld_posting(html) -> Column:
     """S3: the first schema.org JobPosting node in the page's ``ld+json``
     scripts (a script may hold one node or a list; bad JSON is skipped), as
     struct(title, company, location, description); null when there is none."""
-    scripts = jsonld_scripts(html)
-
     def nodes(sc):
-        v = F.try_parse_json(py_strip(sc))
-        arr = F.try_variant_get(v, "$", "array<variant>")
-        return F.when(v.isNull(), F.array().cast("array<variant>")) \
-            .otherwise(F.coalesce(arr, F.array(v)))
-
-    flat = F.flatten(F.transform(scripts, nodes))
+        return bound(F.try_parse_json(py_strip(sc)), lambda v: F.when(v.isNull(), F.array().cast("array<variant>"))
+                     .otherwise(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+
+    def posting(node):
+        def sget(path):
+            return F.try_variant_get(node, path, "string")
+        org_name = F.coalesce(sget("$.hiringOrganization.name"), sget("$.hiringOrganization"), F.lit(""))
+        loc = F.coalesce(F.get(F.try_variant_get(node, "$.jobLocation", "array<variant>"), 0),
+                         F.try_variant_get(node, "$.jobLocation", "variant"))
+        location = bound(loc, lambda x: F.array_join(F.filter(F.array(
+            F.try_variant_get(x, "$.address.addressLocality", "string"),
+            F.try_variant_get(x, "$.address.addressRegion", "string")), lambda part: part != ""), ", "))
+        tele = sget("$.jobLocationType") == "TELECOMMUTE"
+        return F.when(node.isNotNull(), F.struct(
+            py_strip(F.coalesce(sget("$.title"), F.lit(""))).alias("title"),
+            py_strip(org_name).alias("company"),
+            bound(location, lambda x: F.when(tele, F.when(x != "", F.concat(F.lit("Remote ("), x, F.lit(")")))
+                                             .otherwise(F.lit("Remote"))).otherwise(x)).alias("location"),
+            page_text(F.coalesce(sget("$.description"), F.lit(""))).alias("description")))
+
+    # a script is parsed once, and the first posting's fields are read from the one node
+    flat = F.flatten(F.transform(jsonld_scripts(html), nodes))
     jp = F.filter(flat, lambda n: F.try_variant_get(n, "$['@type']", "string") == "JobPosting")
-    node = F.get(jp, 0)
-
-    def sget(path):
-        return F.try_variant_get(node, path, "string")
-    org_name = F.coalesce(F.try_variant_get(node, "$.hiringOrganization.name", "string"),
-                          F.try_variant_get(node, "$.hiringOrganization", "string"), F.lit(""))
-    loc = F.coalesce(F.get(F.try_variant_get(node, "$.jobLocation", "array<variant>"), 0),
-                     F.try_variant_get(node, "$.jobLocation", "variant"))
-    parts = F.array_compact(F.array(
-        F.when(F.try_variant_get(loc, "$.address.addressLocality", "string") != "",
-               F.try_variant_get(loc, "$.address.addressLocality", "string")),
-        F.when(F.try_variant_get(loc, "$.address.addressRegion", "string") != "",
-               F.try_variant_get(loc, "$.address.addressRegion", "string"))))
-    location = F.array_join(parts, ", ")
-    tele = sget("$.jobLocationType") == "TELECOMMUTE"
-    location = F.when(tele, F.when(location != "", F.concat(F.lit("Remote ("), location, F.lit(")")))
-                      .otherwise(F.lit("Remote"))).otherwise(location)
-    return F.when(node.isNotNull(), F.struct(
-        py_strip(F.coalesce(sget("$.title"), F.lit(""))).alias("title"),
-        py_strip(org_name).alias("company"),
-        location.alias("location"),
-        page_text(F.coalesce(sget("$.description"), F.lit(""))).alias("description")))
+    return bound(F.get(jp, 0), posting)

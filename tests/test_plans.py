@@ -160,3 +160,35 @@ def test_odd_mail_and_applications_keep_their_pairs(spark):
         [(1, 7, 10, True, True), (1, 7, 7, True, True), (1, None, 7, True, True), (1, None, 7, True, True)], key=str)
     none_first = spark.createDataFrame([(1, 4, 7), (1, None, 7), (1, 2, 5), (2, 3, 4)], "msg_id long, row_seq long, score int")
     assert sorted(map(tuple, best_and_runner_up(none_first).collect())) == [(1, None, 7, 7), (2, 3, 4, 0)]
+
+
+def test_a_script_is_parsed_once(spark):
+    """S3: the page is searched for scripts once and its posting's fields are read from one
+    node; a document is written as a script after it met its page."""
+    plan = _plan(registry.load_all()[0]["S3_jsonld_posting"](spark, SF001))
+    assert plan.count(r"application/ld\+json") == 1
+    assert "JobPosting" not in plan.split("Join", 1)[1]
+
+
+def test_landed_documents_share_files(spark):
+    """What lands is some files for all documents, not one for each; no id, no
+    answer and a repeated id keep their rows."""
+    import glob
+
+    from lantern.operators.records import read_record_lines
+    from lantern.session import checkpoint_dir
+    from lantern.sources.mail import read_mail
+    from lantern.sources.packed import write_packed
+    top = checkpoint_dir(spark).removeprefix("file:").rstrip("/")
+    for name, kind in (("R21_markdown_lines", "records"), ("R20_docx_paragraphs", "forms"), ("S7_message_text", "mail")):
+        before = set(glob.glob(f"{top}/{kind}-*"))
+        registry.load_all()[0][name](spark, SF001)
+        new, = set(glob.glob(f"{top}/{kind}-*")) - before
+        assert 0 < len(glob.glob(f"{new}/**/part-*", recursive=True)) <= 20, name
+    files = spark.createDataFrame([("a/doc_id=7/r.md", b"x\n\n"), ("doc_id=7/r.md", b"\n"), ("other.md", b"y\r\nz"), (None, b"w\n")], "path string, content binary")
+    write_packed(files, f"{top}/packed-records")
+    got = sorted(map(tuple, read_record_lines(spark, f"{top}/packed-records", packed=True).collect()), key=str)
+    assert got == sorted([("7", 0, "x"), ("7", 1, ""), ("7", 0, ""), ("other.md", 0, "y\r"), ("other.md", 1, "z"), (None, 0, "w")], key=str)
+    raw = b"From: a@b.c\r\nSubject: s\r\nContent-Type: text/plain\r\n\r\nbody\r\n"
+    write_packed(spark.createDataFrame([("1.eml", raw), ("1.eml", raw)], "path string, content binary"), f"{top}/packed-mail")
+    assert [tuple(r) for r in read_mail(spark, f"{top}/packed-mail", packed=True).select("msg_id", "sender", "body").collect()] == [("1.eml", "a@b.c", "body")] * 2
