@@ -192,3 +192,41 @@ def test_landed_documents_share_files(spark):
     raw = b"From: a@b.c\r\nSubject: s\r\nContent-Type: text/plain\r\n\r\nbody\r\n"
     write_packed(spark.createDataFrame([("1.eml", raw), ("1.eml", raw)], "path string, content binary"), f"{top}/packed-mail")
     assert [tuple(r) for r in read_mail(spark, f"{top}/packed-mail", packed=True).select("msg_id", "sender", "body").collect()] == [("1.eml", "a@b.c", "body")] * 2
+
+
+def test_title_tokens_meet_as_numbers_and_score_as_searched(spark):
+    """The points of a title are those of a search for each of its tokens, with repeated,
+    very long and stop-word-like ones, keys within keys and several texts; a gram of a message
+    is looked up in one cell and a title's tokens are not searched in the text one by one."""
+    import random
+    from datetime import date
+    from datetime import datetime as dt
+
+    from lantern.operators.link import reply_candidates
+    plan = _plan(registry.load_all()[0]["J4_reply_match"](spark, SF001))
+    assert "array_intersect" in plan and "regexp_extract_all" in plan
+    rng = random.Random(4)
+    words = ["data", "engineer", "lead", "ops", "senior", "x" * 30, "x" * 24, "analyst", "dat", "gine", "abc1"]
+    names = ["kest", "kestr", "kestrel", "kestrel tiles", "oakwood", "oakwoodworking"]
+    msgs = [(i, f"hr@{rng.choice(names).replace(' ', '')}.com", " ".join(rng.choices(words, k=4)),
+             " ".join(rng.choices(words + names, k=9)), None if i % 5 == 0 else dt(2026, 1, 1 + i % 28)) for i in range(40)]
+    apps = [(i, rng.choice(names), " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 8]))),
+             f"https://jobs.lever.co/{rng.choice(names).replace(' ', '-')}/1", f"2026-01-{1 + i % 28:02d}") for i in range(60)]
+    found = reply_candidates(
+        spark.createDataFrame(msgs, "msg_id long, sender string, subject string, body string, date timestamp"),
+        spark.createDataFrame(apps, "row_seq long, company string, title string, url string, date_submitted string"))
+    want = set()
+    for mid, sender, subject, body, day in msgs:
+        text, host = f"{subject} {body}", sender.split("@")[1].replace(".", "")
+        for seq, company, title, url, sent in apps:
+            keys = {company.replace(" ", ""), url.split("/")[3].replace("-", "")}
+            if day and (day.date() - date.fromisoformat(sent)).days < -2:
+                continue
+            here, there = any(k in text.replace(" ", "") for k in keys), any(k in host for k in keys)
+            toks = title.split()
+            hits = sum(t in text for t in toks)
+            pts = 0 if not toks else 3 if hits >= max(2, len(toks) // 2) else min(hits, 1)
+            if here or there:
+                want.add((mid, seq, 4 * here + 3 * there + pts, here, there))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) > 500 and set(got) == want
