@@ -230,3 +230,17 @@ def test_title_tokens_meet_as_numbers_and_score_as_searched(spark):
                 want.add((mid, seq, 4 * here + 3 * there + pts, here, there))
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) > 500 and set(got) == want
+
+
+def test_rendered_lines_are_sorted_and_told_once(spark):
+    """K5: equal lines of a record are found side by side, not by holding each against all
+    others, and where its header ends is found once per record."""
+    from pyspark.sql import functions as F
+
+    from lantern.functions.predicates import in_order_once
+    plan = _plan(registry.load_all()[0]["K5_record_render"](spark, SF001))
+    assert "array_distinct" not in plan and "array_union" not in plan and plan.count("sort_array") >= 1
+    d = spark.createDataFrame([([(2, "b"), (1, None), (2, "a"), (1, None), (2, "b"), (None, "z"), (None, "z")],), ([],), (None,)],
+                              "l array<struct<k:int,t:string>>")
+    got = [None if r.o is None else [tuple(x) for x in r.o] for r in d.select(in_order_once(F.col("l")).alias("o")).collect()]
+    assert got == [[(None, "z"), (1, None), (2, "a"), (2, "b")], [], None]
