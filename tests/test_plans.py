@@ -244,3 +244,9 @@ def test_rendered_lines_are_sorted_and_told_once(spark):
                               "l array<struct<k:int,t:string>>")
     got = [None if r.o is None else [tuple(x) for x in r.o] for r in d.select(in_order_once(F.col("l")).alias("o")).collect()]
     assert got == [[(None, "z"), (1, None), (2, "a"), (2, "b")], [], None]
+
+
+def test_intake_lines_are_told_once(spark):
+    """K6: equal lines of an intake record are found side by side, as K5's are."""
+    plan = _plan(registry.load_all()[0]["K6_intake_render"](spark, SF001))
+    assert "array_distinct" not in plan and "sort_array" in plan
