@@ -2,6 +2,8 @@
 products; Python runs only in the operators that need it; the scorer runs
 after the filters and the anti join."""
 
+import pytest
+
 from lantern.plans import registry
 from tests.conftest import SF001
 
@@ -194,7 +196,8 @@ def test_landed_documents_share_files(spark):
     assert [tuple(r) for r in read_mail(spark, f"{top}/packed-mail", packed=True).select("msg_id", "sender", "body").collect()] == [("1.eml", "a@b.c", "body")] * 2
 
 
-def test_title_tokens_meet_as_numbers_and_score_as_searched(spark):
+@pytest.mark.parametrize("spread", [0, 1000])
+def test_title_tokens_meet_as_numbers_and_score_as_searched(spark, monkeypatch, spread):
     """The points of a title are those of a search for each of its tokens, with repeated,
     very long and stop-word-like ones, keys within keys and several texts; a gram of a message
     is looked up in one cell and a title's tokens are not searched in the text one by one."""
@@ -202,7 +205,9 @@ def test_title_tokens_meet_as_numbers_and_score_as_searched(spark):
     from datetime import date
     from datetime import datetime as dt
 
+    from lantern.operators import link
     from lantern.operators.link import reply_candidates
+    monkeypatch.setattr(link, "SPREAD", spread)  # 0: the applications of each gram lie in all its blocks
     plan = _plan(registry.load_all()[0]["J4_reply_match"](spark, SF001))
     assert "array_intersect" in plan and "regexp_extract_all" in plan
     rng = random.Random(4)
@@ -250,3 +255,13 @@ def test_intake_lines_are_told_once(spark):
     """K6: equal lines of an intake record are found side by side, as K5's are."""
     plan = registry.load_all()[0]["K6_intake_render"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and "sort_array" in plan
+
+
+def test_cells_have_a_partition_each(spark):
+    """Dealing out by a cell's name leaves no partition empty and none with two cells."""
+    from pyspark.sql import functions as F
+
+    from lantern.operators.link import _cell_names
+    names = _cell_names(spark, 64)
+    d = spark.createDataFrame([(n,) for n in names], "c int").repartition(64, "c")
+    assert sorted(r.p for r in d.select(F.spark_partition_id().alias("p")).collect()) == list(range(64))
